@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, substrings
+from . import packing, quality, simhash, substrings, toxicity
 from .common import load
 
 
@@ -22,8 +22,16 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(load(spark, sf_dir, "documents"), span=50)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_packing, op4_substrings)}
+    return {f.__name__: f for f in (op2_simhash, op3_packing, op4_substrings, op8_quality, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
