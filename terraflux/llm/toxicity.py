@@ -182,11 +182,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int, toxic_docs:
     return materialise(joined.groupBy(F.xxhash64("text").alias("of")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).drop("of"), "toxicity-sample")
 
 
-def learn_lexicon(sample: DataFrame, support: float = 0.01, odds: float = 1.7, most: int = 2000, cover: int = 3) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, support: float = 0.007, odds: float = 0.8, most: int = 4000, cover: int = 8) -> dict[str, float]:
     """Features that tell toxic documents apart: a greedy cover of the sample's toxic documents.
 
-    A feature qualifies if its log odds ratio less two standard errors is ``odds``; it is taken if at least ``support`` of the
-    toxic documents (5 at least) hold it that hold fewer than ``cover`` of those taken
+    A feature qualifies if its log odds ratio less two standard errors is ``odds``, and
+    more the more features compete (a tenth of the log of the toxic documents); it is taken if at least ``support`` of the
+    toxic documents (4 at least) hold it that hold fewer than ``cover`` of those taken
     before, so that the rare words a group of near copies shares do not get in. Beginnings
     and extensions of a feature taken are left out.
     """
@@ -202,11 +203,11 @@ def learn_lexicon(sample: DataFrame, support: float = 0.01, odds: float = 1.7, m
     n_clean, n_toxic = size.get(0, 0), size.get(1, 0)
     if not n_toxic:
         return {}
-    least = max(5, math.ceil(support * n_toxic))
+    least = max(4, math.ceil(support * n_toxic))
     counts = sample.mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= least)
     ratio = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
     doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    told = counts.withColumn("odds", ratio).where(F.log("odds") - 2 * doubt >= odds).orderBy(F.desc("toxic"), F.desc("odds"), "feature").limit(most).collect()
+    told = counts.withColumn("odds", ratio).where(F.log("odds") - 2 * doubt >= odds + 0.1 * math.log(n_toxic)).orderBy(F.desc("toxic"), F.desc("odds"), "feature").limit(most).collect()
     weight = {r.feature: math.log(r.odds) for r in told}
     names = frozenset(weight)
 
@@ -235,9 +236,9 @@ def learn_lexicon(sample: DataFrame, support: float = 0.01, odds: float = 1.7, m
 
 
 def learn_weights(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """A logistic model held near PRIOR, by Newton's method with step halving; both classes weigh the same."""
+    """A logistic model held near PRIOR, by Newton's method with step halving."""
     w, x = PRIOR.copy(), np.hstack([np.ones((len(x), 1)), x])
-    each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * min(len(y), 100)
+    each = np.full(len(y), min(1.0, 1000 / max(1, len(y))))
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
