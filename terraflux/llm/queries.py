@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, neighbours, packing, quality, simhash, substrings, topk, toxicity
+from . import chat, licences, neighbours, packing, pieces, quality, simhash, substrings, topk, toxicity
 from .common import load
 
 
@@ -53,8 +53,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(load(spark, sf_dir, "documents"), name="piece_bpe_32k.model")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_simhash, op3_packing, op4_substrings, op5_licences, op6_neighbours, op7_chat, op8_quality, op9_toxicity)}
+    return {f.__name__: f for f in (op1_topk, op2_simhash, op3_packing, op4_substrings, op5_licences, op6_neighbours, op7_chat, op8_quality, op9_toxicity, op10_sentencepiece)}
 
 
 #: Exact top-k: quantised inner products of all queries and rows, ranked.
