@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that no name of theirs meets one of an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def slot_filter(df: DataFrame, key: str, keys: DataFrame, bits: int = 22) -> DataFrame:
     """``df`` with a boolean column ``slot_hit``: false only where ``key`` is not in ``keys``.
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, materialise, whole_row
 
 CHUNK = 1 << 15
 #: Node pairs expanded at a time; node pairs with at most this many leaf pairs are compared leaf by leaf.
@@ -201,10 +201,12 @@ def near_duplicates(docs: DataFrame, errors: int = 4, words_per_shingle: int = 4
 def deduplicate(docs: DataFrame, errors: int = 4, words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest doc_id.
 
-    Rows with a null doc_id have no order and are all kept, as their copies can't be told.
+    Rows with a null doc_id have no order and are all kept, as their copies can't be told;
+    of rows that share a doc_id one is kept. All columns stay, whatever their names.
     """
     found = near_duplicates(docs.select("doc_id", "text"), errors, words_per_shingle, seed)
     firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("first_doc"), F.col("fingerprint").alias("first_print")).distinct()
     firsts = firsts.groupBy("first_doc").agg(F.min("first_print").alias("first_print"))
-    kept = docs.where("doc_id is not null").join(firsts.hint("shuffle_hash"), F.col("doc_id") == F.col("first_doc"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), whole_row(docs))
+    kept = rows.where("key is not null").join(firsts.hint("shuffle_hash"), F.col("key") == F.col("first_doc"), "left_semi")
+    return kept.dropDuplicates(["key"]).unionByName(rows.where("key is null")).select("row.*")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slot_filter
+from .common import materialise, slot_filter, whole_row
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -189,10 +189,10 @@ def _cut(words: list[bytes], listed, span: int) -> list[bytes]:
     return [words[i] for i in keep.tolist()] if len(keep) < len(words) else words
 
 
-def _applied(docs: DataFrame, span: int, seed: int) -> list[DataFrame]:
-    """``docs`` with a column ``spans``; those that can't have any are kept out of the join."""
+def _applied(rows: DataFrame, docs: DataFrame, span: int, seed: int) -> list[DataFrame]:
+    """``rows`` (with ``doc_id``) and a column ``spans``; those that can't have any are kept out of the join."""
     spans = materialise(repeated_spans(docs, span, seed), "substring-spans")
-    flagged = slot_filter(docs, "doc_id", spans.select("doc_id"))
+    flagged = slot_filter(rows, "doc_id", spans.select("doc_id"))
     none = F.lit(None).cast("array<struct<h1:bigint,h2:bigint,lo:int,hi:int>>")
     return [_marked(flagged.where("slot_hit").drop("slot_hit"), spans), flagged.where("not slot_hit").drop("slot_hit").withColumn("spans", none)]
 
@@ -217,7 +217,7 @@ def digest(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], schema.field(i + 1).type) for i in range(3))], schema=schema)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [x.select("doc_id", "text", "spans").mapInArrow(scan, "doc_id long, n_words long, n_removed long, kept_sha256 string") for x in _applied(docs, span, seed)]
+    parts = [x.select("doc_id", "text", "spans").mapInArrow(scan, "doc_id long, n_words long, n_removed long, kept_sha256 string") for x in _applied(docs, docs, span, seed)]
     return parts[0].union(parts[1])
 
 
@@ -238,11 +238,14 @@ def deduplicate(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
             out.append(text if len(kept) == len(words) else b" ".join(kept).decode())
         return pd.Series(out, dtype=object)
 
-    joined, rest = _applied(docs, span, seed)
-    joined = joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_row(docs))
+    joined, rest = _applied(rows, docs, span, seed)
+    shorter = F.col("row").withField("text", F.col("cut"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return joined.drop("spans").unionByName(rest.drop("spans")).select(*docs.columns)
+        shorter = shorter.withField("n_chars", F.length("cut").cast(docs.schema["n_chars"].dataType))
+    joined = joined.withColumn("cut", F.when(F.col("spans").isNotNull(), cut("row.text", "spans")))
+    joined = joined.withColumn("row", F.when(F.col("cut").isNull() | F.col("cut").eqNullSafe(F.col("row.text")), F.col("row")).otherwise(shorter))
+    return joined.select("row.*").unionByName(rest.select("row.*"))
 
 
 _SPANS = pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, whole_row
 
 #: Word lists in English, German, French and Spanish.
 THREAT = frozenset("kill murder hurt strangle stab shoot töten umbringen erschießen erstechen verprügeln tuer égorger poignarder étrangler matar matarte asesinar apuñalar golpear".split())
@@ -296,6 +296,6 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def accept(docs: DataFrame, labels: DataFrame, folds: int = 5, cut: float = 0.5) -> DataFrame:
-    """``docs`` scored below ``cut``, with their columns."""
+    """``docs`` scored below ``cut``; all columns stay, whatever their names."""
     lexicon, weights = fit(docs, labels, folds)
-    return docs.withColumn("toxicity_of", score_column(F.col("text"), lexicon, weights)).where(F.col("toxicity_of") < cut).drop("toxicity_of")
+    return docs.select(whole_row(docs)).where(score_column(F.col("row.text"), lexicon, weights) < cut).select("row.*")
