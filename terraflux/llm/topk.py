@@ -38,7 +38,7 @@ def slices(q: np.ndarray) -> np.ndarray:
     if pad := -len(u) % 64:
         u = np.vstack([u, np.zeros((pad, u.shape[1]), np.uint64)])
     bits = ((u.T[:, None, :] >> np.arange(digits, dtype=np.uint64)[None, :, None]) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=2, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits, axis=2, bitorder="little")).view(np.uint64)
 
 
 def added(cut: np.ndarray, query: np.ndarray) -> tuple[int, list[np.ndarray]]:
