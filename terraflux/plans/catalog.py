@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import geo
-from ..operators import asymmetry, atoms, components, gravity, measures, panel, resistance, routing, stats, transport, velocity
+from ..operators import asymmetry, atoms, components, gravity, measures, panel, resistance, routing, stats, studies, transport, velocity
 from . import fixtures as X
 from . import sql as Q
 
@@ -525,9 +525,9 @@ def home_multiplier(spark, sf):
 # Transport
 
 
-def _clouds(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The forty heaviest atoms a side of the pairs of neighbouring keys."""
-    p, c = atoms.capped(X.production(spark, sf), 40), atoms.capped(X.consumption(spark, sf), 40)
+def _clouds(spark, sf, most: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each region's heaviest atoms (a solver's cap), and the pairs of neighbouring keys."""
+    p, c = atoms.capped(X.production(spark, sf), most), atoms.capped(X.consumption(spark, sf), most)
     return p, c, measures.pairs_of(p, c).where("abs(o - d) <= 1")
 
 
@@ -553,13 +553,91 @@ def sliced_wasserstein(spark, sf):
 
 @query()
 def horse_race(spark, sf):
-    """All measures against each other: rank correlation with the power mean."""
-    p, c, pairs = _clouds(spark, sf)
+    """All measures against the power mean: plain and rank correlation."""
+    p, c, pairs = _clouds(spark, sf, 16)
     wide = measures.all_measures(p, c, pairs, X.nations(spark, sf)).join(measures.m10_effective(p, c, pairs), ["o", "d"])
     long = wide.select("m10", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"`{m}`").alias("value")) for m in wide.columns if m not in ("o", "d", "m10")])).alias("x")).select("m10", "x.*")
     return rounded(stats.correlations(long, "value", "m10", ("measure",)), 6)
 
 
+# Studies
+
+
+def _floors(spark, sf) -> DataFrame:
+    """The regions' ten heaviest customers."""
+    return atoms.capped(X.consumption(spark, sf), 10)
+
+
+_TEN = f"{Q.NATIONS}, {Q.CONSUMPTION}, ten AS (SELECT region, atom, lat, lon, weight FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY weight DESC, atom) AS rn FROM consumption) WHERE rn <= 10)"
+_TEN_MET = f"{_TEN}, met AS (SELECT a.region AS o, b.region AS d, a.weight*b.weight AS w, greatest(0.5E0, {Q.km('a.lat', 'a.lon', 'b.lat', 'b.lon')}) AS km FROM ten a, ten b)"
+
+
+@query(f"WITH {_TEN_MET} {Q.effective('-5')}")
+def symmetric_matrix(spark, sf):
+    return rounded(studies.symmetric_matrix(_floors(spark, sf)))
+
+
+def _internal(t: float) -> str:
+    return f"SELECT o AS region, CAST({t} AS DOUBLE) AS theta, d_eff, round(0.67E0*sqrt(n.area/pi()), 4) AS d_hm FROM ({Q.effective(str(t))}) JOIN nations n ON n.region = o WHERE o = d"
+
+
+@query(f"WITH {_TEN_MET} " + " UNION ALL ".join(map(_internal, (-7, -5, -3, -1, 1))))
+def internal_distances(spark, sf):
+    return rounded(studies.internal_distances(_floors(spark, sf), X.nations(spark, sf)).drop("ratio"))
+
+
+@query()
+def sampling_bias(spark, sf):
+    return rounded(studies.sampling_bias(atoms.capped(X.consumption(spark, sf), 100), 25))
+
+
+_PLANAR = "(111.32E0*sqrt(pow((((b.lon - a.lon + 180) - 360*floor((b.lon - a.lon + 180)/360)) - 180)*cos(radians((a.lat + b.lat)/2)), 2) + pow(b.lat - a.lat, 2)))"
+
+
+@query(f"WITH {_TEN}, k AS (SELECT a.region, {_PLANAR} AS km FROM ten a JOIN ten b ON a.region = b.region) SELECT region, f AS floor_km, round(pow(avg(pow(greatest(km, f), -5)), -0.2E0), 4) AS d_eff FROM k, (VALUES (1.0E0), (10.0E0), (100.0E0)) v(f) GROUP BY 1, 2")
+def floor_sweep(spark, sf):
+    return rounded(studies.floor_sweep(_floors(spark, sf), (1.0, 10.0, 100.0)))
+
+
+@query(f"""WITH {Q.MEETINGS}, m AS ({Q.effective('-5')}), r AS (SELECT CASE WHEN a.bloc = b.bloc THEN 'touching' ELSE 'separated' END AS regime, m.d_eff/({Q.km("a.lat", "a.lon", "b.lat", "b.lon")}) AS ratio FROM m JOIN nations a ON a.region = m.o JOIN nations b ON b.region = m.d WHERE m.o <> m.d)
+SELECT regime, count(ratio) AS n, round(avg(ratio), 6) AS mean, round(median(ratio), 6) AS median, round(quantile_cont(ratio, 0.1), 6) AS p10, round(quantile_cont(ratio, 0.9), 6) AS p90, round(min(ratio), 6) AS least, round(max(ratio), 6) AS greatest FROM r GROUP BY regime""")
+def harmonic_regimes(spark, sf):
+    n = X.nations(spark, sf)
+    bloc = lambda s: n.select(F.col("region").alias(s), F.col("bloc").alias(f"bloc_{s}"))
+    r = ces_directional(spark, sf).join(capital_distance_full(spark, sf), ["o", "d"]).where("o <> d").join(bloc("o"), "o").join(bloc("d"), "d")
+    r = r.withColumn("ratio", F.col("d_eff") / F.col("m1")).withColumn("contig", (F.col("bloc_o") == F.col("bloc_d")).cast("int"))
+    return rounded(studies.regimes(r, "ratio"), 6)
+
+
+@query(f"WITH {Q.NATIONS}, v AS (" + " UNION ALL ".join(_d_eff_sql(-5.0, 1.0, f) for f in (1.0, 5.0, 10.0, 50.0, 100.0, 200.0)) + """)
+SELECT n.region, round(n.area, 6) AS area_km2, round(0.67E0*sqrt(n.area/pi()), 6) AS "d_HM", """ + ", ".join(f'max(d_eff) FILTER (WHERE floor_km = {f}) AS "d_eff_t-5_dmin{f}"' for f in (1, 5, 10, 50, 100, 200)) + " FROM nations n JOIN v ON v.region = n.region GROUP BY n.region, n.area")
+def country_diagnostic(spark, sf):
+    t = studies.country_table(X.nations(spark, sf))
+    return t.select("region", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in t.columns if c != "region"])
+
+
+@query(f"""WITH {Q.MEETINGS}, m AS ({Q.effective('-5')}), p AS (SELECT m.o, m.d, m.d_eff, {Q.km("a.lat", "a.lon", "b.lat", "b.lon")} AS distw FROM m JOIN nations a ON a.region = m.o JOIN nations b ON b.region = m.d WHERE m.o <> m.d)
+SELECT o, d, round(abs(d_eff - distw)/abs(distw), 6) AS rel_diff FROM p ORDER BY abs(d_eff - distw)/abs(distw) DESC, o, d LIMIT 15""")
+def most_different_pairs(spark, sf):
+    """The fifteen pairs of a report."""
+    published = capital_distance_full(spark, sf).withColumnRenamed("m1", "distw")
+    return rounded(studies.against_published(ces_directional(spark, sf), published)[1].select("o", "d", "rel_diff"), 6)
+
+
+@query()
+def border_experiment(spark, sf):
+    p = panel.composite_keys(_panel(spark, sf))
+    pilot = p.where("(iso3_o + iso3_d) % 3 = 0").groupBy("iso3_o", "iso3_d").agg((F.max("distw_harmonic") * 0.5).alias("d_pilot"))
+    return rounded(studies.border_experiment(p, pilot), 6)
+
+
+@query(f"SELECT o.iso_o, o.iso_d, o.year, round(d_ovdl/(n.n_regionkey*0.37E0 + 1), 4) AS d_net_adj FROM ({_ovdl('pop')}) o JOIN nation n ON n.n_nationkey = o.iso_o")
+def net_adjusted(spark, sf):
+    """The centrality adjustment, on overland distances rounded to four places."""
+    central = X.nations(spark, sf).select(F.col("region").alias("iso_o"), (F.col("bloc") * 0.37 + 1.0).alias("centrality_norm"))
+    return rounded(ovdl_pop(spark, sf).join(central, "iso_o", "left").select("iso_o", "iso_d", "year", (F.col("d_ovdl") / F.coalesce("centrality_norm", F.lit(1.0))).alias("d_net_adj")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -7,7 +7,7 @@ from terraflux.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: The heaviest, checked by their own tests and on larger tables.
-SLOW = {"horse_race", "distance_variants_wide", "lcp_multi_t"}
+SLOW = {"horse_race", "distance_variants_wide"}
 
 
 @pytest.fixture(scope="module")
