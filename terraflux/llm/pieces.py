@@ -2,8 +2,8 @@
 
 A text's pieces never cross the start of a word (a piece holds the space mark only in
 front, or is made of marks alone; ``Model`` checks this), so a batch is reduced to its
-distinct words. Those not met before are concatenated and indexed by a suffix array, as
-deep as the longest piece. Every piece is binary-searched for its range of occurrences;
+distinct words. The parts of those not met before are concatenated and indexed by a suffix
+array, as deep as the longest piece. Every piece is binary-searched for its range of occurrences;
 each occurrence is an edge from one position to another. Edges sorted by position are
 then relaxed: position j is reached by the one edge whose piece may follow the piece
 that position i was reached by.
@@ -17,18 +17,21 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Words and pairs of pieces remembered by a worker, and characters indexed at a time.
-REMEMBERED, INDEXED = 1 << 20, 1 << 18
-_SPELLED = -2
+#: Words of a generation remembered by a worker, and characters indexed at a time.
+REMEMBERED, INDEXED = 3 << 18, 1 << 18
+_SPELLED = -1
 
 
 class Model:
@@ -58,8 +61,9 @@ class Model:
         self.size = np.array([len(p) for p in names])
         self.low = self._keys([self._coded(p) for p in names], 0)
         self.high = self._keys([self._coded(p) for p in names], 0xFFFF)
-        self.words: dict[str, bytes] = {}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.inside = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
+        self.words, self.older, self.parts = {}, {}, {}
+        self.follows: dict[int, bool] = {}
 
     def _coded(self, text: str) -> list[int]:
         return [self.code.get(c, 0) for c in text]
@@ -81,32 +85,38 @@ class Model:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def may_follow(self, a: int, b: int) -> bool:
-        """Whether piece b stands right after piece a; a = -1: at the start."""
-        if a == _SPELLED:
-            a = -1
-        known = self.follows.get((a, b))
-        if known is None:
-            if len(self.follows) >= 4 * REMEMBERED:
-                self.follows.clear()
-            x, y = self.text.get(a, ""), self.text[b]
-            known = self.follows[a, b] = self.merged(x + y) == [p for p in (x, y) if p]
-        return known
+        """Whether piece b stands right after piece a; a < 0: at the start, or after a spelled character."""
+        x, y = self.text.get(a, ""), self.text[b]
+        return self.merged(x + y) == [p for p in (x, y) if p]
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words into the memory."""
+        """Encodes words into the memory.
+
+        A word is cut first where no piece holds the two characters side by side (between
+        a letter and a full stop, say); its parts are encoded once for all words.
+        """
+        inside, cut = self.inside, []
+        for w in words:
+            at = [i for i in range(1, len(w)) if w[i - 1 : i + 1] not in inside]
+            cut.append([w[i:j] for i, j in zip([0, *at], [*at, len(w)], strict=True)] if at else [w])
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        new = list(set().union(*cut).difference(self.parts))
         at = 0
-        while at < len(words):
+        while at < len(new):
             size, stop = 0, at
-            while stop < len(words) and (size < INDEXED):
-                size += len(words[stop]) + 1
+            while stop < len(new) and size < INDEXED:
+                size += len(new[stop]) + 1
                 stop += 1
-            self._index(words[at:stop])
+            self._index(new[at:stop])
             at = stop
+        get = self.parts.__getitem__
+        self.words.update((w, b"".join(map(get, x))) for w, x in zip(words, cut, strict=True))
 
     def _index(self, words: list[str]) -> None:
         joined = "\0".join(words) + "\0"
         codes = np.zeros(len(joined) + self.longest, ">u2")
-        codes[: len(joined)] = [self.code.get(c, 0) for c in joined]
+        codes[: len(joined)] = [*map(self.code.get, joined, repeat(0))]
         suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, self.longest)[: len(joined)]).view(f"S{2 * self.longest}").ravel()
         order = np.argsort(suffix, kind="stable")
         ranked = suffix[order]
@@ -116,42 +126,54 @@ class Model:
         begin = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
         end = begin + self.size[which]
         by_place = np.lexsort((begin, end))
-        ends, edges = end[by_place], list(zip(begin[by_place].tolist(), self.ids[which[by_place]].tolist(), strict=True))
-        bounds = np.searchsorted(ends, np.arange(len(joined) + 2)).tolist()
-        may, reached = self.may_follow, [0] * (len(joined) + 1)
+        begins, edges = begin[by_place].tolist(), self.ids[which[by_place]].tolist()
+        bounds = np.searchsorted(end[by_place], np.arange(len(joined) + 2)).tolist()
+        if len(self.follows) > 4 * REMEMBERED:
+            self.follows.clear()
+        known, reached, back = self.follows, [0] * (len(joined) + 1), [0] * (len(joined) + 1)
         start = 0
         for word in words:
-            reached[start], back = -1, [0] * len(word)
-            for j in range(start + 1, start + len(word) + 1):
+            stop = start + len(word)
+            reached[start] = _SPELLED
+            for j in range(start + 1, stop + 1):
                 reached[j] = _SPELLED
-                for i, piece in edges[bounds[j] : bounds[j + 1]]:
-                    if may(reached[i], piece):
-                        reached[j], back[j - start - 1] = piece, i
+                for e in range(bounds[j], bounds[j + 1]):
+                    i, piece = begins[e], edges[e]
+                    before = reached[i]
+                    pair = before << 20 | piece
+                    may = known.get(pair)
+                    if may is None:
+                        may = known[pair] = self.may_follow(before, piece)
+                    if may:
+                        reached[j], back[j] = piece, i
                         break
-            out, j = [], start + len(word)
+            out, j = [], stop
             while j > start:
                 if reached[j] == _SPELLED:
                     j -= 1
-                    raw = word[j - start].encode()
+                    raw = joined[j].encode()
                     out += [self.bytes_of[b] for b in reversed(raw)] if self.bytes_of else [self.unknown]
                 else:
                     out.append(reached[j])
-                    j = back[j - start - 1]
-            self.words[word] = np.array(out[::-1], "<i4").tobytes()
-            start += len(word) + 1
+                    j = back[j]
+            self.parts[word] = array("i", out[::-1]).tobytes()
+            start = stop + 1
 
     def split(self, text: str) -> list[str]:
         """The words of a text, each with the marks in front of it."""
         return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Words of two generations are remembered: used ones outlive a change."""
         split = [self.split(t) for t in texts]
-        distinct = dict.fromkeys(w for words in split for w in words)
-        new = [w for w in distinct if w not in self.words]
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = list(distinct)
-        self.learn(new)
+        distinct = set().union(*split)
+        if len(self.words) + len(distinct) > REMEMBERED:
+            self.older, self.words = self.words, {}
+        new = distinct.difference(self.words)
+        if self.older:
+            self.words.update((w, self.older[w]) for w in new if w in self.older)
+            new = new.difference(self.older)
+        self.learn(sorted(new))
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), "<i4") for words in split]
 
@@ -214,8 +236,6 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model") -> DataFrame:
 
 def decode_column(ids, name: str = "piece_bpe_32k.model"):
     """The text of a column of ids (array<int>); null for null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = model(name)
