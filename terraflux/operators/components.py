@@ -10,7 +10,7 @@ from ..functions.geo import haversine_km
 from .measures import planar_centroid
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage of an iteration, in the folder the session names for it."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
@@ -24,13 +24,13 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> Data
     Least labels spread over the edges and are then jumped along (a label's own label),
     so the rounds grow with the logarithm of the longest path.
     """
-    both = _checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = _checkpointed(nodes.select("node", F.col("node").alias("component")).distinct())
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = checkpointed(nodes.select("node", F.col("node").alias("component")).distinct())
     for _ in range(max_rounds):
         told = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
         spread = labels.join(told, "node", "left").select("node", F.least("component", F.coalesce("c", "component")).alias("component"))
         up = spread.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        after = _checkpointed(spread.join(up, "component").select("node", F.least("component", "top").alias("component")))
+        after = checkpointed(spread.join(up, "component").select("node", F.least("component", "top").alias("component")))
         changed = after.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
         labels = after
         if not changed:

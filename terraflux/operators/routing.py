@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.geo import Scenario, arc_flags, edge_cost, freight_cost, great_circle_km
 from .atoms import systematic_sample
-from .components import _checkpointed
+from .components import checkpointed
 
 
 def complete_edges(nodes: DataFrame, within_km: float | None = None) -> DataFrame:
@@ -87,15 +87,35 @@ def scenario_costs(edges: DataFrame, scenarios: dict[str, Scenario]) -> DataFram
     return many
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
+def nearest_node(points: DataFrame, nodes: DataFrame, key: str = "id", most_broadcast: int = 10_000, cell: float = 0.5) -> DataFrame:
     """The node least far in degrees (no wrap) from each point, ties to the smaller id.
 
-    ``nodes`` is a hub list; it is dealt to every point's task once, in a plain join.
+    A hub list of at most ``most_broadcast`` rows goes to every task. A longer one is met
+    in cells: a point looks at the nodes of its cell and the eight around it, and what it
+    finds within one cell's width is its nearest; the other points go on with cells twice
+    as wide, until none is left.
     """
-    n = nodes.select(F.col("id").alias("node"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.lit(1).alias("_all"))
+    n = nodes.select(F.col("id").alias("node"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
     dx, dy = F.col("lon") - F.col("_lon"), F.col("lat") - F.col("_lat")
-    met = points.withColumn("_all", F.lit(1)).join(n, "_all")
-    return met.groupBy(key).agg(F.min_by("node", F.struct((dx * dx + dy * dy).alias("d"), F.col("node").alias("n"))).alias("node"))
+    best = F.min_by(F.struct("node", "d"), F.struct("d", "node")).alias("b")
+    points = points.select(key, "lon", "lat").where("lon is not null and lat is not null")
+    count = nodes.count()
+    if count <= most_broadcast:
+        met = points.join(F.broadcast(n))  # checked above
+        return met.withColumn("d", dx * dx + dy * dy).groupBy(key).agg(best).select(key, F.col("b.node").alias("node"))
+    done, left = None, points
+    while True:
+        slot = lambda c, width=cell: F.floor(F.col(c) / width)
+        around = left.withColumn("_x", F.explode(F.array(*[slot("lon") + k for k in (-1, 0, 1)]))).withColumn("_y", F.explode(F.array(*[slot("lat") + k for k in (-1, 0, 1)])))
+        met = around.join(n.withColumns({"_x": slot("_lon"), "_y": slot("_lat")}), ["_x", "_y"])
+        found = checkpointed(met.withColumn("d", dx * dx + dy * dy).groupBy(key).agg(best).select(key, "b.*"))
+        last = cell > 720
+        sure = (found if last else found.where(F.col("d") <= cell * cell)).select(key, "node")
+        done = sure if done is None else done.unionByName(sure)
+        left = checkpointed(left.join(sure, key, "left_anti"))
+        if last or not left.limit(1).count():
+            return done
+        cell *= 2
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -104,13 +124,13 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000,
     Relaxation by joins: each round extends what improved in the last, until nothing does.
     ``keys`` (a scenario, a mode) separate graphs that are solved side by side.
     """
-    edges = _checkpointed(edges.groupBy(*keys, "src", "dst").agg(F.min("cost").alias("cost")))
-    best = _checkpointed(sources.select(*keys, F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")).distinct())
+    edges = checkpointed(edges.groupBy(*keys, "src", "dst").agg(F.min("cost").alias("cost")))
+    best = checkpointed(sources.select(*keys, F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")).distinct())
     fresh = best
     for _ in range(max_rounds):
         step = fresh.withColumnsRenamed({"node": "src", "cost": "so_far"}).join(edges, [*keys, "src"]).select(*keys, "source", F.col("dst").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost"))
         both = best.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False)))
-        after = _checkpointed(both.groupBy(*keys, "source", "node").agg(F.min("cost").alias("cost"), F.min(F.when(F.col("old"), F.col("cost"))).alias("was")))
+        after = checkpointed(both.groupBy(*keys, "source", "node").agg(F.min("cost").alias("cost"), F.min(F.when(F.col("old"), F.col("cost"))).alias("was")))
         best = after.select(*keys, "source", "node", "cost")
         fresh = after.where("was is null or cost < was").select(*keys, "source", "node", "cost")
         if not fresh.limit(1).count():
@@ -162,7 +182,7 @@ def least_cost(places: DataFrame, graphs: dict[str, tuple[DataFrame, DataFrame]]
     """
     found = None
     for mode, (nodes, edges) in graphs.items():
-        at = _checkpointed(nearest_node(places, nodes))
+        at = checkpointed(nearest_node(places, nodes))
         paths = shortest_paths(priced(undirected(edges), scenario), at.select("node").distinct())
         a, b = at.select(F.col("id").alias("o"), F.col("node").alias("source")), at.select(F.col("id").alias("d"), F.col("node").alias("node"))
         cost = pairs.join(a, "o").join(b, "d").join(paths, ["source", "node"]).select("o", "d", (F.col("cost") + HANDLING[mode]).alias("cost"), F.lit(mode).alias("mode"), F.lit(MODE_ORDER[mode]).alias("rank"))

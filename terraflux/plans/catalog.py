@@ -557,6 +557,7 @@ def horse_race(spark, sf):
     p, c, pairs = _clouds(spark, sf, 16)
     wide = measures.all_measures(p, c, pairs, X.nations(spark, sf)).join(measures.m10_effective(p, c, pairs), ["o", "d"])
     long = wide.select("m10", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"`{m}`").alias("value")) for m in wide.columns if m not in ("o", "d", "m10")])).alias("x")).select("m10", "x.*")
+    long = components.checkpointed(long)  # solved once, then ranked
     return rounded(stats.correlations(long, "value", "m10", ("measure",)), 6)
 
 

@@ -191,3 +191,16 @@ def test_files(spark, tmp_path):
     sinks.atom_cache(spark.createDataFrame([("l", "X", 1.0)], "layer string, region string, weight double"), str(tmp_path / "cache"))
     assert readers.atoms(spark, str(tmp_path / "cache"), "l", "X").count() == 1 and readers.atoms(spark, str(tmp_path / "cache"), "l", "Z") is None
     assert readers.fallback_agglomerations(spark, 2020).count() == 20
+
+
+def test_nearest_node_both_ways(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    p, n = np.column_stack([rng.uniform(-180, 180, 80), rng.uniform(-89, 89, 80)]), np.column_stack([rng.normal(0, 20, 60), rng.normal(0, 10, 60)])
+    n[1] = n[0]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "id long, lon double, lat double")
+    nodes = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(n)], "id long, lon double, lat double")
+    wanted = {i: int(((n - x) ** 2).sum(axis=1).argmin()) for i, x in enumerate(p)}
+    for most in (10_000, 10):
+        assert {r.id: r.node for r in routing.nearest_node(points, nodes, most_broadcast=most, cell=8.0).collect()} == wanted
