@@ -11,6 +11,7 @@ def windowed_sums(events: DataFrame, time: str, keys: tuple[str, ...], value: st
 
     The same plan runs on a static table.
     """
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(F.sum(value).alias("total"), F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *keys, "total", "n")
 
 
