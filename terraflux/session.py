@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +18,21 @@ def session(name: str = "terraflux", master: str | None = None, **conf: str) ->
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once for an application.
+
+    Spark serves the archive from the driver, so executors need neither the package nor
+    the driver's folders.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_terraflux_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="terraflux-")) / "terraflux.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._terraflux_shipped = True
