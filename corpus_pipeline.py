@@ -13,30 +13,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terraflux.llm import packing, quality, simhash, substrings, toxicity
 from terraflux.llm.common import load, materialise
+from terraflux.session import ship
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose perplexity under the trusted text's model is over their language's threshold."""
+    ship(spark)
     return quality.accept(docs, load(spark, sf_dir, "labels"))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents scored toxic."""
+    ship(spark)
     return toxicity.accept(docs, load(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the smallest id, of each group of near duplicates."""
+    ship(spark)
     return simhash.deduplicate(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 words or more that a document with a smaller id holds too."""
+    ship(spark)
     return substrings.deduplicate(docs, span=50)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of at most 2,048 tokens."""
+    ship(spark)
     return packing.pack(docs, capacity=2048, end_id=1)
 
 
