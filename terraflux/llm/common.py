@@ -61,7 +61,8 @@ def slot_filter(df: DataFrame, key: str, keys: DataFrame, bits: int = 22) -> Dat
     )
     at = F.bitmap_bit_position(slot(F.col(key)) + 1)
     byte = F.conv(F.hex(F.substring(F.col("slot_map"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.expr("false") | (F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8).cast("int") + 1)) != 0), F.lit(False))
+    bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8).cast("int") + 1)
+    hit = F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))
     bucket = F.bitmap_bucket_number(slot(F.col(key)) + 1)
     return (
         df.withColumn("slot_bucket", F.when(F.col(key).isNotNull(), bucket))
