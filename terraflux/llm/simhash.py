@@ -192,8 +192,9 @@ def near_duplicates(docs: DataFrame, errors: int = 4, words_per_shingle: int = 4
     rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column(F.col("text"), words_per_shingle, seed).alias("fp")), "simhash-rows")
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(least.select("fp"), errors), "simhash")
-    classes = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    ids = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    classes = materialise(least.join(roots, least["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-classes")
+    # Written, so that both sides of the next join are dealt anew and a large component can be split.
+    ids = materialise(classes.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-ids")
     by_print = classes.join(ids, "root").select("fp", "component_id")
     return rows.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
