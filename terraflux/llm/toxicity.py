@@ -182,7 +182,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int, toxic_docs:
     return materialise(joined.groupBy(F.xxhash64("text").alias("of")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).drop("of"), "toxicity-sample")
 
 
-def learn_lexicon(sample: DataFrame, support: float = 0.007, odds: float = 0.8, most: int = 4000, cover: int = 8) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, support: float = 0.007, odds: float = 1.2, most: int = 4000, cover: int = 8) -> dict[str, float]:
     """Features that tell toxic documents apart: a greedy cover of the sample's toxic documents.
 
     A feature qualifies if its log odds ratio less two standard errors is ``odds``, and
