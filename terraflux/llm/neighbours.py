@@ -167,10 +167,16 @@ def nearest(vectors: DataFrame, id_column: str, vector_column: str, every: int,
     ratio = stop_ratio(sure)
     classes, ids = points(vectors, id_column, vector_column, every, k)
     sizes = {r.dims: r["count"] for r in classes.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(1000).collect()}
-    sample = classes.select("dims", "v", "c1").orderBy("c1").limit(SAMPLE).collect()  # bounded by SAMPLE
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for d, rows in b.groupby("dims").indices.items():
+                yield pd.DataFrame({"c1": b["c1"].to_numpy()[rows], "dims": d, "p": list(projected(np.stack(b["v"].to_numpy()[rows])))})
+
+    sample = classes.select("c1", "dims", "v").mapInPandas(thin, "c1 long, dims int, p array<double>").orderBy("c1").limit(SAMPLE).collect()  # SAMPLE rows of PROJECTED numbers
     trees: dict[int, list] = {}
     for d in {r.dims for r in sample}:
-        x = projected(np.array([r.v for r in sample if r.dims == d]))
+        x = np.array([r.p for r in sample if r.dims == d])
         trees[d] = split(x, max(2, -(-len(x) // min(CELLS, max(1, round(sizes.get(d, 1) / PIECE))))))[0]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
