@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraflux.llm import packing, quality, simhash, substrings, toxicity
+from terraflux.llm import packing, quality, similar, substrings, toxicity
 from terraflux.llm.common import load, materialise
 from terraflux.session import ship
 
@@ -29,9 +29,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group of near duplicates."""
+    """Keeps one document, that with the smallest id, of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
     ship(spark)
-    return simhash.deduplicate(docs)
+    return similar.deduplicate(docs, similarity=0.8, words_per_shingle=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
