@@ -314,8 +314,8 @@ reach(n, m) AS (SELECT atom, atom FROM pts UNION SELECT r.n, e.b FROM reach r JO
 
 @query(f"{_NEAR} SELECT p.region AS region, l.component AS component, round(sum(lat*weight)/sum(weight), 6) AS lat, round(sum(lon*weight)/sum(weight), 6) AS lon, round(sum(weight), 2) AS weight, count(*) AS n_merged FROM pts p JOIN lab l ON l.n = p.atom GROUP BY 1, 2")
 def merge_components(spark, sf):
-    """Chains of every fifth customer within 25 km (the fixture's points, not a cut of the work)."""
-    return rounded(components.merged(X.consumption(spark, sf).where("atom % 5 = 0").withColumnRenamed("atom", "id")), 6, weight=2)
+    """Chains of customers within 25 km."""
+    return rounded(components.merged(X.consumption(spark, sf).withColumnRenamed("atom", "id")), 6, weight=2)
 
 
 @query()
