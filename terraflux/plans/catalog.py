@@ -525,10 +525,10 @@ def home_multiplier(spark, sf):
 # Transport
 
 
-def _clouds(spark, sf, most: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each region's heaviest atoms (a solver's cap), and the pairs of neighbouring keys."""
-    p, c = atoms.capped(X.production(spark, sf), most), atoms.capped(X.consumption(spark, sf), most)
-    return p, c, measures.pairs_of(p, c).where("abs(o - d) <= 1")
+def _clouds(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each region's whole clouds, and all pairs of regions."""
+    p, c = X.production(spark, sf), X.consumption(spark, sf)
+    return p, c, measures.pairs_of(p, c)
 
 
 @query()
@@ -554,7 +554,7 @@ def sliced_wasserstein(spark, sf):
 @query()
 def horse_race(spark, sf):
     """All measures against the power mean: plain and rank correlation."""
-    p, c, pairs = _clouds(spark, sf, 16)
+    p, c, pairs = _clouds(spark, sf)
     wide = measures.all_measures(p, c, pairs, X.nations(spark, sf)).join(measures.m10_effective(p, c, pairs), ["o", "d"])
     long = wide.select("m10", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"`{m}`").alias("value")) for m in wide.columns if m not in ("o", "d", "m10")])).alias("x")).select("m10", "x.*")
     long = components.checkpointed(long)  # solved once, then ranked

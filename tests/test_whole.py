@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from terraflux.operators.transport import distances
+from terraflux.operators.transport import distances, exact
 from terraflux.plans import catalog
 from terraflux.plans import fixtures as X
 
@@ -35,3 +35,12 @@ def test_merge_components_of_all_customers(spark, small):
         wanted |= {(region, int(c)): (int((label == c).sum()), round(float(w[label == c].sum()), 2)) for c in set(label.tolist())}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in wanted.items()}
     assert all(abs(got[k][1] - wanted[k][1]) < 0.011 for k in wanted) and sum(v[0] for v in got.values()) == 390
+
+
+def test_transport_of_all_pairs_and_atoms(spark, small):
+    got = {(r.o, r.d): r.m6 for r in catalog.wasserstein_1(spark, small).collect()}
+    p, c = clouds(X.production(spark, small)), clouds(X.consumption(spark, small))
+    assert set(got) == {(o, d) for o in p for d in c} and len(c[0][0]) > 100 and (0, 4) in got
+    for o, d in ((0, 4), (4, 0), (1, 1)):
+        wanted = exact(distances(p[o][0], c[d][0]), p[o][1] / p[o][1].sum(), c[d][1] / c[d][1].sum())
+        assert abs(got[o, d] - wanted) < 1e-3
