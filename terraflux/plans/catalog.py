@@ -564,18 +564,13 @@ def horse_race(spark, sf):
 # Studies
 
 
-def _floors(spark, sf) -> DataFrame:
-    """The regions' ten heaviest customers."""
-    return atoms.capped(X.consumption(spark, sf), 10)
-
-
 _TEN = f"{Q.NATIONS}, {Q.CONSUMPTION}, ten AS (SELECT region, atom, lat, lon, weight FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY weight DESC, atom) AS rn FROM consumption) WHERE rn <= 10)"
 _TEN_MET = f"{_TEN}, met AS (SELECT a.region AS o, b.region AS d, a.weight*b.weight AS w, greatest(0.5E0, {Q.km('a.lat', 'a.lon', 'b.lat', 'b.lon')}) AS km FROM ten a, ten b)"
 
 
 @query(f"WITH {_TEN_MET} {Q.effective('-5')}")
 def symmetric_matrix(spark, sf):
-    return rounded(studies.symmetric_matrix(_floors(spark, sf)))
+    return rounded(studies.symmetric_matrix(X.consumption(spark, sf)))
 
 
 def _internal(t: float) -> str:
@@ -584,12 +579,12 @@ def _internal(t: float) -> str:
 
 @query(f"WITH {_TEN_MET} " + " UNION ALL ".join(map(_internal, (-7, -5, -3, -1, 1))))
 def internal_distances(spark, sf):
-    return rounded(studies.internal_distances(_floors(spark, sf), X.nations(spark, sf)).drop("ratio"))
+    return rounded(studies.internal_distances(X.consumption(spark, sf), X.nations(spark, sf)).drop("ratio"))
 
 
 @query()
 def sampling_bias(spark, sf):
-    return rounded(studies.sampling_bias(atoms.capped(X.consumption(spark, sf), 100), 25))
+    return rounded(studies.sampling_bias(X.consumption(spark, sf), 25))
 
 
 _PLANAR = "(111.32E0*sqrt(pow((((b.lon - a.lon + 180) - 360*floor((b.lon - a.lon + 180)/360)) - 180)*cos(radians((a.lat + b.lat)/2)), 2) + pow(b.lat - a.lat, 2)))"
@@ -597,7 +592,7 @@ _PLANAR = "(111.32E0*sqrt(pow((((b.lon - a.lon + 180) - 360*floor((b.lon - a.lon
 
 @query(f"WITH {_TEN}, k AS (SELECT a.region, {_PLANAR} AS km FROM ten a JOIN ten b ON a.region = b.region) SELECT region, f AS floor_km, round(pow(avg(pow(greatest(km, f), -5)), -0.2E0), 4) AS d_eff FROM k, (VALUES (1.0E0), (10.0E0), (100.0E0)) v(f) GROUP BY 1, 2")
 def floor_sweep(spark, sf):
-    return rounded(studies.floor_sweep(_floors(spark, sf), (1.0, 10.0, 100.0)))
+    return rounded(studies.floor_sweep(X.consumption(spark, sf), (1.0, 10.0, 100.0)))
 
 
 @query(f"""WITH {Q.MEETINGS}, m AS ({Q.effective('-5')}), r AS (SELECT CASE WHEN a.bloc = b.bloc THEN 'touching' ELSE 'separated' END AS regime, m.d_eff/({Q.km("a.lat", "a.lon", "b.lat", "b.lon")}) AS ratio FROM m JOIN nations a ON a.region = m.o JOIN nations b ON b.region = m.d WHERE m.o <> m.d)

@@ -94,8 +94,8 @@ def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agglomerations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best customers of each nation, for two years."""
-    from ..operators.atoms import capped
+    """The best customers that cover each nation, by the coverage cut, for two years."""
+    from ..operators.components import coverage_cut
 
-    top = capped(consumption(spark, sf_dir), 3).select(F.col("region").alias("iso3"), "lat", "lon", F.col("weight").alias("pop"), (F.col("weight") * F.lit(0.5) + F.col("atom") % 7).alias("viirs_radiance"))
+    top = coverage_cut(consumption(spark, sf_dir), key="atom").select(F.col("region").alias("iso3"), "lat", "lon", F.col("weight").alias("pop"), (F.col("weight") * F.lit(0.5) + F.col("atom") % 7).alias("viirs_radiance"))
     return top.withColumn("year", F.explode(F.array(F.lit(2020), F.lit(2021))))

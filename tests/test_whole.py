@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from terraflux.functions import constants as K
 from terraflux.operators.transport import distances, exact
 from terraflux.plans import catalog
 from terraflux.plans import fixtures as X
@@ -44,3 +45,19 @@ def test_transport_of_all_pairs_and_atoms(spark, small):
     for o, d in ((0, 4), (4, 0), (1, 1)):
         wanted = exact(distances(p[o][0], c[d][0]), p[o][1] / p[o][1].sum(), c[d][1] / c[d][1].sum())
         assert abs(got[o, d] - wanted) < 1e-3
+
+
+def test_studies_of_whole_clouds(spark, small):
+    base = {r.region: r.base for r in catalog.sampling_bias(spark, small).collect()}
+    matrix = {(r.o, r.d): r.d_eff for r in catalog.symmetric_matrix(spark, small).collect()}
+    c = clouds(X.consumption(spark, small))
+    for o in c:
+        for d in c:
+            km, w = np.maximum(0.5, distances(c[o][0], c[d][0])), np.outer(c[o][1], c[d][1])
+            wanted = ((w * km**-5.0).sum() / w.sum()) ** -0.2
+            assert abs(matrix[o, d] - wanted) < 1e-3 and (o != d or abs(base[o] - wanted) < 1e-3)
+    count = X.agglomerations(spark, small).where("year = 2020").groupBy("iso3").count().collect()
+    for r in count:
+        w = np.sort(c[r["iso3"]][1])[::-1]
+        before = np.concatenate([[0.0], np.cumsum(w)[:-1]]) / w.sum()
+        assert r["count"] == min(K.MOST_AGGLOMERATIONS, int((before < K.COVERAGE).sum())) > 3
