@@ -1,15 +1,19 @@
 """Operator 8. Quality by an interpolated modified Kneser-Ney n-gram model.
 
-Symbols are characters folded to 64 classes (letters of the corpus's alphabets without
-case, digits, kinds of spaces and punctuation, one class for other letters), and one
-symbol for the space before a word that repeats the word before it. The model has order
-four, so its table has 2**24 entries whatever the corpus holds; that bound is what lets
-it be broadcast (32 MB as 16-bit fixed-point surprisals).
+Symbols are the code points of a text as they stand, with ``ORDER - 1`` marks before it;
+n-grams are strings of them, so every script and case is told apart and the model grows
+with the text it is trained on.
 
-Training counts the n-grams of all trusted text, each task its own, summed by Spark.
-Continuation counts of the lower orders are aggregations of the distinct n-grams. The
-highest order is estimated in shards: counts are grouped by their context's hash, and
-each shard joins its counts with the continuation probabilities of the order below.
+Training counts the n-grams of all trusted text (each task its own, summed by Spark).
+Each lower order's continuation counts are an aggregation of the order above; a context's
+total and back-off weight are an aggregation by context; and the probabilities of an
+order are its counts joined with those of its contexts and of the order below. All these
+joins are dealt by the hash of a gram; nothing of the model is collected or broadcast.
+
+Scoring asks for each n-gram once a chunk of documents and once in all: the distinct
+n-grams of the documents are joined with the probabilities, order by order, and the
+answers go back to the chunks that asked. The documents of a chunk, compressed, meet
+their answers in one task, which reads them in pieces.
 
 A document's score is the perplexity at the lower end of the confidence interval of its
 mean surprisal, so that short texts are not judged by a few characters. It is rejected
@@ -19,194 +23,302 @@ where that is over a quantile of the trusted documents in its language by more t
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import materialise, slot_filter, whole_row
 
-ORDER, BITS = 4, 6
-SIZE, ROWS = 1 << BITS, 1 << BITS * (ORDER - 1)
-#: Letters with a class of their own besides a to z, and the other classes.
-ACCENTED = "äöüßéèêëàâçáíóúñîïôù"
-DIGIT, SPACE, LINE, BLANK, STOP, COMMA, QUOTE, DASH, SHOUT, COLON, BRACKET, OTHER, REPEAT, START = 47, 48, 49, 50, 51, 52, 53, 54, 55, 56, 57, 58, 59, 63
-MARKS = {" ": SPACE, "\n": LINE, ".": STOP, ",": COMMA, "'": QUOTE, '"': QUOTE, "’": QUOTE, "-": DASH, "!": SHOUT, "?": SHOUT, ":": COLON, ";": COLON, "(": BRACKET, ")": BRACKET}
-#: Fixed-point steps of one bit; characters worked on at a time; bytes of n-grams counted at a time.
-STEP, CHUNK, GATHER = 1024, 1 << 18, 1 << 22
+#: Symbols of an n-gram, and the mark that stands before a text.
+ORDER, START = 5, "\x02"
+#: Characters of a chunk of documents, of text worked on at a time, and of one compressed block.
+CHUNK, PIECE, BLOCK = 1 << 25, 1 << 21, 1 << 21
+_MISSING = "the documents were not the same when read again; write them to a table first"
 
 
 @cache
-def symbols() -> np.ndarray:
-    """The class of each code point."""
-    table = np.zeros(0x110000, np.uint8)
-    letters = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" + ACCENTED)}
-    for cp in range(0x3000):
-        c = chr(cp)
-        kind = unicodedata.category(c)
-        table[cp] = MARKS.get(c) or letters.get(c.lower()) or (DIGIT if kind == "Nd" else BLANK if c.isspace() else 0 if kind[0] in "LM" else OTHER)
-    table[0x1F000:0x20000] = OTHER
-    return table
+def _factors(order: int) -> np.ndarray:
+    return np.random.default_rng(order).integers(0, 1 << 63, order, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    base = 0x9E3779B97F4A7C15
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        x = np.full(CHUNK, b, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
-
-
-def encoded(text: str) -> np.ndarray:
-    """Symbols of at most CHUNK characters, spaces before repeated words marked."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    x = symbols()[points]
-    gap = (x >= SPACE) & (x <= BLANK)
-    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    begin = edge[~gap[edge]]
-    if len(begin) and not gap[0]:
-        begin = np.concatenate([[0], begin])
-    if len(begin) > 1:
-        end = edge[gap[edge]]
-        if len(end) < len(begin):
-            end = np.append(end, len(x))
-        power, inverse = _powers()
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[: len(x)])])
-        word = (total[end] - total[begin]) * inverse[begin]
-        same = (word[1:] == word[:-1]) & (end[1:] - begin[1:] == end[:-1] - begin[:-1])
-        x[begin[1:][same] - 1] = REPEAT
-    return x
-
-
-def grams(text: str) -> Iterator[np.ndarray]:
-    """n-gram codes of the text, a chunk of characters at a time; the last symbol has the lowest bits."""
-    before = np.full(ORDER - 1, START, np.uint32)
-    for at in range(0, len(text), CHUNK):
-        x = np.concatenate([before, encoded(text[at : at + CHUNK])])
-        g = x[ORDER - 1 :].astype(np.uint32)
-        for j in range(1, ORDER):
-            g |= x[ORDER - 1 - j : len(x) - j].astype(np.uint32) << np.uint32(BITS * j)
-        yield g
-        before = x[-(ORDER - 1) :]
-
-
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """``code, n``: all n-grams of a table with one column, the text."""
-    schema = pa.schema([("code", pa.int32()), ("n", pa.int64())])
+def _hashed(points: np.ndarray, order: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``order`` code points."""
+    n = max(0, len(points) - order + 1)
+    h = np.zeros(n, np.uint64)
+    for j, f in enumerate(_factors(order)):
+        h += points[j : n + j].astype(np.uint64) * f
+    return h
+
+
+def pieces(texts: Iterable[str | None], order: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts some ``size`` characters at a time: code points, n-gram hashes, where each n-gram begins, and its text's number.
+
+    A text longer than a piece goes on in the next one.
+    """
+    marks = START * (order - 1)
+    held, of, lengths, room = [], [], [], size
+
+    def out():
+        points = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
+        length = np.array(lengths)
+        begin = np.arange(length.sum()) + np.repeat(np.arange(len(length)) * (order - 1), length)
+        return points, _hashed(points, order)[begin], begin, np.repeat(np.array(of), length)
+
+    for number, text in enumerate(texts):
+        at = 0
+        while at < len(text or ""):
+            part = text[at : at + room]
+            held.append((marks if not at else (marks + text[max(0, at - order + 1) : at])[1 - order :] if order > 1 else "") + part)
+            of.append(number)
+            lengths.append(len(part))
+            at, room = at + len(part), room - len(part)
+            if not room:
+                yield out()
+                held, of, lengths, room = [], [], [], size
+    if held:
+        yield out()
+
+
+class Grams:
+    """The distinct n-grams of a chunk, with their counts."""
+
+    def __init__(self, order: int, piece: int):
+        self.order, self.piece = order, piece
+        self.keys, self.counts, self.points = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, order), np.uint32)
+
+    def add(self, texts: Iterable[str | None]) -> None:
+        for points, h, begin, _ in pieces(texts, self.order, self.piece):
+            keys, first, count = np.unique(h, return_index=True, return_counts=True)
+            at = np.searchsorted(self.keys, keys)
+            old = np.zeros(len(keys), bool)
+            if len(self.keys):
+                old = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+            self.counts[at[old]] += count[old]
+            new = ~old
+            if new.any():
+                grams = points[begin[first[new]][:, None] + np.arange(self.order)]
+                order = np.argsort(both := np.concatenate([self.keys, keys[new]]), kind="stable")
+                self.keys, self.counts = both[order], np.concatenate([self.counts, count[new]])[order]
+                self.points = np.concatenate([self.points, grams])[order]
+
+    def rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.keys), 1 << 16):
+            part = self.points[at : at + (1 << 16)]
+            joined, n = part.astype("<u4").tobytes().decode("utf-32-le"), self.order
+            grams = pa.array([joined[i : i + n] for i in range(0, len(joined), n)], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk), pa.int64()), grams, pa.array(self.counts[at : at + len(part)])], names=["chunk", "gram", "n"])
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` after a first column with the number of the partition that a row is read in."""
+    return df.select(F.spark_partition_id().alias("partition"), *df.columns)
+
+
+def _chunk(batch: pa.RecordBatch, serial: int) -> int:
+    return (batch.column(0)[0].as_py() << 24) + serial
+
+
+def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """``chunk, gram, n``: the distinct n-grams of each chunk of a table with one column, the text.
+
+    A chunk is what a task reads, or as many rows of it as hold CHUNK characters.
+    """
+    most, piece = CHUNK, PIECE
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(SIZE * ROWS, np.int64), [], 0
+        serial, size, grams, held, waiting, batch = 0, 0, Grams(order, piece), [], 0, None
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                held.append(text)
+                size, waiting = size + len(text or ""), waiting + len(text or "")
+                if waiting >= piece or size >= most:
+                    grams.add(held)
+                    held, waiting = [], 0
+                if size >= most:
+                    yield from grams.rows(_chunk(batch, serial))
+                    serial, size, grams = serial + 1, 0, Grams(order, piece)
+        grams.add(held)
+        if batch is not None and len(grams.keys):
+            yield from grams.rows(_chunk(batch, serial))
+
+    return _numbered(texts).mapInArrow(scan, "chunk long, gram string, n long")
+
+
+def _blocks(docs: DataFrame, text: str) -> DataFrame:
+    """``chunk, part, block``: the rows themselves, compressed, by the chunks that ``gram_counts`` makes of their texts."""
+    column, most, room = docs.columns.index(text) + 1, CHUNK, BLOCK
 
-        def add() -> None:
-            if held:
-                total.__iadd__(np.bincount(np.concatenate(held), minlength=len(total)))
-                held.clear()
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serial = size = part = 0
+
+        def put(rows: pa.RecordBatch) -> pa.RecordBatch:
+            at = _chunk(rows, serial)
+            rows = rows.select([*range(1, rows.num_columns)])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(rows)
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "part", "block"])
 
         for batch in batches:
-            for text in batch.column(0):
-                for g in grams(text.as_py() or ""):
-                    held.append(g)
-                    size += len(g)
-                    if size >= GATHER:
-                        add()
-                        size = 0
-        add()
-        codes = np.flatnonzero(total)
-        for at in range(0, len(codes), 1 << 16):
-            part = codes[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part])], schema=schema)
-
-    return texts.mapInArrow(scan, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+            lengths = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
+            begin = here = 0
+            for i, n in enumerate(lengths):
+                size, here = size + n, here + n
+                if here >= room or size >= most:
+                    yield put(batch.slice(begin, i + 1 - begin))
+                    begin, here, part = i + 1, 0, part + 1
+                if size >= most:
+                    serial, size, part = serial + 1, 0, 0
+            if begin < len(lengths):
+                yield put(batch.slice(begin))
+                part += 1
+
+    return _numbered(docs).mapInArrow(scan, "chunk long, part int, block binary")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of one, two, and three or more."""
+    """Modified Kneser-Ney discounts for counts of one, two, and three or more; 0.1 at least, so that nothing is impossible."""
     y = n1 / (n1 + 2 * n2) if n1 else 0.0
     steps = [(1, n1, n2), (2, n2, n3), (3, n3, n4)]
-    return tuple(min(float(k), max(0.0, k - (k + 1) * y * b / a)) if a else 0.5 * k * (y or 1.0) for k, a, b in steps)
-
+    return tuple(min(float(k), max(0.1, k - (k + 1) * y * b / a)) if a else 0.5 * k * (y or 1.0) for k, a, b in steps)
 
-def interpolate(count: np.ndarray, lower: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
-    """Probabilities by context (rows) and symbol, from counts and the order below."""
-    total = count.sum(axis=1, keepdims=True)
-    cut = np.select([count >= 3, count == 2, count == 1], [d[2], d[1], d[0]], 0.0)
-    spare = cut.sum(axis=1, keepdims=True)
-    return np.where(total > 0, (np.maximum(count - cut, 0) + spare * lower) / np.maximum(total, 1), lower)
 
+def _cut(n: Column, d: tuple[float, float, float]) -> Column:
+    return F.when(n >= 3, d[2]).when(n == 2, d[1]).otherwise(d[0])
 
-def _fixed(p: np.ndarray) -> np.ndarray:
-    return np.minimum(np.round(-np.log2(np.maximum(p, 1e-9)) * STEP), np.iinfo(np.int16).max).astype(np.int16)
 
+class Model:
+    """The tables of a trained model: probabilities of seen grams, and back-off weights of contexts, by order.
 
-def train(texts: DataFrame) -> np.ndarray:
-    """The table of surprisals (fixed point) by n-gram code, from a table with one column, the text.
-
-    Without any text all symbols are equally likely.
+    ``seen[k]`` is ``gram, p``; ``spare[k]`` is ``context, weight`` (k of at least 2);
+    ``rest`` is the probability of a symbol that was never seen.
     """
-    counts = materialise(gram_counts(texts), "quality-counts")
-    mask = lambda k: (1 << BITS * k) - 1
-    below = counts.groupBy(F.col("code").bitwiseAND(mask(3)).alias("code")).agg(F.count("*").alias("n"))
-    rows = np.array([(r.code, r.n) for r in below.collect()], np.int64).reshape(-1, 2)  # at most 2**18 rows
-    three = np.zeros(SIZE**3, np.int64)
-    three[rows[:, 0]] = rows[:, 1]
-    two = (three.reshape(SIZE, -1) > 0).sum(axis=0)
-    one = (two.reshape(SIZE, -1) > 0).sum(axis=0)
-    p = np.full((1, SIZE), 1 / SIZE)
-    for c in (one, two, three):
-        d = discounts(*(int((c == k).sum()) for k in (1, 2, 3, 4)))
-        c = c.reshape(-1, SIZE).astype(np.float64)
-        p = interpolate(c, np.tile(p, (len(c) // len(p), 1)), d)
-    lower = p.astype(np.float32)  # rows: the last two symbols; 1 MB
-    of = {r.n: r["count"] for r in counts.where("n <= 4").groupBy("n").count().collect()}
-    top = discounts(*(of.get(k, 0) for k in (1, 2, 3, 4)))
-
-    def shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        code = rows["code"].to_numpy()
-        context, row = np.unique(code >> BITS, return_inverse=True)
-        count = np.zeros((len(context), SIZE))
-        count[row, code & (SIZE - 1)] = rows["n"].to_numpy()
-        fixed = _fixed(interpolate(count, lower[context & (SIZE**2 - 1)].astype(np.float64), top))
-        return pd.DataFrame({"contexts": [context.astype("<i4").tobytes()], "surprisals": [fixed.astype("<i2").tobytes()]})
-
-    shards = counts.groupBy(F.pmod(F.xxhash64(F.shiftright("code", BITS)), F.lit(64)).alias("shard")).applyInPandas(shard, "contexts binary, surprisals binary")
-    table = np.tile(_fixed(lower), (SIZE, 1))
-    for r in shards.toLocalIterator():
-        table[np.frombuffer(r.contexts, "<i4")] = np.frombuffer(r.surprisals, "<i2").reshape(-1, SIZE)
-    return table.ravel()
-
-
-def bits_column(text, table, margin: float = 2.0):
-    """Mean surprisal in bits and its lower confidence end, in steps of 1/1024 bit; null for empty text.
-
-    ``table`` is a Spark broadcast of what ``train`` returns.
+
+    def __init__(self, counts: DataFrame, order: int):
+        self.order, self.seen, self.spare = order, {}, {}
+        levels = {order: materialise(counts, "quality-counts")}
+        for k in range(order - 1, 0, -1):
+            levels[k] = materialise(levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), "quality-counts")
+        few = None
+        for k, level in levels.items():
+            own = level.where("n <= 4").groupBy("n").count().select(F.lit(k).alias("k"), "n", "count")
+            few = own if few is None else few.union(own)
+        of = {(r.k, r.n): r["count"] for r in few.collect()}  # four numbers an order
+        cut = {k: discounts(*(of.get((k, n), 0) for n in (1, 2, 3, 4))) for k in levels}
+        n = F.col("n")
+        whole = levels[1].agg(F.count("*").alias("symbols"), F.sum("n").alias("total"), F.sum(_cut(n, cut[1])).alias("spare")).first()
+        self.rest = whole.spare / whole.total / (whole.symbols + 1) if whole.total else 1.0
+        below = None
+        for k in range(1, order + 1):
+            table = levels[k]
+            if k == 1:
+                p = table.select("gram", ((n - _cut(n, cut[1])) / (whole.total or 1) + self.rest).alias("p"))
+            else:
+                context = F.substring("gram", 1, k - 1)
+                sums = table.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(_cut(n, cut[k])).alias("cut"))
+                sums = materialise(sums.select("context", "total", (F.col("cut") / F.col("total")).alias("weight")), "quality-contexts")
+                self.spare[k] = sums.select("context", "weight")
+                rows = table.select("gram", "n", context.alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+                rows = rows.join(sums, "context").join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+                p = rows.select("gram", ((n - _cut(n, cut[k])) / F.col("total") + F.col("weight") * F.col("lower")).alias("p"))
+            self.seen[k] = below = materialise(p, "quality-seen")
+
+    def probabilities(self, grams: DataFrame) -> DataFrame:
+        """``gram, p`` of distinct ``gram``, seen or not.
+
+        A gram that was not seen has the weight its context leaves (1 for an unseen context)
+        times the probability of the gram without its first symbol.
+        """
+        asked = {self.order: grams}
+        for k in range(self.order - 1, 0, -1):
+            asked[k] = materialise(asked[k + 1].select(F.substring("gram", 2, k).alias("gram")).distinct(), "quality-asked")
+        told = None
+        for k in range(1, self.order + 1):
+            seen = self.seen[k].select("gram", F.col("p").alias("own"))
+            rows = asked[k].join(seen, "gram", "left")
+            if k == 1:
+                told = rows.select("gram", F.coalesce("own", F.lit(self.rest)).alias("p"))
+                continue
+            lower = told.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+            rows = rows.select("gram", "own", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+            rows = rows.join(self.spare[k], "context", "left").join(lower, "suffix")
+            told = rows.select("gram", F.coalesce("own", F.coalesce("weight", F.lit(1.0)) * F.col("lower")).alias("p"))
+            told = materialise(told, "quality-told")
+        return told
+
+
+def train(texts: DataFrame, order: int = ORDER) -> Model:
+    """The model of a table with one column, the text. Without any text all symbols are equally likely."""
+    return Model(gram_counts(texts, order).groupBy("gram").agg(F.sum("n").alias("n")), order)
+
+
+def surprisals(docs: DataFrame, model: Model, margin: float, text: str = "text") -> DataFrame:
+    """``docs`` with ``mean`` and ``low`` (a column of each name must not be there): bits a character, and the lower confidence end.
+
+    Both are null for an empty text. ``docs`` is read twice and must be the same both
+    times, rows in the same partitions, as a table is; else this raises.
     """
-    @F.pandas_udf("mean double, low double")
-    def bits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        surprisal = table.value
-        for texts in batches:
-            mean, low = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
-            for i, text in enumerate(texts):
-                n = total = squares = 0
-                for g in grams(text or ""):
-                    s = surprisal[g].astype(np.int64)
-                    n, total, squares = n + len(s), total + int(s.sum()), squares + int(s @ s)
-                if n:
-                    m = total / n / STEP
-                    sd = max(0.0, squares / n / STEP**2 - m * m) ** 0.5
-                    mean[i] = m
-                    low[i] = round(max(0.0, m - margin * sd / n**0.5) * STEP) / STEP
-            yield pd.DataFrame({"mean": mean, "low": low})
-
-    return bits(text)
+    order, piece = model.order, PIECE
+    asked = materialise(gram_counts(docs.select(text), order).select("chunk", "gram"), "quality-requests")
+    told = model.probabilities(materialise(asked.select("gram").distinct(), "quality-distinct"))
+    answers = asked.join(told, "gram").select("chunk", F.lit(-1).alias("part"), "gram", (-F.log2("p")).cast("float").alias("bits"), F.lit(None).cast("binary").alias("block"))
+    blocks = _blocks(docs, text).select("chunk", "part", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("float").alias("bits"), "block")
+    met = answers.unionByName(blocks).repartition("chunk").sortWithinPartitions("chunk", "part")
+    schema = StructType([*docs.schema.fields, StructField("mean", DoubleType()), StructField("low", DoubleType())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, waiting, keys, bits = None, [], None, None
+
+        def table() -> tuple[np.ndarray, np.ndarray]:
+            grams, values = [x.column(0).to_pylist() for x in waiting], [x.column(1).to_numpy() for x in waiting]
+            points = np.frombuffer("".join("".join(g) for g in grams).encode("utf-32-le"), np.uint32).reshape(-1, order)
+            h = (points.astype(np.uint64) * _factors(order)).sum(axis=1, dtype=np.uint64)
+            at = np.argsort(h)
+            return h[at], np.concatenate([*values, np.zeros(0, np.float32)])[at].astype(np.float64)
+
+        def scored(block: bytes) -> Iterator[pa.RecordBatch]:
+            for rows in pa.ipc.open_stream(block):
+                texts = rows.column(rows.schema.get_field_index(text)).to_pylist()
+                sums = np.zeros((3, len(texts)))
+                for _, h, _, of in pieces(texts, order, piece):
+                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    if not len(keys) or (keys[at] != h).any():
+                        raise RuntimeError(_MISSING)
+                    s = bits[at]
+                    for i, x in enumerate((None, s, s * s)):
+                        sums[i] += np.bincount(of, weights=x, minlength=len(texts))
+                n, total, squares = sums
+                some = n > 0
+                mean = total / np.maximum(n, 1)
+                sd = np.sqrt(np.maximum(0, squares / np.maximum(n, 1) - mean * mean))
+                low = np.round(np.maximum(0, mean - margin * sd / np.sqrt(np.maximum(n, 1))), 6)
+                more = [pa.array(x, pa.float64(), mask=~some) for x in (np.round(mean, 6), low)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *more], names=[f.name for f in schema])
+
+        for batch in batches:
+            chunk, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero((chunk[1:] != chunk[:-1]) | (part[1:] != part[:-1])) + 1
+            for a, b in zip([0, *edges], [*edges, len(chunk)], strict=True):
+                if a == b:
+                    continue
+                if chunk[a] != current:
+                    current, waiting, keys = chunk[a], [], None
+                if part[a] < 0:
+                    waiting.append(batch.select([2, 3]).slice(a, b - a))
+                    continue
+                if keys is None:
+                    keys, bits = table()
+                    waiting = []
+                for i in range(a, b):
+                    yield from scored(batch.column(4)[i].as_py())
+
+    return met.mapInArrow(score, schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -214,43 +326,37 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: float = 0.2, margin: float = 2.0):
-    """A broadcast model and the thresholds ``threshold_lang, threshold`` (bits) by language.
-
-    All trusted documents are read, for the counts and for the quantiles. ``docs`` has
-    ``doc_id, text, lang``. A language without trusted documents has no threshold.
-    """
-    spark = docs.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Model:
+    """The model of all trusted documents of ``docs(doc_id, text)``."""
     trusted = trusted_ids(labels)
-    some = slot_filter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), "doc_id", trusted).where("slot_hit").drop("slot_hit")
-    model = spark.sparkContext.broadcast(train(some.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").select("text")))
-    scored = some.select("doc_id", "lang", bits_column(F.col("text"), model, margin).alias("b")).select("doc_id", "lang", F.col("b.low").alias("low"))
-    known = materialise(scored, "quality-trusted").join(trusted, "doc_id", "left_semi").where("low is not null and not isnan(low)")
-    return model, known.groupBy(F.col("lang").alias("threshold_lang")).agg((F.percentile("low", F.lit(quantile)) + slack).alias("threshold"))
+    some = slot_filter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", trusted).where("slot_hit").drop("slot_hit")
+    return train(some.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").select("text"), order)
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: float = 0.2, margin: float = 2.0) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: float = 0.2, margin: float = 2.0, order: int = ORDER) -> DataFrame:
     """``row`` (all columns of a document) and ``verdict``: perplexity, its lower end, threshold, rejected.
 
     An empty or null text has no perplexity and is not rejected, nor is any text in a
     language that has no trusted document; a null lang is a language of its own.
-    Conflicting labels of a document make it untrusted. Repeated rows are scored alike.
-    An empty table gives an empty result.
+    Conflicting labels of a document make it untrusted. Very long texts are read in
+    pieces. Repeated rows are scored alike. Columns may have any names. An empty table
+    gives an empty result.
     """
-    model, thresholds = fit(docs, labels, quantile, slack, margin)
-    thresholds = materialise(thresholds, "quality-thresholds")
-    rows = docs.select(whole_row(docs)).withColumn("bits", bits_column(F.col("row.text"), model, margin))
-    low = F.nanvl(F.col("bits.low"), F.lit(None))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", whole_row(docs.drop("text")))
+    scored = materialise(surprisals(rows, fit(docs, labels, order), margin), "quality-scored")
+    known = scored.select("doc_id", "lang", "low").join(trusted_ids(labels), "doc_id", "left_semi").where("low is not null")
+    thresholds = materialise(known.groupBy(F.col("lang").alias("threshold_lang")).agg((F.percentile("low", F.lit(quantile)) + slack).alias("threshold")), "quality-thresholds")
     power = lambda c: F.pow(F.lit(2.0), c)
-    told = F.struct(power(F.nanvl(F.col("bits.mean"), F.lit(None))).alias("perplexity"), power(low).alias("perplexity_low"), power(F.col("threshold")).alias("threshold"), F.coalesce(low > F.col("threshold"), F.lit(False)).alias("rejected"))
-    return rows.join(thresholds, F.col("row.lang").eqNullSafe(F.col("threshold_lang")), "left").select("row", told.alias("verdict"))
+    told = F.struct(power("mean").alias("perplexity"), power("low").alias("perplexity_low"), power("threshold").alias("threshold"), F.coalesce(F.col("low") > F.col("threshold"), F.lit(False)).alias("rejected"))
+    back = F.struct(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]).alias("row")
+    return scored.join(thresholds, F.col("lang").eqNullSafe(F.col("threshold_lang")), "left").select(back, told.alias("verdict"))
 
 
-def report(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: float = 0.2, margin: float = 2.0) -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: float = 0.2, margin: float = 2.0, order: int = ORDER) -> DataFrame:
     """``doc_id, lang, perplexity, perplexity_low, threshold, rejected`` for each row of ``docs``."""
-    return judged(docs.select("doc_id", "text", "lang"), labels, quantile, slack, margin).select("row.doc_id", "row.lang", "verdict.*")
+    return judged(docs.select("doc_id", "text", "lang"), labels, quantile, slack, margin, order).select("row.doc_id", "row.lang", "verdict.*")
 
 
-def accept(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: float = 0.2, margin: float = 2.0) -> DataFrame:
+def accept(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: float = 0.2, margin: float = 2.0, order: int = ORDER) -> DataFrame:
     """``docs`` without those rejected; all columns stay, whatever their names."""
-    return judged(docs, labels, quantile, slack, margin).where("not verdict.rejected").select("row.*")
+    return judged(docs, labels, quantile, slack, margin, order).where("not verdict.rejected").select("row.*")

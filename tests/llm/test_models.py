@@ -8,69 +8,79 @@ from pyspark.sql import functions as F
 from terraflux.llm import quality, toxicity
 
 
-def slow_symbols(text):
-    """The symbols, word by word."""
-    x = [int(quality.symbols()[ord(c)]) for c in text]
-    word = before = ""
-    for k, c in enumerate(text + " "):
-        if k < len(text) and not (quality.SPACE <= quality.symbols()[ord(c)] <= quality.BLANK):
-            if not word:
-                begin = k
-            word += c
-        elif word:
-            if word == before:
-                x[begin - 1] = quality.REPEAT
-            before, word = word, ""
-    return x
-
-
-@pytest.mark.parametrize("text", ["", "a", " a", "the the cat", "a a a b b", "  x  x ", "On no No no", "é é\tÉ 漢字 漢字 1 11", "end end"])
-def test_symbols(text):
-    assert quality.encoded(text).tolist() == slow_symbols(text) if text else list(quality.grams(text)) == []
-
-
-def brute_probabilities(texts):
-    """Interpolated modified Kneser-Ney of order four with dictionaries."""
+def brute_model(texts, order=quality.ORDER):
+    """Interpolated modified Kneser-Ney with dictionaries: the probability of a gram."""
     from collections import Counter
 
     top = Counter()
     for t in texts:
-        x = [quality.START] * 3 + slow_symbols(t)
-        top.update(tuple(x[i : i + 4]) for i in range(len(x) - 3))
-    orders = {4: top}
-    for n in (3, 2, 1):
-        orders[n] = Counter(g[1:] for g in orders[n + 1])
-    cuts = {n: quality.discounts(*(sum(v == k for v in c.values()) for k in (1, 2, 3, 4))) for n, c in orders.items()}
+        x = quality.START * (order - 1) + t
+        top.update(x[i : i + order] for i in range(len(t)))
+    counts = {order: top}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cuts = {n: quality.discounts(*(sum(v == k for v in c.values()) for k in (1, 2, 3, 4))) for n, c in counts.items()}
+    after = {n: {} for n in counts}
+    for n, c in counts.items():
+        for g, v in c.items():
+            after[n].setdefault(g[:-1], []).append(v)
 
     def p(gram):
         if not gram:
-            return 1 / 64
-        n, c, d = len(gram), orders[len(gram)], cuts[len(gram)]
-        of = {s: c[(*gram[:-1], s)] for s in range(64) if c.get((*gram[:-1], s))}
-        total = sum(of.values())
-        if not total:
+            return 1 / (len(counts[1]) + 1)
+        n, d = len(gram), cuts[len(gram)]
+        of = after[n].get(gram[:-1])
+        if not of:
             return p(gram[1:])
         cut = lambda v: d[min(v, 3) - 1] if v else 0.0
-        v = of.get(gram[-1], 0)
-        return (max(v - cut(v), 0) + sum(map(cut, of.values())) * p(gram[1:])) / total
+        v = counts[n].get(gram, 0)
+        return (max(v - cut(v), 0) + sum(map(cut, of)) * p(gram[1:])) / sum(of)
 
     return p
 
 
+def brute_low(p, text, margin=2.0, order=quality.ORDER):
+    x = quality.START * (order - 1) + text
+    s = np.array([-math.log2(p(x[i : i + order])) for i in range(len(text))])
+    return round(max(0.0, s.mean() - margin * s.std() / len(s) ** 0.5), 6)
+
+
+TRUSTED = ["the cat sat on the mat. the the dog!", "a cat, a hat", "dogs and cats and hats and mats", "Кот сидел на ковре", "猫在垫子上", ""]
+
+
 def test_language_model_against_brute_force(spark):
-    texts = ["the cat sat on the mat. the the dog!", "a cat, a hat", "dogs and cats and hats and mats", ""]
-    table = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    p = brute_probabilities([t for t in texts if t])
-    for t in (*texts, "zebra xylophone |", "the the the"):
-        for code in [int(c) for g in quality.grams(t) for c in g]:
-            gram = tuple(code >> 6 * k & 63 for k in (3, 2, 1, 0))
-            assert table[code] == pytest.approx(-math.log2(p(gram)) * quality.STEP, abs=1.5)
+    model = quality.train(spark.createDataFrame([(t,) for t in [*TRUSTED, None]], "text string"))
+    p = brute_model(TRUSTED)
+    texts = [*TRUSTED, "zebra xylophone |", "the the the", "\x02odd", "Кот и 犬"]
+    grams = {x[i : i + 5] for t in texts for x in ["\x02" * 4 + t] for i in range(len(t))}
+    got = {r.gram: r.p for r in model.probabilities(spark.createDataFrame([(g,) for g in grams], "gram string")).collect()}
+    assert got == pytest.approx({g: p(g) for g in grams})
 
 
 def test_probabilities_sum_to_one(spark):
-    table = quality.train(spark.createDataFrame([("some words and some more words",)], "text string"))
-    rows = 2.0 ** (-table.reshape(-1, 64)[::4099] / quality.STEP)
-    assert rows.sum(axis=1) == pytest.approx(np.ones(len(rows)), abs=0.02)
+    text = "some words and some more words"
+    model = quality.train(spark.createDataFrame([(text,)], "text string"))
+    alphabet = [*sorted(set(text)), "?"]  # one symbol stands for all that were never seen
+    for context in ("some", " wor", "zzzz"):
+        rows = model.probabilities(spark.createDataFrame([(context + c,) for c in alphabet], "gram string")).collect()
+        assert sum(r.p for r in rows) == pytest.approx(1)
+
+
+def test_scores_and_thresholds_against_brute_force(spark, make, monkeypatch):
+    """Perplexities, thresholds and rejections, with texts that go over pieces, blocks and chunks."""
+    monkeypatch.setattr(quality, "PIECE", 40)
+    monkeypatch.setattr(quality, "BLOCK", 60)
+    monkeypatch.setattr(quality, "CHUNK", 150)
+    texts = {k: TRUSTED[k % 5] * (1 + k % 4) for k in range(24)} | {100: "%% ## @@ 99", 101: "猫猫猫 ## dog", 102: "the cat and the dog " * 30}
+    docs = make(list(texts.items()))
+    labels = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, quality int")
+    p = brute_model([texts[k] for k in range(20)])
+    lows = {k: brute_low(p, t) for k, t in texts.items()}
+    limit = float(np.quantile([lows[k] for k in range(20)], 0.998)) + 0.2
+    got = {r.doc_id: r for r in quality.report(docs, labels).collect()}
+    assert {k: math.log2(r.perplexity_low) for k, r in got.items()} == pytest.approx(lows, abs=1e-4)
+    assert math.log2(got[0].threshold) == pytest.approx(limit, abs=1e-4)
+    assert {k for k, r in got.items() if r.rejected} == {k for k, v in lows.items() if v > limit} != set()
 
 
 def test_quality_on_labels(spark):
