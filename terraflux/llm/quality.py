@@ -27,9 +27,11 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -39,6 +41,7 @@ from .common import materialise, slot_filter, whole_row
 ORDER, START = 5, "\x02"
 #: Characters of a chunk of documents, of text worked on at a time, and of one compressed block.
 CHUNK, PIECE, BLOCK = 1 << 25, 1 << 21, 1 << 21
+BLOCKS = "chunk long, part int, block binary"
 _MISSING = "the documents were not the same when read again; write them to a table first"
 
 
@@ -50,39 +53,87 @@ def _factors(order: int) -> np.ndarray:
 def _hashed(points: np.ndarray, order: int) -> np.ndarray:
     """A 64-bit hash of each run of ``order`` code points."""
     n = max(0, len(points) - order + 1)
-    h = np.zeros(n, np.uint64)
+    h, points = np.zeros(n, np.uint64), points.astype(np.uint64)
     for j, f in enumerate(_factors(order)):
-        h += points[j : n + j].astype(np.uint64) * f
+        h += points[j : n + j] * f
     return h
 
 
-def pieces(texts: Iterable[str | None], order: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts some ``size`` characters at a time: code points, n-gram hashes, where each n-gram begins, and its text's number.
+class Piece:
+    """Some characters of several texts: code points, the hashes of their n-grams, and whose they are.
 
-    A text longer than a piece goes on in the next one.
+    ``numbers`` and ``lengths`` are the texts' numbers and how many n-grams each has here.
     """
-    marks = START * (order - 1)
-    held, of, lengths, room = [], [], [], size
 
-    def out():
-        points = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
-        length = np.array(lengths)
-        begin = np.arange(length.sum()) + np.repeat(np.arange(len(length)) * (order - 1), length)
-        return points, _hashed(points, order)[begin], begin, np.repeat(np.array(of), length)
+    def __init__(self, held: list[str], numbers: list[int], lengths: list[int], order: int):
+        self.order, self.numbers, self.lengths = order, np.array(numbers), np.array(lengths)
+        self.points = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
+        h = _hashed(self.points, order)
+        self.last = np.cumsum(self.lengths)
+        own = np.ones(len(h), bool)  # a run that reaches into the next text is no n-gram
+        for j in range(order - 1):
+            own[(self.last + np.arange(len(self.last)) * (order - 1))[:-1] + j] = False
+        self.hashes = h[own]
+
+    def grams(self, which: np.ndarray) -> np.ndarray:
+        """The code points of the n-grams with these numbers, a row each."""
+        begin = which + np.searchsorted(self.last, which, "right") * (self.order - 1)
+        return self.points[begin[:, None] + np.arange(self.order)]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The sum over each text's n-grams."""
+        return np.add.reduceat(values, self.last - self.lengths)
+
 
+def pieces(texts: Iterable[str | None], order: int, size: int) -> Iterator[Piece]:
+    """Texts some ``size`` characters at a time; a longer text goes on in the next piece."""
+    marks = START * (order - 1)
+    held, numbers, lengths, room = [], [], [], size
     for number, text in enumerate(texts):
         at = 0
         while at < len(text or ""):
             part = text[at : at + room]
-            held.append((marks if not at else (marks + text[max(0, at - order + 1) : at])[1 - order :] if order > 1 else "") + part)
-            of.append(number)
+            held.append(((marks + text[max(0, at - order + 1) : at])[len(marks) and -len(marks) :] if marks else "") + part)
+            numbers.append(number)
             lengths.append(len(part))
             at, room = at + len(part), room - len(part)
             if not room:
-                yield out()
-                held, of, lengths, room = [], [], [], size
+                yield Piece(held, numbers, lengths, order)
+                held, numbers, lengths, room = [], [], [], size
     if held:
-        yield out()
+        yield Piece(held, numbers, lengths, order)
+
+
+class Table:
+    """Distinct hashes in order, found by their upper bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(8, len(keys).bit_length() + 1))
+        self.start = np.searchsorted(keys >> self.shift, np.arange((1 << int(64 - self.shift)) + 1, dtype=np.uint64))
+        self.padded = np.append(keys, np.uint64(0))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 for those that are not there."""
+        slot = (h >> self.shift).astype(np.int64)
+        at = self.start[slot]
+        rest = np.flatnonzero(self.padded[at] != h)
+        end = self.start[slot[rest] + 1]
+        h, place = h[rest], at[rest]
+        missing = np.zeros(len(rest), bool)
+        while len(live := np.flatnonzero(~missing)):
+            place[live] += 1
+            gone = place[live] >= end[live]
+            missing[live[gone]] = True
+            live = live[~gone]
+            same = self.padded[place[live]] == h[live]
+            at[rest[live[same]]] = place[live[same]]
+            keep = np.ones(len(rest), bool)
+            keep[live[same]] = False
+            at[rest[missing]] = -1
+            keep &= ~missing
+            rest, end, h, place, missing = rest[keep], end[keep], h[keep], place[keep], missing[keep]
+        return at
 
 
 class Grams:
@@ -90,25 +141,23 @@ class Grams:
 
     def __init__(self, order: int, piece: int):
         self.order, self.piece = order, piece
-        self.keys, self.counts, self.points = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, order), np.uint32)
+        self.counts, self.points = np.zeros(0, np.int64), np.zeros((0, order), np.uint32)
+        self.table = Table(np.zeros(0, np.uint64))
 
     def add(self, texts: Iterable[str | None]) -> None:
-        for points, h, begin, _ in pieces(texts, self.order, self.piece):
-            keys, first, count = np.unique(h, return_index=True, return_counts=True)
-            at = np.searchsorted(self.keys, keys)
-            old = np.zeros(len(keys), bool)
-            if len(self.keys):
-                old = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-            self.counts[at[old]] += count[old]
-            new = ~old
-            if new.any():
-                grams = points[begin[first[new]][:, None] + np.arange(self.order)]
-                order = np.argsort(both := np.concatenate([self.keys, keys[new]]), kind="stable")
-                self.keys, self.counts = both[order], np.concatenate([self.counts, count[new]])[order]
-                self.points = np.concatenate([self.points, grams])[order]
+        for piece in pieces(texts, self.order, self.piece):
+            at = self.table.find(piece.hashes)
+            self.counts += np.bincount(at[at >= 0], minlength=len(self.counts))
+            unknown = np.flatnonzero(at < 0)
+            if len(unknown):
+                keys, first, count = np.unique(piece.hashes[unknown], return_index=True, return_counts=True)
+                both = np.concatenate([self.table.keys, keys])
+                order = np.argsort(both, kind="stable")
+                self.table, self.counts = Table(both[order]), np.concatenate([self.counts, count])[order]
+                self.points = np.concatenate([self.points, piece.grams(unknown[first])])[order]
 
     def rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(self.keys), 1 << 16):
+        for at in range(0, len(self.points), 1 << 16):
             part = self.points[at : at + (1 << 16)]
             joined, n = part.astype("<u4").tobytes().decode("utf-32-le"), self.order
             grams = pa.array([joined[i : i + n] for i in range(0, len(joined), n)], pa.string())
@@ -144,12 +193,20 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
                     yield from grams.rows(_chunk(batch, serial))
                     serial, size, grams = serial + 1, 0, Grams(order, piece)
         grams.add(held)
-        if batch is not None and len(grams.keys):
+        if batch is not None and len(grams.points):
             yield from grams.rows(_chunk(batch, serial))
 
     return _numbered(texts).mapInArrow(scan, "chunk long, gram string, n long")
 
 
+def _block(chunk: int, part: int, rows: pa.RecordBatch) -> pa.RecordBatch:
+    """One row, ``chunk, part, block``, that holds rows in compressed form."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+        out.write_batch(rows)
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "part", "block"])
+
+
 def _blocks(docs: DataFrame, text: str) -> DataFrame:
     """``chunk, part, block``: the rows themselves, compressed, by the chunks that ``gram_counts`` makes of their texts."""
     column, most, room = docs.columns.index(text) + 1, CHUNK, BLOCK
@@ -158,12 +215,7 @@ def _blocks(docs: DataFrame, text: str) -> DataFrame:
         serial = size = part = 0
 
         def put(rows: pa.RecordBatch) -> pa.RecordBatch:
-            at = _chunk(rows, serial)
-            rows = rows.select([*range(1, rows.num_columns)])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(rows)
-            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "part", "block"])
+            return _block(_chunk(rows, serial), part, rows.select([*range(1, rows.num_columns)]))
 
         for batch in batches:
             lengths = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
@@ -179,7 +231,7 @@ def _blocks(docs: DataFrame, text: str) -> DataFrame:
                 yield put(batch.slice(begin))
                 part += 1
 
-    return _numbered(docs).mapInArrow(scan, "chunk long, part int, block binary")
+    return _numbered(docs).mapInArrow(scan, BLOCKS)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -230,26 +282,29 @@ class Model:
             self.seen[k] = below = materialise(p, "quality-seen")
 
     def probabilities(self, grams: DataFrame) -> DataFrame:
-        """``gram, p`` of distinct ``gram``, seen or not.
+        """``gram, p`` of distinct ``gram``, seen or not."""
+        rows = grams.join(self.seen[self.order], "gram", "left")
+        unseen = materialise(rows.where("p is null").select("gram"), "quality-unseen")
+        return rows.where("p is not null").unionByName(self.unseen(unseen))
+
+    def unseen(self, grams: DataFrame) -> DataFrame:
+        """``gram, p`` of distinct ``gram`` that were not seen in training.
 
-        A gram that was not seen has the weight its context leaves (1 for an unseen context)
-        times the probability of the gram without its first symbol.
+        Such a gram has the weight its context leaves (1 for an unseen context) times the
+        probability of the gram without its first symbol, which may be unseen in turn.
         """
-        asked = {self.order: grams}
+        asked, seen = {self.order: grams}, {}
         for k in range(self.order - 1, 0, -1):
-            asked[k] = materialise(asked[k + 1].select(F.substring("gram", 2, k).alias("gram")).distinct(), "quality-asked")
-        told = None
-        for k in range(1, self.order + 1):
-            seen = self.seen[k].select("gram", F.col("p").alias("own"))
-            rows = asked[k].join(seen, "gram", "left")
-            if k == 1:
-                told = rows.select("gram", F.coalesce("own", F.lit(self.rest)).alias("p"))
-                continue
+            lower = asked[k + 1].select(F.substring("gram", 2, k).alias("gram")).distinct()
+            rows = materialise(lower.join(self.seen[k], "gram", "left"), "quality-asked")
+            seen[k], asked[k] = rows.where("p is not null"), rows.where("p is null").select("gram")
+        told = seen[1].unionByName(asked[1].withColumn("p", F.lit(self.rest)))
+        for k in range(2, self.order + 1):
             lower = told.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-            rows = rows.select("gram", "own", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
+            rows = asked[k].select("gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("suffix"))
             rows = rows.join(self.spare[k], "context", "left").join(lower, "suffix")
-            told = rows.select("gram", F.coalesce("own", F.coalesce("weight", F.lit(1.0)) * F.col("lower")).alias("p"))
-            told = materialise(told, "quality-told")
+            found = rows.select("gram", (F.coalesce("weight", F.lit(1.0)) * F.col("lower")).alias("p"))
+            told = materialise(found if k == self.order else seen[k].unionByName(found), "quality-told")
         return told
 
 
@@ -265,34 +320,59 @@ def surprisals(docs: DataFrame, model: Model, margin: float, text: str = "text")
     times, rows in the same partitions, as a table is; else this raises.
     """
     order, piece = model.order, PIECE
-    asked = materialise(gram_counts(docs.select(text), order).select("chunk", "gram"), "quality-requests")
-    told = model.probabilities(materialise(asked.select("gram").distinct(), "quality-distinct"))
-    answers = asked.join(told, "gram").select("chunk", F.lit(-1).alias("part"), "gram", (-F.log2("p")).cast("float").alias("bits"), F.lit(None).cast("binary").alias("block"))
-    blocks = _blocks(docs, text).select("chunk", "part", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("float").alias("bits"), "block")
-    met = answers.unionByName(blocks).repartition("chunk").sortWithinPartitions("chunk", "part")
+    requests = gram_counts(docs.select(text), order).select("gram", "chunk", F.lit(None).cast("double").alias("p"))
+    both = requests.unionByName(model.seen[order].select("gram", F.lit(None).cast("long").alias("chunk"), "p"))
+    # A common gram is asked for by every chunk: its chunks are listed a bounded number at a time.
+    listed = both.groupBy("gram", F.shiftrightunsigned("chunk", 36).alias("some")).agg(F.collect_list("chunk").alias("chunks"), F.max("p").alias("p"))
+    found = Window.partitionBy("gram")
+    listed = materialise(listed.withColumn("p", F.max("p").over(found)).where("size(chunks) > 0").select("gram", "chunks", "p"), "quality-requests")
+    unseen = listed.where("p is null")
+    told = listed.where("p is not null").unionByName(unseen.drop("p").join(model.unseen(materialise(unseen.select("gram").distinct(), "quality-unseen")), "gram"))
+    answers = told.select(F.explode("chunks").alias("chunk"), "gram", (-F.log2("p")).cast("float").alias("bits"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).sort_by([("chunk", "ascending"), ("gram", "ascending")]).combine_chunks()
+            chunk = rows.column(0).to_numpy()
+            edges = np.flatnonzero(chunk[1:] != chunk[:-1]) + 1
+            for a, b in zip([0, *edges], [*edges, len(chunk)], strict=True):
+                yield _block(int(chunk[a]), -1, rows.slice(a, b - a).select(["gram", "bits"]).combine_chunks().to_batches()[0])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 1 << 21:
+                yield from out()
+                held, size = [], 0
+        if size:
+            yield from out()
+
+    met = answers.mapInArrow(packed, BLOCKS).unionByName(_blocks(docs, text)).repartition("chunk").sortWithinPartitions("chunk", "part")
     schema = StructType([*docs.schema.fields, StructField("mean", DoubleType()), StructField("low", DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, waiting, keys, bits = None, [], None, None
+        current, waiting, table, bits = None, [], None, None
 
-        def table() -> tuple[np.ndarray, np.ndarray]:
-            grams, values = [x.column(0).to_pylist() for x in waiting], [x.column(1).to_numpy() for x in waiting]
-            points = np.frombuffer("".join("".join(g) for g in grams).encode("utf-32-le"), np.uint32).reshape(-1, order)
+        def known() -> tuple[Table, np.ndarray]:
+            rows = [x for block in waiting for x in pa.ipc.open_stream(block)]
+            points = np.frombuffer("".join("".join(x.column(0).to_pylist()) for x in rows).encode("utf-32-le"), np.uint32).reshape(-1, order)
             h = (points.astype(np.uint64) * _factors(order)).sum(axis=1, dtype=np.uint64)
             at = np.argsort(h)
-            return h[at], np.concatenate([*values, np.zeros(0, np.float32)])[at].astype(np.float64)
+            return Table(h[at]), np.concatenate([*(x.column(1).to_numpy() for x in rows), np.zeros(0, np.float32)])[at].astype(np.float64)
 
         def scored(block: bytes) -> Iterator[pa.RecordBatch]:
             for rows in pa.ipc.open_stream(block):
                 texts = rows.column(rows.schema.get_field_index(text)).to_pylist()
                 sums = np.zeros((3, len(texts)))
-                for _, h, _, of in pieces(texts, order, piece):
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    if not len(keys) or (keys[at] != h).any():
+                for x in pieces(texts, order, piece):
+                    at = table.find(x.hashes)
+                    if (at < 0).any():
                         raise RuntimeError(_MISSING)
                     s = bits[at]
-                    for i, x in enumerate((None, s, s * s)):
-                        sums[i] += np.bincount(of, weights=x, minlength=len(texts))
+                    for total, own in zip(sums, (x.lengths, x.sums(s), x.sums(s * s)), strict=True):
+                        total[x.numbers] += own
                 n, total, squares = sums
                 some = n > 0
                 mean = total / np.maximum(n, 1)
@@ -302,21 +382,16 @@ def surprisals(docs: DataFrame, model: Model, margin: float, text: str = "text")
                 yield pa.RecordBatch.from_arrays([*rows.columns, *more], names=[f.name for f in schema])
 
         for batch in batches:
-            chunk, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero((chunk[1:] != chunk[:-1]) | (part[1:] != part[:-1])) + 1
-            for a, b in zip([0, *edges], [*edges, len(chunk)], strict=True):
-                if a == b:
-                    continue
-                if chunk[a] != current:
-                    current, waiting, keys = chunk[a], [], None
-                if part[a] < 0:
-                    waiting.append(batch.select([2, 3]).slice(a, b - a))
+            for chunk, part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if chunk != current:
+                    current, waiting, table = chunk, [], None
+                if part < 0:
+                    waiting.append(block.as_py())
                     continue
-                if keys is None:
-                    keys, bits = table()
+                if table is None:
+                    table, bits = known()
                     waiting = []
-                for i in range(a, b):
-                    yield from scored(batch.column(4)[i].as_py())
+                yield from scored(block.as_py())
 
     return met.mapInArrow(score, schema)
 
@@ -328,35 +403,50 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Model:
     """The model of all trusted documents of ``docs(doc_id, text)``."""
+    @F.pandas_udf("binary")
+    def small(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        press = zstandard.ZstdCompressor(level=3)
+        for x in texts:
+            yield pd.Series([None if t is None else press.compress(t.encode()) for t in x], dtype=object)
+
+    @F.pandas_udf("string")
+    def whole(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        press = zstandard.ZstdDecompressor()
+        for x in blocks:
+            yield pd.Series([None if b is None else press.decompress(b).decode() for b in x], dtype=object)
+
     trusted = trusted_ids(labels)
     some = slot_filter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", trusted).where("slot_hit").drop("slot_hit")
-    return train(some.join(trusted.hint("shuffle_hash"), "doc_id", "left_semi").select("text"), order)
+    met = some.select("doc_id", small("text").alias("block")).join(trusted.hint("shuffle_hash"), "doc_id", "left_semi")
+    return train(met.select(whole("block").alias("text")), order)
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: float = 0.2, margin: float = 2.0, order: int = ORDER) -> DataFrame:
-    """``row`` (all columns of a document) and ``verdict``: perplexity, its lower end, threshold, rejected.
-
-    An empty or null text has no perplexity and is not rejected, nor is any text in a
-    language that has no trusted document; a null lang is a language of its own.
-    Conflicting labels of a document make it untrusted. Very long texts are read in
-    pieces. Repeated rows are scored alike. Columns may have any names. An empty table
-    gives an empty result.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", whole_row(docs.drop("text")))
-    scored = materialise(surprisals(rows, fit(docs, labels, order), margin), "quality-scored")
+def told(scored: DataFrame, labels: DataFrame, quantile: float, slack: float) -> DataFrame:
+    """``scored`` (with ``doc_id, lang, mean, low``) and ``verdict``: perplexity, its lower end, threshold, rejected."""
     known = scored.select("doc_id", "lang", "low").join(trusted_ids(labels), "doc_id", "left_semi").where("low is not null")
     thresholds = materialise(known.groupBy(F.col("lang").alias("threshold_lang")).agg((F.percentile("low", F.lit(quantile)) + slack).alias("threshold")), "quality-thresholds")
     power = lambda c: F.pow(F.lit(2.0), c)
-    told = F.struct(power("mean").alias("perplexity"), power("low").alias("perplexity_low"), power("threshold").alias("threshold"), F.coalesce(F.col("low") > F.col("threshold"), F.lit(False)).alias("rejected"))
-    back = F.struct(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]).alias("row")
-    return scored.join(thresholds, F.col("lang").eqNullSafe(F.col("threshold_lang")), "left").select(back, told.alias("verdict"))
+    verdict = F.struct(power("mean").alias("perplexity"), power("low").alias("perplexity_low"), power("threshold").alias("threshold"), F.coalesce(F.col("low") > F.col("threshold"), F.lit(False)).alias("rejected"))
+    return scored.join(thresholds, F.col("lang").eqNullSafe(F.col("threshold_lang")), "left").withColumn("verdict", verdict)
 
 
 def report(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: float = 0.2, margin: float = 2.0, order: int = ORDER) -> DataFrame:
-    """``doc_id, lang, perplexity, perplexity_low, threshold, rejected`` for each row of ``docs``."""
-    return judged(docs.select("doc_id", "text", "lang"), labels, quantile, slack, margin, order).select("row.doc_id", "row.lang", "verdict.*")
+    """``doc_id, lang, perplexity, perplexity_low, threshold, rejected`` for each row of ``docs``.
+
+    An empty or null text has no perplexity and is not rejected, nor is any text in a
+    language that has no trusted document; a null lang is a language of its own.
+    Conflicting labels of a document make it untrusted. Very long texts are read in
+    pieces. Repeated rows are scored alike. Extra columns are ignored. An empty table
+    gives an empty result.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    scored = materialise(surprisals(rows, fit(docs, labels, order), margin).drop("text"), "quality-scored")
+    return told(scored, labels, quantile, slack).select("doc_id", "lang", "verdict.*")
 
 
 def accept(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: float = 0.2, margin: float = 2.0, order: int = ORDER) -> DataFrame:
-    """``docs`` without those rejected; all columns stay, whatever their names."""
-    return judged(docs, labels, quantile, slack, margin, order).where("not verdict.rejected").select("row.*")
+    """``docs`` without those that ``report`` rejects; all columns stay, whatever their names."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", whole_row(docs.drop("text")))
+    scored = materialise(surprisals(rows, fit(docs, labels, order), margin), "quality-scored")
+    back = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    return told(scored, labels, quantile, slack).where("not verdict.rejected").select(*back)
