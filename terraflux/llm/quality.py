@@ -39,8 +39,8 @@ from .common import materialise, slot_filter, whole_row
 
 #: Symbols of an n-gram, and the mark that stands before a text.
 ORDER, START = 5, "\x02"
-#: Characters of a chunk of documents, of text worked on at a time, and of one compressed block.
-CHUNK, PIECE, BLOCK = 1 << 25, 1 << 21, 1 << 21
+#: Characters of a chunk of documents, of text worked on at a time, and of one compressed block; answers of one block.
+CHUNK, PIECE, BLOCK, PACK = 1 << 25, 1 << 20, 1 << 20, 1 << 18
 BLOCKS = "chunk long, part int, block binary"
 _MISSING = "the documents were not the same when read again; write them to a table first"
 
@@ -319,7 +319,7 @@ def surprisals(docs: DataFrame, model: Model, margin: float, text: str = "text")
     Both are null for an empty text. ``docs`` is read twice and must be the same both
     times, rows in the same partitions, as a table is; else this raises.
     """
-    order, piece = model.order, PIECE
+    order, piece, pack = model.order, PIECE, PACK
     requests = gram_counts(docs.select(text), order).select("gram", "chunk", F.lit(None).cast("double").alias("p"))
     both = requests.unionByName(model.seen[order].select("gram", F.lit(None).cast("long").alias("chunk"), "p"))
     # A common gram is asked for by every chunk: its chunks are listed a bounded number at a time.
@@ -343,7 +343,7 @@ def surprisals(docs: DataFrame, model: Model, margin: float, text: str = "text")
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size >= 1 << 21:
+            if size >= pack:
                 yield from out()
                 held, size = [], 0
         if size:

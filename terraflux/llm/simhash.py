@@ -14,7 +14,7 @@ of its links, never all pairs; the forests are joined by ``common.components``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, islice, repeat
 
 import numpy as np
@@ -27,9 +27,9 @@ from .common import components, materialise, whole_row
 
 CHUNK = 1 << 15
 #: Node pairs expanded at a time; node pairs with at most this many leaf pairs are compared leaf by leaf.
-WIDTH, LEAVES = 1 << 18, 48
-#: The most fingerprints under one dealt node, and the depths to choose from.
-NODE_ROWS, CUTS = 1 << 18, (4, 6, 8, 10, 12)
+WIDTH, LEAVES = 1 << 17, 48
+#: The most fingerprints under one dealt node, and the depths to choose from, tried some at a time.
+NODE_ROWS, CUTS = 1 << 18, ((4, 6, 8, 10), (12, 14, 16), (20, 24), (28, 32))
 
 
 def simhash(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> int:
@@ -58,14 +58,21 @@ def fingerprint_column(text, words_per_shingle: int = 4, seed: int = 42):
     return fingerprint(text)
 
 
-def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least labels after joining a[i] with b[i]."""
+def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least labels after joining a[i] with b[i], and those of the links that joined two labels."""
+    links = []
     while True:
         x, y = label[a], label[b]
-        if not (open_ := x != y).any():
-            return label
+        open_ = x != y
+        if not open_.any():
+            return label, *(np.concatenate([a[:0], *(x[k] for x in links)]) for k in (0, 1))
         a, b, x, y = a[open_], b[open_], x[open_], y[open_]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        high, low = np.maximum(x, y), np.minimum(x, y)
+        label = label.copy()
+        np.minimum.at(label, high, low)
+        hooked = np.flatnonzero(low == label[high])
+        first = hooked[np.unique(high[hooked], return_index=True)[1]]
+        links.append((a[first], b[first]))
         while True:
             up = label[label]
             if (up == label).all():
@@ -73,26 +80,29 @@ def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def trie_forest(left: np.ndarray, right: np.ndarray | None, depth: int, apart: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within ``errors`` bits, as pairs of fingerprints.
+def trie_join(leaf: np.ndarray, label: np.ndarray, left: int | None, depth: int, apart: int, budgets: list[int], allowed: Callable[[int, int], int], every: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of the leaves of a binary trie, as pairs of positions, some at a time.
 
-    ``left`` and ``right`` are the leaves (uint64, distinct, any order) below two nodes at
-    ``depth`` whose prefixes differ in ``apart`` bits; ``right`` None joins a node with
-    itself. Links are sought with growing budgets, and a node pair whose leaves already
-    hang together is pruned, so a dense ball of near copies does not cost its pairs.
+    ``leaf`` (uint64) holds the leaves below two nodes at ``depth`` whose prefixes differ in
+    ``apart`` bits, each node's sorted, ``left`` of them below the first node; None joins
+    one node with itself. Node pairs are traversed together and dropped once their bits
+    differ by more than ``allowed(depth, budget)``. Leaves under one label hang together
+    already, and a node pair of which this is true of all leaves is pruned.
+
+    ``every`` False: a spanning forest of the links between labels, sought with growing
+    budgets so that a dense ball of near copies does not cost its pairs. True: all links
+    between leaves under different labels, for the last budget.
     """
-    left = np.sort(left)
-    n = len(left)
-    leaf = left if right is None else np.concatenate([left, np.sort(right)])
-    label = np.arange(len(leaf))
-    if not n or len(leaf) == n and right is not None:
-        return leaf[:0], leaf[:0]
-    for budget in sorted({e for e in (1, 2, errors) if apart <= e <= errors} | {errors}):
-        half = budget // 2
-        if apart > half:
+    n = len(leaf) if left is None else left
+    label = np.unique(label, return_index=True, return_inverse=True)
+    label = label[1][label[2]].astype(np.int64)  # the first leaf under the same label
+    if not n or left == len(leaf):
+        return
+    for budget in budgets[-1:] if every else budgets:
+        if apart > allowed(depth, budget):
             continue
         seam = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
-        start = np.array([[0, n, 0, n, apart] if right is None else [0, n, n, len(leaf), apart]], np.int64)
+        start = np.array([[0, n, 0, n, apart] if left is None else [0, n, n, len(leaf), apart]], np.int64)
         stack, found = [(depth, start)], []
         while stack:
             at, pairs = stack.pop()
@@ -102,33 +112,65 @@ def trie_forest(left: np.ndarray, right: np.ndarray | None, depth: int, apart: i
             a0, a1, b0, b1, d = pairs.T
             whole = (seam[a1 - 1] == seam[a0]) & (seam[b1 - 1] == seam[b0]) & (label[a0] == label[b0])
             few = ~whole & (((a1 - a0) * (b1 - b0) <= LEAVES) | (at == 64))
-            if few.any():
-                x0, x1, y0, y1 = a0[few], a1[few], b0[few], b1[few]
-                wide = y1 - y0
-                count = (x1 - x0) * wide
+            for x in _blocks(pairs[few]):
+                a0, a1, b0, b1, d = x.T
+                wide = b1 - b0
+                count = (a1 - a0) * wide
                 of = np.repeat(np.arange(len(count)), count)
                 k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                i, j = x0[of] + k // wide[of], y0[of] + k % wide[of]
-                near = (np.bitwise_count(leaf[i] ^ leaf[j]) <= budget) & (i < j)
-                found.append((i[near], j[near]))
+                i, j = a0[of] + k // wide[of], b0[of] + k % wide[of]
+                near = (i < j) & (label[i] != label[j])
+                i, j = i[near], j[near]
+                near = np.bitwise_count(leaf[i] ^ leaf[j]) <= budget
+                if every and near.any():
+                    yield i[near], j[near]
+                elif near.any():
+                    found.append((i[near], j[near]))
+                    if sum(len(x) for x, _ in found) > WIDTH:
+                        label, *links = _settle(label, *map(np.concatenate, zip(*found, strict=True)))
+                        yield tuple(links)
+                        seam, found = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])]), []
             pairs = pairs[~whole & ~few]
             if not len(pairs) or at == 64:
                 continue
             a0, a1, b0, b1, d = pairs.T
             bit = np.uint64(1 << (63 - at))
             above = np.uint64((0xFFFFFFFFFFFFFFFF << (64 - at)) & 0xFFFFFFFFFFFFFFFF)
-            am, bm = _middle(leaf, a0, a1, bit, above, n, right is None), _middle(leaf, b0, b1, bit, above, n, right is None)
+            am, bm = _middle(leaf, a0, a1, bit, above, n, left is None), _middle(leaf, b0, b1, bit, above, n, left is None)
             own = (a0 == b0) & (a1 == b1)
             children = [(a0, am, b0, bm, d), (am, a1, bm, b1, d), (a0, am, bm, b1, d + 1)]
             children = [np.stack(x, 1) for x in children] + [np.stack((am, a1, b0, bm, d + 1), 1)[~own]]
             down = np.concatenate(children)
-            down = down[(down[:, 0] < down[:, 1]) & (down[:, 2] < down[:, 3]) & (down[:, 4] <= (half if at < 32 else budget))]
+            down = down[(down[:, 0] < down[:, 1]) & (down[:, 2] < down[:, 3]) & (down[:, 4] <= allowed(at, budget))]
             if len(down):
                 stack.append((at + 1, down))
         if found:
-            label = _settle(label, np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
-    moved = np.flatnonzero(label != np.arange(len(leaf)))
-    return leaf[moved], leaf[label[moved]]
+            label, *links = _settle(label, *map(np.concatenate, zip(*found, strict=True)))
+            yield tuple(links)
+
+
+def _blocks(pairs: np.ndarray) -> Iterator[np.ndarray]:
+    """Node pairs, some at a time: about WIDTH leaf pairs, or one node pair."""
+    total = np.cumsum((pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]))
+    at = 0
+    while at < len(pairs):
+        before = total[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(total, before + WIDTH, "right")))
+        yield pairs[at:stop]
+        at = stop
+
+
+def trie_forest(left: np.ndarray, right: np.ndarray | None, depth: int, apart: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within ``errors`` bits, as pairs of fingerprints.
+
+    ``left`` and ``right`` are the leaves (uint64, distinct, any order) below two nodes at
+    ``depth`` whose prefixes differ in ``apart`` bits; ``right`` None joins a node with itself.
+    """
+    leaf = np.sort(left) if right is None else np.concatenate([np.sort(left), np.sort(right)])
+    budgets = sorted({e for e in (1, 2, errors) if apart <= e <= errors} | {errors})
+    found = [*trie_join(leaf, np.arange(len(leaf)), None if right is None else len(left), depth, apart, budgets, lambda at, budget: budget // 2 if at < 32 else budget)]
+    a, b = (np.concatenate([leaf[:0], *(leaf[x[k]] for x in found)]) for k in (0, 1))
+    return b, a
 
 
 def _middle(leaf, lo, hi, bit, above, n, one_side):
@@ -149,11 +191,7 @@ def links(fingerprints: DataFrame, errors: int = 4) -> DataFrame:
     half = errors // 2
     turned = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
     tries = fingerprints.select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("fp").alias("v")), F.struct(F.lit(1).alias("turn"), turned.alias("v")))).alias("x")).select("x.*")
-    deepest = CUTS[-1]
-    node = F.shiftrightunsigned("v", 64 - deepest)
-    sizes = tries.groupBy("turn", node.alias("node")).count()  # at most 2 * 2**12 rows
-    most = sizes.agg(*[_largest(c, deepest).alias(f"m{c}") for c in CUTS]).first()
-    cut = next((c for c in CUTS if (most[f"m{c}"] or 0) <= NODE_ROWS), deepest)
+    cut = next((c for cuts in CUTS for c, most in _largest(tries, cuts) if most <= NODE_ROWS), CUTS[-1][-1])
     masks = [sum(1 << b for b in bits) for e in range(half + 1) for bits in combinations(range(cut), e)]
     prefix = F.shiftrightunsigned("v", 64 - cut)
     dealt = (
@@ -176,9 +214,11 @@ def links(fingerprints: DataFrame, errors: int = 4) -> DataFrame:
     return dealt.groupBy("turn", "low", "mask").applyInPandas(join, "a long, b long")
 
 
-def _largest(cut: int, deepest: int):
-    """The most rows under a node at depth ``cut``, an upper bound from the deepest nodes."""
-    return F.max("count") * F.lit(1 << (deepest - cut)) if cut < deepest else F.max("count")
+def _largest(tries: DataFrame, cuts: tuple[int, ...]) -> list[tuple[int, int]]:
+    """The most rows under one node at each depth."""
+    prefix = F.expr("shiftrightunsigned(v, 64 - cut)")
+    nodes = tries.withColumn("cut", F.explode(F.array(*[F.lit(c) for c in cuts]))).groupBy("turn", "cut", prefix.alias("node")).count()
+    return sorted((r.cut, r.most) for r in nodes.groupBy("cut").agg(F.max("count").alias("most")).collect()) or [(cuts[0], 0)]
 
 
 def near_duplicates(docs: DataFrame, errors: int = 4, words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
