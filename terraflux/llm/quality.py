@@ -174,7 +174,7 @@ def _chunk(batch: pa.RecordBatch, serial: int) -> int:
 
 
 def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """``chunk, gram, n``: the distinct n-grams of each chunk of a table with one column, the text.
+    """``chunk, gram, n``: the distinct n-grams of each chunk of a table with one column, the text or that in zstandard form.
 
     A chunk is what a task reads, or as many rows of it as hold CHUNK characters.
     """
@@ -182,8 +182,11 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial, size, grams, held, waiting, batch = 0, 0, Grams(order, piece), [], 0, None
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(1):
+                text = text.as_py()
+                text = press.decompress(text).decode() if isinstance(text, bytes) else text
                 held.append(text)
                 size, waiting = size + len(text or ""), waiting + len(text or "")
                 if waiting >= piece or size >= most:
@@ -313,10 +316,10 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     return Model(gram_counts(texts, order).groupBy("gram").agg(F.sum("n").alias("n")), order)
 
 
-def surprisals(docs: DataFrame, model: Model, margin: float, text: str = "text") -> DataFrame:
+def surprisals(docs: DataFrame, model: Model, margin: float, text: str = "text", keep: bool = True) -> DataFrame:
     """``docs`` with ``mean`` and ``low`` (a column of each name must not be there): bits a character, and the lower confidence end.
 
-    Both are null for an empty text. ``docs`` is read twice and must be the same both
+    Both are null for an empty text. ``keep`` False leaves the text out of the result. ``docs`` is read twice and must be the same both
     times, rows in the same partitions, as a table is; else this raises.
     """
     order, piece, pack = model.order, PIECE, PACK
@@ -350,7 +353,8 @@ def surprisals(docs: DataFrame, model: Model, margin: float, text: str = "text")
             yield from out()
 
     met = answers.mapInArrow(packed, BLOCKS).unionByName(_blocks(docs, text)).repartition("chunk").sortWithinPartitions("chunk", "part")
-    schema = StructType([*docs.schema.fields, StructField("mean", DoubleType()), StructField("low", DoubleType())])
+    kept = [k for k, c in enumerate(docs.columns) if keep or c != text]
+    schema = StructType([*(docs.schema.fields[k] for k in kept), StructField("mean", DoubleType()), StructField("low", DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, waiting, table, bits = None, [], None, None
@@ -379,7 +383,7 @@ def surprisals(docs: DataFrame, model: Model, margin: float, text: str = "text")
                 sd = np.sqrt(np.maximum(0, squares / np.maximum(n, 1) - mean * mean))
                 low = np.round(np.maximum(0, mean - margin * sd / np.sqrt(np.maximum(n, 1))), 6)
                 more = [pa.array(x, pa.float64(), mask=~some) for x in (np.round(mean, 6), low)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *more], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in kept), *more], names=[f.name for f in schema])
 
         for batch in batches:
             for chunk, part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -409,16 +413,10 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Model:
         for x in texts:
             yield pd.Series([None if t is None else press.compress(t.encode()) for t in x], dtype=object)
 
-    @F.pandas_udf("string")
-    def whole(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        press = zstandard.ZstdDecompressor()
-        for x in blocks:
-            yield pd.Series([None if b is None else press.decompress(b).decode() for b in x], dtype=object)
-
     trusted = trusted_ids(labels)
     some = slot_filter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", trusted).where("slot_hit").drop("slot_hit")
     met = some.select("doc_id", small("text").alias("block")).join(trusted.hint("shuffle_hash"), "doc_id", "left_semi")
-    return train(met.select(whole("block").alias("text")), order)
+    return train(met.select("block"), order)
 
 
 def told(scored: DataFrame, labels: DataFrame, quantile: float, slack: float) -> DataFrame:
@@ -440,7 +438,7 @@ def report(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: f
     gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    scored = materialise(surprisals(rows, fit(docs, labels, order), margin).drop("text"), "quality-scored")
+    scored = materialise(surprisals(rows, fit(docs, labels, order), margin, keep=False), "quality-scored")
     return told(scored, labels, quantile, slack).select("doc_id", "lang", "verdict.*")
 
 

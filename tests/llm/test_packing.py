@@ -77,21 +77,39 @@ def test_edges(spark, make, library):
 def test_sum_of_squares_rule():
     """Each placement grows the sum of squared counts least, as by trying every level."""
     rng = np.random.default_rng(0)
-    capacity = 40
-    packer = packing.Packer(capacity)
-    sizes = rng.integers(1, capacity, 800).tolist()
-    for r in sizes:
-        count = packer.count.copy()
-
-        def grown(h, r=r, count=count):
-            after = count.copy()
-            after[h] -= h > 0
-            if h + r < capacity:
-                after[h + r] += 1
-            return int((after[1:capacity] ** 2).sum())
-
-        options = [h for h in range(capacity - r + 1) if h == 0 or count[h]]
-        chosen = packer.level(r)
-        assert chosen in options and grown(chosen) == min(map(grown, options))
-        packer.add("x", r)
-    assert packer.count @ (capacity - np.arange(capacity + 1)) < 0.1 * sum(sizes)
+    capacity, width = 160, 4
+    packer = packing.Packer(capacity, width)
+    sizes = rng.integers(1, capacity, 4000).tolist()
+    used = 0
+    for k, r in enumerate(sizes):
+        todo = (k, 0, r)
+        while todo:
+            _, _, r = todo
+            count, top = packer.count.copy(), packer.top.copy()
+
+            def grown(h, r=r, count=count, top=top):
+                after, fill = count.copy(), 0 if h is None else top[h]
+                if h is not None:
+                    after[h] -= 1
+                if fill + r < capacity:
+                    after[(fill + r) // width] += 1
+                return int((after**2).sum())
+
+            options = [None, *[h for h in range(len(count)) if count[h] and top[h] + r < capacity + width]]
+            chosen = packer.choose(r)
+            assert chosen in options and grown(chosen) == min(map(grown, options))
+            packer.cut = None
+            window = packer.add(*todo)
+            if window:
+                assert sum(n for _, _, n in window) == capacity
+                used += capacity
+            todo = packer.cut
+    assert used > 0.9 * sum(sizes)
+    assert sum(n for w in packer.rest() for _, _, n in w) == sum(sizes) - used
+
+
+def test_most_windows_are_closed_by_the_rule(spark):
+    """However many tasks read the documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(64)
+    tokens = {r.closed_by: r.n for r in packing.pack(docs).groupBy("closed_by").agg({"length": "sum"}).toDF("closed_by", "n").collect()}
+    assert tokens["rule"] >= 0.95 * (tokens["rule"] + tokens["rest"])
