@@ -12,7 +12,9 @@ to one. A cell's vectors, in pieces of about ``PIECE``, carry a tree of their ow
 small leaves. A query first searches its own cell, then every cell that the test does
 not rule out given what the first search found.
 
-Equal vectors are one point with its k + 1 smallest ids, more than any answer can use.
+Equal vectors are one point with its k + 1 smallest ids (repeated ones included), more than
+any answer can use. A query's slot bounds how many queries meet one piece in a task: a piece
+is copied once for each ``ASKED`` queries that are sent to it, and not for those sent elsewhere.
 """
 
 from __future__ import annotations
@@ -147,7 +149,7 @@ def points(vectors: DataFrame, id_column: str, vector_column: str, every: int, k
 
     own = vectors.select(F.col(id_column).cast("long"), F.col(vector_column).cast("array<double>")).mapInArrow(valid, "vec_id long, v array<double>")
     rows = materialise(own.select("vec_id", "v", F.xxhash64("v").alias("c1"), F.xxhash64(F.reverse("v")).alias("c2")), "neighbour-rows")
-    ids = rows.select("vec_id", "c1", "c2").distinct()
+    ids = rows.select("vec_id", "c1", "c2")
     first = Window.partitionBy("c1", "c2").orderBy("vec_id")
     some = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).groupBy("c1", "c2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     asked = ids.where(F.col("vec_id") % every == 0).groupBy("c1", "c2").agg(F.lit(True).alias("asked"))
@@ -161,8 +163,9 @@ def nearest(vectors: DataFrame, id_column: str, vector_column: str, every: int,
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but
     the query's own. Ties go to the smaller id. Rows with a null id, and vectors that are
     null, empty or zero or hold null or non-finite components take no part; vectors are
-    compared with those of as many dimensions. Rows that repeat both id and vector count
-    once. Fewer candidates give fewer rows, an empty table none. Extra columns are ignored.
+    compared with those of as many dimensions. Rows that repeat an id are rows of their
+    own, as queries and as candidates, whether their vectors are equal or not. Fewer
+    candidates give fewer rows, an empty table none. Extra columns are ignored.
     """
     ratio = stop_ratio(sure)
     classes, ids = points(vectors, id_column, vector_column, every, k)
@@ -202,8 +205,6 @@ def nearest(vectors: DataFrame, id_column: str, vector_column: str, every: int,
     boxes = {d: [r for r in cells if r.dims == d] for d in {r.dims for r in cells}}
     boxes = {d: (np.array([r.cell for r in rs]), np.array([[r[f"l{i}"] for i in range(PROJECTED)] for r in rs]), np.array([[r[f"h{i}"] for i in range(PROJECTED)] for r in rs]), np.array([r.pieces for r in rs])) for d, rs in boxes.items()}
     queries = placed.where("asked").select("c1", "c2", "dims", "v", "cell")
-    slots = max(1, -(-queries.count() // ASKED))
-
     def search(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(held):
@@ -215,8 +216,10 @@ def nearest(vectors: DataFrame, id_column: str, vector_column: str, every: int,
 
     def searched(asked: DataFrame) -> DataFrame:
         key = ["dims", "cell", "piece", "slot"]
-        left = asked.withColumn("slot", F.pmod("c2", F.lit(slots)).cast("int"))
-        right = dealt.select("dims", "cell", "piece", "c1", "c2", "v", "ids").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+        asked = materialise(asked, "neighbour-asked")
+        wanted = asked.groupBy("dims", "cell", "piece").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("slots"))
+        left = asked.join(wanted, key[:3]).withColumn("slot", F.pmod("c2", F.col("slots")).cast("int")).drop("slots")
+        right = dealt.select("dims", "cell", "piece", "c1", "c2", "v", "ids").join(wanted, key[:3]).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")
         left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # columns of their own
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "c1 long, c2 long, vec_id long, score double")
 
@@ -241,6 +244,10 @@ def nearest(vectors: DataFrame, id_column: str, vector_column: str, every: int,
 
     away = queries.join(known, ["c1", "c2"], "left").mapInPandas(abroad, "c1 long, c2 long, dims int, v array<double>, cell long, piece int, reach double")
     answers = kept(home.drop("n").unionByName(searched(away))).drop("n")
-    rows = ids.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id").join(answers, ["c1", "c2"]).where("vec_id <> query_id or score > 0")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "c1", "c2").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # A query's own row is among its answers at distance 0; one such row is left out. Repeated queries have equal answers.
+    rows = ids.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), "c1", "c2").agg(F.count("*").cast("int").alias("times"))
+    met = rows.join(answers, ["c1", "c2"]).withColumn("itself", (F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0))
+    same = Window.partitionBy("query_id", "c1", "c2")
+    met = met.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "c1", "c2", "itself").orderBy("score", "vec_id"))).where("not itself or n > 1")
+    ranked = met.withColumn("rank", F.row_number().over(same.orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    return ranked.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .vectors import matrices
 
-#: Rows of a stored slice set, slice sets worked on together, queries of a block, and the limit of a quantised value.
-ROWS, GROUP, QUERIES, LIMIT = 4096, 16, 64, 1 << 27
+#: Rows of a stored slice set, slice sets worked on together, queries of a block, blocks of queries that meet one group,
+#: and the limit of a quantised value (a score must fit a long).
+ROWS, GROUP, QUERIES, ASKED, LIMIT = 4096, 16, 64, 64, 1 << 62
 
 
 def slices(q: np.ndarray) -> np.ndarray:
     """Bit slices (dimension, digit, words of 64 rows) of a block (rows, dimensions) in two's complement."""
     digits = int(np.abs(q).max()).bit_length() + 1
-    u = (q & ((1 << digits) - 1)).astype(np.uint64)
+    u = q.view(np.uint64) & np.uint64((1 << digits) - 1)
     if pad := -len(u) % 64:
         u = np.vstack([u, np.zeros((pad, u.shape[1]), np.uint64)])
     bits = ((u.T[:, None, :] >> np.arange(digits, dtype=np.uint64)[None, :, None]) & np.uint64(1)).astype(np.uint8)
@@ -55,7 +56,7 @@ def added(cut: np.ndarray, query: np.ndarray) -> tuple[int, list[np.ndarray]]:
         rows = np.flatnonzero((size >> b) & 1)
         for j in range(digits):
             weight[b + j].append(rows * digits + j)
-    constant = -int(query.sum()) * (1 << (digits - 1)) - int(size[negative].sum()) * ((1 << digits) - 1)
+    constant = -sum(query.tolist()) * (1 << (digits - 1)) - sum(size[negative].tolist()) * ((1 << digits) - 1)
     flip = np.where(np.repeat(negative, digits), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
     out, carried = [], []
     w = 0
@@ -100,10 +101,10 @@ def select(sums: list[np.ndarray], live: np.ndarray, ids: np.ndarray, k: int) ->
         edge = edge[np.argsort(ids[edge], kind="stable")[: k - have]]
     rows = np.concatenate([first, edge])
     word, bit = rows // 64, (rows % 64).astype(np.uint64)
-    total = np.zeros(len(rows), np.int64)
+    total = np.zeros(len(rows), np.int64 if len(sums) < 62 else object)  # sums of more digits as Python's integers
     for w, plane in enumerate(sums):
-        total += ((plane[word] >> bit) & np.uint64(1)).astype(np.int64) << w
-    order = np.lexsort((ids[rows], -total))
+        total = total + ((plane[word] >> bit) & np.uint64(1)).astype(np.int64).astype(total.dtype) * (1 << w)
+    order = np.array(sorted(range(len(rows)), key=lambda i: (-total[i], ids[rows[i]])), np.int64)
     return rows[order], total[order]
 
 
@@ -122,15 +123,16 @@ def slice_sets(vectors: DataFrame, scale: float) -> DataFrame:
             nonlocal serial
             serial += 1
             cut = slices(q)
-            row = (serial, d, cut.shape[1], ids.astype("<i8").tobytes(), q.astype("<i4").tobytes(), cut.astype("<u8").tobytes())
+            row = (serial, d, cut.shape[1], ids.astype("<i8").tobytes(), q.astype("<i8").tobytes(), cut.astype("<u8").tobytes())
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=[x.split()[0] for x in SLICE_SET.split(", ")])
 
         for batch in batches:
             for ids, x in matrices(batch):
                 q = np.floor(scale * x)
-                ok = (np.abs(q) < LIMIT).all(axis=1)
-                d, q = x.shape[1], q[ok].astype(np.int64)
-                held[d].append((ids[ok], q))
+                if (np.abs(q) >= LIMIT).any():
+                    raise OverflowError(f"a component of {LIMIT / scale:g} or more: its scores don't fit a long")
+                d = x.shape[1]
+                held[d].append((ids, q.astype(np.int64)))
                 if sum(len(i) for i, _ in held[d]) >= ROWS:
                     ids, q = np.concatenate([i for i, _ in held[d]]), np.concatenate([x for _, x in held[d]])
                     full = len(ids) - len(ids) % ROWS
@@ -167,24 +169,25 @@ def top_k(vectors: DataFrame, id_column: str, vector_column: str, every: int, k:
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but
     the query's own. Fewer than k candidates give as many rows. Vectors that are null or
-    empty, that hold null or non-finite components or components of 2**27 / scale or more
-    (whose products would not fit a long), and rows with a null id take no part. Vectors
-    are compared with those of as many dimensions. Rows that repeat an id are rows of
-    their own; a repeated query has an answer for each row. Extra columns are ignored.
+    empty or hold null or non-finite components, and rows with a null id take no part.
+    Vectors are compared with those of as many dimensions. Rows that repeat an id are rows
+    of their own; a repeated query has an answer for each row. Sums are exact whatever
+    their size; a component of 2**62 / scale or more, and an answer that doesn't fit a
+    long, raise OverflowError. Extra columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     sets = materialise(slice_sets(vectors.select(F.col(id_column).cast("long"), F.col(vector_column).cast("array<double>")), scale), "topk-slices")
-    groups = max(1, -(-sets.count() // GROUP))
+    groups, block = max(1, -(-sets.count() // GROUP)), QUERIES
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for part, d, ids, rows in zip(b["part"], b["dims"], b["ids"], b["rows"], strict=True):
                 own = np.frombuffer(ids, "<i8")
                 which = np.flatnonzero(own % every == 0)
-                q = np.frombuffer(rows, "<i4").reshape(-1, d)[which]
-                for at in range(0, len(which), QUERIES):
-                    w = which[at : at + QUERIES]
-                    yield pd.DataFrame({"dims": [d], "query_ids": [own[w].astype("<i8").tobytes()], "query_rows": [((int(part) << 12) + w).astype("<i8").tobytes()], "query": [q[at : at + QUERIES].tobytes()]})
+                q = np.frombuffer(rows, "<i8").reshape(-1, d)[which]
+                for at in range(0, len(which), block):
+                    w = which[at : at + block]
+                    yield pd.DataFrame({"dims": [d], "query_ids": [own[w].astype("<i8").tobytes()], "query_rows": [((int(part) << 12) + w).astype("<i8").tobytes()], "query": [q[at : at + block].tobytes()]})
 
     asked = materialise(sets.select("part", "dims", "ids", "rows").mapInPandas(ask, "dims int, query_ids binary, query_rows binary, query binary"), "topk-queries")
 
@@ -194,20 +197,24 @@ def top_k(vectors: DataFrame, id_column: str, vector_column: str, every: int, k:
             ids, uid, cut, live = _merged(sorted(right.itertuples(), key=lambda s: s.part))
             for block in left.itertuples():
                 own, row = np.frombuffer(block.query_ids, "<i8"), np.frombuffer(block.query_rows, "<i8")
-                for i, query in enumerate(np.frombuffer(block.query, "<i4").reshape(len(own), -1).astype(np.int64)):
+                for i, query in enumerate(np.frombuffer(block.query, "<i8").reshape(len(own), -1)):
                     mask = live
                     if len(at := np.flatnonzero(uid == row[i])):
                         mask = live.copy()
                         mask[at // 64] &= ~(np.uint64(1) << (at % 64).astype(np.uint64))
                     constant, sums = added(cut, query)
                     found, total = select(sums, mask, ids, k)
-                    out.append((np.full(len(found), row[i]), np.full(len(found), own[i]), ids[found], total + constant))
+                    score = [int(x) + constant for x in total]
+                    if any(not -(1 << 63) <= x < 1 << 63 for x in score):
+                        raise OverflowError(f"a score of query {own[i]} doesn't fit a long")
+                    out.append((np.full(len(found), row[i]), np.full(len(found), own[i]), ids[found], np.array(score, np.int64)))
         names = ("query_row", "query_id", "vec_id", "score")
         return pd.DataFrame({c: np.concatenate([x[j] for x in out]) if out else np.empty(0, np.int64) for j, c in enumerate(names)})
 
     # The stated query set against all rows, in blocks: each block of queries meets each group of
-    # slice sets once. Where there are few groups, the blocks are dealt to several copies of each.
-    copies = max(1, 24 // groups)
+    # slice sets once. A group is copied for every ASKED blocks of queries, so that neither side of
+    # a piece of work grows with the table; where there are few groups, it is copied for the cores.
+    copies = max(1, 24 // groups, -(-asked.count() // ASKED))
     every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     left = asked.withColumn("number", every_group).withColumn("copy", F.pmod(F.xxhash64("query_rows"), F.lit(copies)).cast("int"))
     right = sets.drop("rows").withColumn("number", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))

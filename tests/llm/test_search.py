@@ -38,6 +38,30 @@ def test_top_k_against_brute_force(spark, seed, files):
     assert got == sorted(wanted)
 
 
+def test_top_k_in_small_blocks(spark, monkeypatch):
+    """Many groups and slots of queries give the same rows."""
+    rows = vectors(5, 400)
+    wanted = sorted(tuple(r) for r in topk.top_k(table(spark, rows), "vec_id", "embedding", 20, 5).collect())
+    for name in ("GROUP", "QUERIES", "ASKED"):
+        monkeypatch.setattr(topk, name, 2)
+    assert sorted(tuple(r) for r in topk.top_k(table(spark, rows).repartition(7), "vec_id", "embedding", 20, 5).collect()) == wanted
+
+
+def test_large_components_take_part(spark):
+    rows = [(0, [1.0, 0.5]), (1, [1e6, -3.0]), (2, [-1.0, 2.0]), (50, [6e5, 1e5]), (100, [1e8, 0.0]), (101, [2.0**20, 2.0**21])]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 50, 5).collect())
+    q = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    wanted = []
+    for i in (0, 50, 100):
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i)[:5]
+        wanted += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(wanted)
+    with pytest.raises(Exception, match="fit a long"):
+        topk.top_k(spark.createDataFrame([(50, [1e14]), (1, [1e14])], "vec_id long, embedding array<double>"), "vec_id", "embedding", 50, 5).collect()
+    with pytest.raises(Exception, match="fit a long"):
+        topk.top_k(spark.createDataFrame([(50, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>"), "vec_id", "embedding", 50, 5).collect()
+
+
 def test_bit_slices():
     rng = np.random.default_rng(0)
     for low, high in ((-256, 256), (0, 1), (-5, 0), (-(1 << 26), 1 << 26), (0, 0)):
@@ -58,18 +82,19 @@ def test_top_k_edges(spark):
 
 
 def nearest(rows, every, k):
-    rows = sorted({(i, tuple(v)) for i, v in usable(rows, False)})
+    rows = [(i, tuple(v)) for i, v in usable(rows, False)]
     out = {}
-    for i, v in rows:
+    for a, (i, v) in enumerate(rows):
         if i % every == 0:
-            near = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for j, w in rows if len(w) == len(v) and (j, w) != (i, v))[:k]
+            near = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for b, (j, w) in enumerate(rows) if len(w) == len(v) and a != b)[:k]
             out[i, v] = near
     return out
 
 
-@pytest.mark.parametrize("piece", [4096, 100])
-def test_neighbours_recall(spark, monkeypatch, piece):
+@pytest.mark.parametrize("piece, asked", [(4096, 1024), (100, 2)])
+def test_neighbours_recall(spark, monkeypatch, piece, asked):
     monkeypatch.setattr(neighbours, "PIECE", piece)
+    monkeypatch.setattr(neighbours, "ASKED", asked)
     rows = vectors(3) + ODD
     got = neighbours.nearest(table(spark, rows), "vec_id", "embedding", 25, 10).collect()
     wanted = nearest(rows, 25, 10)
@@ -78,16 +103,34 @@ def test_neighbours_recall(spark, monkeypatch, piece):
         found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     hits = total = 0
     for (i, _), near in wanted.items():
-        mine = sorted(found[i])
+        times = sum(j == i for j, _ in usable(rows, False))
+        mine = sorted(found[i])[::times]
+        assert len(mine) * times == len(found[i])
         assert [x[0] for x in mine] == list(range(1, len(near) + 1))
         assert [x[2] for x in mine] == sorted(x[2] for x in mine)
         hits += len({x[1] for x in mine} & {j for _, j in near})
         total += len(near)
         for _, j, d in mine:
-            assert j != i or d > 0
+            assert j != i or d > 0 or times > 1
     assert hits / total >= 0.95
 
 
+def test_neighbours_recall_on_embeddings(spark):
+    """Recall against all rows of the table itself."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in docs.collect() if r.embedding is not None and None not in r.embedding]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    found = {}
+    for r in neighbours.nearest(docs, "vec_id", "embedding", 100, 10).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for k in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[k]) ** 2).sum(axis=1))
+        order = [j for j in np.lexsort((ids, d)) if j != k][:10]
+        hits, total = hits + len({int(ids[j]) for j in order} & found[int(ids[k])]), total + 10
+    assert hits / total >= 0.9, hits / total
+
+
 def test_neighbours_edges(spark):
     assert neighbours.nearest(table(spark, []), "vec_id", "embedding", 100, 10).count() == 0
     few = [(0, [1.0, 0.0]), (7, [1.0, 0.0]), (3, [1.0, 0.0]), (9, [0.0, 2.0])]
