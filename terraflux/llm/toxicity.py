@@ -1,22 +1,25 @@
 """Operator 9. Toxicity by a weighted finite-state pattern grammar.
 
 Words are read as six kinds: insult, threat, target, negation, reported speech, other.
-Five small transducers over these kinds are composed into one machine (``compose``):
+Six small transducers over these kinds are composed into one machine (``compose``):
 insult and threat emit the weight of the word, target raises what follows an address,
-negation and reported speech divert it to accounts of their own. The machine runs over
-clauses that hold an insult or a threat, found by an Aho-Corasick automaton, and its
-accounts over all clauses of a document give the score by a logistic model.
+negation and reported speech divert it to accounts of their own, and what they have left
+is raised when an address follows it. The machine runs over clauses that hold an insult or
+a threat, found by an Aho-Corasick automaton, and its accounts over all clauses of a
+document give the score by a logistic model.
 
 Insults (whole words and word beginnings) and the weights are learned from labels, on a
 bounded sample: at most ``toxic_docs`` and ``clean_docs`` training documents in the order
-of their id's hash, equal texts once. The words of the other kinds are fixed.
+of their id's hash, equal texts once. How clear a word's evidence must be is chosen by
+cross-validation inside that sample. Threats are fixed stems with their languages'
+endings; the words of the other kinds are fixed.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -28,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, whole_row
 
-#: Word lists in English, German, French and Spanish.
-THREAT = frozenset("kill murder hurt strangle stab shoot töten umbringen erschießen erstechen verprügeln tuer égorger poignarder étrangler matar matarte asesinar apuñalar golpear".split())
+#: Word lists in English, German, French and Spanish. A threat is a stem and an ending.
+THREAT_STEMS = "kill murder hurt strangl stab stabb shoot beat töt umbring erschieß erstech erstich verprügel tue tuer égorg poignard étrangl mat asesin apuñal golpe".split()
+THREAT_ENDINGS = " s e es ed er ing en est t te ten et end n st ai as a ons ez ent é ar o an aré ará aron ado".split(" ")
+THREAT = frozenset(s + e for s in THREAT_STEMS for e in THREAT_ENDINGS if len(s + e) > 3) | frozenset("killt töte tötet umbringe umbringt matarte tuer tué".split())
 TARGET = frozenset("you your yourself u he him she her they them du dich dir euch ihr tu toi te vous ton votre tú ti usted ustedes vosotros".split())
 NEGATION = frozenset("not never isn't aren't don't nicht kein keine niemals nie pas jamais aucun nunca jamás ni".split())
 REPORTED = frozenset("said says wrote called quoted claimed sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
@@ -38,7 +43,7 @@ CLAUSE = re.compile(r"[.!?;\n]")
 INSULT_KIND, THREAT_KIND, TARGET_KIND, NEGATION_KIND, REPORTED_KIND, OTHER_KIND = range(6)
 #: Accounts of a document, where the score's weights start from, and how firmly they are held there.
 ACCOUNTS = ("insult", "aimed", "negated", "reported", "threat")
-PRIOR, HOLD = np.array([-4.0, 6.0, 1.0, 1.0, 1.0, 4.0]), np.array([0.1, 0.1, 1.0, 1.0, 1.0, 1.0])
+PRIOR, HOLD = np.array([-4.0, 6.0, 7.0, 1.0, 1.0, 4.0]), np.array([0.1, 0.1, 0.1, 1.0, 1.0, 1.0])
 SHORTEST_STEM, LONGEST_STEM = 4, 7
 
 
@@ -69,6 +74,21 @@ def latch(trigger: int, change: dict[str, str]) -> Transducer:
     return Transducer((False, True), False, step)
 
 
+def follow(trigger: int, length: int, change: dict[str, str]) -> Transducer:
+    """Marks a word of kind ``trigger`` that comes within ``length`` words after a mark, by that mark; once for each mark."""
+    names = ("", *change)
+
+    def step(state: tuple, kind: int, mark: str) -> tuple[tuple, str]:
+        waiting, left = state
+        if mark in change:
+            return (mark, length), mark
+        if kind == trigger and waiting:
+            return ("", 0), change[waiting]
+        return ((waiting, left - 1) if left > 1 else ("", 0)), mark
+
+    return Transducer((("", 0), *product(names[1:], range(1, length + 1))), ("", 0), step)
+
+
 def emit(kinds: dict[int, str]) -> Transducer:
     """Marks words of the given kinds."""
     return Transducer((0,), 0, lambda state, kind, mark: (state, kinds.get(kind, mark)))
@@ -90,13 +110,15 @@ def compose(*machines: Transducer) -> tuple[list[list[tuple[int, str]]], int]:
     return table, names[tuple(m.start for m in machines)]
 
 
-MACHINE = compose(
+MACHINES = (
     emit({INSULT_KIND: "insult"}),
     emit({THREAT_KIND: "threat"}),
     window(TARGET_KIND, 4, {"insult": "aimed", "threat": "aimed threat"}),
     window(NEGATION_KIND, 3, {"insult": "negated", "aimed": "negated", "threat": "negated", "aimed threat": "negated"}),
     latch(REPORTED_KIND, {"insult": "reported", "aimed": "reported", "threat": "reported", "aimed threat": "reported"}),
+    follow(TARGET_KIND, 4, {"insult": "aim insult", "threat": "aim threat"}),
 )
+MACHINE = compose(*MACHINES)
 
 
 class Grammar:
@@ -144,14 +166,22 @@ class Grammar:
         found = dict.fromkeys(ACCOUNTS, 0.0)
         table, start = MACHINE
         for clause in self.clauses(text or ""):
-            state = start
+            state, last = start, 0.0
             for word in WORD.findall(clause):
-                kind, weight = self.kind(word)
+                kind, weight = self.kind(word.replace("’", "'"))
                 state, mark = table[state][kind]
+                if not mark:
+                    continue
                 if mark == "aimed threat":
                     found["threat"] += 2 * weight
-                elif mark:
+                elif mark == "aim threat":
+                    found["threat"] += last
+                elif mark == "aim insult":  # it was an insult until its target came
+                    found["insult"] -= last
+                    found["aimed"] += last
+                else:
                     found[mark] += weight
+                last = weight
         return np.log1p([found[k] for k in ACCOUNTS])
 
     def score(self, text: str | None) -> float:
@@ -179,18 +209,65 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int, toxic_docs:
     first = lambda kind, n: labels.where(kind).orderBy(F.xxhash64("labelled"), "labelled").limit(n)
     some = first("toxic = 1", toxic_docs).unionByName(first("toxic = 0", clean_docs))  # bounded by the two limits
     joined = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled")).where("text is not null")
+    joined = joined.groupBy("labelled").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))  # one text for each id
     return materialise(joined.groupBy(F.xxhash64("text").alias("of")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).drop("of"), "toxicity-sample")
 
 
-def learn_lexicon(sample: DataFrame, support: float = 0.007, odds: float = 1.2, most: int = 4000, cover: int = 8) -> dict[str, float]:
-    """Features that tell toxic documents apart: a greedy cover of the sample's toxic documents.
-
-    A feature qualifies if its log odds ratio less two standard errors is ``odds``, and
-    more the more features compete (a tenth of the log of the toxic documents); it is taken if at least ``support`` of the
-    toxic documents (4 at least) hold it that hold fewer than ``cover`` of those taken
-    before, so that the rare words a group of near copies shares do not get in. Beginnings
-    and extensions of a feature taken are left out.
-    """
+class Evidence:
+    """Which of some features each document of the sample holds, as a matrix."""
+
+    def __init__(self, names: list[str], toxic: np.ndarray, held: np.ndarray, support: float, cover: int):
+        self.names, self.toxic, self.held, self.support, self.cover = names, toxic.astype(bool), held, support, cover
+
+    def lexicon(self, rows: np.ndarray, odds: float) -> dict[str, float]:
+        """Features that tell the toxic ones of these documents apart: a greedy cover of them.
+
+        A feature qualifies if its log odds ratio less two standard errors is ``odds``, and
+        more the more features compete (a tenth of the log of the toxic documents); it is
+        taken if at least ``support`` of the toxic documents (4 at least) hold it that hold
+        fewer than ``cover`` of those taken before, so that the rare words a group of near
+        copies shares do not get in. Beginnings and extensions of a feature taken are left out.
+        """
+        bad = self.held[rows & self.toxic]
+        good = self.held[rows & ~self.toxic]
+        least = max(4, math.ceil(self.support * len(bad)))
+        t, c = bad.sum(axis=0, dtype=np.int64), good.sum(axis=0, dtype=np.int64)
+        weight = np.log((t + 0.5) / (len(bad) + 1) / ((c + 0.5) / (len(good) + 1)))
+        doubt = np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        live = (t >= least) & (weight - 2 * doubt >= odds + 0.1 * math.log(max(1, len(bad))))
+        taken: dict[str, float] = {}
+        times = np.zeros(len(bad), np.int64)
+        rank = np.array([(not k.endswith("*")) * 100 - len(k) for k in self.names], float) * 1e-9
+        while live.any():
+            gain = (times < self.cover).astype(np.float32) @ bad
+            live &= gain >= least
+            if not live.any():
+                break
+            best = int(np.where(live, gain * weight + rank, -np.inf).argmax())
+            taken[self.names[best]] = float(weight[best])
+            times += bad[:, best] > 0
+            root = self.names[best].rstrip("*")
+            for k in np.flatnonzero(live):
+                other = self.names[k]
+                live[k] = not (other.startswith(root) or root.startswith(other.rstrip("*")))
+        return taken
+
+    def loss(self, folds: np.ndarray, odds: float) -> float:
+        """The logistic loss on each fold of what is learned from the others."""
+        total = 0.0
+        for f in np.unique(folds):
+            lexicon = self.lexicon(folds != f, odds)
+            own = np.array([lexicon.get(k, 0.0) for k in self.names])
+            x = np.zeros((len(self.held), len(ACCOUNTS)))
+            x[:, 0] = np.log1p(self.held @ own)
+            w = learn_weights(x[folds != f], self.toxic[folds != f].astype(int))
+            z = w[0] + x[folds == f] @ w[1:]
+            total += float((np.logaddexp(0, z) - self.toxic[folds == f] * z).sum())
+        return total
+
+
+def learn_lexicon(sample: DataFrame, support: float = 0.004, grid: tuple[float, ...] = (0.4, 0.8, 1.2, 1.6), most: int = 4000, cover: int = 8, folds: int = 4) -> dict[str, float]:
+    """The lexicon, by the evidence of the grid that loses least in cross-validation (the clearer of equals)."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = (Counter(), Counter())
         for b in batches:
@@ -203,36 +280,28 @@ def learn_lexicon(sample: DataFrame, support: float = 0.007, odds: float = 1.2,
     n_clean, n_toxic = size.get(0, 0), size.get(1, 0)
     if not n_toxic:
         return {}
-    least = max(4, math.ceil(support * n_toxic))
+    least = max(3, math.floor(support * n_toxic * (folds - 1) / folds))
     counts = sample.mapInPandas(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= least)
-    ratio = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
+    ratio = F.log(((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1)))
     doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    told = counts.withColumn("odds", ratio).where(F.log("odds") - 2 * doubt >= odds + 0.1 * math.log(n_toxic)).orderBy(F.desc("toxic"), F.desc("odds"), "feature").limit(most).collect()
-    weight = {r.feature: math.log(r.odds) for r in told}
-    names = frozenset(weight)
+    told = counts.where(ratio - doubt >= min(grid)).orderBy(F.desc(ratio - 2 * doubt), "feature").limit(most).collect()
+    names = sorted(r.feature for r in told)
+    place = {k: i for i, k in enumerate(names)}
 
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            held = [sorted(features(t) & names) for t in b["text"]]
-            yield pd.DataFrame({"held": pd.Series(held, dtype=object)})
-
-    covers: dict[str, set[int]] = defaultdict(set)
-    for i, r in enumerate(sample.where("toxic = 1").mapInPandas(hold, "held array<string>").collect()):  # bounded by the sample
-        for k in r.held:
-            covers[k].add(i)
-    taken, times = {}, Counter()
-    while covers:
-        gain = {k: sum(times[i] < cover for i in rows) for k, rows in covers.items()}
-        best = max(sorted(covers), key=lambda k: (gain[k] * weight[k], not k.endswith("*"), -len(k)))
-        if gain[best] < least:
-            covers.pop(best)
-            covers = {k: v for k, v in covers.items() if gain[k] >= least}
-            continue
-        taken[best] = weight[best]
-        times.update(covers[best])
-        root = best.rstrip("*")
-        covers = {k: v for k, v in covers.items() if not (k.startswith(root) or root.startswith(k.rstrip("*")))}
-    return taken
+            held = [np.array(sorted(place[k] for k in features(t) if k in place), np.int32) for t in b["text"]]
+            yield pd.DataFrame({"toxic": b["toxic"].astype("int64"), "fold": b["fold"].astype("int64"), "held": held})
+
+    numbered = sample.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(folds)))
+    rows = numbered.mapInPandas(hold, "toxic long, fold long, held array<int>").toPandas()  # bounded by the sample
+    held = np.zeros((len(rows), len(names)), np.float32)
+    for i, h in enumerate(rows["held"]):
+        held[i, h] = 1
+    evidence, fold = Evidence(names, rows["toxic"].to_numpy(), held, support, cover), rows["fold"].to_numpy()
+    losses = {x: evidence.loss(fold, x) for x in grid}
+    best = max(grid, key=lambda x: (-round(losses[x], 6), x))
+    return evidence.lexicon(np.ones(len(rows), bool), best)
 
 
 def learn_weights(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> np.ndarray:

@@ -120,12 +120,67 @@ def test_machine():
     assert account("he said that you are a moron") == {"reported": 7}
     assert account("he said so. you moron") == {"aimed": 7}  # a new clause
     assert account("not at all so bad. moron") == {"insult": 7}
-    assert account("i will kill you") == {"threat": 1} and account("you, i will kill") == {"threat": 2}
+    assert account("i will kill you") == {"threat": 2} and account("you, i will kill") == {"threat": 2}
+    assert account("i will kill time") == {"threat": 1} and account("kill and one two three four you") == {"threat": 1}
+    for text in ("i am killing you now", "he kills you", "they killed him", "ich töte dich", "er wird dich umbringen", "te voy a matar"):
+        assert account(text) == {"threat": 2}, text
+    assert account("what a moron you are") == {"aimed": 7}
+    assert account("i will not kill you") == {"negated": 1}
+    assert account("she said i will kill you") == {"reported": 1}
+    assert account("you aren’t a moron") == account("you aren't a moron") == {"negated": 7}
     assert account("moron moron\nmoron") == {"insult": 21}
     assert account("you not") == {} and account(None) == {} and account("") == {}
     assert 0 <= g.score("") < g.score("a moron") < g.score("a moron, a moron") <= 1
 
 
+def test_composed_machine_equals_its_parts_in_turn():
+    """Every sequence of three kinds after each state that random sequences lead to."""
+    table, start = toxicity.MACHINE
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        kinds = rng.choice(6, rng.integers(1, 30), p=[0.25, 0.2, 0.2, 0.1, 0.05, 0.2]).tolist()
+        state, got = start, []
+        for k in kinds:
+            state, mark = table[state][k]
+            got.append(mark)
+        marks = [""] * len(kinds)
+        for m in toxicity.MACHINES:  # each transducer over the whole sequence, then the next one
+            s = m.start
+            for i, k in enumerate(kinds):
+                s, marks[i] = m.step(s, k, marks[i])
+        assert got == marks
+
+
+def test_lexicon_against_brute_force():
+    """The greedy cover, by sets."""
+    rng = np.random.default_rng(1)
+    names = sorted({"zork", "zork*", "zorkel", "blip", "blip*", "plain", "rare", *[f"w{i}" for i in range(20)]})
+    toxic = np.arange(400) < 120
+    held = (rng.random((400, len(names))) < 0.1).astype(np.float32)
+    for k, share in (("zork", 0.5), ("blip*", 0.4), ("blip", 0.3)):
+        held[:, names.index(k)] = rng.random(400) < np.where(toxic, share, 0.01)
+    e = toxicity.Evidence(names, toxic.astype(int), held, 0.05, 8)
+    weight, sets = {}, {}
+    for k, n in enumerate(names):
+        t, c = int(held[toxic, k].sum()), int(held[~toxic, k].sum())
+        w = math.log((t + 0.5) / 121 / ((c + 0.5) / 281))
+        if t >= 6 and w - 2 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) >= 0.8 + 0.1 * math.log(120):
+            weight[n], sets[n] = w, set(np.flatnonzero(held[toxic, k]).tolist())
+    times, wanted = [0] * 120, {}
+    while sets:
+        gain = {k: sum(times[i] < 8 for i in v) for k, v in sets.items()}
+        best = max(sorted(sets), key=lambda k: (round(gain[k] * weight[k], 6), not k.endswith("*"), -len(k)))
+        if gain[best] < 6:
+            sets.pop(best)
+            continue
+        wanted[best] = weight[best]
+        for i in sets[best]:
+            times[i] += 1
+        root = best.rstrip("*")
+        sets = {k: v for k, v in sets.items() if not (k.startswith(root) or root.startswith(k.rstrip("*")))}
+    assert e.lexicon(np.ones(400, bool), 0.8) == pytest.approx(wanted) and {"zork", "blip*"} <= set(wanted)
+
+
 def test_clauses_in_long_texts_are_read_once():
     g = toxicity.Grammar(LEXICON, toxicity.PRIOR)
     text = "filler words " * 3000 + "moron " * 50 + "x. " + "tail " * 2000 + "vequx"
@@ -142,7 +197,7 @@ def test_toxicity_held_out(spark):
     rows = got.where("held_out").join(labels, "doc_id").collect()
     hit = sum(r.predicted for r in rows if r.toxic == 1) / sum(r.toxic for r in rows)
     false = sum(r.predicted for r in rows if r.toxic == 0) / sum(1 - r.toxic for r in rows)
-    assert hit > 0.85 and false < 0.01
+    assert hit >= 0.93 and false < 0.01
 
 
 def test_learning_ignores_the_held_out_fold(spark, make):
@@ -161,4 +216,6 @@ def test_toxicity_edges(spark, make):
     assert len(got) == 6 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert toxicity.scored(make([]), labels).count() == 0
     assert toxicity.scored(docs, labels.limit(0)).count() == 6
-    assert toxicity.accept(docs, labels).columns == docs.columns
+    kept = toxicity.accept(docs, labels)
+    assert kept.columns == docs.columns and kept.count() <= 6  # with columns whose names clash with the operator's
+    assert toxicity.Grammar(LEXICON, toxicity.PRIOR).score("word " * 200000 + "you moron") > 0.5
