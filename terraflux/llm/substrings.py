@@ -6,14 +6,18 @@ compacted within their document: a content-defined anchor (the least of the hash
 consecutive windows with one anchor is a path without branches there. Equal windows
 choose equal anchors, so two documents that share a window meet at its anchor.
 
-* Paths with the same words compact into one class; whoever holds it, but for the
-  document with the smallest id, repeats all its windows.
+* Paths with the same words are joined into one class; whoever holds it, but for the
+  document with the smallest id, repeats all its windows. The class keeps the coordinates
+  of its source: the first document, and where the path begins there.
 * An anchor with one class is a nonbranching node and is settled. Where an anchor has
   several classes the paths branch, and the first holder of each class is taken apart
   into single windows, which are joined in turn.
+* Repeated paths that go on from each other both in the document and in the source are
+  compacted into one long span, with one source coordinate.
 
-What a join reports are source coordinates and a 128-bit key of the words there. They
-are verified against the document's own words before anything is removed.
+So far spans rest on 128-bit keys. Each is then verified on words: its source document is
+read at the source coordinates and gives a cryptographic digest of the words there, and
+only a span whose own words have that digest is removed.
 """
 
 from __future__ import annotations
@@ -24,33 +28,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, slot_filter, whole_row
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
-PATH = "h1 long, h2 long, anchor long, doc_id long, lo int, hi int"
-SPAN = "h1 long, h2 long, doc_id long, lo int, hi int"
-#: Rows put together before they are handed to Spark.
-BATCH = 1 << 16
+PATH = "h1 long, h2 long, anchor long, doc_id long, of long, lo int, hi int"
+WINDOW = "h1 long, h2 long, doc_id long, of long, lo int, hi int"
+#: Rows put together before they are handed to Spark; spans of one source that a task proves together.
+BATCH, PROVED = 1 << 16, 4096
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def _keys(words: list[bytes], lo, hi, span: int) -> list[bytes]:
+def _keys(words: list[bytes], lo, hi, span: int, key=xxhash.xxh3_128_digest) -> list[bytes]:
     """128-bit keys of words[lo[i] : hi[i] + span]."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
     a, b = begins[lo].tolist(), ends[np.asarray(hi) + span - 1].tolist()
-    key = xxhash.xxh3_128_digest
     return [key(joined[i:j]) for i, j in zip(a, b, strict=True)]
 
 
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """``doc_id, of, text``: rows that share an id are told apart by a hash of their text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), text.alias("text"))
+
+
 def paths(words: list[bytes], span: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, last window and anchor hash of each run of windows with one anchor."""
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -98,47 +111,36 @@ def _arrow(ddl: str) -> pa.Schema:
 
 
 def path_table(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
-    """Compacted paths of each document with a doc_id and at least ``span`` words."""
+    """Compacted paths of each document of ``docs(doc_id, of, text)`` with a doc_id and at least ``span`` words."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                    if len(words := words_of(text.as_py())) >= span and doc_id.is_valid:
+                for doc_id, of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    if len(words := words_of(text.as_py())) >= span:
                         lo, hi, anchor = paths(words, span, seed)
-                        yield _keys(words, lo, hi, span), anchor.view(np.int64), doc_id.as_py(), lo, hi
+                        yield _keys(words, lo, hi, span), anchor.view(np.int64), doc_id, of, lo, hi
 
         return _batches(rows(), _arrow(PATH))
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, PATH)
+    return docs.where("doc_id is not null").select("doc_id", "of", "text").mapInArrow(scan, PATH)
 
 
-def _marked(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def _marked(docs: DataFrame, spans: DataFrame, column: str = "proof") -> DataFrame:
     """``docs`` that may hold ``spans``, each with the list of its spans (null: none)."""
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "lo", "hi")).alias("spans")).withColumnRenamed("doc_id", "span_doc")
-    return docs.join(lists.hint("shuffle_hash"), docs["doc_id"] == F.col("span_doc"), "left").drop("span_doc")
+    lists = spans.groupBy("doc_id", "of").agg(F.collect_list(F.struct(column, "lo", "hi")).alias("spans"))
+    lists = lists.select(F.col("doc_id").alias("span_doc"), F.col("of").alias("span_of"), "spans")
+    met = (F.col("doc_id") == F.col("span_doc")) & (F.col("of") == F.col("span_of"))
+    return docs.join(lists.hint("shuffle_hash"), met, "left").drop("span_doc", "span_of")
 
 
-def _listed(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
-    """The key pairs, first and last windows of each list."""
+def _listed(column: pa.Array) -> Iterator[tuple[list, np.ndarray, np.ndarray] | None]:
+    """The first field, first and last windows of each list."""
     for x in column:
         if not x.is_valid:
             yield None
         else:
             v = x.values
-            h1, h2, lo, hi = (v.field(k).to_numpy(zero_copy_only=False) for k in ("h1", "h2", "lo", "hi"))
-            yield np.stack((h1, h2), 1), lo, hi
-
-
-def _verified(words: list[bytes], listed, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """The listed windows whose words, read at their source, have the key reported."""
-    key, lo, hi = listed
-    fits = hi + span <= len(words)
-    key, lo, hi = key[fits], lo[fits], hi[fits]
-    if not len(lo):
-        return lo, hi
-    own = np.frombuffer(b"".join(_keys(words, lo, hi, span)), np.int64).reshape(-1, 2)
-    same = (own == key).all(axis=1)
-    return lo[same], hi[same]
+            yield v.field(0).to_pylist(), *(v.field(k).to_numpy(zero_copy_only=False) for k in (1, 2))
 
 
 def window_table(docs: DataFrame, open_paths: DataFrame, span: int) -> DataFrame:
@@ -146,54 +148,89 @@ def window_table(docs: DataFrame, open_paths: DataFrame, span: int) -> DataFrame
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for doc_id, text, listed in zip(batch.column(0), batch.column(1), _listed(batch.column(2)), strict=True):
-                    if listed is not None and len(words := words_of(text.as_py())) >= span:
-                        lo, hi = _verified(words, listed, span)
-                        at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)] or [np.empty(0, np.int64)]))
-                        if len(at):
-                            yield _keys(words, at, at, span), doc_id.as_py(), at, at
+                for doc_id, of, text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), _listed(batch.column(3)), strict=True):
+                    words = words_of(text.as_py())
+                    _, lo, hi = listed
+                    at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)]))
+                    yield _keys(words, at, at, span), doc_id, of, at, at
 
-        return _batches(rows(), _arrow(SPAN))
+        return _batches(rows(), _arrow(WINDOW))
 
-    some = slot_filter(docs.select("doc_id", "text"), "doc_id", open_paths.select("doc_id")).where("slot_hit").drop("slot_hit")
-    return _marked(some, open_paths).where("spans is not null").select("doc_id", "text", "spans").mapInArrow(scan, SPAN)
+    some = slot_filter(docs.select("doc_id", "of", "text"), "of", open_paths.select("of")).where("slot_hit").drop("slot_hit")
+    return _marked(some, open_paths, "h1").where("spans is not null").select("doc_id", "of", "text", "spans").mapInArrow(scan, WINDOW)
+
+
+def compacted(spans: DataFrame) -> DataFrame:
+    """Spans that go on from each other, in the document and in the source, as one."""
+    line = Window.partitionBy("doc_id", "of", "src_doc", "src_of", "shift").orderBy("lo", "hi")
+    known = spans.withColumn("shift", F.col("src_lo") - F.col("lo")).withColumn("reach", F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = known.withColumn("run", F.sum(F.when(F.col("lo") <= F.col("reach") + 1, 0).otherwise(1)).over(line))
+    out = runs.groupBy("doc_id", "of", "src_doc", "src_of", "shift", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return out.select("doc_id", "of", "lo", "hi", "src_doc", "src_of", (F.col("lo") + F.col("shift")).alias("src_lo"))
+
+
+def proved(docs: DataFrame, spans: DataFrame, span: int) -> DataFrame:
+    """``doc_id, of, lo, hi, proof``: each span with the digest of the words at its source."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("src_doc", pa.int64()), ("src_of", pa.int64()), ("src_lo", pa.int32()), ("src_hi", pa.int32()), ("proof", pa.binary())])
+        for batch in batches:
+            for doc_id, of, text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                lo, hi = (listed.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                proofs = _keys(words_of(text.as_py()), lo, hi, span, _digest)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lo), doc_id)), pa.array(np.full(len(lo), of)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(proofs, pa.binary())], schema=schema)
+
+    spans = spans.withColumn("src_hi", F.col("src_lo") + F.col("hi") - F.col("lo"))
+    wanted = materialise(spans.select("src_doc", "src_of", "src_lo", "src_hi").distinct(), "substring-wanted")
+    slots = wanted.groupBy("src_doc", "src_of").agg(F.ceil(F.count("*") / PROVED).cast("int").alias("slots"))
+    dealt = wanted.join(slots, ["src_doc", "src_of"]).withColumn("slot", F.pmod(F.xxhash64("src_lo", "src_hi"), F.col("slots")))
+    lists = dealt.groupBy("src_doc", "src_of", "slot").agg(F.collect_list(F.struct("src_lo", "src_hi")).alias("spans"))
+    some = slot_filter(docs.select("doc_id", "of", "text"), "of", wanted.select("src_of")).where("slot_hit").drop("slot_hit").dropDuplicates(["doc_id", "of"])
+    met = some.join(lists.hint("shuffle_hash"), (some["doc_id"] == lists["src_doc"]) & (some["of"] == lists["src_of"]))
+    proofs = met.select("doc_id", "of", "text", "spans").mapInArrow(scan, "src_doc long, src_of long, src_lo int, src_hi int, proof binary")
+    return spans.join(proofs, ["src_doc", "src_of", "src_lo", "src_hi"]).select("doc_id", "of", "lo", "hi", "proof")
 
 
 def repeated_spans(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
     """Runs of windows of each document that start in a document with a smaller doc_id too.
 
-    Columns ``h1, h2, doc_id, lo, hi``: windows lo to hi, and the key of the words from lo
-    to hi + span.
+    ``docs`` is what ``_identified`` gives. Columns ``doc_id, of, lo, hi, proof``: windows lo
+    to hi, and the digest of the words from lo to hi + span as they stand in the source.
     """
     if not 0 < seed <= span:
         raise ValueError("seed must be 1 to span")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     path = materialise(path_table(docs, span, seed), "substring-paths")
-    classes = path.groupBy("h1", "h2").agg(F.min("anchor").alias("anchor"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    branching = classes.groupBy("anchor").agg(F.count("*").alias("ways"), F.min("first_doc").alias("x"), F.max("last_doc").alias("y")).where("ways > 1 and x < y").select("anchor", F.lit(True).alias("branches"))
-    told = classes.join(branching, "anchor", "left").where("last_doc > first_doc or branches").select("h1", "h2", "first_doc", "branches")
-    met = materialise(path.join(told, ["h1", "h2"]).where("doc_id > first_doc or branches").select("h1", "h2", "doc_id", "lo", "hi", (F.col("doc_id") > F.col("first_doc")).alias("repeats")), "substring-met")
-    windows = materialise(window_table(docs, met.where("not repeats").drop("repeats"), span), "substring-windows")
-    shared = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("last_doc > first_doc").drop("last_doc")
-    single = windows.join(shared, ["h1", "h2"]).where("doc_id > first_doc").select("h1", "h2", "doc_id", "lo", "hi")
-    return met.where("repeats").drop("repeats").unionByName(single)
+    first = F.min(F.struct("doc_id", "of", "lo")).alias("first")
+    classes = path.groupBy("h1", "h2").agg(F.min("anchor").alias("anchor"), first, F.max("doc_id").alias("last_doc"))
+    branching = classes.groupBy("anchor").agg(F.count("*").alias("ways"), F.min("first.doc_id").alias("x"), F.max("last_doc").alias("y")).where("ways > 1 and x < y").select("anchor", F.lit(True).alias("branches"))
+    told = classes.join(branching, "anchor", "left").where("last_doc > first.doc_id or branches").select("h1", "h2", "first", "branches")
+    source = [F.col("first.doc_id").alias("src_doc"), F.col("first.of").alias("src_of"), F.col("first.lo").alias("src_lo")]
+    met = path.join(told, ["h1", "h2"]).where("doc_id > first.doc_id or branches").select("h1", "doc_id", "of", "lo", "hi", (F.col("doc_id") > F.col("first.doc_id")).alias("repeats"), *source)
+    met = materialise(met, "substring-met")
+    windows = materialise(window_table(docs, met.where("not repeats").select("h1", "doc_id", "of", "lo", "hi"), span), "substring-windows")
+    shared = windows.groupBy("h1", "h2").agg(first, F.max("doc_id").alias("last_doc")).where("last_doc > first.doc_id").drop("last_doc")
+    single = windows.join(shared, ["h1", "h2"]).where("doc_id > first.doc_id").select("doc_id", "of", "lo", "hi", *source)
+    spans = materialise(compacted(met.where("repeats").drop("h1", "repeats").unionByName(single)), "substring-long")
+    return proved(docs, spans, span)
 
 
 def _cut(words: list[bytes], listed, span: int) -> list[bytes]:
-    """The words outside all verified windows."""
-    lo, hi = _verified(words, listed, span)
+    """The words outside all windows whose words are those of the source."""
+    proofs, lo, hi = listed
+    fits = hi + span <= len(words)
+    proofs, lo, hi = [p for p, f in zip(proofs, fits, strict=True) if f], lo[fits], hi[fits]
+    same = np.array([a == b for a, b in zip(proofs, _keys(words, lo, hi, span, _digest), strict=True)], bool) if len(lo) else np.zeros(0, bool)
     change = np.zeros(len(words) + 1, np.int64)
-    np.add.at(change, lo, 1)
-    np.add.at(change, hi + span, -1)
+    np.add.at(change, lo[same], 1)
+    np.add.at(change, hi[same] + span, -1)
     keep = np.flatnonzero(np.cumsum(change[:-1]) == 0)
     return [words[i] for i in keep.tolist()] if len(keep) < len(words) else words
 
 
 def _applied(rows: DataFrame, docs: DataFrame, span: int, seed: int) -> list[DataFrame]:
-    """``rows`` (with ``doc_id``) and a column ``spans``; those that can't have any are kept out of the join."""
+    """``rows`` (with ``doc_id, of``) and a column ``spans``; those that can't have any are kept out of the join."""
     spans = materialise(repeated_spans(docs, span, seed), "substring-spans")
-    flagged = slot_filter(rows, "doc_id", spans.select("doc_id"))
-    none = F.lit(None).cast("array<struct<h1:bigint,h2:bigint,lo:int,hi:int>>")
+    flagged = slot_filter(rows, "of", spans.select("of"))
+    none = F.lit(None).cast("array<struct<proof:binary,lo:int,hi:int>>")
     return [_marked(flagged.where("slot_hit").drop("slot_hit"), spans), flagged.where("not slot_hit").drop("slot_hit").withColumn("spans", none)]
 
 
@@ -202,8 +239,8 @@ def digest(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
 
     A null or wordless text has no words and the digest of nothing. A row with a null
     doc_id keeps all its words and is no one's source, as null is not smaller than any
-    id. Repeated rows repeat nothing of each other, as their ids are equal. Extra
-    columns are ignored; an empty table gives an empty result.
+    id. Repeated rows repeat nothing of each other, as their ids are equal. Very long
+    texts are read whole. Extra columns are ignored; an empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -216,7 +253,7 @@ def digest(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], schema.field(i + 1).type) for i in range(3))], schema=schema)
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _identified(docs)
     parts = [x.select("doc_id", "text", "spans").mapInArrow(scan, "doc_id long, n_words long, n_removed long, kept_sha256 string") for x in _applied(docs, docs, span, seed)]
     return parts[0].union(parts[1])
 
@@ -238,8 +275,8 @@ def deduplicate(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
             out.append(text if len(kept) == len(words) else b" ".join(kept).decode())
         return pd.Series(out, dtype=object)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_row(docs))
-    joined, rest = _applied(rows, docs, span, seed)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("of"), whole_row(docs))
+    joined, rest = _applied(rows, _identified(docs), span, seed)
     shorter = F.col("row").withField("text", F.col("cut"))
     if "n_chars" in docs.columns:
         shorter = shorter.withField("n_chars", F.length("cut").cast(docs.schema["n_chars"].dataType))
@@ -248,4 +285,4 @@ def deduplicate(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
     return joined.select("row.*").unionByName(rest.select("row.*"))
 
 
-_SPANS = pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
+_SPANS = pa.list_(pa.struct([("proof", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())]))
