@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,14 +17,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) a folder of our own is
-    named, and set as the checkpoint folder too.
+    Only where the session leaves it unset and runs on one machine (tests), a folder of
+    our own is named, and set as the checkpoint folder too; on a cluster this raises.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
-    own = "file:///tmp/checkpoints/terraflux"
-    spark.sparkContext.setCheckpointDir(own)
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+    spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints/terraflux")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 

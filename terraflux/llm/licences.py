@@ -2,11 +2,13 @@
 
 Templates are split into words (runs of ASCII letters and digits, other letters as they
 are, lower case). Hashed word k-grams of a template are winnowed: of every window of
-``WINDOW`` k-grams the least is kept, so any run of ``GRAM + WINDOW - 1`` template words
-in a document holds a kept one. The kept fingerprints form an inverted index from hash
-to (template, position). A document's k-grams are looked up in it; hits of a template on
-nearby diagonals are one candidate, which is aligned with the template inside a band.
-Matched words over template words is the coverage.
+k-grams the least is kept, so any run of ``k + window - 1`` template words in a document
+holds a kept one. Both numbers follow from the template's length: a match of the least
+coverage must leave a run that long between the words it lacks (``seeds``), so a short
+notice is looked up by shorter runs, and all of them. The kept fingerprints form an
+inverted index from hash to (template, position). A document's k-grams are looked up in
+it; hits of a template on nearby diagonals are one candidate, which is aligned with the
+template inside a band. Matched words over template words is the coverage.
 
 The templates are a parameter of fixed size, so the index travels with the task; no
 documents are moved.
@@ -14,6 +16,8 @@ documents are moved.
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM, WINDOW = 3, 2
+GRAM, WINDOW = 3, 2  # the most words of a k-gram, and the most k-grams of a window
 _SCORE = (1, -1, -1)  # match, mismatch, gap
 
 #: Public licence notices.
@@ -47,9 +51,20 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_FOLD).split()
 
 
-def gram_hashes(words: list[bytes], gram: int = GRAM) -> np.ndarray:
-    """Hashes of all runs of ``gram`` words."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def seeds(n: int, least: float) -> tuple[int, int]:
+    """Words of a k-gram, and k-grams of a window, for a template of n words.
+
+    A match may lack m words of the template, which leave a run of at least (n - m) / (m + 1).
+    """
+    m = n - math.ceil(least * n - 1e-9)
+    run = max(1, -(-(n - m) // (m + 1)))
+    gram = min(GRAM, run)
+    return gram, min(WINDOW, run - gram + 1)
+
+
+def gram_hashes(words: list[bytes] | np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hashes of all runs of ``gram`` words, or of the words' own hashes."""
+    h = words if isinstance(words, np.ndarray) else np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(0, len(words) - gram + 1)
     out = np.zeros(n, np.uint64)
     for j in range(gram):
@@ -94,37 +109,48 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) ->
     return int(score[k]), int(matched[k]), int(begin[k]), min(len(template) + diagonal - band + k, len(words))
 
 
+def apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Matches (score, matched words, begin, end) that don't overlap, by begin: the better score first, then the earlier."""
+    begins, ends, by = [], [], {}
+    for x in sorted(found, key=lambda x: (-x[0], x[2], x[3])):
+        at = bisect.bisect_right(begins, x[2])
+        if (at == 0 or ends[at - 1] <= x[2]) and (at == len(begins) or begins[at] >= x[3]):
+            begins.insert(at, x[2])
+            ends.insert(at, x[3])
+            by[x[2]] = x
+    return [by[b] for b in begins]
+
+
 class Index:
     """The inverted index of a set of templates."""
 
-    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW):
-        self.names = list(templates)
+    def __init__(self, templates: dict[str, str], least: float = 0.8):
+        self.names, self.least = list(templates), least
         self.words = [words_of(t) for t in templates.values()]
-        self.gram = gram
-        held = defaultdict(list)
+        held: dict[int, dict] = defaultdict(lambda: defaultdict(list))
         for k, words in enumerate(self.words):
-            h = gram_hashes(words, min(gram, len(words)) or 1)
-            for at in winnowed(h, window) if len(words) >= gram else ():
-                held[int(h[at])].append((k, int(at)))
-        self.at = dict(held)
-        self.keys = np.array(sorted(held), np.uint64)
+            if words:
+                gram, window = seeds(len(words), least)
+                h = gram_hashes(words, gram)
+                for at in winnowed(h, window):
+                    held[gram][int(h[at])].append((k, int(at)))
+        self.at = {gram: (np.array(sorted(x), np.uint64), dict(x)) for gram, x in held.items()}
         code = {w: i for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}
         self.code = code
         self.coded = [np.array([code[w] for w in ws]) for ws in self.words]
 
-    def scan(self, text: str | None, least: float) -> list[tuple[str, float, int, int, int, int, int]]:
+    def scan(self, text: str | None) -> list[tuple[str, float, int, int, int, int, int]]:
         """Matches: template, coverage, matched words, first and last word, first character and the one after the last."""
         words = words_of(text or "")
-        if len(words) < self.gram or not len(self.keys):
-            return []
-        h = gram_hashes(words, self.gram)
-        hits = np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)] == h)
-        if not len(hits):
-            return []
+        own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         near = defaultdict(set)
-        for at in hits.tolist():
-            for k, p in self.at[int(h[at])]:
-                near[k].add(at - p)
+        for gram, (keys, places) in self.at.items():
+            h = gram_hashes(own, gram)
+            for at in np.flatnonzero(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h).tolist():
+                for k, p in places[int(h[at])]:
+                    near[k].add(at - p)
+        if not near:
+            return []
         coded = np.fromiter((self.code.get(w, -1) for w in words), np.int64, len(words))
         out = []
         for k in sorted(near):
@@ -137,13 +163,9 @@ class Index:
                     continue  # inside the band aligned already
                 last = diagonal
                 score, matched, begin, end = align(template, coded, diagonal, band)
-                if matched >= least * len(template):
+                if matched >= self.least * len(template) - 1e-9:
                     found.append((score, matched, begin, end))
-            taken: list[tuple] = []
-            for x in sorted(found, key=lambda x: (-x[0], x[2], x[3])):
-                if all(x[3] <= y[2] or x[2] >= y[3] for y in taken):
-                    taken.append(x)
-            out += [(self.names[k], m / len(template), m, b, e - 1) for _, m, b, e in sorted(taken, key=lambda x: x[2])]
+            out += [(self.names[k], m / len(template), m, b, e - 1) for _, m, b, e in apart(found)]
         return _with_characters(text, out)
 
 
@@ -167,14 +189,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
 
     Whole texts are searched. Matches of one template don't overlap: the better score
     stays, then the earlier. Null, empty or wordless texts match nothing; a null doc_id
-    is kept; repeated rows match each for itself; extra columns are ignored.
+    is kept; repeated rows match each for itself; very long texts are read whole; extra
+    columns are ignored; an empty table gives an empty result.
     """
-    index = Index(TEMPLATES if templates is None else templates)
+    index = Index(TEMPLATES if templates is None else templates, least)
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), *[(n, pa.int32()) for n in ("matched_words", "first_word", "last_word")], ("first_char", pa.int64()), ("end_char", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc_id, *x) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in index.scan(text.as_py(), least)]
+            rows = [(doc_id, *x) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in index.scan(text.as_py())]
             columns = list(zip(*rows, strict=True)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

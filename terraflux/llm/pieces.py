@@ -29,11 +29,23 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Words of a generation remembered by a worker, and characters indexed at a time.
-REMEMBERED, INDEXED = 3 << 18, 1 << 18
+#: Bytes of a generation of words, and of word parts, that a worker remembers; the longest of either; pairs of pieces
+#: remembered; characters indexed at a time.
+REMEMBERED, LONGEST, PAIRS, INDEXED = 3 << 25, 128, 1 << 20, 1 << 18
 _SPELLED = -1
 
 
+class Memory(dict):
+    """Ids of words, with an upper bound of the bytes that the entries take."""
+
+    size = 0
+
+    def keep(self, entries: dict[str, bytes]) -> None:
+        some = {w: x for w, x in entries.items() if len(w) <= LONGEST}
+        self.size += sum(180 + 4 * len(w) + len(x) for w, x in some.items())
+        self.update(some)
+
+
 class Model:
     """A BPE model's pieces and the words encoded so far."""
 
@@ -62,7 +74,7 @@ class Model:
         self.low = self._keys([self._coded(p) for p in names], 0)
         self.high = self._keys([self._coded(p) for p in names], 0xFFFF)
         self.inside = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
-        self.words, self.older, self.parts = {}, {}, {}
+        self.words, self.older, self.parts = Memory(), Memory(), Memory()
         self.follows: dict[int, bool] = {}
 
     def _coded(self, text: str) -> list[int]:
@@ -89,8 +101,8 @@ class Model:
         x, y = self.text.get(a, ""), self.text[b]
         return self.merged(x + y) == [p for p in (x, y) if p]
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words into the memory.
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words.
 
         A word is cut first where no piece holds the two characters side by side (between
         a letter and a full stop, say); its parts are encoded once for all words.
@@ -99,45 +111,59 @@ class Model:
         for w in words:
             at = [i for i in range(1, len(w)) if w[i - 1 : i + 1] not in inside]
             cut.append([w[i:j] for i, j in zip([0, *at], [*at, len(w)], strict=True)] if at else [w])
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        new = list(set().union(*cut).difference(self.parts))
+        if self.parts.size > REMEMBERED:
+            self.parts = Memory()
+        distinct = set().union(*cut)
+        parts = {x: self.parts[x] for x in distinct if x in self.parts}
+        new = sorted(distinct.difference(parts))
         at = 0
         while at < len(new):
             size, stop = 0, at
-            while stop < len(new) and size < INDEXED:
+            while stop < len(new) and (stop == at or size + len(new[stop]) < INDEXED):
                 size += len(new[stop]) + 1
                 stop += 1
-            self._index(new[at:stop])
+            found = self._index(new[at:stop])
+            self.parts.keep(found)
+            parts |= found
             at = stop
-        get = self.parts.__getitem__
-        self.words.update((w, b"".join(map(get, x))) for w, x in zip(words, cut, strict=True))
+        get = parts.__getitem__
+        return {w: b"".join(map(get, x)) for w, x in zip(words, cut, strict=True)}
 
-    def _index(self, words: list[str]) -> None:
-        joined = "\0".join(words) + "\0"
-        codes = np.zeros(len(joined) + self.longest, ">u2")
-        codes[: len(joined)] = [*map(self.code.get, joined, repeat(0))]
-        suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, self.longest)[: len(joined)]).view(f"S{2 * self.longest}").ravel()
+    def _edges(self, joined: str, start: int, stop: int) -> tuple[list, list, list]:
+        """Edges that end after ``start`` and by ``stop``, sorted by their end: begins, pieces, and bounds by end.
+
+        The text from ``start`` less the longest piece to ``stop`` is indexed by a suffix
+        array; every piece is binary-searched for its range of occurrences.
+        """
+        low = max(0, start - self.longest)
+        text = joined[low:stop]
+        codes = np.zeros(len(text) + self.longest, ">u2")
+        codes[: len(text)] = [*map(self.code.get, text, repeat(0))]
+        suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, self.longest)[: len(text)]).view(f"S{2 * self.longest}").ravel()
         order = np.argsort(suffix, kind="stable")
         ranked = suffix[order]
         first, last = np.searchsorted(ranked, self.low, "left"), np.searchsorted(ranked, self.high, "right")
         count = last - first
         which = np.repeat(np.arange(len(count)), count)
-        begin = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
+        begin = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)] + low
         end = begin + self.size[which]
+        here = np.flatnonzero((end > start) & (end <= stop))
+        begin, end, which = begin[here], end[here], which[here]
         by_place = np.lexsort((begin, end))
-        begins, edges = begin[by_place].tolist(), self.ids[which[by_place]].tolist()
-        bounds = np.searchsorted(end[by_place], np.arange(len(joined) + 2)).tolist()
-        if len(self.follows) > 4 * REMEMBERED:
+        bounds = np.searchsorted(end[by_place], np.arange(start + 1, stop + 2)).tolist()
+        return begin[by_place].tolist(), self.ids[which[by_place]].tolist(), bounds
+
+    def _index(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of word parts, concatenated; INDEXED characters are indexed and relaxed at a time, however long a part is."""
+        joined = "\0".join(words) + "\0"
+        if len(self.follows) > PAIRS:
             self.follows.clear()
-        known, reached, back = self.follows, [0] * (len(joined) + 1), [0] * (len(joined) + 1)
-        start = 0
-        for word in words:
-            stop = start + len(word)
-            reached[start] = _SPELLED
+        known, reached, length = self.follows, array("i", [_SPELLED]) * (len(joined) + 1), bytearray(len(joined) + 1)
+        for start in range(0, len(joined), INDEXED):
+            stop = min(start + INDEXED, len(joined))
+            begins, edges, bounds = self._edges(joined, start, stop)
             for j in range(start + 1, stop + 1):
-                reached[j] = _SPELLED
-                for e in range(bounds[j], bounds[j + 1]):
+                for e in range(bounds[j - start - 1], bounds[j - start]):
                     i, piece = begins[e], edges[e]
                     before = reached[i]
                     pair = before << 20 | piece
@@ -145,19 +171,23 @@ class Model:
                     if may is None:
                         may = known[pair] = self.may_follow(before, piece)
                     if may:
-                        reached[j], back[j] = piece, i
+                        reached[j], length[j] = piece, j - i
                         break
-            out, j = [], stop
+        out, start = {}, 0
+        for word in words:
+            stop = start + len(word)
+            ids, j = [], stop
             while j > start:
-                if reached[j] == _SPELLED:
+                if not length[j]:
                     j -= 1
                     raw = joined[j].encode()
-                    out += [self.bytes_of[b] for b in reversed(raw)] if self.bytes_of else [self.unknown]
+                    ids += [self.bytes_of[b] for b in reversed(raw)] if self.bytes_of else [self.unknown]
                 else:
-                    out.append(reached[j])
-                    j = back[j]
-            self.parts[word] = array("i", out[::-1]).tobytes()
+                    ids.append(reached[j])
+                    j -= length[j]
+            out[word] = array("i", ids[::-1]).tobytes()
             start = stop + 1
+        return out
 
     def split(self, text: str) -> list[str]:
         """The words of a text, each with the marks in front of it."""
@@ -167,14 +197,15 @@ class Model:
         """Ids of each text. Words of two generations are remembered: used ones outlive a change."""
         split = [self.split(t) for t in texts]
         distinct = set().union(*split)
-        if len(self.words) + len(distinct) > REMEMBERED:
-            self.older, self.words = self.words, {}
-        new = distinct.difference(self.words)
-        if self.older:
-            self.words.update((w, self.older[w]) for w in new if w in self.older)
-            new = new.difference(self.older)
-        self.learn(sorted(new))
-        get = self.words.__getitem__
+        if self.words.size > REMEMBERED:
+            self.older, self.words = self.words, Memory()
+        told = {w: self.words[w] for w in distinct if w in self.words}
+        again = {w: self.older[w] for w in distinct.difference(told) if w in self.older}
+        new = self.learn(sorted(distinct.difference(told, again)))
+        for x in (again, new):
+            self.words.keep(x)
+            told |= x
+        get = told.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), "<i4") for words in split]
 
     def decode(self, ids) -> str:
@@ -205,8 +236,9 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model") -> DataFrame:
 
     ``decoded_sha256`` is the digest of the ids decoded again, ``exact`` whether that is
     the text (the mark U+2581 itself decodes to a space). A null text is empty, and has
-    no ids; a null doc_id is kept; repeated rows are encoded each for itself; extra
-    columns are ignored.
+    no ids; a null doc_id is kept; repeated rows are encoded each for itself; a very long
+    text, and one without a break, is indexed some characters at a time; extra columns
+    are ignored; an empty table gives an empty result.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("decoded_sha256", pa.string()), ("exact", pa.bool_())])
 

@@ -1,9 +1,16 @@
 import corpus_pipeline
-from terraflux.llm import quality, simhash, toxicity
+from terraflux.llm import quality, toxicity
 
+from .test_packing import VOCABULARY, check
+from .test_similar import smallest
+from .test_substrings import brute
+
+
+def test_stages_one_by_one(spark, words):
+    """Each stage on all its predecessor kept, held against the operator's own report or brute force."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
 
-def test_stages_one_by_one(spark):
-    """Each stage on all its predecessor kept, held against the operator's own report and brute force."""
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -19,20 +26,28 @@ def test_stages_one_by_one(spark):
     assert ids(kind) == ids(toxicity.scored(good, labels).where("predicted = 0"))
     single = stages["near_dedup"](spark, kind, sf).cache()
     assert single.columns == docs.columns
-    prints = {r.doc_id: simhash.simhash(r.text) for r in kind.collect()}
     kept = ids(single)
-    label = dict(zip(prints, prints, strict=True))
-    changed = True
-    while changed:
-        changed = False
-        for a, x in prints.items():
-            m = min(label[b] for b, y in prints.items() if (x ^ y).bit_count() <= 4)
-            changed, label[a] = changed or m < label[a], min(m, label[a])
-    assert kept == sorted(i for i in prints if label[i] == i)
+    assert kept == smallest({r.doc_id: r.text or "" for r in kind.collect()})
     cut = stages["substring_dedup"](spark, single, sf).cache()
     assert cut.columns == docs.columns and ids(cut) == kept
-    packed = stages["packing"](spark, cut, sf)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(kept)
+    wanted = {i: b" ".join(w) for i, w, _ in brute([(r.doc_id, r.text) for r in single.collect()], words, 50)}
+    assert {r.doc_id: b" ".join(words(r.text)) for r in cut.collect()} == wanted
+    packed = stages["packing"](spark, cut, sf).collect()
+    assert check(packed, [(r.doc_id, r.text) for r in cut.collect()], Tokenizer.from_file(path(VOCABULARY[0])), 2048) == 0
+
+
+def test_run_with_odd_rows(spark, tmp_path, make):
+    """Nulls, empty, long and repeated texts, columns whose names clash, and an empty table, through the whole chain."""
+    good = "plain words in a plain sentence. "
+    rows = [(k, good * 3 + f"number {k}") for k in range(40)] + [(100, None), (101, ""), (None, good), (102, good * 20000), (102, good * 20000), (103, good * 3 + "number 3")]
+    for name, docs in (("some", make(rows)), ("none", make([]))):
+        sf = str(tmp_path / name)
+        docs.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        out = corpus_pipeline.run(spark, sf).collect()
+        assert {r.doc_id for r in out} <= {i for i, _ in rows} and bool(out) == (name == "some")
+        if out:
+            assert {None, 0, 100, 102} <= {r.doc_id for r in out} and 101 not in {r.doc_id for r in out}  # an empty text is a copy of a null one
 
 
 def test_run(spark, sf):

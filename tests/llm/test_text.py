@@ -114,6 +114,22 @@ def test_scan_edges(spark, make):
     assert licences.scan(make(rows), {}).count() == 0
 
 
+def test_short_notices_lack_a_word(spark, make):
+    """Any one word of five, and any one of a notice of one to nine words that may lack it."""
+    rng = random.Random(4)
+    templates = {f"t{n}": " ".join(f"w{n}x{k}" for k in range(n)) for n in (1, 2, 3, 5, 6, 7, 9, 10, 15)}
+    rows, wanted = [], set()
+    for n, t in enumerate(templates.values()):
+        w = t.split()
+        for lacks in range(int(0.2 * len(w) + 1e-9) + 1):
+            for _ in range(4):
+                at = set(rng.sample(range(len(w)), lacks))
+                rows.append((len(rows), " ".join(["before", *["other" if k in at else x for k, x in enumerate(w)], "after"])))
+                wanted.add((len(rows) - 1, list(templates)[n]))
+    got = {(r.doc_id, r.license) for r in licences.scan(make(rows), templates, 0.8).collect()}
+    assert wanted <= got
+
+
 # SentencePiece
 
 
@@ -140,7 +156,8 @@ def test_memory_limits(monkeypatch, library):
     monkeypatch.setattr(pieces, "REMEMBERED", 50)
     monkeypatch.setattr(pieces, "INDEXED", 64)
     own = pieces.Model(__import__("public_tokenizers").path("piece_bpe_32k.model"))
-    texts = [" ".join(f"word{k * j}" for k in range(40)) for j in range(10)]
+    monkeypatch.setattr(pieces, "LONGEST", 6)
+    texts = [" ".join(f"word{k * j}" for k in range(40)) for j in range(10)] + ["".join("abcdetionhe"[k * k % 11] for k in range(700))]
     assert [x.tolist() for x in own.encode(texts)] == library.encode(texts)
 
 
