@@ -8,14 +8,16 @@ similarity J of equal size differ in a bit with a chance of acos(2J / (1 + J)) /
 at 0.8; so one table misses a pair of that similarity with a chance of 0.907, and all
 tables with one of 0.009 (0.0006 at 0.85).
 
-Every link is verified on the sets. Rounds over a few tables first take spanning forests
-of what does not hang together yet, so that a large ball of near copies costs its members
-and not its pairs. When such a round joins nothing more, all tables propose every pair
-whose members do not hang together by verified links; none is left out.
+Every link is verified on the sets. A node proposes every pair whose members do not hang
+together by verified links yet, or, where these are many, a spanning forest of them, so
+that a large ball of near copies costs its members and not its pairs. A first round takes
+a few tables, then all tables go round until no node has more pairs than it proposes; if
+a round joins nothing although some node has, that node proposes all of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import islice, repeat
@@ -32,8 +34,8 @@ from .common import components, materialise, slot_filter, whole_row
 from .simhash import trie_join
 
 TABLES, EXACT, APART = 48, 14, 11
-#: Tables of a forest round, and the budgets it goes through.
-ROUND, BUDGETS = 4, (3, 7, APART)
+#: Tables of the first round, the budgets that a forest is sought with, and the pairs a node proposes for each of its rows.
+ROUND, BUDGETS, MANY = 4, (3, 7, APART), 4
 #: Rows of a dealt node, or of one side of a tile of a larger one.
 NODE_ROWS = 1 << 16
 #: Shingles worked on at a time.
@@ -113,13 +115,17 @@ def _alike(similarity: float, words_per_shingle: int):
     return alike
 
 
-def _proposed(prints: DataFrame, labels: DataFrame | None, size: int, tables: list[int], every: bool) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of sets under different labels that tables propose: a forest of them, or every one."""
+def _proposed(prints: DataFrame, labels: DataFrame | None, size: int, tables: int, many: float) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of sets under different labels that the first ``tables`` propose.
+
+    A node with more than ``many`` pairs for each of its rows proposes a forest of them; a
+    pair of nulls tells that there was such a node.
+    """
     rows = prints.withColumn("root", F.col("fp"))
     if labels is not None:
         rows = prints.join(labels, prints["fp"] == labels["node"], "left").select("fp", "prints", F.coalesce("root", "fp").alias("root"))
     cut = min(EXACT, max(4, (4 * size // NODE_ROWS).bit_length()))
-    some = F.array(*[F.struct(F.lit(t).alias("t"), F.get("prints", F.lit(t)).alias("v")) for t in tables])
+    some = F.array(*[F.struct(F.lit(t).alias("t"), F.get("prints", F.lit(t)).alias("v")) for t in range(tables)])
     rows = rows.select("fp", "root", F.explode(some).alias("x")).select("x.t", F.shiftrightunsigned("x.v", 64 - cut).alias("tip"), "x.v", "fp", "root")
     hot = materialise(rows.groupBy("t", "tip").count().where(F.col("count") > NODE_ROWS).select("t", "tip", F.ceil(F.col("count") / NODE_ROWS).cast("int").alias("blocks")), "similar-hot")
     if hot.isEmpty():
@@ -136,9 +142,27 @@ def _proposed(prints: DataFrame, labels: DataFrame | None, size: int, tables: li
         tile = key[2].as_py() != key[3].as_py()
         order = np.lexsort((fp, root, v.view(np.uint64), ~first))
         v, fp, root = v[order].view(np.uint64), fp[order], root[order]
-        for x, y in trie_join(v, root, int(first.sum()) if tile else None, cut, 0, budgets, lambda at, budget: budget if at >= exact else 0, every):
+        first = int(first.sum()) if tile else None
+        nodes = lambda every: trie_join(v, root, first, cut, 0, budgets, lambda at, budget: budget if at >= exact else 0, every)
+
+        def batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
             a, b = fp[x], fp[y]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
+        held, count = [], 0
+        for x, y in nodes(True):
+            count += len(x)
+            if many == math.inf:
+                yield batch(x, y)
+            elif count > many * len(v):
+                break
+            else:
+                held.append((x, y))
+        if count > many * len(v):
+            held = nodes(False)
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, schema=schema)
+        for x, y in held:
+            yield batch(x, y)
 
     return rows.select("t", "tip", "i", "j", "v", "fp", "root", "first").groupBy("t", "tip", "i", "j").applyInArrow(join, "a long, b long").distinct()
 
@@ -149,25 +173,24 @@ def links(rows: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5)
     size = prints.count()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs, "similar-pairs")
         met = materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "similar-met")
         some = slot_filter(rows.select("fp", "block"), "fp", met).where("slot_hit").drop("slot_hit")
         texts = materialise(some.join(met.hint("shuffle_hash"), "fp", "left_semi").groupBy("fp").agg(F.first("block").alias("block")), "similar-texts")
         x, y = texts.select(F.col("fp").alias("a"), F.col("block").alias("x")), texts.select(F.col("fp").alias("b"), F.col("block").alias("y"))
         return materialise(pairs.join(x, "a").join(y, "b").where(_alike(similarity, words_per_shingle)("x", "y")).select("a", "b"), "similar-links")
 
-    labels, found, k = None, None, 0
-    every = False
+    labels, found, tables, many = None, None, ROUND, MANY
     while True:
-        tables = list(range(TABLES)) if every else [(ROUND * k + i) % TABLES for i in range(ROUND)]
-        new = verified(_proposed(prints, labels, size, tables, every))
-        some = not new.isEmpty()
-        if some:
+        pairs = materialise(_proposed(prints, labels, size, tables, many), "similar-pairs")
+        whole = tables == TABLES and pairs.where("a is null").isEmpty()
+        new = verified(pairs.where("a is not null"))
+        joined = not new.isEmpty()
+        if joined:
             found = new if found is None else found.union(new)
             labels = components(found, "similar")
-        if every:
+        if whole:
             return labels
-        every, k = not some, k + 1
+        tables, many = TABLES, many if joined or tables < TABLES else math.inf
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:

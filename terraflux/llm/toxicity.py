@@ -228,28 +228,27 @@ class Evidence:
         fewer than ``cover`` of those taken before, so that the rare words a group of near
         copies shares do not get in. Beginnings and extensions of a feature taken are left out.
         """
-        bad = self.held[rows & self.toxic]
-        good = self.held[rows & ~self.toxic]
-        least = max(4, math.ceil(self.support * len(bad)))
-        t, c = bad.sum(axis=0, dtype=np.int64), good.sum(axis=0, dtype=np.int64)
-        weight = np.log((t + 0.5) / (len(bad) + 1) / ((c + 0.5) / (len(good) + 1)))
+        bad, good = rows & self.toxic, rows & ~self.toxic
+        n_bad, n_good = int(bad.sum()), int(good.sum())
+        least = max(4, math.ceil(self.support * n_bad))
+        t, c = (self.held[x].sum(axis=0, dtype=np.int64) for x in (bad, good))
+        weight = np.log((t + 0.5) / (n_bad + 1) / ((c + 0.5) / (n_good + 1)))
         doubt = np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        live = (t >= least) & (weight - 2 * doubt >= odds + 0.1 * math.log(max(1, len(bad))))
-        taken: dict[str, float] = {}
-        times = np.zeros(len(bad), np.int64)
-        rank = np.array([(not k.endswith("*")) * 100 - len(k) for k in self.names], float) * 1e-9
+        some = np.flatnonzero((t >= least) & (weight - 2 * doubt >= odds + 0.1 * math.log(max(1, n_bad))))
+        names, weight, held = [self.names[k] for k in some], weight[some], self.held[np.ix_(bad, some)].astype(np.float32)
+        rank = np.array([(not k.endswith("*")) * 100 - len(k) for k in names], float) * 1e-9
+        live, times, taken = np.ones(len(some), bool), np.zeros(n_bad, np.int64), {}
         while live.any():
-            gain = (times < self.cover).astype(np.float32) @ bad
+            gain = (times < self.cover).astype(np.float32) @ held
             live &= gain >= least
             if not live.any():
                 break
             best = int(np.where(live, gain * weight + rank, -np.inf).argmax())
-            taken[self.names[best]] = float(weight[best])
-            times += bad[:, best] > 0
-            root = self.names[best].rstrip("*")
+            taken[names[best]] = float(weight[best])
+            times += held[:, best] > 0
+            root = names[best].rstrip("*")
             for k in np.flatnonzero(live):
-                other = self.names[k]
-                live[k] = not (other.startswith(root) or root.startswith(other.rstrip("*")))
+                live[k] = not (names[k].startswith(root) or root.startswith(names[k].rstrip("*")))
         return taken
 
     def loss(self, folds: np.ndarray, odds: float) -> float:
@@ -259,14 +258,14 @@ class Evidence:
             lexicon = self.lexicon(folds != f, odds)
             own = np.array([lexicon.get(k, 0.0) for k in self.names])
             x = np.zeros((len(self.held), len(ACCOUNTS)))
-            x[:, 0] = np.log1p(self.held @ own)
+            x[:, 0] = np.log1p(self.held[:, own > 0] @ own[own > 0])
             w = learn_weights(x[folds != f], self.toxic[folds != f].astype(int))
             z = w[0] + x[folds == f] @ w[1:]
             total += float((np.logaddexp(0, z) - self.toxic[folds == f] * z).sum())
         return total
 
 
-def learn_lexicon(sample: DataFrame, support: float = 0.004, grid: tuple[float, ...] = (0.4, 0.8, 1.2, 1.6), most: int = 4000, cover: int = 8, folds: int = 4) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, support: float = 0.004, grid: tuple[float, ...] = (0.4, 0.8, 1.2, 1.6), most: int = 3000, cover: int = 8, folds: int = 4) -> dict[str, float]:
     """The lexicon, by the evidence of the grid that loses least in cross-validation (the clearer of equals)."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = (Counter(), Counter())
@@ -295,7 +294,7 @@ def learn_lexicon(sample: DataFrame, support: float = 0.004, grid: tuple[float,
 
     numbered = sample.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(folds)))
     rows = numbered.mapInPandas(hold, "toxic long, fold long, held array<int>").toPandas()  # bounded by the sample
-    held = np.zeros((len(rows), len(names)), np.float32)
+    held = np.zeros((len(rows), len(names)), np.uint8)
     for i, h in enumerate(rows["held"]):
         held[i, h] = 1
     evidence, fold = Evidence(names, rows["toxic"].to_numpy(), held, support, cover), rows["fold"].to_numpy()

@@ -48,3 +48,13 @@ def test_ball_of_copies_and_edges(spark, make):
     got = similar.deduplicate(make(rows))
     assert sorted((-1 if r.doc_id is None else r.doc_id) for r in got.collect()) == [-1, 0, 500, 502, 504]
     assert similar.deduplicate(make([])).count() == 0
+
+
+def test_forests_and_tiles_lose_no_link(spark, make, monkeypatch):
+    """Nodes that propose forests, and nodes dealt as tiles, give the same groups."""
+    w = [f"v{j}" for j in range(60)]
+    texts = {i: " ".join([*w[: 2 + i % 50], f"z{i}", *w[3 + i % 50 :]]) for i in range(40)} | {100 + i: " ".join(f"w{i}x{j}" for j in range(30)) for i in range(20)}
+    wanted = smallest(texts)
+    for name, value in (("MANY", 0), ("NODE_ROWS", 3)):
+        monkeypatch.setattr(similar, name, value)
+        assert sorted(r.doc_id for r in similar.deduplicate(make(list(texts.items()))).collect()) == wanted
