@@ -40,7 +40,7 @@ from .common import materialise, slot_filter, whole_row
 #: Symbols of an n-gram, and the mark that stands before a text.
 ORDER, START = 5, "\x02"
 #: Characters of a chunk of documents, of text worked on at a time, and of one compressed block; answers of one block.
-CHUNK, PIECE, BLOCK, PACK = 1 << 25, 1 << 20, 1 << 20, 1 << 18
+CHUNK, PIECE, BLOCK, PACK = 1 << 24, 1 << 20, 1 << 20, 1 << 18
 BLOCKS = "chunk long, part int, block binary"
 _MISSING = "the documents were not the same when read again; write them to a table first"
 
