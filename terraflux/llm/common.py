@@ -31,6 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Lists of the tables written since ``recorded`` was entered.
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are written inside."""
+    _RECORDS.append([])
+    try:
+        yield _RECORDS[-1]
+    finally:
+        _RECORDS.pop()
+
+
+def remove(spark: SparkSession, paths: list[str], needed: DataFrame) -> None:
+    """Deletes tables, but for those that ``needed`` reads, and lets Spark drop the shuffle files of plans that are gone."""
+    bare = lambda path: re.sub(r"^[\w+.-]+:/+", "/", path)
+    read = [bare(f) for f in needed.inputFiles()]
+    for path in paths:
+        if not any(f.startswith(bare(path) + "/") for f in read):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
     """Bounds the bytes of a batch that goes to Python, for the jobs run inside: rows with long texts are many MB otherwise."""
@@ -53,6 +78,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/terraflux/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
+    if _RECORDS:
+        _RECORDS[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

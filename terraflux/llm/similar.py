@@ -9,10 +9,10 @@ at 0.8; so one table misses a pair of that similarity with a chance of 0.907, an
 tables with one of 0.009 (0.0006 at 0.85).
 
 Every link is verified on the sets. A node proposes every pair whose members do not hang
-together by verified links yet, or, where these are many, a spanning forest of them, so
-that a large ball of near copies costs its members and not its pairs. A first round takes
-a few tables, then all tables go round until no node has more pairs than it proposes; if
-a round joins nothing although some node has, that node proposes all of them.
+together by verified links yet. Where these are many, the node's texts are sent to one
+task (in blocks), which verifies the pairs there and returns a forest of links; so a large
+ball of near copies moves its members and not its pairs. A first round over a few tables
+joins most of what is alike, a second one takes all tables.
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ from .common import components, materialise, slot_filter, whole_row
 from .simhash import trie_join
 
 TABLES, EXACT, APART = 48, 14, 11
-#: Tables of the first round, the budgets that a forest is sought with, and the pairs a node proposes for each of its rows.
-ROUND, BUDGETS, MANY = 4, (3, 7, APART), 4
-#: Rows of a dealt node, or of one side of a tile of a larger one.
-NODE_ROWS = 1 << 16
+#: Tables of the first round, and the pairs a node proposes for each of its rows.
+ROUND, MANY = 4, 2
+#: Rows of a dealt node, or of one side of a tile of a larger one; texts of one side of a tile that is verified in place.
+NODE_ROWS, TEXTS = 1 << 16, 1 << 12
 #: Shingles worked on at a time.
 STEP = 1 << 11
 
@@ -98,99 +98,156 @@ def _sketches(words_per_shingle: int):
     return sketch
 
 
-def _alike(similarity: float, words_per_shingle: int):
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have the Jaccard similarity."""
+    both = len(a) + len(b)
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (both - common) - 1e-9
+
+
+def _verified(similarity: float, words_per_shingle: int):
     @F.pandas_udf("boolean")
-    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def verified(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         press = zstandard.ZstdDecompressor()
+        of = lambda z: shingles(press.decompress(z).decode(), words_per_shingle)
         for left, right in batches:
-            out = []
-            for x, y in zip(left, right, strict=True):
-                a, b = (shingles(press.decompress(z).decode(), words_per_shingle) for z in (x, y))
-                both = len(a) + len(b)
-                small = min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9
-                common = 0 if small else len(np.intersect1d(a, b, assume_unique=True))
-                out.append(not small and common >= similarity * (both - common) - 1e-9)
-            yield pd.Series(out, dtype=bool)
+            yield pd.Series([alike(of(x), of(y), similarity) for x, y in zip(left, right, strict=True)], dtype=bool)
 
-    return alike
+    return verified
 
 
-def _proposed(prints: DataFrame, labels: DataFrame | None, size: int, tables: int, many: float) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of sets under different labels that the first ``tables`` propose.
+def _tiled(rows: DataFrame, keys: list[str], many: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """``rows`` dealt as tiles: the rows of a key are split into ``blocks``, and each pair of blocks is one.
 
-    A node with more than ``many`` pairs for each of its rows proposes a forest of them; a
-    pair of nulls tells that there was such a node.
+    ``many`` has the keys and ``blocks``; other keys have one block. Columns ``names`` are the
+    tile, ``first`` whether a row is of its first block.
     """
+    own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int")
+    rows = rows.join(many, keys, "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    return rows.withColumns({names[0]: F.least("own", "other"), names[1]: F.greatest("own", "other"), "first": F.col("own") <= F.col("other")}).drop("own", "other", "blocks")
+
+
+def _dealt(prints: DataFrame, labels: DataFrame | None, size: int, tables: int) -> tuple[DataFrame, int]:
+    """The nodes of the first ``tables``: ``t, tip, i, j, v, fp, root, first``; and their depth."""
     rows = prints.withColumn("root", F.col("fp"))
     if labels is not None:
         rows = prints.join(labels, prints["fp"] == labels["node"], "left").select("fp", "prints", F.coalesce("root", "fp").alias("root"))
     cut = min(EXACT, max(4, (4 * size // NODE_ROWS).bit_length()))
     some = F.array(*[F.struct(F.lit(t).alias("t"), F.get("prints", F.lit(t)).alias("v")) for t in range(tables)])
     rows = rows.select("fp", "root", F.explode(some).alias("x")).select("x.t", F.shiftrightunsigned("x.v", 64 - cut).alias("tip"), "x.v", "fp", "root")
-    hot = materialise(rows.groupBy("t", "tip").count().where(F.col("count") > NODE_ROWS).select("t", "tip", F.ceil(F.col("count") / NODE_ROWS).cast("int").alias("blocks")), "similar-hot")
-    if hot.isEmpty():
-        rows = rows.withColumns({"i": F.lit(0), "j": F.lit(0), "first": F.lit(True)})
-    else:  # a node that is too large is dealt as tiles: each pair of its blocks is one
-        rows = rows.join(hot, ["t", "tip"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "first": F.col("own") <= F.col("other")})
-    budgets, exact, schema = list(BUDGETS), EXACT, pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    large = materialise(rows.groupBy("t", "tip").count().where(F.col("count") > NODE_ROWS).select("t", "tip", F.ceil(F.col("count") / NODE_ROWS).cast("int").alias("blocks")), "similar-large")
+    if large.isEmpty():
+        return rows.withColumns({"i": F.lit(0), "j": F.lit(0), "first": F.lit(True)}), cut
+    return _tiled(rows, ["t", "tip"], large, ("i", "j")), cut
+
+
+def _leaves(held: pa.Table, tile: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int | None]:
+    """Leaves in the order of a trie (those of the first block first), their labels, the order, and the rows of the first block."""
+    v, fp, root, first = (held.column(c).to_numpy() for c in ("v", "fp", "root", "first"))
+    order = np.lexsort((fp, root, v.view(np.uint64), ~first))
+    return v[order].view(np.uint64), root[order], order, int(first.sum()) if tile else None
+
+
+def _near(leaf: np.ndarray, label: np.ndarray, left: int | None, cut: int, exact: int, apart: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return trie_join(leaf, label, left, cut, 0, [apart], lambda at, budget: budget if at >= exact else 0, every=True)
 
-    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches))
-        v, fp, root, first = (held.column(c).to_numpy() for c in ("v", "fp", "root", "first"))
-        tile = key[2].as_py() != key[3].as_py()
-        order = np.lexsort((fp, root, v.view(np.uint64), ~first))
-        v, fp, root = v[order].view(np.uint64), fp[order], root[order]
-        first = int(first.sum()) if tile else None
-        nodes = lambda every: trie_join(v, root, first, cut, 0, budgets, lambda at, budget: budget if at >= exact else 0, every)
-
-        def batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-            a, b = fp[x], fp[y]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
+def _proposed(rows: DataFrame, cut: int) -> DataFrame:
+    """Pairs ``a, b`` under different labels; a node with too many gives one row without a pair, with its key and size ``n``."""
+    exact, apart, many = EXACT, APART, MANY
+    ddl = "a long, b long, t int, tip long, i int, j int, n long"
+    schema = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.int32()) for x in ddl.split(", ")])
+
+    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        t, tip, i, j = (k.as_py() for k in key)
+        leaf, label, order, left = _leaves(table, i != j)
+        fp = table.column("fp").to_numpy()[order]
         held, count = [], 0
-        for x, y in nodes(True):
+        for x, y in _near(leaf, label, left, cut, exact, apart):
+            held.append((x, y))
             count += len(x)
-            if many == math.inf:
-                yield batch(x, y)
-            elif count > many * len(v):
-                break
-            else:
-                held.append((x, y))
-        if count > many * len(v):
-            held = nodes(False)
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, schema=schema)
-        for x, y in held:
-            yield batch(x, y)
+            if count > many * len(leaf) + 100:
+                yield pa.RecordBatch.from_pylist([{"a": None, "b": None, "t": t, "tip": tip, "i": i, "j": j, "n": len(leaf)}], schema=schema)
+                return
+        if count:
+            a, b = (fp[np.concatenate([x[k] for x in held])] for k in (0, 1))
+            rest = [pa.nulls(count, f.type) for f in list(schema)[2:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *rest], schema=schema)
+
+    return rows.select("t", "tip", "i", "j", "v", "fp", "root", "first").groupBy("t", "tip", "i", "j").applyInArrow(join, ddl)
+
 
-    return rows.select("t", "tip", "i", "j", "v", "fp", "root", "first").groupBy("t", "tip", "i", "j").applyInArrow(join, "a long, b long").distinct()
+def _forests(rows: DataFrame, cut: int, hot: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
+    """Verified links ``a, b`` inside the nodes of ``hot(t, tip, i, j, n)``: what joins them to one another as far as they are alike.
+
+    ``texts`` has ``fp, block``. Texts are dealt in tiles of at most TEXTS a side.
+    """
+    exact, apart, key = EXACT, APART, ["t", "tip", "i", "j"]
+    some = rows.withColumnRenamed("first", "upper").join(hot.select(*key), key, "left_semi")
+    blocks = hot.select(*key, F.ceil(F.col("n") / TEXTS).cast("int").alias("blocks"))
+    dealt = _tiled(some, key, blocks, ("x", "y")).join(texts, "fp")
+
+    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        leaf, label, order, left = _leaves(table, key[4].as_py() != key[5].as_py())
+        fp, upper, blocks = table.column("fp").to_numpy()[order], table.column("upper").to_numpy()[order], table.column("block").combine_chunks()
+        press, tile = zstandard.ZstdDecompressor(), key[2].as_py() != key[3].as_py()
+        sets: dict[int, np.ndarray] = {}
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles(press.decompress(blocks[order[i]].as_py()).decode(), words_per_shingle)
+            return sets[i]
+
+        top = {int(x): int(x) for x in np.unique(label)}
+
+        def root(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        label, found = label.tolist(), []
+        for a, b in _near(leaf, np.array(label), left, cut, exact, apart):
+            if tile:  # rows of one block of the larger tile meet elsewhere
+                a, b = a[keep := upper[a] != upper[b]], b[keep]
+            for i in np.argsort(np.bitwise_count(leaf[a] ^ leaf[b]), kind="stable").tolist():
+                x, y = root(label[a[i]]), root(label[b[i]])
+                if x != y and alike(of(int(a[i])), of(int(b[i])), similarity):
+                    top[max(x, y)] = min(x, y)
+                    found.append((min(fp[a[i]], fp[b[i]]), max(fp[a[i]], fp[b[i]])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.groupBy(*key, "x", "y").applyInArrow(join, "a long, b long")
 
 
 def links(rows: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame | None:
     """``node, root`` over ``rows(fp, prints, block)``; None if no two texts are alike."""
     prints = materialise(rows.groupBy("fp").agg(F.first("prints").alias("prints")), "similar-prints")
-    size = prints.count()
+    size, labels, found = prints.count(), None, None
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        met = materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "similar-met")
+    def texts(met: DataFrame) -> DataFrame:
+        met = materialise(met.distinct(), "similar-met")
         some = slot_filter(rows.select("fp", "block"), "fp", met).where("slot_hit").drop("slot_hit")
-        texts = materialise(some.join(met.hint("shuffle_hash"), "fp", "left_semi").groupBy("fp").agg(F.first("block").alias("block")), "similar-texts")
-        x, y = texts.select(F.col("fp").alias("a"), F.col("block").alias("x")), texts.select(F.col("fp").alias("b"), F.col("block").alias("y"))
-        return materialise(pairs.join(x, "a").join(y, "b").where(_alike(similarity, words_per_shingle)("x", "y")).select("a", "b"), "similar-links")
-
-    labels, found, tables, many = None, None, ROUND, MANY
-    while True:
-        pairs = materialise(_proposed(prints, labels, size, tables, many), "similar-pairs")
-        whole = tables == TABLES and pairs.where("a is null").isEmpty()
-        new = verified(pairs.where("a is not null"))
-        joined = not new.isEmpty()
-        if joined:
+        return materialise(some.join(met.hint("shuffle_hash"), "fp", "left_semi").groupBy("fp").agg(F.first("block").alias("block")), "similar-texts")
+
+    for tables in (ROUND, TABLES):
+        dealt, cut = _dealt(prints, labels, size, tables)
+        proposed = materialise(_proposed(dealt, cut), "similar-proposed")
+        pairs = proposed.where("a is not null").select("a", "b").distinct()
+        own = texts(pairs.select(F.explode(F.array("a", "b")).alias("fp")))
+        x, y = own.select(F.col("fp").alias("a"), F.col("block").alias("x")), own.select(F.col("fp").alias("b"), F.col("block").alias("y"))
+        new = materialise(pairs.join(x, "a").join(y, "b").where(_verified(similarity, words_per_shingle)("x", "y")).select("a", "b"), "similar-links")
+        hot = proposed.where("a is null").select("t", "tip", "i", "j", "n")
+        if not hot.isEmpty():
+            members = dealt.join(hot.select("t", "tip", "i", "j"), ["t", "tip", "i", "j"], "left_semi").select("fp")
+            new = materialise(new.union(_forests(dealt, cut, hot, texts(members), similarity, words_per_shingle)), "similar-forests")
+        if not new.isEmpty():
             found = new if found is None else found.union(new)
             labels = components(found, "similar")
-        if whole:
-            return labels
-        tables, many = TABLES, many if joined or tables < TABLES else math.inf
+    return labels
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:

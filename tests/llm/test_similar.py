@@ -55,6 +55,6 @@ def test_forests_and_tiles_lose_no_link(spark, make, monkeypatch):
     w = [f"v{j}" for j in range(60)]
     texts = {i: " ".join([*w[: 2 + i % 50], f"z{i}", *w[3 + i % 50 :]]) for i in range(40)} | {100 + i: " ".join(f"w{i}x{j}" for j in range(30)) for i in range(20)}
     wanted = smallest(texts)
-    for name, value in (("MANY", 0), ("NODE_ROWS", 3)):
+    for name, value in (("MANY", -4), ("NODE_ROWS", 3), ("TEXTS", 5)):
         monkeypatch.setattr(similar, name, value)
         assert sorted(r.doc_id for r in similar.deduplicate(make(list(texts.items()))).collect()) == wanted
