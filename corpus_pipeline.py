@@ -2,47 +2,75 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all its predecessor kept. All but
 the last return the columns of ``documents``. ``run`` writes each stage's rows as Parquet
-into the shared folder and rereads them as the next one's input.
+into the shared folder and rereads them as the next one's input. A stage first removes the
+intermediate tables of the stage before it, unless its own input still reads them.
+
+Null and empty texts are neither rejected nor scored toxic; as copies of one another one
+of them stays, and it is packed as its end alone. Texts in a language without trusted
+documents, and all texts where there are no labels, pass the quality stage. Rows with a
+null doc_id pass the near-duplicate and passage stages unchanged; of rows that share a
+doc_id one stays. Very long texts are read whole. Ties between copies go to the smallest
+doc_id. Extra columns, whatever their names, are kept to the last stage. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from terraflux.llm import packing, quality, similar, substrings, toxicity
-from terraflux.llm.common import load, materialise
+from terraflux.llm.common import load, materialise, recorded, remove
 from terraflux.session import ship
 
 
+#: Intermediate tables of the stage called last, whose result may not have been read yet.
+_WRITTEN: list[str] = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, after the package has been sent to the executors and the last stage's tables have been removed."""
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        remove(spark, _WRITTEN, docs)
+        with recorded() as paths:
+            out = f(spark, docs, sf_dir)
+        _WRITTEN[:] = paths
+        return out
+
+    return run_stage
+
+
+@_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose perplexity under the trusted text's model is over their language's threshold."""
-    ship(spark)
     return quality.accept(docs, load(spark, sf_dir, "labels"))
 
 
+@_stage
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents scored toxic."""
-    ship(spark)
     return toxicity.accept(docs, load(spark, sf_dir, "labels"))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the smallest id, of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    ship(spark)
     return similar.deduplicate(docs, similarity=0.8, words_per_shingle=5)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 words or more that a document with a smaller id holds too."""
-    ship(spark)
     return substrings.deduplicate(docs, span=50)
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of at most 2,048 tokens."""
-    ship(spark)
     return packing.pack(docs, capacity=2048, end_id=1)
 
 
