@@ -150,10 +150,10 @@ class Scenario:
         return {2021: cls(suez_capacity=1.05), 2023: cls(panama=K.PANAMA_SLOW), 2024: cls(red_sea=K.RED_SEA_RISK)}.get(year, cls())
 
     def multiplier(self, flags) -> Column:
-        """Applied once; a closed canal counts with the other factors."""
+        """Applied once; a closed canal counts with the other factors, and the strait of Bab el-Mandeb with the Red Sea."""
         flags = _c(flags)
         hit = lambda bit, factor: F.when(flags.bitwiseAND(bit) != 0, F.lit(float(factor))).otherwise(1.0)
-        return F.lit(float(self.global_risk)) * hit(K.SUEZ, 1.0 if self.suez_open else K.SUEZ_CLOSED) * hit(K.PANAMA, self.panama) * hit(K.RED_SEA, self.red_sea)
+        return F.lit(float(self.global_risk)) * hit(K.SUEZ, 1.0 if self.suez_open else K.SUEZ_CLOSED) * hit(K.PANAMA, self.panama) * hit(K.RED_SEA | K.BAB_EL_MANDEB, self.red_sea)
 
 
 def edge_cost(mode, hours, flags, scenario: Scenario) -> Column:

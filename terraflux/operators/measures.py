@@ -8,7 +8,10 @@ for a pair is the product of its regions' atom counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -17,9 +20,10 @@ from ..functions.geo import haversine_km, planar_km
 
 def shares(atoms: DataFrame, keys: tuple[str, ...] = ("region",), weight: str = "weight") -> DataFrame:
     """Adds ``share`` of the region's total; a total of zero gives equal shares."""
-    w = Window.partitionBy(*keys)
-    total = F.sum(weight).over(w)
-    return atoms.withColumn("share", F.when(F.coalesce(total, F.lit(0.0)) == 0, F.lit(1.0) / F.count("*").over(w)).otherwise(F.coalesce(F.col(weight), F.lit(0.0)) / total))
+    total = atoms.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.coalesce(F.sum(weight), F.lit(0.0)).alias("_total"), F.count("*").alias("_count"))
+    same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    share = F.when(F.col("_total") == 0, F.lit(1.0) / F.col("_count")).otherwise(F.coalesce(F.col(weight), F.lit(0.0)) / F.col("_total"))
+    return atoms.join(total, same).withColumn("share", share).drop("_total", "_count", *[f"_{k}" for k in keys])
 
 
 def spherical_centroid(atoms: DataFrame, keys: tuple[str, ...] = ("region",), weight: str | None = "weight") -> DataFrame:
@@ -57,29 +61,52 @@ def power_mean(costs: DataFrame, keys: tuple[str, ...], theta: float, cost: str
     return costs.groupBy(*keys).agg(F.pow(F.sum(F.col(w_o) * F.col(w_d) * F.pow(cost, F.lit(float(theta)))), F.lit(1.0 / theta)).alias("effective"))
 
 
-def effective_distance(meetings: DataFrame, keys: tuple[str, ...] = ("o", "d"), theta: float | Column = -5.0, floor_km: float = K.FLOOR_KM, planar: bool = False) -> DataFrame:
+#: The widest span of theta for which one pass is exact: the least ratio of distances to their bound, to this power, is no underflow.
+_ONE_PASS = 60.0
+
+
+def _one_pass(meetings: DataFrame, keys: tuple[str, ...], thetas: tuple[float, ...], floor_km: float, planar: bool) -> DataFrame:
+    """``keys`` and a column ``d0, d1, ...`` for each theta: one aggregation of the atom pairs, whatever the number of thetas.
+
+    Distances are taken relative to the floor, the least they can be (theta < 0), or to
+    half the girth of the sphere, the greatest (theta > 0), so that no term overflows.
+    """
+    km = (planar_km if planar else haversine_km)("lat_o", "lon_o", "lat_d", "lon_d")
+    rows = meetings.where("w_o > 0 and w_d > 0").select(*keys, (F.col("w_o") * F.col("w_d")).alias("w"), F.greatest(km, F.lit(floor_km)).alias("km"))
+    bound = lambda t: floor_km if t < 0 else math.pi * K.EARTH_KM
+    term = lambda t: F.log("km") if abs(t) < 1e-8 else F.pow(F.col("km") / bound(t), F.lit(t))
+    sums = rows.groupBy(*keys).agg(F.sum("w").alias("mass"), *[F.sum(F.col("w") * term(t)).alias(f"s{k}") for k, t in enumerate(thetas)])
+    mean = lambda k: F.col(f"s{k}") / F.col("mass")
+    return sums.select(*keys, *[(F.exp(mean(k)) if abs(t) < 1e-8 else F.pow(mean(k), F.lit(1.0 / t)) * bound(t)).alias(f"d{k}") for k, t in enumerate(thetas)])
+
+
+def effective_distance(meetings: DataFrame, keys: tuple[str, ...] = ("o", "d"), theta: float = -5.0, floor_km: float = K.FLOOR_KM, planar: bool = False) -> DataFrame:
     """Power-mean distance of atom pairs, stable for any theta: ``d_eff`` by ``keys``.
 
     Distances are floored. Weights are normalised within the pair; only positive ones
     count, and a pair without any has no row. Near theta 0 it is the geometric mean.
-    Two passes: the least (theta < 0) or greatest log-term, then the sum relative to it;
-    both are aggregations with map-side combining.
+    Where a double can hold all terms relative to one bound it is a single aggregation;
+    beyond that, one for the largest log-term and one for the sum relative to it.
     """
     if not 0 < floor_km < float("inf"):
         raise ValueError("floor_km must be finite and positive")
+    if abs(theta) <= _ONE_PASS:
+        return _one_pass(meetings, keys, (float(theta),), floor_km, planar).withColumnRenamed("d0", "d_eff")
     km = (planar_km if planar else haversine_km)("lat_o", "lon_o", "lat_d", "lon_d")
-    rows = meetings.where("w_o > 0 and w_d > 0").select(*keys, (F.col("w_o") * F.col("w_d")).alias("w"), F.log(F.greatest(km, F.lit(floor_km))).alias("ln_d"), (theta if isinstance(theta, Column) else F.lit(float(theta))).alias("power"))
-    top = rows.groupBy(*keys).agg(F.max(F.col("power") * F.col("ln_d")).alias("top"))
-    both = rows.join(top, list(keys))
-    sums = both.groupBy(*keys).agg(F.max("power").alias("power"), F.max("top").alias("top"), F.sum("w").alias("mass"), F.sum(F.col("w") * F.exp(F.col("power") * F.col("ln_d") - F.col("top"))).alias("scaled"), F.sum(F.col("w") * F.col("ln_d")).alias("logs"))
-    d = F.when(F.abs("power") < 1e-8, F.exp(F.col("logs") / F.col("mass"))).otherwise(F.exp((F.col("top") + F.log(F.col("scaled") / F.col("mass"))) / F.col("power")))
-    return sums.select(*keys, d.alias("d_eff"))
+    rows = meetings.where("w_o > 0 and w_d > 0").select(*keys, (F.col("w_o") * F.col("w_d")).alias("w"), (F.log(F.greatest(km, F.lit(floor_km))) * theta).alias("term"))
+    both = rows.join(rows.groupBy(*keys).agg(F.max("term").alias("top")), list(keys))
+    sums = both.groupBy(*keys).agg(F.max("top").alias("top"), F.sum("w").alias("mass"), F.sum(F.col("w") * F.exp(F.col("term") - F.col("top"))).alias("scaled"))
+    return sums.select(*keys, F.exp((F.col("top") + F.log(F.col("scaled") / F.col("mass"))) / theta).alias("d_eff"))
 
 
 def theta_sweep(meetings: DataFrame, thetas: tuple[float, ...], keys: tuple[str, ...] = ("o", "d"), floor_km: float = K.FLOOR_KM) -> DataFrame:
-    """``effective_distance`` for several thetas in one job."""
-    many = meetings.withColumn("theta", F.explode(F.array(*[F.lit(float(t)) for t in thetas])))
-    return effective_distance(many, (*keys, "theta"), F.col("theta"), floor_km)
+    """``effective_distance`` for several thetas, in one aggregation of the atom pairs."""
+    if max(map(abs, thetas)) > _ONE_PASS:
+        parts = [effective_distance(meetings, keys, t, floor_km).select(*keys, F.lit(float(t)).alias("theta"), "d_eff") for t in thetas]
+        return functools.reduce(DataFrame.unionByName, parts)
+    wide = _one_pass(meetings, keys, tuple(map(float, thetas)), floor_km, False)
+    long = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("theta"), F.col(f"d{k}").alias("d_eff")) for k, t in enumerate(thetas)])).alias("x")
+    return wide.select(*keys, long).select(*keys, "x.*")
 
 
 def between_points(a: DataFrame, b: DataFrame, pairs: DataFrame, name: str) -> DataFrame:

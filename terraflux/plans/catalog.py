@@ -307,7 +307,7 @@ def coverage_cut(spark, sf):
     return rounded(components.coverage_cut(X.consumption(spark, sf), 0.8, 20, key="atom").select("region", "atom", "agglom_id", "coverage_share"), 6)
 
 
-_NEAR = f"""WITH RECURSIVE {Q.NATIONS}, {Q.CONSUMPTION}, pts AS (SELECT region, atom, lat, lon, weight FROM consumption WHERE atom % 5 = 0),
+_NEAR = f"""WITH RECURSIVE {Q.NATIONS}, {Q.CONSUMPTION}, pts AS (SELECT region, atom, lat, lon, weight FROM consumption),
 e AS (SELECT a.atom AS a, b.atom AS b FROM pts a JOIN pts b ON a.region = b.region AND a.atom <> b.atom WHERE {Q.km("a.lat", "a.lon", "b.lat", "b.lon")} <= 25),
 reach(n, m) AS (SELECT atom, atom FROM pts UNION SELECT r.n, e.b FROM reach r JOIN e ON e.a = r.m), lab AS (SELECT n, min(m) AS component FROM reach GROUP BY n)"""
 
@@ -369,7 +369,7 @@ _PRICE = {"normal": ("1", "1", "1"), "suez_closed": ("1e6", "1", "1"), "panama_d
 
 def _cost(name: str) -> str:
     s, p, r = _PRICE[name]
-    return f"length_km/24*8*(CASE WHEN flags & 1 <> 0 THEN {s} ELSE 1 END)*(CASE WHEN flags & 2 <> 0 THEN {p} ELSE 1 END)*(CASE WHEN flags & 4 <> 0 THEN {r} ELSE 1 END)"
+    return f"length_km/24*8*(CASE WHEN flags & 1 <> 0 THEN {s} ELSE 1 END)*(CASE WHEN flags & 2 <> 0 THEN {p} ELSE 1 END)*(CASE WHEN flags & 12 <> 0 THEN {r} ELSE 1 END)"
 
 
 @query(f"WITH {Q.NATIONS}, {_SEA} " + " UNION ALL ".join(f"SELECT src, dst, '{n}' AS scenario, round({_cost(n)}, 2) AS cost FROM sea" for n in _PRICE))
@@ -564,11 +564,11 @@ def horse_race(spark, sf):
 # Studies
 
 
-_TEN = f"{Q.NATIONS}, {Q.CONSUMPTION}, ten AS (SELECT region, atom, lat, lon, weight FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY weight DESC, atom) AS rn FROM consumption) WHERE rn <= 10)"
-_TEN_MET = f"{_TEN}, met AS (SELECT a.region AS o, b.region AS d, a.weight*b.weight AS w, greatest(0.5E0, {Q.km('a.lat', 'a.lon', 'b.lat', 'b.lon')}) AS km FROM ten a, ten b)"
+_OWN = f"{Q.NATIONS}, {Q.CONSUMPTION}"
+_OWN_MET = f"{_OWN}, met AS (SELECT a.region AS o, b.region AS d, a.weight*b.weight AS w, greatest(0.5E0, {Q.km('a.lat', 'a.lon', 'b.lat', 'b.lon')}) AS km FROM consumption a, consumption b)"
 
 
-@query(f"WITH {_TEN_MET} {Q.effective('-5')}")
+@query(f"WITH {_OWN_MET} {Q.effective('-5')}")
 def symmetric_matrix(spark, sf):
     return rounded(studies.symmetric_matrix(X.consumption(spark, sf)))
 
@@ -577,7 +577,7 @@ def _internal(t: float) -> str:
     return f"SELECT o AS region, CAST({t} AS DOUBLE) AS theta, d_eff, round(0.67E0*sqrt(n.area/pi()), 4) AS d_hm FROM ({Q.effective(str(t))}) JOIN nations n ON n.region = o WHERE o = d"
 
 
-@query(f"WITH {_TEN_MET} " + " UNION ALL ".join(map(_internal, (-7, -5, -3, -1, 1))))
+@query(f"WITH {_OWN_MET} " + " UNION ALL ".join(map(_internal, (-7, -5, -3, -1, 1))))
 def internal_distances(spark, sf):
     return rounded(studies.internal_distances(X.consumption(spark, sf), X.nations(spark, sf)).drop("ratio"))
 
@@ -590,7 +590,7 @@ def sampling_bias(spark, sf):
 _PLANAR = "(111.32E0*sqrt(pow((((b.lon - a.lon + 180) - 360*floor((b.lon - a.lon + 180)/360)) - 180)*cos(radians((a.lat + b.lat)/2)), 2) + pow(b.lat - a.lat, 2)))"
 
 
-@query(f"WITH {_TEN}, k AS (SELECT a.region, {_PLANAR} AS km FROM ten a JOIN ten b ON a.region = b.region) SELECT region, f AS floor_km, round(pow(avg(pow(greatest(km, f), -5)), -0.2E0), 4) AS d_eff FROM k, (VALUES (1.0E0), (10.0E0), (100.0E0)) v(f) GROUP BY 1, 2")
+@query(f"WITH {_OWN}, k AS (SELECT a.region, {_PLANAR} AS km FROM consumption a JOIN consumption b ON a.region = b.region) SELECT region, f AS floor_km, round(pow(avg(pow(greatest(km, f), -5)), -0.2E0), 4) AS d_eff FROM k, (VALUES (1.0E0), (10.0E0), (100.0E0)) v(f) GROUP BY 1, 2")
 def floor_sweep(spark, sf):
     return rounded(studies.floor_sweep(X.consumption(spark, sf), (1.0, 10.0, 100.0)))
 

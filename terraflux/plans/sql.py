@@ -37,7 +37,8 @@ panel AS (
   SELECT g.t, g.region, g.region, greatest(0.0E0, g.gdp - coalesce(e.exports, 0)), 1, 0.67E0*sqrt(n.area/pi()), g.gdp, g.gdp, 0
   FROM gdp g JOIN nations n ON n.region = g.region LEFT JOIN exports e ON e.o = g.region AND e.t = g.t WHERE g.gdp > 0)"""
 AGGLOMERATIONS = f"""{NATIONS}, {CONSUMPTION}, agg AS (SELECT region AS iso3, lat, lon, weight AS pop, weight*0.5E0 + atom%7 AS viirs, year FROM (
-  SELECT *, row_number() OVER (PARTITION BY region ORDER BY weight DESC, atom) AS rn FROM consumption) x, (VALUES (2020), (2021)) y(year) WHERE rn <= 3)"""
+  SELECT *, row_number() OVER w AS rn, coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (PARTITION BY region) AS tot FROM consumption
+  WINDOW w AS (PARTITION BY region ORDER BY weight DESC, atom)) x, (VALUES (2020), (2021)) y(year) WHERE rn <= 50 AND (rn = 1 OR before/tot < 0.8E0))"""
 YEARLY = f"""{NATIONS}, {CONSUMPTION}, yearly AS (SELECT c.region, o.year, c.lat, c.lon, o.weight FROM consumption c JOIN (
   SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) AS weight FROM orders GROUP BY 1, 2) o ON o.o_custkey = c.atom)"""
 CELLS = f"""{NATIONS}, {CONSUMPTION}, cells AS (SELECT region, r AS row, c AS col, (r + 0.5E0)*0.25E0 - 90 AS lat, (c + 0.5E0)*0.25E0 - 180 AS lon, value,

@@ -70,6 +70,8 @@ def test_scenarios(spark):
     assert price(geo.Scenario.preset("suez_closed"), K.SUEZ) == 1e6
     assert price(geo.Scenario.preset("panama_drought"), K.PANAMA | K.HORMUZ) == 1.8
     assert price(geo.Scenario.for_year(2024), SEA) == 2.5
+    for flags, factor in ((K.RED_SEA, 2.5), (K.BAB_EL_MANDEB, 2.5), (K.RED_SEA | K.BAB_EL_MANDEB, 2.5), (K.SUEZ, 1.0), (K.PANAMA, 1.0), (K.HORMUZ, 1.0), (K.MALACCA, 1.0)):
+        assert price(geo.Scenario.for_year(2024), flags) == factor
     assert price(geo.Scenario.for_year(2021), SEA | K.PANAMA) == 1.0  # capacity prices nothing
     assert price(geo.Scenario(global_risk=2.0), 0) == 2.0
     with pytest.raises(ValueError):
