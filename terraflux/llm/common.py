@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import re
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +88,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@cache
+def _libc():
+    return ctypes.CDLL(ctypes.util.find_library("c")) if sys.platform == "linux" else None
+
+
+def trimmed(batches: Iterable) -> Iterator:
+    """The batches; after the last one the Python worker gives unused memory back to the system.
+
+    Workers are kept from task to task, and the most that any of them took would stay.
+    """
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def trimming(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The generator function over batches, with what it yields ``trimmed``."""
+    def run(batches: Iterator) -> Iterator:
+        return trimmed(f(batches))
+
+    return run
+
+
+def trimming_groups(f: Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The same for a function over a group's key and batches."""
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return trimmed(f(key, batches))
+
+    return run
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct ``row``, so that no name of theirs meets one of an operator's."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, trimming, trimming_groups
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, closed_by string"
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
 #: Bytes of units remembered by a worker, the longest unit remembered, and the bits of a sequence_id that number a task's sequences.
-REMEMBERED, LONGEST, TASK_BITS = 1 << 26, 256, 38
+REMEMBERED, LONGEST, TASK_BITS = 3 << 24, 256, 38
 #: Remainders of a packer, and tokens of a fill level.
 PACKED, WIDTH = 1 << 14, 16
 
@@ -49,15 +50,21 @@ class Encoder(dict):
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         super().__init__()
         self.special, self.used = special, 0
-        self.whole = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self.vocabulary = public_tokenizers.path(vocabulary)
         with open(public_tokenizers.path(ranks), "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.units = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def whole(self):
+        """The library's own tokenizer, loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
     def __missing__(self, unit: str) -> bytes:
         ids = np.array(self.units.encode_ordinary(unit), "<u4").tobytes()
         if len(unit) <= LONGEST:
@@ -218,7 +225,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, vocabulary: str
             yield _rows(own, out)
 
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().cast("long").alias("partition"))
-    rows = materialise(table.mapInArrow(read, f"{PIECES}, ids binary"), "packing-read")
+    rows = materialise(table.mapInArrow(trimming(read), f"{PIECES}, ids binary"), "packing-read")
     left = rows.where("closed_by is null")
     packers = max(1, -(-left.count() // PACKED))
 
@@ -242,7 +249,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, vocabulary: str
         yield _rows(own, out)
 
     dealt = left.withColumn("packer", F.pmod(F.xxhash64("sequence_id"), F.lit(packers)))
-    placed = dealt.groupBy("packer").applyInArrow(place, f"{PIECES}, ids binary")
+    placed = dealt.groupBy("packer").applyInArrow(trimming_groups(place), f"{PIECES}, ids binary")
     made = rows.where("closed_by is not null").unionByName(placed)
     if not with_ids:
         return made.drop("ids")

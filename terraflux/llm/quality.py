@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import materialise, slot_filter, whole_row
+from .common import materialise, slot_filter, trimming, whole_row
 
 #: Symbols of an n-gram, and the mark that stands before a text.
 ORDER, START = 5, "\x02"
@@ -199,7 +199,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         if batch is not None and len(grams.points):
             yield from grams.rows(_chunk(batch, serial))
 
-    return _numbered(texts).mapInArrow(scan, "chunk long, gram string, n long")
+    return _numbered(texts).mapInArrow(trimming(scan), "chunk long, gram string, n long")
 
 
 def _block(chunk: int, part: int, rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -234,7 +234,7 @@ def _blocks(docs: DataFrame, text: str) -> DataFrame:
                 yield put(batch.slice(begin))
                 part += 1
 
-    return _numbered(docs).mapInArrow(scan, BLOCKS)
+    return _numbered(docs).mapInArrow(trimming(scan), BLOCKS)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -352,7 +352,7 @@ def surprisals(docs: DataFrame, model: Model, margin: float, text: str = "text",
         if size:
             yield from out()
 
-    met = answers.mapInArrow(packed, BLOCKS).unionByName(_blocks(docs, text)).repartition("chunk").sortWithinPartitions("chunk", "part")
+    met = answers.mapInArrow(trimming(packed), BLOCKS).unionByName(_blocks(docs, text)).repartition("chunk").sortWithinPartitions("chunk", "part")
     kept = [k for k, c in enumerate(docs.columns) if keep or c != text]
     schema = StructType([*(docs.schema.fields[k] for k in kept), StructField("mean", DoubleType()), StructField("low", DoubleType())])
 
@@ -397,7 +397,7 @@ def surprisals(docs: DataFrame, model: Model, margin: float, text: str = "text",
                     waiting = []
                 yield from scored(block.as_py())
 
-    return met.mapInArrow(score, schema)
+    return met.mapInArrow(trimming(score), schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, slot_filter, whole_row
+from .common import components, materialise, slot_filter, trimmed, trimming_groups, whole_row
 from .simhash import trie_join
 
 TABLES, EXACT, APART = 48, 14, 11
@@ -90,7 +90,7 @@ def _sketches(words_per_shingle: int):
     @F.pandas_udf("fp long, prints array<long>, block binary")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         press = zstandard.ZstdCompressor(level=3)
-        for texts in batches:
+        for texts in trimmed(batches):
             sets = [shingles(t, words_per_shingle) for t in texts]
             own = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
             yield pd.DataFrame({"fp": own, "prints": [fingerprints(s).view(np.int64) for s in sets], "block": [press.compress((t or "").encode()) for t in texts]})
@@ -112,7 +112,7 @@ def _verified(similarity: float, words_per_shingle: int):
     def verified(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         press = zstandard.ZstdDecompressor()
         of = lambda z: shingles(press.decompress(z).decode(), words_per_shingle)
-        for left, right in batches:
+        for left, right in trimmed(batches):
             yield pd.Series([alike(of(x), of(y), similarity) for x, y in zip(left, right, strict=True)], dtype=bool)
 
     return verified
@@ -177,7 +177,7 @@ def _proposed(rows: DataFrame, cut: int) -> DataFrame:
             rest = [pa.nulls(count, f.type) for f in list(schema)[2:]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *rest], schema=schema)
 
-    return rows.select("t", "tip", "i", "j", "v", "fp", "root", "first").groupBy("t", "tip", "i", "j").applyInArrow(join, ddl)
+    return rows.select("t", "tip", "i", "j", "v", "fp", "root", "first").groupBy("t", "tip", "i", "j").applyInArrow(trimming_groups(join), ddl)
 
 
 def _forests(rows: DataFrame, cut: int, hot: DataFrame, texts: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:

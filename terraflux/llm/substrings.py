@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slot_filter, whole_row
+from .common import materialise, slot_filter, trimming, whole_row
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -122,7 +122,7 @@ def path_table(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
 
         return _batches(rows(), _arrow(PATH))
 
-    return docs.where("doc_id is not null").select("doc_id", "of", "text").mapInArrow(scan, PATH)
+    return docs.where("doc_id is not null").select("doc_id", "of", "text").mapInArrow(trimming(scan), PATH)
 
 
 def _marked(docs: DataFrame, spans: DataFrame, column: str = "proof") -> DataFrame:
@@ -157,7 +157,7 @@ def window_table(docs: DataFrame, open_paths: DataFrame, span: int) -> DataFrame
         return _batches(rows(), _arrow(WINDOW))
 
     some = slot_filter(docs.select("doc_id", "of", "text"), "of", open_paths.select("of")).where("slot_hit").drop("slot_hit")
-    return _marked(some, open_paths, "h1").where("spans is not null").select("doc_id", "of", "text", "spans").mapInArrow(scan, WINDOW)
+    return _marked(some, open_paths, "h1").where("spans is not null").select("doc_id", "of", "text", "spans").mapInArrow(trimming(scan), WINDOW)
 
 
 def compacted(spans: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def proved(docs: DataFrame, spans: DataFrame, span: int) -> DataFrame:
     lists = dealt.groupBy("src_doc", "src_of", "slot").agg(F.collect_list(F.struct("src_lo", "src_hi")).alias("spans"))
     some = slot_filter(docs.select("doc_id", "of", "text"), "of", wanted.select("src_of")).where("slot_hit").drop("slot_hit").dropDuplicates(["doc_id", "of"])
     met = some.join(lists.hint("shuffle_hash"), (some["doc_id"] == lists["src_doc"]) & (some["of"] == lists["src_of"]))
-    proofs = met.select("doc_id", "of", "text", "spans").mapInArrow(scan, "src_doc long, src_of long, src_lo int, src_hi int, proof binary")
+    proofs = met.select("doc_id", "of", "text", "spans").mapInArrow(trimming(scan), "src_doc long, src_of long, src_lo int, src_hi int, proof binary")
     return spans.join(proofs, ["src_doc", "src_of", "src_lo", "src_hi"]).select("doc_id", "of", "lo", "hi", "proof")
 
 
@@ -254,7 +254,7 @@ def digest(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], schema.field(i + 1).type) for i in range(3))], schema=schema)
 
     docs = _identified(docs)
-    parts = [x.select("doc_id", "text", "spans").mapInArrow(scan, "doc_id long, n_words long, n_removed long, kept_sha256 string") for x in _applied(docs, docs, span, seed)]
+    parts = [x.select("doc_id", "text", "spans").mapInArrow(trimming(scan), "doc_id long, n_words long, n_removed long, kept_sha256 string") for x in _applied(docs, docs, span, seed)]
     return parts[0].union(parts[1])
 
 
