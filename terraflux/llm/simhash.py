@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import components, materialise, whole_row
 
 CHUNK = 1 << 15
-#: Node pairs expanded at a time; node pairs with at most this many leaf pairs are compared leaf by leaf.
-WIDTH, LEAVES = 1 << 17, 48
+#: Node pairs expanded at a time (each level of the trie may hold four times as many), leaf pairs compared at a time;
+#: node pairs with at most LEAVES leaf pairs are compared leaf by leaf.
+WIDTH, COMPARED, LEAVES = 1 << 14, 1 << 17, 48
 #: The most fingerprints under one dealt node, and the depths to choose from, tried some at a time.
 NODE_ROWS, CUTS = 1 << 18, ((4, 6, 8, 10), (12, 14, 16), (20, 24), (28, 32))
 
@@ -126,7 +127,7 @@ def trie_join(leaf: np.ndarray, label: np.ndarray, left: int | None, depth: int,
                     yield i[near], j[near]
                 elif near.any():
                     found.append((i[near], j[near]))
-                    if sum(len(x) for x, _ in found) > WIDTH:
+                    if sum(len(x) for x, _ in found) > COMPARED:
                         label, *links = _settle(label, *map(np.concatenate, zip(*found, strict=True)))
                         yield tuple(links)
                         seam, found = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])]), []
@@ -150,12 +151,12 @@ def trie_join(leaf: np.ndarray, label: np.ndarray, left: int | None, depth: int,
 
 
 def _blocks(pairs: np.ndarray) -> Iterator[np.ndarray]:
-    """Node pairs, some at a time: about WIDTH leaf pairs, or one node pair."""
+    """Node pairs, some at a time: about COMPARED leaf pairs, or one node pair."""
     total = np.cumsum((pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]))
     at = 0
     while at < len(pairs):
         before = total[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(total, before + WIDTH, "right")))
+        stop = max(at + 1, int(np.searchsorted(total, before + COMPARED, "right")))
         yield pairs[at:stop]
         at = stop
 

@@ -36,7 +36,9 @@ from .simhash import trie_join
 TABLES, EXACT, APART = 48, 14, 11
 #: Tables of the first round, and the pairs a node proposes for each of its rows.
 ROUND, MANY = 4, 2
-#: Rows of a dealt node, or of one side of a tile of a larger one; texts of one side of a tile that is verified in place.
+#: Rows that a dealt node has on average.
+NODE = 1 << 10
+#: The most rows of a dealt node, or of one side of a tile of a larger one; texts of one side of a tile that is verified in place.
 NODE_ROWS, TEXTS = 1 << 16, 1 << 12
 #: Shingles worked on at a time.
 STEP = 1 << 11
@@ -134,7 +136,7 @@ def _dealt(prints: DataFrame, labels: DataFrame | None, size: int, tables: int)
     rows = prints.withColumn("root", F.col("fp"))
     if labels is not None:
         rows = prints.join(labels, prints["fp"] == labels["node"], "left").select("fp", "prints", F.coalesce("root", "fp").alias("root"))
-    cut = min(EXACT, max(4, (4 * size // NODE_ROWS).bit_length()))
+    cut = min(EXACT, max(4, (size // NODE).bit_length()))
     some = F.array(*[F.struct(F.lit(t).alias("t"), F.get("prints", F.lit(t)).alias("v")) for t in range(tables)])
     rows = rows.select("fp", "root", F.explode(some).alias("x")).select("x.t", F.shiftrightunsigned("x.v", 64 - cut).alias("tip"), "x.v", "fp", "root")
     large = materialise(rows.groupBy("t", "tip").count().where(F.col("count") > NODE_ROWS).select("t", "tip", F.ceil(F.col("count") / NODE_ROWS).cast("int").alias("blocks")), "similar-large")
