@@ -151,7 +151,15 @@ def trie_join(leaf: np.ndarray, label: np.ndarray, left: int | None, depth: int,
 
 
 def _blocks(pairs: np.ndarray) -> Iterator[np.ndarray]:
-    """Node pairs, some at a time: about COMPARED leaf pairs, or one node pair."""
+    """Node pairs, some at a time: about COMPARED leaf pairs. A node pair with more (of equal leaves) is taken in strips."""
+    large = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) > COMPARED
+    for a0, a1, b0, b1, d in pairs[large].tolist():
+        wide = max(1, min(b1 - b0, COMPARED))
+        tall = max(1, COMPARED // wide)
+        for a in range(a0, a1, tall):
+            for b in range(b0, b1, wide):
+                yield np.array([[a, min(a + tall, a1), b, min(b + wide, b1), d]])
+    pairs = pairs[~large]
     total = np.cumsum((pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]))
     at = 0
     while at < len(pairs):
