@@ -170,24 +170,27 @@ def compacted(spans: DataFrame) -> DataFrame:
 
 
 def proved(docs: DataFrame, spans: DataFrame, span: int) -> DataFrame:
-    """``doc_id, of, lo, hi, proof``: each span with the digest of the words at its source."""
+    """``doc_id, of, lo, hi, proof``: each span with the digest of the words at its source.
+
+    The spans of a source are listed and meet its text; the lists of all sources are split
+    by the holder into as many as the most wanted source needs to have PROVED in each.
+    """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("src_doc", pa.int64()), ("src_of", pa.int64()), ("src_lo", pa.int32()), ("src_hi", pa.int32()), ("proof", pa.binary())])
         for batch in batches:
-            for doc_id, of, text, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                lo, hi = (listed.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                proofs = _keys(words_of(text.as_py()), lo, hi, span, _digest)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lo), doc_id)), pa.array(np.full(len(lo), of)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(proofs, pa.binary())], schema=schema)
-
-    spans = spans.withColumn("src_hi", F.col("src_lo") + F.col("hi") - F.col("lo"))
-    wanted = materialise(spans.select("src_doc", "src_of", "src_lo", "src_hi").distinct(), "substring-wanted")
-    slots = wanted.groupBy("src_doc", "src_of").agg(F.ceil(F.count("*") / PROVED).cast("int").alias("slots"))
-    dealt = wanted.join(slots, ["src_doc", "src_of"]).withColumn("slot", F.pmod(F.xxhash64("src_lo", "src_hi"), F.col("slots")))
-    lists = dealt.groupBy("src_doc", "src_of", "slot").agg(F.collect_list(F.struct("src_lo", "src_hi")).alias("spans"))
-    some = slot_filter(docs.select("doc_id", "of", "text"), "of", wanted.select("src_of")).where("slot_hit").drop("slot_hit").dropDuplicates(["doc_id", "of"])
+            for text, listed in zip(batch.column(0), batch.column(1), strict=True):
+                doc_id, of, lo, hi, begin = (listed.values.field(k) for k in range(5))
+                low, high = lo.to_numpy(zero_copy_only=False), hi.to_numpy(zero_copy_only=False)
+                src = begin.to_numpy(zero_copy_only=False)
+                places, which = np.unique(np.stack([src, src + high - low], 1), axis=0, return_inverse=True)
+                proofs = _keys(words_of(text.as_py()), places[:, 0], places[:, 1], span, _digest)
+                yield pa.RecordBatch.from_arrays([doc_id, of, lo, hi, pa.array([proofs[k] for k in which.ravel().tolist()], pa.binary())], names=["doc_id", "of", "lo", "hi", "proof"])
+
+    most = spans.groupBy("src_doc", "src_of").count().agg(F.max("count")).first()[0] or 0
+    slot = F.pmod(F.xxhash64("doc_id", "of", "lo"), F.lit(max(1, -(-most // PROVED))))
+    lists = spans.groupBy("src_doc", "src_of", slot.alias("slot")).agg(F.collect_list(F.struct("doc_id", "of", "lo", "hi", "src_lo")).alias("spans"))
+    some = slot_filter(docs.select("doc_id", "of", "text"), "of", spans.select("src_of")).where("slot_hit").drop("slot_hit").dropDuplicates(["doc_id", "of"])
     met = some.join(lists.hint("shuffle_hash"), (some["doc_id"] == lists["src_doc"]) & (some["of"] == lists["src_of"]))
-    proofs = met.select("doc_id", "of", "text", "spans").mapInArrow(trimming(scan), "src_doc long, src_of long, src_lo int, src_hi int, proof binary")
-    return spans.join(proofs, ["src_doc", "src_of", "src_lo", "src_hi"]).select("doc_id", "of", "lo", "hi", "proof")
+    return met.select("text", "spans").mapInArrow(trimming(scan), "doc_id long, of long, lo int, hi int, proof binary")
 
 
 def repeated_spans(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
