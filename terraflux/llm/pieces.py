@@ -31,7 +31,7 @@ MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Bytes of a generation of words, and of word parts, that a worker remembers; the longest of either; pairs of pieces
 #: remembered; characters indexed at a time.
-REMEMBERED, LONGEST, PAIRS, INDEXED = 3 << 25, 128, 1 << 20, 1 << 18
+REMEMBERED, LONGEST, PAIRS, INDEXED = 3 << 26, 128, 3 << 20, 1 << 18
 _SPELLED = -1
 
 
