@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, neighbours, packing, pieces, quality, runs, simhash, substrings, topk, toxicity
+from . import chat, licences, neighbours, packing, pieces, quality, runs, simhash, structure, substrings, topk, toxicity
 from .common import load
 
 
@@ -61,8 +61,13 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.planted(load(spark, sf_dir, "documents")), least=24, times=3)
 
 
+def op13_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations")
+    return structure.report(structure.damaged(turns), turns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_simhash, op3_packing, op4_substrings, op5_licences, op6_neighbours, op7_chat, op8_quality, op9_toxicity, op10_sentencepiece, op12_runs)}
+    return {f.__name__: f for f in (op1_topk, op2_simhash, op3_packing, op4_substrings, op5_licences, op6_neighbours, op7_chat, op8_quality, op9_toxicity, op10_sentencepiece, op12_runs, op13_structure)}
 
 
 #: Exact top-k: quantised inner products of all queries and rows, ranked.
