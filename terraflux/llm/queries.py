@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, neighbours, packing, pieces, quality, runs, simhash, structure, substrings, topk, toxicity
+from . import chat, licences, neighbours, packing, pieces, quality, resharding, runs, simhash, structure, substrings, topk, toxicity
 from .common import load
 
 
@@ -57,6 +57,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(load(spark, sf_dir, "documents"), name="piece_bpe_32k.model")
 
 
+def op11_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.digest(load(spark, sf_dir, "documents"), shards=24, law="bytes")
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.planted(load(spark, sf_dir, "documents")), least=24, times=3)
 
@@ -67,7 +71,7 @@ def op13_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_simhash, op3_packing, op4_substrings, op5_licences, op6_neighbours, op7_chat, op8_quality, op9_toxicity, op10_sentencepiece, op12_runs, op13_structure)}
+    return {f.__name__: f for f in (op1_topk, op2_simhash, op3_packing, op4_substrings, op5_licences, op6_neighbours, op7_chat, op8_quality, op9_toxicity, op10_sentencepiece, op11_resharding, op12_runs, op13_structure)}
 
 
 #: Exact top-k: quantised inner products of all queries and rows, ranked.
