@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -10,14 +13,31 @@ from ..functions.geo import haversine_km
 from .measures import planar_centroid
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only on one machine where it is unset."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: iterations need a folder that all executors share")
+        known = "file:///tmp/checkpoints/terraflux"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(known)
+    return known.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage of an iteration, in the folder the session names for it."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/terraflux")
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written as Parquet into the shared folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/terraflux/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``node, component``: the least node reachable over ``edges(a, b)``, taken in both directions.
 

@@ -502,6 +502,28 @@ def ppml_three_way(spark, sf):
     return rounded(gravity.estimate(p, gravity.GravitySpec(regressors=("trend",), pair=True), "exp-imp-time"), 6)
 
 
+_SAMPLE = f"WITH {Q.PANEL}, s AS (SELECT year, iso3_o, iso3_d, X_ij_usd AS y, ln(dist) AS log_d, home FROM panel WHERE dist > 0)"
+
+
+def _margins_sql(y: str, where: str) -> str:
+    live = f"{_SAMPLE}, l AS (SELECT year, iso3_o, iso3_d, {y} AS y, log_d, home FROM s WHERE {where})"
+    level = lambda e, c: f"SELECT '{e}:' || {c} || '_' || year AS kind, sum(y) AS total FROM l GROUP BY {c}, year"
+    parts = [level("oy", "iso3_o"), level("dy", "iso3_d"), "SELECT 'log_d', sum(y*log_d) FROM l", "SELECT 'home', sum(y*home) FROM l"]
+    return f"{live} SELECT kind, round(total / (SELECT sum(y) FROM l), 7) AS observed, round(total / (SELECT sum(y) FROM l), 7) AS fitted FROM ({' UNION ALL '.join(parts)}) WHERE total IS NOT NULL"
+
+
+@query(_margins_sql("y", "true"))
+def ppml_margins(spark, sf):
+    """The first-order conditions: fitted flows have the observed totals by origin-year, destination-year and regressor."""
+    return rounded(gravity.margins(_sample(spark, sf), gravity.GravitySpec()), 7)
+
+
+@query(_margins_sql("ln(y)", "y > 0"))
+def fe_ols_margins(spark, sf):
+    logs = _sample(spark, sf).where("X_ij_usd > 0").withColumn("log_X", F.log("X_ij_usd"))
+    return rounded(gravity.margins(logs, gravity.GravitySpec(flow="log_X"), "ols"), 7)
+
+
 @query()
 def spec_sweep(spark, sf):
     p = _sample(spark, sf)
