@@ -16,9 +16,10 @@ answers go back to the chunks that asked. The documents of a chunk, compressed,
 their answers in one task, which reads them in pieces.
 
 A document's score is the perplexity at the lower end of the confidence interval of its
-mean surprisal, so that short texts are not judged by a few characters. It is rejected
-where that is over a quantile of the trusted documents in its language by more than
-``slack`` bits a character.
+mean surprisal, so that short texts are not judged by a few characters. A fifth of the
+trusted documents, by hash of doc_id, is kept out of training: what the model has read
+looks too plain to it. A document is rejected where its score is over a quantile of those
+in its language by more than ``slack`` bits a character.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from .common import materialise, slot_filter, trimming, whole_row
 
 #: Symbols of an n-gram, and the mark that stands before a text.
 ORDER, START = 5, "\x02"
+#: One in so many trusted documents is held out.
+HELD_OUT = 5
 #: Characters of a chunk of documents, of text worked on at a time, and of one compressed block; answers of one block.
 CHUNK, PIECE, BLOCK, PACK = 1 << 24, 1 << 20, 1 << 20, 1 << 18
 BLOCKS = "chunk long, part int, block binary"
@@ -405,34 +408,45 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
+def held_out() -> Column:
+    """Whether a trusted document sets the threshold and is not trained on."""
+    return F.pmod(F.xxhash64(F.lit(8), F.col("doc_id").cast("long")), F.lit(HELD_OUT)) == 0
+
+
 def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Model:
-    """The model of all trusted documents of ``docs(doc_id, text)``."""
+    """The model of the trusted documents of ``docs(doc_id, text)`` that are not held out."""
     @F.pandas_udf("binary")
     def small(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         press = zstandard.ZstdCompressor(level=3)
         for x in texts:
             yield pd.Series([None if t is None else press.compress(t.encode()) for t in x], dtype=object)
 
-    trusted = trusted_ids(labels)
+    trusted = trusted_ids(labels).where(~held_out())
     some = slot_filter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", trusted).where("slot_hit").drop("slot_hit")
     met = some.select("doc_id", small("text").alias("block")).join(trusted.hint("shuffle_hash"), "doc_id", "left_semi")
     return train(met.select("block"), order)
 
 
 def told(scored: DataFrame, labels: DataFrame, quantile: float, slack: float) -> DataFrame:
-    """``scored`` (with ``doc_id, lang, mean, low``) and ``verdict``: perplexity, its lower end, threshold, rejected."""
-    known = scored.select("doc_id", "lang", "low").join(trusted_ids(labels), "doc_id", "left_semi").where("low is not null")
-    thresholds = materialise(known.groupBy(F.col("lang").alias("threshold_lang")).agg((F.percentile("low", F.lit(quantile)) + slack).alias("threshold")), "quality-thresholds")
+    """``scored`` (with ``doc_id, lang, mean, low``) and ``verdict``: perplexity, its lower end, threshold, rejected.
+
+    The quantile is read off counts by thousandths of a bit, rounded up.
+    """
+    known = scored.select("doc_id", "lang", "low").join(trusted_ids(labels).where(held_out()), "doc_id", "left_semi").where("low is not null")
+    counts = known.groupBy(F.col("lang").alias("threshold_lang"), F.ceil(F.col("low") * 1000).alias("bits")).agg(F.count("*").alias("n"))
+    by = Window.partitionBy("threshold_lang")
+    upto = counts.withColumn("upto", F.sum("n").over(by.orderBy("bits"))).withColumn("all", F.sum("n").over(by))
+    thresholds = materialise(upto.where(F.col("upto") >= quantile * F.col("all")).groupBy("threshold_lang").agg((F.min("bits") / 1000 + slack).alias("threshold")), "quality-thresholds")
     power = lambda c: F.pow(F.lit(2.0), c)
     verdict = F.struct(power("mean").alias("perplexity"), power("low").alias("perplexity_low"), power("threshold").alias("threshold"), F.coalesce(F.col("low") > F.col("threshold"), F.lit(False)).alias("rejected"))
     return scored.join(thresholds, F.col("lang").eqNullSafe(F.col("threshold_lang")), "left").withColumn("verdict", verdict)
 
 
-def report(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: float = 0.2, margin: float = 2.0, order: int = ORDER) -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 0.15, margin: float = 2.0, order: int = ORDER) -> DataFrame:
     """``doc_id, lang, perplexity, perplexity_low, threshold, rejected`` for each row of ``docs``.
 
     An empty or null text has no perplexity and is not rejected, nor is any text in a
-    language that has no trusted document; a null lang is a language of its own.
+    language that has no held-out trusted document; a null lang is a language of its own.
     Conflicting labels of a document make it untrusted. Very long texts are read in
     pieces. Repeated rows are scored alike. Extra columns are ignored. An empty table
     gives an empty result.
@@ -442,7 +456,7 @@ def report(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: f
     return told(scored, labels, quantile, slack).select("doc_id", "lang", "verdict.*")
 
 
-def accept(docs: DataFrame, labels: DataFrame, quantile: float = 0.998, slack: float = 0.2, margin: float = 2.0, order: int = ORDER) -> DataFrame:
+def accept(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 0.15, margin: float = 2.0, order: int = ORDER) -> DataFrame:
     """``docs`` without those that ``report`` rejects; all columns stay, whatever their names."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", whole_row(docs.drop("text")))
     scored = materialise(surprisals(rows, fit(docs, labels, order), margin), "quality-scored")

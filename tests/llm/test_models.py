@@ -74,22 +74,28 @@ def test_scores_and_thresholds_against_brute_force(spark, make, monkeypatch):
     texts = {k: TRUSTED[k % 5] * (1 + k % 4) for k in range(24)} | {100: "%% ## @@ 99", 101: "猫猫猫 ## dog", 102: "the cat and the dog " * 30}
     docs = make(list(texts.items()))
     labels = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, quality int")
-    p = brute_model([texts[k] for k in range(20)])
+    out = {r.doc_id for r in labels.where(quality.held_out()).collect()}
+    assert 2 <= len(out) < 10
+    p = brute_model([texts[k] for k in range(20) if k not in out])
     lows = {k: brute_low(p, t) for k, t in texts.items()}
-    limit = float(np.quantile([lows[k] for k in range(20)], 0.998)) + 0.2
+    bits = sorted(math.ceil(round(lows[k], 6) * 1000) for k in out)
+    limit = next(b for k, b in enumerate(bits) if k + 1 >= 0.99 * len(bits)) / 1000 + 0.15
     got = {r.doc_id: r for r in quality.report(docs, labels).collect()}
     assert {k: math.log2(r.perplexity_low) for k, r in got.items()} == pytest.approx(lows, abs=1e-4)
-    assert math.log2(got[0].threshold) == pytest.approx(limit, abs=1e-4)
-    assert {k for k, r in got.items() if r.rejected} == {k for k, v in lows.items() if v > limit} != set()
+    assert math.log2(got[0].threshold) == pytest.approx(limit, abs=1.1e-3)
+    assert {k for k, r in got.items() if r.rejected} == {k for k, v in lows.items() if v > math.log2(got[0].threshold)} != set()
 
 
-def test_quality_on_labels(spark):
-    sf = "/root/testdata/sf0.01"
-    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    got = quality.report(docs, labels).join(labels, "doc_id")
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_quality_on_labels_it_never_saw(spark, size):
+    """A third of the labels is taken away before training and thresholds: of their good documents 1 % at most is lost."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    unseen = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    got = quality.report(docs, labels.where(~unseen)).join(labels.where(unseen), "doc_id")
     counts = {(r.quality, r.rejected): r["count"] for r in got.groupBy("quality", "rejected").count().collect()}
-    assert counts.get((1, True), 0) == 0
-    assert counts[0, True] > 0.8 * (counts[0, True] + counts.get((0, False), 0))
+    good, bad = (counts.get((q, False), 0) + counts.get((q, True), 0) for q in (1, 0))
+    assert good > 100 and counts.get((1, True), 0) <= 0.01 * good
+    assert counts[0, True] >= 0.85 * bad
 
 
 def test_quality_edges(spark, make):
