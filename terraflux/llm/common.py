@@ -10,8 +10,10 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+class Written(NamedTuple):
+    """A written table, and a weak reference to what every plan that reads it holds."""
+
+    path: str
+    reader: JavaObject
+
+    def unread(self) -> bool:
+        return self.reader.get() is None
+
+
 #: Lists of the tables written since ``recorded`` was entered.
-_RECORDS: list[list[str]] = []
+_RECORDS: list[list[Written]] = []
 
 
 @contextmanager
-def recorded() -> Iterator[list[str]]:
-    """The paths of the tables that are written inside."""
+def recorded() -> Iterator[list[Written]]:
+    """The tables that are written inside."""
     _RECORDS.append([])
     try:
         yield _RECORDS[-1]
@@ -50,15 +62,11 @@ def recorded() -> Iterator[list[str]]:
         _RECORDS.pop()
 
 
-def remove(spark: SparkSession, paths: list[str], needed: DataFrame) -> None:
-    """Deletes tables, but for those that ``needed`` reads, and lets Spark drop the shuffle files of plans that are gone."""
-    bare = lambda path: re.sub(r"^[\w+.-]+:/+", "/", path)
-    read = [bare(f) for f in needed.inputFiles()]
-    for path in paths:
-        if not any(f.startswith(bare(path) + "/") for f in read):
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    spark._jvm.System.gc()
+def remove(spark: SparkSession, tables: list[Written]) -> None:
+    """Deletes written tables."""
+    for table in tables:
+        place = spark._jvm.org.apache.hadoop.fs.Path(table.path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 @contextmanager
@@ -83,9 +91,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/terraflux/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
     if _RECORDS:
-        _RECORDS[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+        files = table._jdf.queryExecution().analyzed().relation().location()
+        _RECORDS[-1].append(Written(path, spark._jvm.java.lang.ref.WeakReference(files)))
+    return table
 
 
 @cache
