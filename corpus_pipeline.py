@@ -2,8 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all its predecessor kept. All but
 the last return the columns of ``documents``. ``run`` writes each stage's rows as Parquet
-into the shared folder and rereads them as the next one's input. A stage first removes the
-intermediate tables of the stage before it, unless its own input still reads them.
+into the shared folder, rereads them as the next one's input, and removes the stage's
+intermediate tables. A stage that is called by itself removes those of earlier calls that
+no DataFrame reads any more.
 
 Null and empty texts are neither rejected nor scored toxic; as copies of one another one
 of them stays, and it is packed as its end alone. Texts in a language without trusted
@@ -22,23 +23,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from terraflux.llm import packing, quality, similar, substrings, toxicity
-from terraflux.llm.common import load, materialise, recorded, remove
+from terraflux.llm.common import Written, load, materialise, recorded, remove
 from terraflux.session import ship
 
 
-#: Intermediate tables of the stage called last, whose result may not have been read yet.
-_WRITTEN: list[str] = []
+#: Intermediate tables of stages called so far, by application.
+_WRITTEN: dict[str, list[Written]] = {}
 
 
 def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage, after the package has been sent to the executors and the last stage's tables have been removed."""
+    """The stage, after the package has been sent to the executors and tables that nothing reads any more have been removed."""
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        remove(spark, _WRITTEN, docs)
-        with recorded() as paths:
+        held = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+        gone = [t for t in held if t.unread()]
+        remove(spark, gone)
+        with recorded() as made:
             out = f(spark, docs, sf_dir)
-        _WRITTEN[:] = paths
+        held[:] = [t for t in held if t not in gone] + made
         return out
 
     return run_stage
@@ -88,9 +91,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``."""
+    ship(spark)
     docs = load(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialise(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with recorded() as made:
+            docs = materialise(stage.__wrapped__(spark, docs, sf_dir), f"pipeline-{name}")
+        remove(spark, made[:-1])
+    return STAGES[-1][1](spark, docs, sf_dir)
