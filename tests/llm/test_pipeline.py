@@ -1,3 +1,5 @@
+import gc
+
 import corpus_pipeline
 from terraflux.llm import quality, toxicity
 
@@ -36,6 +38,35 @@ def test_stages_one_by_one(spark, words):
     assert check(packed, [(r.doc_id, r.text) for r in cut.collect()], Tokenizer.from_file(path(VOCABULARY[0])), 2048) == 0
 
 
+def test_stages_called_before_the_first_is_read(spark):
+    """Neither result is cached; the second call must not take the first one's tables away, nor a third what is derived from it."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["near_dedup"](spark, docs, sf)
+    second = stages["substring_dedup"](spark, docs, sf)
+    derived = first.select("doc_id")
+    del first
+    stages["near_dedup"](spark, second, sf)
+    assert 0 < derived.count() < second.count() == docs.count()
+
+
+def test_tables_that_nothing_reads_are_removed(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    made = stages["substring_dedup"](spark, docs, sf)
+    held = corpus_pipeline._WRITTEN[spark.sparkContext.applicationId]
+    before = [t.path for t in held]
+    made.count()
+    del made
+    gc.collect()
+    spark._jvm.System.gc()
+    stages["substring_dedup"](spark, docs, sf).count()
+    now = [t.path for t in corpus_pipeline._WRITTEN[spark.sparkContext.applicationId]]
+    assert set(before) - set(now) and set(now) - set(before)
+
+
 def test_run_with_odd_rows(spark, tmp_path, make):
     """Nulls, empty, long and repeated texts, columns whose names clash, and an empty table, through the whole chain."""
     good = "plain words in a plain sentence. "
