@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import geo
-from ..operators import asymmetry, atoms, components, gravity, measures, panel, resistance, routing, stats, studies, transport, velocity
+from ..operators import asymmetry, atoms, components, gravity, measures, panel, polygons, resistance, routing, stats, studies, transport, velocity
 from . import fixtures as X
 from . import sql as Q
 
@@ -462,6 +462,35 @@ def ols_slope(spark, sf):
     return rounded(stats.slope(p, "y", "x", ("home",)), 6)
 
 
+# Polygons
+
+
+@query(f"""WITH {Q.CELLS}, {Q.border_edges(X.BORDER, X.HOLE)}, spots AS (SELECT c.region AS own, c.row, c.col, e.region AS holder, e.x1, e.y1, e.x2, e.y2, c.lat - e.lat AS y, (c.lon - e.lon + 540) % 360 - 180 AS x FROM cells c, edges e)
+SELECT own, row, col, holder FROM spots WHERE least(x1, x2) <= x AND x < greatest(x1, x2) AND y1 + (x - x1)*(y2 - y1)/(x2 - x1) > y GROUP BY own, row, col, holder HAVING count(*) % 2 = 1""")
+def cells_in_polygons(spark, sf):
+    """Which border holds which population cell, some of both across the antimeridian."""
+    cells = X.cells(spark, sf).select(F.col("region").alias("own"), "row", "col", (F.col("lon") + 45).alias("lon"), "lat")
+    return polygons.containing(cells, X.borders(spark, sf)).select("own", "row", "col", F.col("region").alias("holder"))
+
+
+@query(f"""WITH {Q.NATIONS}, {Q.border_edges(X.BORDER, X.HOLE)}, ring AS (SELECT region, hole, abs(sum(radians(x2 - x1)*(CASE WHEN y1 = y2 THEN sin(radians(lat + y1)) ELSE (cos(radians(lat + y1)) - cos(radians(lat + y2)))/radians(y2 - y1) END))) AS a FROM edges GROUP BY region, hole)
+SELECT region, round(sum(CASE WHEN hole = 1 THEN -a ELSE a END)*{polygons.EQUAL_AREA_KM ** 2!r}, 3) AS area_km2 FROM ring GROUP BY region""")
+def polygon_areas(spark, sf):
+    return rounded(polygons.areas(X.borders(spark, sf)), 3)
+
+
+@query(f"""WITH {Q.CELLS}, {Q.border_edges(X.BORDER, X.HOLE)}, spots AS (SELECT c.region AS own, c.row, c.col, c.value, e.region AS holder, e.x1, e.y1, e.x2, e.y2, c.lat - e.lat AS y, (c.lon - e.lon + 540) % 360 - 180 AS x FROM (SELECT min(region) AS region, row, col, sum(value) AS value, min(lat) AS lat, min(lon) AS lon FROM cells GROUP BY row, col) c, edges e),
+held AS (SELECT row, col, holder, any_value(value) AS value FROM spots WHERE least(x1, x2) <= x AND x < greatest(x1, x2) AND y1 + (x - x1)*(y2 - y1)/(x2 - x1) > y GROUP BY row, col, holder HAVING count(*) % 2 = 1),
+block AS (SELECT holder, CAST(floor(row/2.0E0) AS INTEGER) AS r, CAST(floor(col/2.0E0) AS INTEGER) AS c, sum(value) AS value FROM held GROUP BY 1, 2, 3)
+SELECT holder AS region, count(*) AS n_cells, round(sum(value), 2) AS total_mass, round(sum(abs(0.5E0*111.32E0*cos(radians((r + 0.5E0)*0.5E0 - 90))*0.5E0*111.32E0)), 2) AS total_area_km2 FROM block WHERE value > 0 GROUP BY holder""")
+def masked_mass(spark, sf):
+    """A raster masked by polygons, coarsened by two: cells, mass and area of each region."""
+    raster = X.cells(spark, sf).groupBy("row", "col").agg(F.sum("value").alias("value"))
+    affine = (0.25, 0.0, -180.0, 0.0, 0.25, -90.0)
+    own = polygons.members(raster, affine, X.borders(spark, sf, 0.0))
+    return rounded(atoms.mass(atoms.masked(raster, own, affine, k=2)), 2)
+
+
 # Estimators
 
 _BALANCED = f"""WITH {Q.PANEL}, b AS (SELECT c.iso3_o, c.iso3_d, ln(1 + coalesce(sum(f.x), 0)) AS y, ln(max(c.dist)) AS x FROM covariates c LEFT JOIN flows f ON f.o = c.iso3_o AND f.d = c.iso3_d AND f.t = c.year GROUP BY 1, 2),

@@ -81,6 +81,21 @@ def cells(spark: SparkSession, sf_dir: str, degrees: float = 0.25) -> DataFrame:
     return at.withColumn("area_km2", cell_area_km2("lat", degrees))
 
 
+#: Corners of a border and of the hole in it, in degrees from a nation's place.
+BORDER = ((-1.7, -1.3), (1.9, -1.6), (1.2, 1.8), (-1.5, 1.1))
+HOLE = ((-0.4, -0.5), (0.6, -0.3), (0.1, 0.7))
+
+
+def borders(spark: SparkSession, sf_dir: str, shift: float = 45.0) -> DataFrame:
+    """A border with a hole around each nation, moved east so that some cross the antimeridian: ``region, ring, hole, seq, lon, lat``."""
+    corner = lambda ring, k, at: F.struct(F.lit(ring).alias("ring"), F.lit(ring == 1).alias("hole"), F.lit(k).alias("seq"), F.lit(at[0]).alias("dx"), F.lit(at[1]).alias("dy"))
+    corners = F.explode(F.array(*[corner(ring, k, at) for ring, points in enumerate((BORDER, HOLE)) for k, at in enumerate(points)])).alias("c")
+    size = 0.6 + (F.col("region") % 5) * 0.2
+    own = nations(spark, sf_dir).select("region", "lat", "lon", size.alias("size"), corners)
+    east = F.pmod(F.col("lon") + F.col("c.dx") * F.col("size") + (shift + 180), F.lit(360.0)) - 180
+    return own.select("region", "c.ring", "c.hole", "c.seq", east.alias("lon"), (F.col("lat") + F.col("c.dy") * F.col("size")).alias("lat"))
+
+
 def yearly_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consumption atoms weighted by the year's orders: ``region, year, lat, lon, weight``."""
     order = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("atom"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("weight"))

@@ -44,6 +44,15 @@ YEARLY = f"""{NATIONS}, {CONSUMPTION}, yearly AS (SELECT c.region, o.year, c.lat
 CELLS = f"""{NATIONS}, {CONSUMPTION}, cells AS (SELECT region, r AS row, c AS col, (r + 0.5E0)*0.25E0 - 90 AS lat, (c + 0.5E0)*0.25E0 - 180 AS lon, value,
   abs(0.25E0*111.32E0*cos(radians((r + 0.5E0)*0.25E0 - 90))*0.25E0*111.32E0) AS area FROM (
   SELECT region, CAST(floor((lat + 90)/0.25E0) AS INTEGER) AS r, CAST(floor((lon + 180)/0.25E0) AS INTEGER) AS c, sum(weight) AS value FROM consumption GROUP BY 1, 2, 3))"""
+
+
+def border_edges(border: tuple, hole: tuple) -> str:
+    """Edges of the borders relative to their nation's place: ``region, hole, x1, y1, x2, y2``."""
+    sides = [(ring, a, b) for ring, points in enumerate((border, hole)) for a, b in zip(points, points[1:] + points[:1], strict=True)]
+    values = ", ".join(f"({ring}, {a[0]}E0, {a[1]}E0, {b[0]}E0, {b[1]}E0)" for ring, a, b in sides)
+    return f"edges AS (SELECT region, lat, lon, hole, x1*s AS x1, y1*s AS y1, x2*s AS x2, y2*s AS y2 FROM (SELECT *, 0.6E0 + (region % 5)*0.2E0 AS s FROM nations), (VALUES {values}) v(hole, x1, y1, x2, y2))"
+
+
 MEETINGS = f"""{NATIONS}, {CONSUMPTION}, {PRODUCTION}, met AS (SELECT p.region AS o, c.region AS d, p.weight*c.weight AS w, greatest(0.5E0, {km("p.lat", "p.lon", "c.lat", "c.lon")}) AS km FROM production p, consumption c)"""
 
 
