@@ -61,8 +61,10 @@ def power_mean(costs: DataFrame, keys: tuple[str, ...], theta: float, cost: str
     return costs.groupBy(*keys).agg(F.pow(F.sum(F.col(w_o) * F.col(w_d) * F.pow(cost, F.lit(float(theta)))), F.lit(1.0 / theta)).alias("effective"))
 
 
-#: The widest span of theta for which one pass is exact: the least ratio of distances to their bound, to this power, is no underflow.
-_ONE_PASS = 60.0
+
+def _one_pass_holds(theta: float, floor_km: float) -> bool:
+    """Whether a double holds the widest ratio of distances, from the floor to half the girth of the sphere, to this power."""
+    return abs(theta) * abs(math.log10(math.pi * K.EARTH_KM / floor_km)) < 290
 
 
 def _one_pass(meetings: DataFrame, keys: tuple[str, ...], thetas: tuple[float, ...], floor_km: float, planar: bool) -> DataFrame:
@@ -90,7 +92,7 @@ def effective_distance(meetings: DataFrame, keys: tuple[str, ...] = ("o", "d"),
     """
     if not 0 < floor_km < float("inf"):
         raise ValueError("floor_km must be finite and positive")
-    if abs(theta) <= _ONE_PASS:
+    if _one_pass_holds(theta, floor_km):
         return _one_pass(meetings, keys, (float(theta),), floor_km, planar).withColumnRenamed("d0", "d_eff")
     km = (planar_km if planar else haversine_km)("lat_o", "lon_o", "lat_d", "lon_d")
     rows = meetings.where("w_o > 0 and w_d > 0").select(*keys, (F.col("w_o") * F.col("w_d")).alias("w"), (F.log(F.greatest(km, F.lit(floor_km))) * theta).alias("term"))
@@ -101,7 +103,7 @@ def effective_distance(meetings: DataFrame, keys: tuple[str, ...] = ("o", "d"),
 
 def theta_sweep(meetings: DataFrame, thetas: tuple[float, ...], keys: tuple[str, ...] = ("o", "d"), floor_km: float = K.FLOOR_KM) -> DataFrame:
     """``effective_distance`` for several thetas, in one aggregation of the atom pairs."""
-    if max(map(abs, thetas)) > _ONE_PASS:
+    if not all(_one_pass_holds(t, floor_km) for t in thetas):
         parts = [effective_distance(meetings, keys, t, floor_km).select(*keys, F.lit(float(t)).alias("theta"), "d_eff") for t in thetas]
         return functools.reduce(DataFrame.unionByName, parts)
     wide = _one_pass(meetings, keys, tuple(map(float, thetas)), floor_km, False)

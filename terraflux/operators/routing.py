@@ -17,6 +17,7 @@ from ..functions import constants as K
 from ..functions.geo import Scenario, arc_flags, edge_cost, freight_cost, great_circle_km
 from .atoms import systematic_sample
 from .components import checkpointed
+from .measures import overland, power_mean, shares
 
 
 def complete_edges(nodes: DataFrame, within_km: float | None = None) -> DataFrame:
@@ -118,16 +119,19 @@ def nearest_node(points: DataFrame, nodes: DataFrame, key: str = "id", most_broa
         cell *= 2
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000, keys: tuple[str, ...] = ()) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``source, node, cost`` of all nodes reachable from ``sources(node)`` over directed ``src, dst, cost``.
 
-    Relaxation by joins: each round extends what improved in the last, until nothing does.
+    Relaxation by joins: each round extends what improved in the last, until nothing does,
+    after as many rounds as the longest path has edges. Negative costs are an error.
     ``keys`` (a scenario, a mode) separate graphs that are solved side by side.
     """
     edges = checkpointed(edges.groupBy(*keys, "src", "dst").agg(F.min("cost").alias("cost")))
     best = checkpointed(sources.select(*keys, F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")).distinct())
     fresh = best
-    for _ in range(max_rounds):
+    if edges.where("cost < 0").limit(1).count():
+        raise ValueError("costs must not be negative")
+    while True:
         step = fresh.withColumnsRenamed({"node": "src", "cost": "so_far"}).join(edges, [*keys, "src"]).select(*keys, "source", F.col("dst").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost"))
         both = best.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False)))
         after = checkpointed(both.groupBy(*keys, "source", "node").agg(F.min("cost").alias("cost"), F.min(F.when(F.col("old"), F.col("cost"))).alias("was")))
@@ -135,7 +139,6 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000,
         fresh = after.where("was is null or cost < was").select(*keys, "source", "node", "cost")
         if not fresh.limit(1).count():
             return best
-    raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
 
 
 def shortest_paths_local(edges: DataFrame, sources: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
@@ -193,6 +196,48 @@ def least_cost(places: DataFrame, graphs: dict[str, tuple[DataFrame, DataFrame]]
     return direct.join(best, ["o", "d"], "left").select("o", "d", F.coalesce("cost", "direct").alias("cost"), F.coalesce("mode", F.lit("gc_fallback")).alias("mode"))
 
 
+def agglomeration_costs(agglomerations: DataFrame, graphs: dict[str, tuple[DataFrame, DataFrame]], scenarios: dict[int, Scenario]) -> DataFrame:
+    """``iso_o, iso_d, year, share_o, share_d, cost`` of all pairs of agglomerations of two countries in a year.
+
+    ``agglomerations`` has ``iso3, year, lon, lat`` and ``share``; ``scenarios`` says how a
+    year is priced, and other years have no rows. An agglomeration enters a mode's graph at its nearest
+    node. Paths are found once for the nodes in use, all years side by side; each pair then
+    takes its cheapest mode with handling, or the road's great circle where no mode has a path.
+    """
+    place = F.concat_ws("|", "lon", "lat").alias("place")
+    rows = agglomerations.where(F.col("year").isin(*scenarios)).select("iso3", "year", "lon", "lat", "share", place)
+    paths = {}
+    for mode, (nodes, edges) in graphs.items():
+        at = checkpointed(nearest_node(rows.select("place", "lon", "lat").distinct(), nodes, "place"))
+        rows = rows.join(at.withColumnRenamed("node", f"node_{mode}"), "place")
+        by_year = scenario_costs(undirected(edges), {str(y): s for y, s in scenarios.items()}).withColumn("year", F.col("scenario").cast("int"))
+        starts = at.select("node").distinct().withColumn("year", F.explode(F.array(*[F.lit(y) for y in scenarios])))
+        paths[mode] = shortest_paths(by_year, starts, keys=("year",))
+    side = lambda s: rows.select("year", F.col("iso3").alias(f"iso_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("lon", "lat", "share", *[f"node_{m}" for m in graphs])])
+    met = side("o").join(side("d"), "year").where("iso_o <> iso_d")
+    for mode, table in paths.items():
+        own = table.select("year", F.col("source").alias(f"node_{mode}_o"), F.col("node").alias(f"node_{mode}_d"), (F.col("cost") + HANDLING[mode]).alias(f"cost_{mode}"))
+        met = met.join(own, ["year", f"node_{mode}_o", f"node_{mode}_d"], "left")
+    direct = freight_cost(great_circle_km("lon_o", "lat_o", "lon_d", "lat_d"), "road")
+    modes = [F.col(f"cost_{m}") for m in graphs]
+    cheapest = F.least(*modes) if len(modes) > 1 else modes[0] if modes else F.lit(None).cast("double")
+    return met.select("iso_o", "iso_d", "year", "share_o", "share_d", F.coalesce(cheapest, direct).alias("cost"))
+
+
+def lcp_by_year(agglomerations: DataFrame, graphs: dict[str, tuple[DataFrame, DataFrame]], scenarios: dict[int, Scenario], theta: float = -1.0, weight: str = "pop") -> DataFrame:
+    """``iso_o, iso_d, year, d_lcp_multi_t``: power mean of the least costs between the agglomerations of two countries."""
+    shared = shares(agglomerations, ("iso3", "year"), weight)
+    return power_mean(agglomeration_costs(shared, graphs, scenarios), ("iso_o", "iso_d", "year"), theta).withColumnRenamed("effective", "d_lcp_multi_t")
+
+
+def all_variants(agglomerations: DataFrame, graphs: dict[str, tuple[DataFrame, DataFrame]], scenarios: dict[int, Scenario], weighted: DataFrame, centrality: DataFrame | None = None, theta: float = -1.0) -> DataFrame:
+    """The eleven-column panel from agglomerations, graphs and a scenario a year; the static overland distance is the first year's."""
+    over = overland(agglomerations, theta).withColumnRenamed("d_ovdl", "d_ovdl_t")
+    first = agglomerations.agg(F.min("year").alias("year"))
+    static = over.join(F.broadcast(first), "year").select("iso_o", "iso_d", F.col("d_ovdl_t").alias("d_ovdl"))  # one row
+    return variants_wide(lcp_by_year(agglomerations, graphs, scenarios, theta), over, static, weighted, centrality)
+
+
 def variants_wide(lcp: DataFrame, overland: DataFrame, static: DataFrame, weighted: DataFrame, centrality: DataFrame | None = None) -> DataFrame:
     """The eleven-column distance panel.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import geo
-from ..operators import asymmetry, atoms, components, gravity, measures, panel, polygons, resistance, routing, stats, studies, transport, velocity
+from ..operators import asymmetry, atoms, components, gravity, measures, panel, polygons, resistance, routing, stats, studies, transport, tree, velocity
 from . import fixtures as X
 from . import sql as Q
 
@@ -41,6 +41,21 @@ def _meetings(spark: SparkSession, sf: str) -> DataFrame:
 # Distances between clouds
 
 
+@query(f"WITH {Q.MEETINGS} {Q.effective('-5')}")
+def ces_tree(spark, sf):
+    """The directional effective distance by a dual tree in place of all pairs of atoms."""
+    p, c = X.production(spark, sf), X.consumption(spark, sf)
+    return rounded(tree.effective_distance(measures.pairs_of(p, c), p, c))
+
+
+@query(f"WITH {Q.NATIONS}, {Q.CONSUMPTION}, met AS (SELECT a.region AS o, b.region AS d, a.weight*b.weight AS w, greatest(0.5E0, {Q.km('a.lat', 'a.lon', 'b.lat', 'b.lon')}) AS km FROM consumption a JOIN consumption b ON a.region = b.region) SELECT o AS region, d_eff FROM ({Q.effective('-1')})")
+def internal_tree(spark, sf):
+    """Each nation's harmonic distance to itself by a dual tree."""
+    c = X.consumption(spark, sf)
+    own = c.select(F.col("region").alias("o"), F.col("region").alias("d")).distinct()
+    return rounded(tree.effective_distance(own, c, c, theta=-1.0).select(F.col("o").alias("region"), "d_eff"))
+
+
 @query(f"WITH {Q.MEETINGS} {Q.effective('-5')}")
 def ces_directional(spark, sf):
     return rounded(asymmetry.directional_matrix(X.production(spark, sf), X.consumption(spark, sf)))
@@ -393,35 +408,50 @@ def shortest_paths(spark, sf):
     return rounded(routing.shortest_paths(e, X.hubs(spark, sf).select(F.col("id").alias("node"))), 2)
 
 
-@query()
-def lcp_min_mode(spark, sf):
+def _lcp_sql(years: dict[int, str]) -> str:
+    """Paths of both modes for each year's scenario, and agglomerations with the nation nearest to each."""
+    sea = " UNION ALL ".join(f"SELECT CAST({y} AS INTEGER) AS year, 'maritime' AS mode, {a} AS src, {b} AS dst, {_cost(n)} AS cost FROM sea" for y, n in years.items() for a, b in (("src", "dst"), ("dst", "src")))
+    km = Q.km("a.lat", "a.lon", "b.lat", "b.lon")
+    air = " UNION ALL ".join(f"SELECT CAST({y} AS INTEGER), 'air', CAST(a.region AS BIGINT), CAST(b.region AS BIGINT), 220*({km}/850 + 4) FROM nations a, nations b WHERE a.region <> b.region AND {km} <= 15000" for y in years)
+    return f"""WITH RECURSIVE {Q.AGGLOMERATIONS}, {_SEA}, e AS ({sea} UNION ALL {air}),
+p(year, mode, source, node, cost, hops) AS (SELECT DISTINCT year, mode, src, src, 0.0E0, 0 FROM e UNION ALL SELECT p.year, p.mode, p.source, e.dst, p.cost + e.cost, p.hops + 1 FROM p JOIN e ON e.src = p.node AND e.year = p.year AND e.mode = p.mode WHERE p.hops < 3),
+path AS (SELECT year, mode, source, node, min(cost) + CASE WHEN mode = 'air' THEN 880 ELSE 192 END AS cost FROM p GROUP BY year, mode, source, node),
+way AS (SELECT year, source, node, min(cost) AS cost, arg_min(mode, cost + CASE WHEN mode = 'air' THEN 1E-9 ELSE 0 END) AS mode FROM path GROUP BY year, source, node),
+spot AS (SELECT g.iso3, g.year, g.lat, g.lon, g.pop/sum(g.pop) OVER (PARTITION BY g.iso3, g.year) AS share, (SELECT arg_min(n.region, (g.lon-n.lon)*(g.lon-n.lon) + (g.lat-n.lat)*(g.lat-n.lat)) FROM nations n) AS node, g.viirs, g.pop FROM agg g)"""
+
+
+_LCP_YEARS = {2020: "normal", 2021: "red_sea_crisis"}
+_LCP_MEAN = "SELECT a.iso3 AS iso_o, b.iso3 AS iso_d, a.year, 1/sum(a.share*b.share/w.cost) AS d FROM spot a JOIN spot b ON a.year = b.year AND a.iso3 <> b.iso3 JOIN way w ON w.year = a.year AND w.source = a.node AND w.node = b.node GROUP BY 1, 2, 3"
+
+
+def _graphs(spark, sf) -> dict[str, tuple[DataFrame, DataFrame]]:
     h = X.hubs(spark, sf)
-    pairs = h.select(F.col("id").alias("o"), F.lit(1).alias("_a")).join(h.select(F.col("id").alias("d"), F.lit(1).alias("_a")), "_a").where("o <> d").drop("_a")
-    return rounded(routing.least_cost(h, {"maritime": (h, routing.maritime_edges(h)), "air": (h, routing.air_edges(h))}, geo.Scenario.for_year(2024), pairs), 2)
+    return {"maritime": (h, routing.maritime_edges(h)), "air": (h, routing.air_edges(h))}
 
 
-def _lcp(spark, sf) -> DataFrame:
-    lcp = lcp_min_mode(spark, sf).select(F.col("o").cast("int").alias("iso3_o"), F.col("d").cast("int").alias("iso3_d"), "cost")
-    a = measures.shares(X.agglomerations(spark, sf), ("iso3", "year"), "pop")
-    side = lambda s: a.select("year", F.col("iso3").alias(f"iso3_{s}"), F.col("share").alias(f"share_{s}"))
-    met = side("o").join(side("d"), "year").join(lcp, ["iso3_o", "iso3_d"])
-    return measures.power_mean(met, ("iso3_o", "iso3_d", "year"), -1.0).select(F.col("iso3_o").alias("iso_o"), F.col("iso3_d").alias("iso_d"), "year", F.col("effective").alias("d_lcp_multi_t"))
+@query(f"{_lcp_sql({2024: 'red_sea_crisis'})} SELECT source AS o, node AS d, round(cost, 2) AS cost, mode FROM way WHERE source <> node")
+def lcp_min_mode(spark, sf):
+    h = X.hubs(spark, sf)
+    pairs = measures.pairs_of(h.withColumnRenamed("id", "region"), h.withColumnRenamed("id", "region"), same=False)
+    return rounded(routing.least_cost(h, _graphs(spark, sf), geo.Scenario.for_year(2024), pairs), 2)
 
 
-@query()
+@query(f"{_lcp_sql(_LCP_YEARS)} SELECT iso_o, iso_d, year, round(d, 4) AS d_lcp_multi_t FROM ({_LCP_MEAN})")
 def lcp_multi_t(spark, sf):
-    return rounded(_lcp(spark, sf))
+    """Each pair of agglomerations has its own cost, each year its own scenario."""
+    return rounded(routing.lcp_by_year(X.agglomerations(spark, sf), _graphs(spark, sf), {y: geo.Scenario.preset(n) for y, n in _LCP_YEARS.items()}))
 
 
-@query()
+@query(f"""{_lcp_sql(_LCP_YEARS)}, lcp AS ({_LCP_MEAN}),
+over AS (SELECT a.iso3 AS iso_o, b.iso3 AS iso_d, a.year, 1/sum(a.share*b.share/greatest(0.5E0, {Q.km("a.lat", "a.lon", "b.lat", "b.lon")})) AS d FROM spot a JOIN spot b ON a.year = b.year AND a.iso3 <> b.iso3 GROUP BY 1, 2, 3)
+SELECT o.iso_o, o.iso_d, o.year, round({Q.km("x.lat", "x.lon", "y.lat", "y.lon")}, 4) AS d_cepii_distw, round(s.d, 4) AS d_ovdl, round(o.d, 4) AS d_ovdl_t, CAST(NULL AS DOUBLE) AS d_lcp_road, CAST(NULL AS DOUBLE) AS d_lcp_multi, round(l.d, 4) AS d_lcp_multi_t, CAST(NULL AS DOUBLE) AS d_lcp_act,
+  round(CASE WHEN o.year = 2020 THEN l.d/(x.bloc + 1.0E0) ELSE l.d END, 4) AS d_net_adj
+FROM over o JOIN over s ON s.iso_o = o.iso_o AND s.iso_d = o.iso_d AND s.year = 2020 JOIN lcp l ON l.iso_o = o.iso_o AND l.iso_d = o.iso_d AND l.year = o.year JOIN nations x ON x.region = o.iso_o JOIN nations y ON y.region = o.iso_d""")
 def distance_variants_wide(spark, sf):
-    a = X.agglomerations(spark, sf)
-    over = measures.overland(a).withColumnRenamed("d_ovdl", "d_ovdl_t")
-    static = over.where("year = 2020").select("iso_o", "iso_d", F.col("d_ovdl_t").alias("d_ovdl"))
     n = X.nations(spark, sf)
     weighted = measures.m1_capital(n, measures.pairs_of(n, n, same=False)).select(F.col("o").alias("iso_o"), F.col("d").alias("iso_d"), F.col("m1").alias("d_cepii_distw"))
     central = n.select(F.col("region").alias("iso3"), F.lit(2020).alias("year"), (F.col("bloc") + 1.0).alias("centrality_norm"))
-    return rounded(routing.variants_wide(_lcp(spark, sf), over, static, weighted, central))
+    return rounded(routing.all_variants(X.agglomerations(spark, sf), _graphs(spark, sf), {y: geo.Scenario.preset(n) for y, n in _LCP_YEARS.items()}, weighted, central))
 
 
 # Statistics

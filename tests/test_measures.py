@@ -141,3 +141,14 @@ def test_overland(spark):
     rows = measures.overland(a).collect()
     km = spark.range(1).select(haversine_km(0.0, 0.0, 0.0, 10.0).alias("v")).first().v
     assert len(rows) == 2 and rows[0].d_ovdl == pytest.approx(km)
+
+
+@pytest.mark.parametrize("theta,floor", [(-55.0, 0.01), (-61.0, 0.01), (-55.0, 0.5), (59.0, 0.5), (-5.0, 1e-60)])
+def test_power_mean_is_finite_at_any_floor(spark, theta, floor):
+    """One pair of atoms: the mean is their distance, whatever theta and floor."""
+    a = spark.createDataFrame([(0, 0.0, 0.0, 1.0)], "region int, lat double, lon double, weight double")
+    b = spark.createDataFrame([(1, 0.0, 170.0, 1.0)], "region int, lat double, lon double, weight double")
+    met = measures.atom_pairs(measures.pairs_of(a, b), a, b)
+    wanted = 6371.0 * np.radians(170)
+    assert measures.effective_distance(met, theta=theta, floor_km=floor).first().d_eff == pytest.approx(wanted)
+    assert measures.theta_sweep(met, (theta,), floor_km=floor).first().d_eff == pytest.approx(wanted)
