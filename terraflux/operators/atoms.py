@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell_area_km2, cell_centre
+from .order import running
 
 
 def coarsen(cells: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -44,8 +45,8 @@ def mass(cells: DataFrame) -> DataFrame:
 def to_atoms(cells: DataFrame, by_area: bool = True) -> DataFrame:
     """``region, lat, lon, weight`` that sum to one by region; a total of zero gives zero weights."""
     w = F.col("value") * F.col("area_km2") if by_area else F.col("value")
-    total = F.sum(w).over(Window.partitionBy("region"))
-    return cells.select("region", "lat", "lon", F.when(total > 0, w / total).otherwise(0.0).alias("weight"))
+    total = cells.groupBy("region").agg(F.sum(w).alias("_total"))
+    return cells.join(total, "region").select("region", "lat", "lon", F.when(F.col("_total") > 0, w / F.col("_total")).otherwise(0.0).alias("weight"))
 
 
 def capped(atoms: DataFrame, most: int, strategy: str = "top", key: str = "atom", weight: str = "weight", seed: int = 42, by: tuple[str, ...] = ("region",)) -> DataFrame:
@@ -73,10 +74,9 @@ def from_raster(cells: DataFrame, affine: tuple, least: float = 1e-9, most: int
     """Atoms of masked cells ``region, row, col, value``: those above ``least``, shares after the cap, mass before it."""
     lon, lat = cell_centre("row", "col", affine)
     own = cells.where((F.col("value") > least) & ~F.isnan("value") & (F.col("value") < float("inf"))).withColumns({"lat": lat, "lon": lon, "atom": F.concat_ws(",", "row", "col")})
-    own = own.withColumn("total_mass", F.sum("value").over(Window.partitionBy("region")))
-    if most:
-        own = capped(own, most, weight="value")
-    return own.withColumn("weight", F.col("value") / F.sum("value").over(Window.partitionBy("region"))).select("region", "lat", "lon", "weight", "total_mass")
+    sums = lambda t, name: t.groupBy("region").agg(F.sum("value").alias(name))
+    kept = capped(own, most, weight="value") if most else own
+    return kept.join(sums(own, "total_mass"), "region").join(sums(kept, "_kept"), "region").select("region", "lat", "lon", (F.col("value") / F.col("_kept")).alias("weight"), "total_mass")
 
 
 def systematic_sample(table: DataFrame, order: tuple[str, ...], most: int) -> DataFrame:
@@ -84,8 +84,7 @@ def systematic_sample(table: DataFrame, order: tuple[str, ...], most: int) -> Da
     if most < 1:
         raise ValueError("most must be positive")
     step = max(1, table.count() // most)
-    w = Window.orderBy(*order)  # a list of hubs, thousands of rows
-    return table.withColumn("_k", F.row_number().over(w) - 1).where((F.col("_k") % step == 0) & (F.col("_k") < step * most)).drop("_k")
+    return running(table, [F.col(c) for c in order]).where((F.col("_rank") % step == 0) & (F.col("_rank") < step * most)).drop("_rank", "_before", "_count", "_total")
 
 
 def wrapped_longitude(lon: Column) -> Column:

@@ -96,12 +96,12 @@ def coverage_cut(points: DataFrame, target: float = K.COVERAGE, most: int = K.MO
 
     Adds ``agglom_id`` (rank from 0) and ``coverage_share``, the final share on every row.
     """
-    order = Window.partitionBy(*by).orderBy(F.desc(weight), key)
-    whole = Window.partitionBy(*by)
-    before = F.coalesce(F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = points.withColumns({"agglom_id": F.row_number().over(order) - 1, "_before": before, "_total": F.sum(weight).over(whole)})
+    from .order import running
+
+    ranked = running(points, [F.desc(weight), F.col(key)], by, weight).withColumn("agglom_id", F.col("_rank").cast("int"))
     kept = ranked.where((F.col("agglom_id") < most) & ((F.col("agglom_id") == 0) | (F.col("_before") / F.col("_total") < target)))
-    return kept.withColumn("coverage_share", F.sum(weight).over(whole) / F.col("_total")).drop("_before", "_total")
+    whole = Window.partitionBy(*by)  # at most ``most`` rows
+    return kept.withColumn("coverage_share", F.sum(weight).over(whole) / F.col("_total")).drop("_before", "_total", "_rank", "_count")
 
 
 def window_sum(points: DataFrame, cells: DataFrame, radius_deg: float, value: str = "value", key: str = "id") -> DataFrame:

@@ -2,36 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import order
+
 
 def average_rank(table: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``rank_<column>``, ties sharing the mean of their ranks."""
-    w = Window.partitionBy(*by).orderBy(column)
-    ties = Window.partitionBy(*by, column)
-    return table.withColumn(f"rank_{column}", F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0)
+    """Adds ``rank_<column>``, ties sharing the mean of their ranks; null for a null."""
+    return _ranked(table, column, by, f"rank_{column}")
+
+
+def _ranked(table: DataFrame, column: str, by: tuple[str, ...], name: str) -> DataFrame:
+    ranks = order.average_ranks(table, column, by)
+    right = ranks.select(*[F.col(c).alias(f"_to_{c}") for c in (*by, column)], F.col("rank").alias(name))
+    same = F.col(column) == F.col(f"_to_{column}")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_to_{b}"))
+    return table.join(right, same, "left").drop(*[f"_to_{c}" for c in (*by, column)])
 
 
 def correlations(table: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Pearson and Spearman correlation, and the number of rows with both values.
 
-    Ranks come from counts of distinct values, so ties are counted once and the running
-    sums go over distinct values only.
+    Ranks come from counts of distinct values, so ties are counted once; a group may be of any size.
     """
     rows = table.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     for c in (x, y):
-        counts = rows.groupBy(*by, c).agg(F.count("*").alias("_n"))
-        w = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = counts.select(*by, c, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(f"_r_{c}"))
-        rows = rows.join(ranks, [*by, c])
+        rows = _ranked(rows, c, by, f"_r_{c}")
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr(f"_r_{x}", f"_r_{y}").alias("spearman"))
 
 
 def summary(table: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Count, mean, median, tenth and ninetieth percentile (linear), least and greatest."""
-    q = lambda p: F.percentile(column, F.lit(p))
-    return table.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), q(0.5).alias("median"), q(0.1).alias("p10"), q(0.9).alias("p90"), F.min(column).alias("least"), F.max(column).alias("greatest"))
+    sums = table.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("least"), F.max(column).alias("greatest"))
+    points = {"median": 0.5, "p10": 0.1, "p90": 0.9}
+    found = order.quantiles(table, column, points, by)
+    same = F.lit(True)
+    for b in by:
+        same = same & sums[b].eqNullSafe(found[b])
+    met = sums.join(F.broadcast(found), how="left") if not by else sums.join(found, same, "left")  # one row without keys
+    return met.select(*[sums[b] for b in by], "n", "mean", *points, "least", "greatest")
 
 
 def slope(table: DataFrame, y: str, x: str, by: tuple[str, ...] = ()) -> DataFrame:
