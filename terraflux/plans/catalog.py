@@ -627,7 +627,18 @@ def sinkhorn_divergence(spark, sf):
     return rounded(transport.m8_sinkhorn(*_clouds(spark, sf)))
 
 
-@query()
+_SLICED = f"""WITH {Q.NATIONS}, {Q.CONSUMPTION}, {Q.PRODUCTION}, ways(k, c, s) AS (VALUES {", ".join(f"({k}, cos({a!r}E0), sin({a!r}E0))" for k, a in enumerate(transport.sliced_angles()))}),
+po AS (SELECT region AS o, lat, lon, weight/sum(weight) OVER (PARTITION BY region) AS w FROM production), pd AS (SELECT region AS d, lat, lon, weight/sum(weight) OVER (PARTITION BY region) AS w FROM consumption),
+xo AS (SELECT o, k, lat*c + lon*s AS x, sum(w) OVER (PARTITION BY o, k ORDER BY lat*c + lon*s, w ROWS UNBOUNDED PRECEDING) AS q FROM po, ways),
+xd AS (SELECT d, k, lat*c + lon*s AS x, sum(w) OVER (PARTITION BY d, k ORDER BY lat*c + lon*s, w ROWS UNBOUNDED PRECEDING) AS q FROM pd, ways),
+both_sides AS (SELECT o, d, k, q, x AS a, NULL AS b FROM xo, (SELECT DISTINCT d FROM pd) UNION ALL SELECT o, d, k, q, NULL, x FROM xd, (SELECT DISTINCT o FROM po)),
+seg AS (SELECT o, d, k, q - coalesce(lag(q) OVER w, 0) AS width, first_value(a IGNORE NULLS) OVER f AS a, first_value(b IGNORE NULLS) OVER f AS b FROM both_sides
+  WINDOW w AS (PARTITION BY o, d, k ORDER BY q), f AS (PARTITION BY o, d, k ORDER BY q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+slice AS (SELECT o, d, k, sum(width*(a - b)*(a - b)) AS square FROM seg GROUP BY o, d, k)
+SELECT o, d, round(sqrt(avg(square))*111.32E0*cos(radians((any_value(mo) + any_value(md))/2)), 4) AS m9 FROM slice JOIN (SELECT o, sum(w*lat) AS mo FROM po GROUP BY o) USING (o) JOIN (SELECT d, sum(w*lat) AS md FROM pd GROUP BY d) USING (d) GROUP BY o, d"""
+
+
+@query(_SLICED)
 def sliced_wasserstein(spark, sf):
     return rounded(transport.m9_sliced(*_clouds(spark, sf)))
 
@@ -663,7 +674,14 @@ def internal_distances(spark, sf):
     return rounded(studies.internal_distances(X.consumption(spark, sf), X.nations(spark, sf)).drop("ratio"))
 
 
-@query()
+def _own_sql(source: str, name: str) -> str:
+    km = f"greatest(0.5E0, {Q.km('a.lat', 'a.lon', 'b.lat', 'b.lon')})"
+    return f"{name} AS (SELECT region, 0.5E0*pow(sum(w*pow(km/0.5E0, -5))/sum(w), -0.2E0) AS d FROM (SELECT a.region, a.weight*b.weight AS w, {km} AS km FROM {source} a JOIN {source} b ON a.region = b.region) GROUP BY region)"
+
+
+@query(f"""WITH {Q.NATIONS}, {Q.CONSUMPTION}, heaviest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY weight DESC, atom) AS rn FROM consumption) WHERE rn <= 25),
+drawn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY ln({_U})/weight DESC, atom) AS rn FROM consumption) WHERE rn <= 25), {_own_sql('consumption', 'base')}, {_own_sql('heaviest', 'top')}, {_own_sql('drawn', 'sampled')}
+SELECT region, round(base.d, 4) AS base, round(top.d, 4) AS top, round(sampled.d, 4) AS sampled FROM base JOIN top USING (region) JOIN sampled USING (region)""")
 def sampling_bias(spark, sf):
     return rounded(studies.sampling_bias(X.consumption(spark, sf), 25))
 
