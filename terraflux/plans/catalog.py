@@ -598,6 +598,13 @@ def multilateral_resistance(spark, sf):
     return rounded(resistance.resistances(_panel(spark, sf).withColumn("distance", F.col("distw_harmonic")), -1.0, 0.5), 8)
 
 
+@query(f"""WITH {Q.PANEL}, total AS (SELECT year, sum(X_ij_usd) AS x FROM panel GROUP BY year), own AS (SELECT year, 'exports' AS side, iso3_o AS iso3, sum(X_ij_usd) AS x FROM panel GROUP BY year, iso3_o UNION ALL SELECT year, 'imports', iso3_d, sum(X_ij_usd) FROM panel GROUP BY year, iso3_d)
+SELECT year, side, iso3, round(own.x/total.x, 8) AS observed, round(own.x/total.x, 8) AS fitted FROM own JOIN total USING (year)""")
+def resistance_margins(spark, sf):
+    """The margin equations, recomputed from the panel's cells and the resistances."""
+    return rounded(resistance.margins(_panel(spark, sf).withColumn("distance", F.col("distw_harmonic")), -1.0, 0.5), 8)
+
+
 @query()
 def home_multiplier(spark, sf):
     return rounded(resistance.home_multiplier(_panel(spark, sf).withColumn("distance", F.col("distw_harmonic")), -1.0, 0.5, named=(0, 1)), 6)
