@@ -564,20 +564,20 @@ def ppml_three_way(spark, sf):
 _SAMPLE = f"WITH {Q.PANEL}, s AS (SELECT year, iso3_o, iso3_d, X_ij_usd AS y, ln(dist) AS log_d, home FROM panel WHERE dist > 0)"
 
 
-def _margins_sql(y: str, where: str) -> str:
+def _margins_sql(y: str, where: str, shown: str) -> str:
     live = f"{_SAMPLE}, l AS (SELECT year, iso3_o, iso3_d, {y} AS y, log_d, home FROM s WHERE {where})"
     level = lambda e, c: f"SELECT '{e}:' || {c} || '_' || year AS kind, sum(y) AS total FROM l GROUP BY {c}, year"
     parts = [level("oy", "iso3_o"), level("dy", "iso3_d"), "SELECT 'log_d', sum(y*log_d) FROM l", "SELECT 'home', sum(y*home) FROM l"]
-    return f"{live} SELECT kind, round(total / (SELECT sum(y) FROM l), 7) AS observed, round(total / (SELECT sum(y) FROM l), 7) AS fitted FROM ({' UNION ALL '.join(parts)}) WHERE total IS NOT NULL"
+    return f"{live} SELECT kind, round(total / (SELECT sum(y) FROM l), 7) AS observed, round(total / (SELECT sum(y) FROM l), 7) AS fitted FROM ({' UNION ALL '.join(parts)}) WHERE {shown}"
 
 
-@query(_margins_sql("y", "true"))
+@query(_margins_sql("y", "true", "total <> 0"))
 def ppml_margins(spark, sf):
     """The first-order conditions: fitted flows have the observed totals by origin-year, destination-year and regressor."""
     return rounded(gravity.margins(_sample(spark, sf), gravity.GravitySpec()), 7)
 
 
-@query(_margins_sql("ln(y)", "y > 0"))
+@query(_margins_sql("ln(y)", "y > 0", "true"))
 def fe_ols_margins(spark, sf):
     logs = _sample(spark, sf).where("X_ij_usd > 0").withColumn("log_X", F.log("X_ij_usd"))
     return rounded(gravity.margins(logs, gravity.GravitySpec(flow="log_X"), "ols"), 7)
@@ -598,7 +598,9 @@ def multilateral_resistance(spark, sf):
     return rounded(resistance.resistances(_panel(spark, sf).withColumn("distance", F.col("distw_harmonic")), -1.0, 0.5), 8)
 
 
-@query(f"""WITH {Q.PANEL}, total AS (SELECT year, sum(X_ij_usd) AS x FROM panel GROUP BY year), own AS (SELECT year, 'exports' AS side, iso3_o AS iso3, sum(X_ij_usd) AS x FROM panel GROUP BY year, iso3_o UNION ALL SELECT year, 'imports', iso3_d, sum(X_ij_usd) FROM panel GROUP BY year, iso3_d)
+@query(f"""WITH {Q.PANEL}, member AS (SELECT year, c FROM (SELECT year, iso3_o AS c, sum(X_ij_usd) AS x FROM panel GROUP BY 1, 2) JOIN (SELECT year, iso3_d AS c, sum(X_ij_usd) AS y FROM panel GROUP BY 1, 2) USING (year, c) WHERE x > 0 AND y > 0),
+inside AS (SELECT * FROM panel p WHERE (year, iso3_o) IN (SELECT year, c FROM member) AND (year, iso3_d) IN (SELECT year, c FROM member)),
+total AS (SELECT year, sum(X_ij_usd) AS x FROM inside GROUP BY year), own AS (SELECT year, 'exports' AS side, iso3_o AS iso3, sum(X_ij_usd) AS x FROM inside GROUP BY year, iso3_o UNION ALL SELECT year, 'imports', iso3_d, sum(X_ij_usd) FROM inside GROUP BY year, iso3_d)
 SELECT year, side, iso3, round(own.x/total.x, 8) AS observed, round(own.x/total.x, 8) AS fitted FROM own JOIN total USING (year)""")
 def resistance_margins(spark, sf):
     """The margin equations, recomputed from the panel's cells and the resistances."""
