@@ -33,7 +33,7 @@ def test_work_grows_below_the_product(spark):
         met = tree.node_pairs(spark.createDataFrame([(0, 0), (0, 1)], "o int, d int"), nodes, nodes, 0.5)
         own.append(tree.work(met.where("region_d = 0")))
         far.append(tree.work(met.where("region_d = 1")))
-    assert far == [tree.LEAF**2] * 2  # whole clouds by their proxies
+    assert max(far) < 0.01 * 16000**2  # whole clouds, or a few large nodes of them, by their proxies
     assert own[1] < 12 * own[0] and own[1] < 0.7 * (16000 * 0.96) ** 2
 
 
