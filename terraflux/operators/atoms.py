@@ -22,18 +22,18 @@ def coarse_affine(affine: tuple, k: int) -> tuple:
     return a * k, b * k, c, d * k, e * k, f
 
 
-def masked(cells: DataFrame, members: DataFrame, affine: tuple, k: int = 1, least: float = 0.0, nodata: float | None = None, geographic: bool = True) -> DataFrame:
-    """Cells of each region as ``region, lat, lon, value, area_km2``.
+def masked(cells: DataFrame, members: DataFrame, affine: tuple, k: int = 1, least: float = 0.0, nodata: float | None = None, geographic: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Cells of each region as ``region, lat, lon, value, area_km2``, led by ``keys`` (a layer, a year) that stay apart.
 
     ``members(region, row, col)`` says which cells a region has. Nodata and values that
     are not finite are 0; blocks of k are summed, and those above ``least`` stay.
     """
     value = F.when(F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf")) | (F.lit(False) if nodata is None else F.col("value") == nodata), 0.0).otherwise(F.col("value"))
     own = cells.withColumn("value", value).join(members, ["row", "col"])
-    blocks = coarsen(own, k, ("region",)).where(F.col("value") > least)
+    blocks = coarsen(own, k, (*keys, "region")).where(F.col("value") > least)
     fine = coarse_affine(affine, k)
     lon, lat = cell_centre("row", "col", fine)
-    out = blocks.select("region", lat.alias("lat"), lon.alias("lon"), "value")
+    out = blocks.select(*keys, "region", lat.alias("lat"), lon.alias("lon"), "value")
     return out.withColumn("area_km2", cell_area_km2("lat", abs(fine[0]), abs(fine[4])) if geographic else F.lit(1.0))
 
 

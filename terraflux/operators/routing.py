@@ -166,14 +166,21 @@ def shortest_paths_local(edges: DataFrame, sources: DataFrame, most_edges: int =
     return sources.select("node").distinct().mapInPandas(solve, "source long, node long, cost double")
 
 
-def many_to_many(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """``source, target, cost`` for every pair, infinite where there is no path."""
-    paths = shortest_paths(edges, sources)
+def many_to_many(edges: DataFrame, sources: DataFrame, targets: DataFrame, sparse: bool = False) -> DataFrame:
+    """``source, target, cost`` for every pair, infinite where there is no path; ``sparse`` networks are contracted first."""
     wanted = sources.select(F.col("node").alias("source"), F.lit(1).alias("_all")).join(targets.select(F.col("node").alias("target"), F.lit(1).alias("_all")), "_all").drop("_all")
+    if sparse:
+        from .hierarchy import least_costs
+
+        paths = least_costs(edges, wanted.withColumnRenamed("target", "node"))
+    else:
+        paths = shortest_paths(edges, sources)
     return wanted.join(paths.withColumnRenamed("node", "target"), ["source", "target"], "left").withColumn("cost", F.coalesce("cost", F.lit(float("inf"))))
 
 
 MODE_ORDER = {"road": 0, "maritime": 1, "air": 2}
+#: Modes whose graphs have few edges a node; these are contracted, complete ones relaxed.
+SPARSE = ("road",)
 HANDLING = {"road": 0.0, "maritime": K.PORT_HOURS * K.RATE["maritime"], "air": K.AIRPORT_HOURS * K.RATE["air"]}
 
 
@@ -211,8 +218,15 @@ def agglomeration_costs(agglomerations: DataFrame, graphs: dict[str, tuple[DataF
         at = checkpointed(nearest_node(rows.select("place", "lon", "lat").distinct(), nodes, "place"))
         rows = rows.join(at.withColumnRenamed("node", f"node_{mode}"), "place")
         by_year = scenario_costs(undirected(edges), {str(y): s for y, s in scenarios.items()}).withColumn("year", F.col("scenario").cast("int"))
-        starts = at.select("node").distinct().withColumn("year", F.explode(F.array(*[F.lit(y) for y in scenarios])))
-        paths[mode] = shortest_paths(by_year, starts, keys=("year",))
+        if mode in SPARSE:
+            from .hierarchy import least_costs
+
+            ends = rows.select("year", F.col("iso3").alias("iso"), F.col(f"node_{mode}").alias("source")).distinct()
+            asked = ends.join(ends.withColumnsRenamed({"iso": "iso_d", "source": "node"}), "year").where("iso <> iso_d").select("year", "source", "node")
+            paths[mode] = least_costs(by_year, asked, keys=("year",))
+        else:
+            starts = at.select("node").distinct().withColumn("year", F.explode(F.array(*[F.lit(y) for y in scenarios])))
+            paths[mode] = shortest_paths(by_year, starts, keys=("year",))
     side = lambda s: rows.select("year", F.col("iso3").alias(f"iso_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("lon", "lat", "share", *[f"node_{m}" for m in graphs])])
     met = side("o").join(side("d"), "year").where("iso_o <> iso_d")
     for mode, table in paths.items():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import KM_PER_DEGREE
 from ..functions.geo import haversine_km
+from .atoms import masked
 from .measures import spherical_centroid
 
 
@@ -21,6 +22,15 @@ def centroid_series(atoms: DataFrame) -> DataFrame:
     return c.withColumn("v_lat_deg", step("centroid_lat")).withColumn("v_lon_deg", step("centroid_lon"))
 
 
+def raster_series(cells: DataFrame, members: DataFrame, affine: tuple, k: int = 5, nodata: float | None = None) -> DataFrame:
+    """``centroid_series`` of yearly rasters: cells ``year, row, col, value`` masked by ``members(region, row, col)``, blocks of k summed and weighted by value and area.
+
+    All years and regions are one plan; a region without a cell above zero in a year has no row for it.
+    """
+    own = masked(cells, members, affine, k=k, nodata=nodata, keys=("year",))
+    return centroid_series(own.select("region", "year", "lat", "lon", (F.col("value") * F.col("area_km2")).alias("weight")))
+
+
 def projection(series: DataFrame) -> DataFrame:
     """Velocity of ``o`` toward ``d``, from the positions a year before (a gap drops the row).
 

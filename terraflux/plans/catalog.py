@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import geo
-from ..operators import asymmetry, atoms, components, gravity, measures, panel, polygons, resistance, routing, stats, studies, transport, tree, velocity
+from ..operators import asymmetry, atoms, components, gravity, hierarchy, measures, panel, polygons, resistance, routing, stats, studies, transport, tree, velocity
+from ..sources import raster
 from . import fixtures as X
 from . import sql as Q
 
@@ -408,6 +410,27 @@ def shortest_paths(spark, sf):
     return rounded(routing.shortest_paths(e, X.hubs(spark, sf).select(F.col("id").alias("node"))), 2)
 
 
+_GRID = f"""{Q.NATIONS}, {Q.CONSUMPTION}, grid AS (SELECT DISTINCT CAST(floor((lat + 90)/0.5E0) AS BIGINT) AS r, CAST(floor((lon + 180)/0.5E0) AS BIGINT) AS c FROM consumption),
+spot AS (SELECT r, c, r*100000 + c AS id, (r + 0.5E0)*0.5E0 - 90 AS lat, (c + 0.5E0)*0.5E0 - 180 AS lon FROM grid),
+e AS (SELECT a.id AS src, b.id AS dst, 30*{Q.km('a.lat', 'a.lon', 'b.lat', 'b.lon')}/65 AS cost FROM spot a JOIN (VALUES (-1), (0), (1)) x(i) ON true JOIN (VALUES (-1), (0), (1)) y(j) ON i <> 0 OR j <> 0 JOIN spot b ON b.r = a.r + i AND b.c = a.c + j)"""
+
+
+@query(f"""WITH RECURSIVE {_GRID}, start AS (SELECT region, max_by(CAST(floor((lat + 90)/0.5E0) AS BIGINT)*100000 + CAST(floor((lon + 180)/0.5E0) AS BIGINT), struct_pack(w := weight, a := -atom)) AS source FROM consumption GROUP BY region),
+p(source, node, cost) USING KEY (source, node) AS (SELECT DISTINCT source, source, 0.0E0 FROM start UNION
+SELECT s.source, s.node, s.cost FROM (SELECT p.source, e.dst AS node, min(p.cost + e.cost) AS cost FROM p JOIN e ON e.src = p.node GROUP BY 1, 2) s LEFT JOIN recurring.p o ON o.source = s.source AND o.node = s.node WHERE o.cost IS NULL OR s.cost < o.cost - 1E-9)
+SELECT source, node, round(cost, 3) AS cost FROM p""")
+def road_costs(spark, sf):
+    """From each nation's best customer to every cell its roads reach, by contraction and labels."""
+    e = routing.road_edges(X.roads(spark, sf))
+    cell = lambda c, by: F.floor((F.col(c) + by) / 0.5)
+    node = cell("lat", 90) * 100000 + cell("lon", 180)
+    best = X.consumption(spark, sf).groupBy("region").agg(F.max_by(node, F.struct("weight", -F.col("atom"))).alias("source")).select("source").distinct()
+    # A cell's roads stay among cells that hang together, so only those are asked for.
+    parts = components.components(X.cells(spark, sf, 0.5).select((F.col("row").cast("long") * 100000 + F.col("col")).alias("node")).distinct(), e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    pairs = best.join(parts.withColumnRenamed("node", "source"), "source").join(parts, "component").select("source", "node")
+    return rounded(hierarchy.least_costs(routing.priced(e, geo.Scenario()), pairs), 3)
+
+
 def _lcp_sql(years: dict[int, str]) -> str:
     """Paths of both modes for each year's scenario, and agglomerations with the nation nearest to each."""
     sea = " UNION ALL ".join(f"SELECT CAST({y} AS INTEGER) AS year, 'maritime' AS mode, {a} AS src, {b} AS dst, {_cost(n)} AS cost FROM sea" for y, n in years.items() for a, b in (("src", "dst"), ("dst", "src")))
@@ -521,6 +544,26 @@ def masked_mass(spark, sf):
     return rounded(atoms.mass(atoms.masked(raster, own, affine, k=2)), 2)
 
 
+@query(f"""WITH {Q.YEARLY}, {Q.border_edges(X.BORDER, X.HOLE)}, raster AS (SELECT year, CAST(floor((lat + 90)/0.25E0) AS INTEGER) AS row, CAST(floor((lon + 180)/0.25E0) AS INTEGER) AS col, sum(weight) AS value FROM yearly GROUP BY 1, 2, 3),
+spots AS (SELECT c.row, c.col, e.region AS holder, e.x1, e.y1, e.x2, e.y2, (c.row + 0.5E0)*0.25E0 - 90 - e.lat AS y, ((c.col + 0.5E0)*0.25E0 - 180 - e.lon + 540) % 360 - 180 AS x FROM (SELECT DISTINCT row, col FROM raster) c, edges e),
+held AS (SELECT row, col, holder FROM spots WHERE least(x1, x2) <= x AND x < greatest(x1, x2) AND y1 + (x - x1)*(y2 - y1)/(x2 - x1) > y GROUP BY row, col, holder HAVING count(*) % 2 = 1),
+block AS (SELECT holder AS region, year, CAST(floor(row/5.0E0) AS INTEGER) AS r, CAST(floor(col/5.0E0) AS INTEGER) AS c, sum(value) AS value FROM raster JOIN held USING (row, col) GROUP BY 1, 2, 3, 4),
+spot AS (SELECT region, year, (r + 0.5E0)*1.25E0 - 90 AS lat, (c + 0.5E0)*1.25E0 - 180 AS lon, value*abs(1.25E0*111.32E0*cos(radians((r + 0.5E0)*1.25E0 - 90))*1.25E0*111.32E0) AS weight FROM block WHERE value > 0), s AS ({Q.centroid('spot', 'region, year')})
+SELECT region, year, round(lat, 6) AS centroid_lat, round(lon, 6) AS centroid_lon, round(lat - lag(lat) OVER w, 6) AS v_lat_deg, round(lon - lag(lon) OVER w, 6) AS v_lon_deg, n AS n_atoms FROM s WINDOW w AS (PARTITION BY region ORDER BY year)""")
+def raster_series(spark, sf):
+    """Yearly rasters written as GeoTIFF tiles, read back, masked by borders, coarsened, and followed by their centroids."""
+    grid = (0.25, 0.0, -180.0, 0.0, 0.25, -90.0)
+    slot = lambda c, by: F.floor((F.col(c) + by) / 0.25).cast("int")
+    path = f"{components.shared_dir(spark)}/terraflux/rasters-{uuid.uuid4().hex}"
+    yearly = X.yearly_atoms(spark, sf).groupBy(F.col("year").cast("string").alias("layer"), slot("lat", 90).alias("row"), slot("lon", 180).alias("col")).agg(F.sum("weight").alias("value"))
+    raster.write(yearly, path, grid)
+    a, _, west, _, e, south = raster.affine(path)
+    down, right = round((south - grid[5]) / e), round((west - grid[2]) / a)
+    cells = raster.read(spark, path).select(F.col("layer").cast("int").alias("year"), (F.col("row") + down).alias("row"), (F.col("col") + right).alias("col"), "value")
+    series = velocity.raster_series(cells, polygons.members(cells, grid, X.borders(spark, sf, 0.0)), grid)
+    return rounded(series.drop("total_mass"), 6)
+
+
 # Estimators
 
 _BALANCED = f"""WITH {Q.PANEL}, b AS (SELECT c.iso3_o, c.iso3_d, ln(1 + coalesce(sum(f.x), 0)) AS y, ln(max(c.dist)) AS x FROM covariates c LEFT JOIN flows f ON f.o = c.iso3_o AND f.d = c.iso3_d AND f.t = c.year GROUP BY 1, 2),

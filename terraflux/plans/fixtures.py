@@ -114,3 +114,15 @@ def agglomerations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     top = coverage_cut(consumption(spark, sf_dir), key="atom").select(F.col("region").alias("iso3"), "lat", "lon", F.col("weight").alias("pop"), (F.col("weight") * F.lit(0.5) + F.col("atom") % 7).alias("viirs_radiance"))
     return top.withColumn("year", F.explode(F.array(F.lit(2020), F.lit(2021))))
+
+
+def roads(spark: SparkSession, sf_dir: str, degrees: float = 0.5) -> DataFrame:
+    """Roads between cells of people that touch by a side or a corner, both ways: ``src, dst, length_km``; a cell's id is 100000 row + col."""
+    from ..functions.geo import haversine_km
+
+    grid = cells(spark, sf_dir, degrees).select("row", "col", "lat", "lon").distinct()
+    name = lambda r, c: F.col(r).cast("long") * 100000 + F.col(c)
+    steps = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c])).alias("s")
+    there = grid.select("row", "col", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), steps).withColumns({"r": F.col("row") + F.col("s.r"), "c": F.col("col") + F.col("s.c")})
+    met = there.join(grid.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), ["r", "c"])
+    return met.select(name("row", "col").alias("src"), name("r", "c").alias("dst"), haversine_km("lat1", "lon1", "lat2", "lon2").alias("length_km"))

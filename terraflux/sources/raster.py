@@ -23,7 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -65,11 +65,9 @@ class Header:
 
 @dataclass
 class Blocks(InputPartition):
-    """A run of blocks of one file: (block row, block column, offset, bytes), and the file's place in the grid."""
+    """Runs of blocks: a file, its blocks (block row, block column, offset, bytes), and its place in the grid."""
 
-    header: Header
-    blocks: list[tuple[int, int, int, int]]
-    shift: tuple[int, int]
+    runs: list[tuple[Header, list[tuple[int, int, int, int]], tuple[int, int]]]
 
 
 def _fields(f: pa.NativeFile) -> tuple[str, dict[int, tuple]]:
@@ -178,33 +176,42 @@ class _Reader(DataSourceReader):
         return self._span(south, north, h.affine[5], h.affine[4], h.height), self._span(west, east, h.affine[2], h.affine[0], h.width)
 
     def partitions(self) -> list[Blocks]:
+        """Blocks in the order of files, as many a partition as hold about ``cells`` cells; small files share one."""
         found = headers(self.path)
+        if not found:
+            return []
+        a, _, west, _, e, top = _corner(found)
         out: list[Blocks] = []
+        room = 0
         for h in found:
-            a, _, west, _, e, top = _corner(found)
             shift = round((h.affine[5] - top) / e), round((h.affine[2] - west) / a)
             rows, cols = self._window(h)
             if not len(rows) or not len(cols):
                 continue
-            across, run = -(-h.width // h.block[1]), []
+            across, lean = -(-h.width // h.block[1]), replace(h, offsets=(), sizes=())
             for r in range(rows[0] // h.block[0], rows[-1] // h.block[0] + 1):
                 for c in range(cols[0] // h.block[1], cols[-1] // h.block[1] + 1):
                     offset, size = h.offsets[r * across + c], h.sizes[r * across + c]
-                    if size:  # a block that was never written holds nothing
-                        run.append((r, c, offset, size))
-            each = max(1, self.cells // (h.block[0] * h.block[1]))
-            lean = Header(**{**h.__dict__, "offsets": (), "sizes": ()})
-            out += [Blocks(lean, run[k : k + each], shift) for k in range(0, len(run), each)]
+                    if not size:  # a block that was never written holds nothing
+                        continue
+                    if room <= 0:
+                        out.append(Blocks([]))
+                        room = self.cells
+                    if not out[-1].runs or out[-1].runs[-1][0] is not lean:
+                        out[-1].runs.append((lean, [], shift))
+                    out[-1].runs[-1][1].append((r, c, offset, size))
+                    room -= h.block[0] * h.block[1]
         return out
 
     def read(self, partition: Blocks | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # nothing is touched
-            return
-        h = partition.header
+        for run in partition.runs if partition else ():  # none where nothing is touched
+            yield from self._cells(*run)
+
+    def _cells(self, h: Header, blocks: list[tuple[int, int, int, int]], shift: tuple[int, int]) -> Iterator[pa.RecordBatch]:
         rows, cols = self._window(h)
         system, inner = opened(h.path)
         with system.open_input_file(inner) as f:
-            for r, c, offset, size in partition.blocks:
+            for r, c, offset, size in blocks:
                 f.seek(offset)
                 data = f.read(size)
                 data = zlib.decompress(data) if h.deflated else data
@@ -220,7 +227,8 @@ class _Reader(DataSourceReader):
                     keep &= values != h.nodata
                 at = np.nonzero(keep)
                 if len(at[0]):
-                    yield pa.record_batch([pa.array([h.layer]).take(pa.array(np.zeros(len(at[0]), np.int32))), (y[at[0]] + partition.shift[0]).astype(np.int32), (x[at[1]] + partition.shift[1]).astype(np.int32), values[at]], schema=ARROW)
+                    layer = pa.array([h.layer]).take(pa.array(np.zeros(len(at[0]), np.int32)))
+                    yield pa.record_batch([layer, (y[at[0]] + shift[0]).astype(np.int32), (x[at[1]] + shift[1]).astype(np.int32), values[at]], schema=ARROW)
 
 
 @dataclass
