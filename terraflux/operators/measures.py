@@ -163,7 +163,7 @@ def all_measures(origins: DataFrame, destinations: DataFrame, pairs: DataFrame,
 
     out = pairs.select("o", "d")
     parts = ([m1_capital(capitals, pairs)] if capitals is not None else []) + [f(origins, destinations, pairs) for f in (m2_unweighted_centroid, m3_weighted_centroid, m5_directional_centroid)]
-    parts.append(transport.solve(origins, destinations, pairs, [("m6", "wasserstein", {}), *[(f"m7_theta{t:g}", "iceberg", {"theta": t}) for t in thetas], ("m8", "sinkhorn", {})]))
+    parts.append(transport.m6_to_m8(origins, destinations, pairs, thetas))
     parts.append(transport.m9_sliced(origins, destinations, pairs))
     for part in parts:
         out = out.join(part, ["o", "d"], "left")

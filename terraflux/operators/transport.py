@@ -23,14 +23,16 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def exact(cost: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
-    """The least cost of moving weights ``a`` to ``b``: shortest augmenting paths with potentials."""
+    """The least cost of moving weights ``a`` to ``b`` (of one total): shortest augmenting paths with potentials.
+
+    Runs until all is moved. The potentials bound the cost from below; a plan that costs more than
+    that by a millionth is an error, so a value that is returned is the least one.
+    """
     n, m = cost.shape
     have, want, flow = a.astype(float).copy(), b.astype(float).copy(), np.zeros((n, m))
     u, v = np.zeros(n), cost.min(axis=0).astype(float)
     tiny = 1e-15 * max(1.0, a.sum())
-    for _ in range(20 * (n + m) + n * m):
-        if not (have > tiny).any() or not (want > tiny).any():
-            break
+    while (have > tiny).any() and (want > tiny).any():
         row = np.where(have > tiny, 0.0, np.inf)
         col, row_done, col_done = np.full(m, np.inf), np.zeros(n, bool), np.zeros(m, bool)
         from_row, from_col = np.full(m, -1), np.full(n, -1)
@@ -58,13 +60,18 @@ def exact(cost: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
                 break
             j = from_col[i]
         size = min(have[path[-1][0]], want[c], *[flow[path[k][0], path[k + 1][1]] for k in range(len(path) - 1)])
+        if size <= 0:
+            raise ArithmeticError("transport stands still")
         for k, (i, j) in enumerate(path):
             flow[i, j] += size
             if k + 1 < len(path):
                 flow[i, path[k + 1][1]] -= size
         have[path[-1][0]] -= size
         want[c] -= size
-    return float((flow * cost).sum())
+    least, found = float(a @ u + b @ v), float((flow * cost).sum())
+    if not abs(found - least) <= 1e-6 * max(1.0, found):
+        raise ArithmeticError(f"the plan costs {found}, its potentials say {least}")
+    return found
 
 
 def entropic(cost: np.ndarray, a: np.ndarray, b: np.ndarray, eps: float, rounds: int = 1000, tol: float = 1e-9) -> float:
@@ -126,22 +133,23 @@ def _value(kind: str, a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarr
     if kind == "iceberg":
         theta, p = options.get("theta", 1.0), options.get("p", 1.0)
         return exact(distances(a, b) ** (theta * p), wa, wb) ** (1 / p)
-    if kind == "sinkhorn":
-        return sinkhorn(a, wa, b, wb, **options)
+    if kind == "entropic":
+        return entropic(distances(a, b) ** options.get("theta", 1.0), wa, wb, options.get("eps", 50.0))
     raise ValueError(f"unknown transport {kind!r}")
 
 
+def _cloud(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    rows = rows[rows["weight"] > 0].sort_values(["lat", "lon", "weight"])
+    w = rows["weight"].to_numpy(float)
+    return rows[["lat", "lon"]].to_numpy(float), w / w.sum() if len(w) else w
+
+
 def solve(origins: DataFrame, destinations: DataFrame, pairs: DataFrame, wanted: list[tuple[str, str, dict]]) -> DataFrame:
-    """``o, d`` and one column for each (name, kind, options); only atoms of positive weight count."""
+    """``o, d`` and one column for each (name, kind, options); only atoms of positive weight count, and values are null where a cloud has none."""
     names = [n for n, _, _ in wanted]
 
-    def cloud(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        rows = rows[rows["weight"] > 0].sort_values(["lat", "lon", "weight"])
-        w = rows["weight"].to_numpy(float)
-        return rows[["lat", "lon"]].to_numpy(float), w / w.sum() if len(w) else w
-
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        (a, wa), (b, wb) = cloud(left), cloud(right)
+        (a, wa), (b, wb) = _cloud(left), _cloud(right)
         return pd.DataFrame({"o": [key[0]], "d": [key[1]], **{n: [_value(k, a, wa, b, wb, dict(x))] for n, k, x in wanted}})
 
     left = pairs.join(origins.select(F.col("region").alias("o"), "lat", "lon", "weight"), "o").select("o", "d", "lat", "lon", "weight")
@@ -159,8 +167,31 @@ def m7_iceberg(origins: DataFrame, destinations: DataFrame, pairs: DataFrame, th
     return solve(origins, destinations, pairs, [("m7", "iceberg", {"theta": theta, "p": p})])
 
 
+def _debiased(crossed: DataFrame, origins: DataFrame, destinations: DataFrame, name: str, eps: float, theta: float) -> DataFrame:
+    """``crossed`` with its column ``name`` less half of each side's term with itself, which is solved once a region and side."""
+    def own(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        a, w = _cloud(rows)
+        return pd.DataFrame({"side": [key[0]], "region": [key[1]], "own": [_value("entropic", a, w, a, w, {"eps": eps, "theta": theta})]})
+
+    rows = lambda t, s, c: t.join(crossed.select(F.col(c).alias("region")).distinct(), "region", "left_semi").select(F.lit(s).alias("side"), "region", "lat", "lon", "weight")
+    clouds = rows(origins, "from", "o").unionByName(rows(destinations, "to", "d"))
+    terms = clouds.groupBy("side", "region").applyInPandas(own, f"side string, region {dict(clouds.dtypes)['region']}, own double")
+    side = lambda s, c: terms.where(F.col("side") == s).select(F.col("region").alias(c), F.col("own").alias(f"own_{c}"))
+    value = F.col(name) - F.col("own_o") / 2 - F.col("own_d") / 2
+    return crossed.join(side("from", "o"), "o", "left").join(side("to", "d"), "d", "left").select(*[value.alias(c) if c == name else F.col(c) for c in crossed.columns])
+
+
 def m8_sinkhorn(origins: DataFrame, destinations: DataFrame, pairs: DataFrame, eps: float = 50.0, theta: float = 1.0) -> DataFrame:
-    return solve(origins, destinations, pairs, [("m8", "sinkhorn", {"eps": eps, "theta": theta})])
+    """The debiased divergence of each pair; null where a cloud is empty."""
+    return _debiased(solve(origins, destinations, pairs, [("m8", "entropic", {"eps": eps, "theta": theta})]), origins, destinations, "m8", eps, theta)
+
+
+def m6_to_m8(origins: DataFrame, destinations: DataFrame, pairs: DataFrame, thetas: tuple[float, ...], eps: float = 50.0) -> DataFrame:
+    """``o, d, m6``, ``m7_theta...`` for each theta, and ``m8``, null where a cloud is empty; at theta 1 the iceberg distance is m6 and is not solved again."""
+    others = [(f"m7_theta{t:g}", "iceberg", {"theta": t}) for t in thetas if t != 1]
+    found = solve(origins, destinations, pairs, [("m6", "wasserstein", {}), *others, ("m8", "entropic", {"eps": eps})])
+    wide = found.select("o", "d", "m6", *[F.col("m6" if t == 1 else f"`m7_theta{t:g}`").alias(f"m7_theta{t:g}") for t in thetas], "m8")
+    return _debiased(wide.withColumnsRenamed({c: c.replace(".", "_") for c in wide.columns}), origins, destinations, "m8", eps, 1.0).withColumnsRenamed({c.replace(".", "_"): c for c in wide.columns})
 
 
 def sliced_angles(projections: int = 100, seed: int = 42) -> list[float]:

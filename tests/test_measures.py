@@ -6,6 +6,7 @@ import pytest
 from terraflux.functions.constants import DISK_CURVE
 from terraflux.functions.geo import haversine_km
 from terraflux.operators import asymmetry, measures, velocity
+from terraflux.operators import transport
 from terraflux.operators.transport import distances, exact, line_transport, sinkhorn, sliced
 from terraflux.sources import synthetic
 
@@ -152,3 +153,21 @@ def test_power_mean_is_finite_at_any_floor(spark, theta, floor):
     wanted = 6371.0 * np.radians(170)
     assert measures.effective_distance(met, theta=theta, floor_km=floor).first().d_eff == pytest.approx(wanted)
     assert measures.theta_sweep(met, (theta,), floor_km=floor).first().d_eff == pytest.approx(wanted)
+
+
+def test_entropic_terms_of_a_region_are_shared(spark):
+    rng = np.random.default_rng(5)
+    cloud = {(s, r): (rng.uniform(-5, 5, (6, 2)), rng.uniform(0.1, 1, 6)) for s in "pc" for r in (1, 2)}
+    table = lambda s: spark.createDataFrame([(r, float(y), float(x), float(w)) for (k, r), (at, ws) in cloud.items() if k == s for (y, x), w in zip(at, ws, strict=True)] + [(3, 0.0, 0.0, 0.0)], "region long, lat double, lon double, weight double")
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)], "o long, d long")
+    got = {(r.o, r.d): r for r in transport.m6_to_m8(table("p"), table("c"), pairs, (0.5, 1.0)).collect()}
+    for o in (1, 2):
+        for d in (1, 2):
+            (a, wa), (b, wb) = cloud["p", o], cloud["c", d]
+            wa, wb = wa / wa.sum(), wb / wb.sum()
+            assert got[o, d].m8 == pytest.approx(sinkhorn(a, wa, b, wb), abs=1e-6)
+            assert got[o, d]["m7_theta1"] == got[o, d].m6 == pytest.approx(exact(distances(a, b), wa, wb))
+            assert got[o, d]["m7_theta0.5"] == pytest.approx(exact(distances(a, b) ** 0.5, wa, wb))
+    assert got[3, 1].m8 is None and got[3, 1].m6 is None
+    plain = {(r.o, r.d): r.m8 for r in transport.m8_sinkhorn(table("p"), table("c"), pairs).collect()}
+    assert plain[1, 2] == pytest.approx(got[1, 2].m8)
