@@ -10,8 +10,9 @@ from .measures import atom_pairs, effective_distance, pairs_of, spherical_centro
 
 
 def directional_matrix(production: DataFrame, consumption: DataFrame, theta: float = -5.0, floor_km: float = 0.5) -> DataFrame:
-    """``o, d, d_eff`` for all ordered pairs of regions, each with itself too."""
-    return effective_distance(atom_pairs(pairs_of(production, consumption), production, consumption), theta=theta, floor_km=floor_km)
+    """``o, d, d_eff`` for all ordered pairs of the regions that both clouds have, each with itself too."""
+    both = production.select("region").intersect(consumption.select("region"))
+    return effective_distance(atom_pairs(pairs_of(both, both), production, consumption), theta=theta, floor_km=floor_km)
 
 
 def asymmetry_index(matrix: DataFrame, value: str = "d_eff") -> DataFrame:

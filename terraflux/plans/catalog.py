@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import geo
 from ..operators import asymmetry, atoms, components, gravity, hierarchy, measures, panel, polygons, resistance, routing, stats, studies, transport, tree, velocity
-from ..sources import raster
+from ..sources import cloud_cache, raster
 from . import fixtures as X
 from . import sql as Q
 
@@ -544,9 +544,12 @@ def masked_mass(spark, sf):
     return rounded(atoms.mass(atoms.masked(raster, own, affine, k=2)), 2)
 
 
-@query(f"""WITH {Q.YEARLY}, {Q.border_edges(X.BORDER, X.HOLE)}, raster AS (SELECT year, CAST(floor((lat + 90)/0.25E0) AS INTEGER) AS row, CAST(floor((lon + 180)/0.25E0) AS INTEGER) AS col, sum(weight) AS value FROM yearly GROUP BY 1, 2, 3),
+_YEARLY_HELD = f"""WITH {Q.YEARLY}, {Q.border_edges(X.BORDER, X.HOLE)}, raster AS (SELECT year, CAST(floor((lat + 90)/0.25E0) AS INTEGER) AS row, CAST(floor((lon + 180)/0.25E0) AS INTEGER) AS col, sum(weight) AS value FROM yearly GROUP BY 1, 2, 3),
 spots AS (SELECT c.row, c.col, e.region AS holder, e.x1, e.y1, e.x2, e.y2, (c.row + 0.5E0)*0.25E0 - 90 - e.lat AS y, ((c.col + 0.5E0)*0.25E0 - 180 - e.lon + 540) % 360 - 180 AS x FROM (SELECT DISTINCT row, col FROM raster) c, edges e),
-held AS (SELECT row, col, holder FROM spots WHERE least(x1, x2) <= x AND x < greatest(x1, x2) AND y1 + (x - x1)*(y2 - y1)/(x2 - x1) > y GROUP BY row, col, holder HAVING count(*) % 2 = 1),
+held AS (SELECT row, col, holder FROM spots WHERE least(x1, x2) <= x AND x < greatest(x1, x2) AND y1 + (x - x1)*(y2 - y1)/(x2 - x1) > y GROUP BY row, col, holder HAVING count(*) % 2 = 1)"""
+
+
+@query(f"""{_YEARLY_HELD},
 block AS (SELECT holder AS region, year, CAST(floor(row/5.0E0) AS INTEGER) AS r, CAST(floor(col/5.0E0) AS INTEGER) AS c, sum(value) AS value FROM raster JOIN held USING (row, col) GROUP BY 1, 2, 3, 4),
 spot AS (SELECT region, year, (r + 0.5E0)*1.25E0 - 90 AS lat, (c + 0.5E0)*1.25E0 - 180 AS lon, value*abs(1.25E0*111.32E0*cos(radians((r + 0.5E0)*1.25E0 - 90))*1.25E0*111.32E0) AS weight FROM block WHERE value > 0), s AS ({Q.centroid('spot', 'region, year')})
 SELECT region, year, round(lat, 6) AS centroid_lat, round(lon, 6) AS centroid_lon, round(lat - lag(lat) OVER w, 6) AS v_lat_deg, round(lon - lag(lon) OVER w, 6) AS v_lon_deg, n AS n_atoms FROM s WINDOW w AS (PARTITION BY region ORDER BY year)""")
@@ -564,6 +567,21 @@ def raster_series(spark, sf):
     return rounded(series.drop("total_mass"), 6)
 
 
+@query(f"""{_YEARLY_HELD},
+block AS (SELECT holder AS region, year, floor(row/2.0E0) AS r, floor(col/2.0E0) AS c, sum(value) AS value FROM raster JOIN held USING (row, col) GROUP BY 1, 2, 3, 4)
+SELECT CAST(year AS VARCHAR) AS layer, CAST(region AS VARCHAR) AS region, count(*) AS n_atoms, round(sum(value), 2) AS total_mass FROM block WHERE value > 0 GROUP BY 1, 2""")
+def cached_clouds(spark, sf):
+    """Clouds of all years and borders, where the even years are in the cache already."""
+    grid = (0.25, 0.0, -180.0, 0.0, 0.25, -90.0)
+    slot = lambda c, by: F.floor((F.col(c) + by) / 0.25).cast("int")
+    cells = components.written(X.yearly_atoms(spark, sf).groupBy("year", slot("lat", 90).alias("row"), slot("lon", 180).alias("col")).agg(F.sum("weight").alias("value")).select(F.col("year").cast("string").alias("layer"), "row", "col", "value"), "cells")
+    members = components.written(polygons.members(cells, grid, X.borders(spark, sf, 0.0)), "members")
+    path = f"{components.shared_dir(spark)}/terraflux/clouds-{uuid.uuid4().hex}"
+    cloud_cache.through(cells.where("layer % 2 = 0"), members, grid, path, k=2)
+    clouds, _ = cloud_cache.through(cells, members, grid, path, k=2)
+    return rounded(clouds.groupBy("layer", "region").agg(F.count("*").alias("n_atoms"), F.max("total_mass").alias("total_mass")), 2)
+
+
 # Estimators
 
 _BALANCED = f"""WITH {Q.PANEL}, b AS (SELECT c.iso3_o, c.iso3_d, ln(1 + coalesce(sum(f.x), 0)) AS y, ln(max(c.dist)) AS x FROM covariates c LEFT JOIN flows f ON f.o = c.iso3_o AND f.d = c.iso3_d AND f.t = c.year GROUP BY 1, 2),

@@ -45,3 +45,23 @@ def test_long_paths_settle_and_negative_costs_do_not_run(spark):
     assert max(r.cost for r in routing.shortest_paths(line, start).collect()) == 25
     with pytest.raises(ValueError):
         routing.shortest_paths(line.selectExpr("src", "dst", "-cost as cost"), start)
+
+
+def test_roads_are_contracted_to_the_same_costs(tables, monkeypatch):
+    rows, nodes, edges = tables
+    graphs = {"road": (nodes, edges.drop("mode").selectExpr("'road' as mode", "*"))}
+    years = {2020: geo.Scenario(), 2021: geo.Scenario()}
+    contracted = by_key(routing.lcp_by_year(rows, graphs, years))
+    monkeypatch.setattr(routing, "SPARSE", ())
+    assert by_key(routing.lcp_by_year(rows, graphs, years)) == pytest.approx(contracted) and len(contracted) == 4
+    priced = routing.priced(routing.undirected(edges), geo.Scenario())
+    ends = [nodes.selectExpr("id as node"), nodes.where("id < 3").selectExpr("id as node")]
+    found = [{(r.source, r.target): r.cost for r in routing.many_to_many(priced, *ends, sparse=s).collect()} for s in (True, False)]
+    assert found[0] == pytest.approx(found[1]) and len(found[0]) == 8
+
+
+def test_only_regions_of_both_clouds_are_paired(spark):
+    from terraflux.operators.asymmetry import directional_matrix
+
+    cloud = lambda *names: spark.createDataFrame([(n, 1.0 * k, 2.0, 1.0) for k, n in enumerate(names)], "region string, lat double, lon double, weight double")
+    assert {(r.o, r.d) for r in directional_matrix(cloud("a", "b", "x"), cloud("b", "y", "a")).collect()} == {(o, d) for o in "ab" for d in "ab"}
