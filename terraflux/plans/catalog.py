@@ -552,7 +552,7 @@ held AS (SELECT row, col, holder FROM spots WHERE least(x1, x2) <= x AND x < gre
 @query(f"""{_YEARLY_HELD},
 block AS (SELECT holder AS region, year, CAST(floor(row/5.0E0) AS INTEGER) AS r, CAST(floor(col/5.0E0) AS INTEGER) AS c, sum(value) AS value FROM raster JOIN held USING (row, col) GROUP BY 1, 2, 3, 4),
 spot AS (SELECT region, year, (r + 0.5E0)*1.25E0 - 90 AS lat, (c + 0.5E0)*1.25E0 - 180 AS lon, value*abs(1.25E0*111.32E0*cos(radians((r + 0.5E0)*1.25E0 - 90))*1.25E0*111.32E0) AS weight FROM block WHERE value > 0), s AS ({Q.centroid('spot', 'region, year')})
-SELECT region, year, round(lat, 6) AS centroid_lat, round(lon, 6) AS centroid_lon, round(lat - lag(lat) OVER w, 6) AS v_lat_deg, round(lon - lag(lon) OVER w, 6) AS v_lon_deg, n AS n_atoms FROM s WINDOW w AS (PARTITION BY region ORDER BY year)""")
+SELECT region, year, round(lat, 6) AS centroid_lat, round(lon, 6) AS centroid_lon, CASE WHEN round(lat - lag(lat) OVER w, 6) = 0 THEN 0.0E0 ELSE round(lat - lag(lat) OVER w, 6) END AS v_lat_deg, CASE WHEN round(lon - lag(lon) OVER w, 6) = 0 THEN 0.0E0 ELSE round(lon - lag(lon) OVER w, 6) END AS v_lon_deg, n AS n_atoms FROM s WINDOW w AS (PARTITION BY region ORDER BY year)""")
 def raster_series(spark, sf):
     """Yearly rasters written as GeoTIFF tiles, read back, masked by borders, coarsened, and followed by their centroids."""
     grid = (0.25, 0.0, -180.0, 0.0, 0.25, -90.0)
@@ -564,7 +564,8 @@ def raster_series(spark, sf):
     down, right = round((south - grid[5]) / e), round((west - grid[2]) / a)
     cells = raster.read(spark, path).select(F.col("layer").cast("int").alias("year"), (F.col("row") + down).alias("row"), (F.col("col") + right).alias("col"), "value")
     series = velocity.raster_series(cells, polygons.members(cells, grid, X.borders(spark, sf, 0.0)), grid)
-    return rounded(series.drop("total_mass"), 6)
+    unsigned = {c: F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)) for c in ("v_lat_deg", "v_lon_deg")}  # a place of one cell does not move by -0
+    return rounded(series.drop("total_mass"), 6).withColumns(unsigned)
 
 
 @query(f"""{_YEARLY_HELD},
