@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
-from .measures import atom_pairs, effective_distance, pairs_of, spherical_centroid
+from .measures import effective_distance, pairs_of, place_pairs, spherical_centroid
 
 
-def directional_matrix(production: DataFrame, consumption: DataFrame, theta: float = -5.0, floor_km: float = 0.5) -> DataFrame:
-    """``o, d, d_eff`` for all ordered pairs of the regions that both clouds have, each with itself too."""
+def directional_matrix(production: DataFrame, consumption: DataFrame, theta: float = -5.0, floor_km: float = 0.5, shared: bool = True) -> DataFrame:
+    """``o, d, d_eff`` for all ordered pairs of the regions that both clouds have, each with itself too.
+
+    ``shared`` False: from every region of production to every region of consumption.
+    """
     both = production.select("region").intersect(consumption.select("region"))
-    return effective_distance(atom_pairs(pairs_of(both, both), production, consumption), theta=theta, floor_km=floor_km)
+    pairs = pairs_of(both, both) if shared else pairs_of(production, consumption)
+    return effective_distance(place_pairs(pairs, production, consumption), theta=theta, floor_km=floor_km)
 
 
 def asymmetry_index(matrix: DataFrame, value: str = "d_eff") -> DataFrame:

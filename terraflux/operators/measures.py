@@ -2,8 +2,9 @@
 
 Atoms have ``region, lat, lon, weight``. A pair of regions is a row of a pair table; its
 atoms meet by equality joins on the two region keys, so the atom-by-atom work is dealt
-out by pair and summed on the map side. Cap or coarsen atoms first (``atoms``): the work
-for a pair is the product of its regions' atom counts.
+out by pair and summed on the map side. Power means see places only, so atoms of one place
+are summed first (``place_pairs``). Cap or coarsen atoms (``atoms``), or take ``tree``, where
+there are many: the work for a pair is the product of its regions' counts of places.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import functools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -54,6 +55,27 @@ def atom_pairs(pairs: DataFrame, origins: DataFrame, destinations: DataFrame, ke
     return pairs.join(side(origins, "o"), [*keys, "o"]).join(side(destinations, "d"), [*keys, "d"])
 
 
+def places(atoms: DataFrame, by: tuple[str, ...] = ("region",)) -> DataFrame:
+    """``by, lat, lon, weight``: one row a place, with its positive weights summed (0 if it has none)."""
+    weight = F.col("weight").cast("double")
+    return atoms.groupBy(*by, "lat", "lon").agg(F.sum(F.when(weight > 0, weight).otherwise(0.0)).alias("weight"))
+
+
+def tasks(spark: SparkSession) -> int:
+    """Into how many tasks rows are dealt that are few but costly, which Spark would put into one by their size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def place_pairs(pairs: DataFrame, origins: DataFrame, destinations: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``atom_pairs`` over places in place of atoms: what depends on distances and sums of weights is the same.
+
+    The origins' places are dealt out by place, as a few rows of them stand for many meetings.
+    """
+    a = places(origins, (*keys, "region"))
+    dealt = a.repartition(tasks(pairs.sparkSession), *keys, "region", "lat", "lon")
+    return atom_pairs(pairs, dealt, a if destinations is origins else places(destinations, (*keys, "region")), keys)
+
+
 def power_mean(costs: DataFrame, keys: tuple[str, ...], theta: float, cost: str = "cost", w_o: str = "share_o", w_d: str = "share_d") -> DataFrame:
     """``(sum w_o w_d cost**theta)**(1/theta)``; theta 0 is an error here."""
     if theta == 0:
@@ -141,7 +163,7 @@ def m5_directional_centroid(production: DataFrame, consumption: DataFrame, pairs
 
 
 def m10_effective(origins: DataFrame, destinations: DataFrame, pairs: DataFrame, theta: float = -5.0, floor_km: float = K.FLOOR_KM) -> DataFrame:
-    return effective_distance(atom_pairs(pairs, origins, destinations), theta=theta, floor_km=floor_km).withColumnRenamed("d_eff", "m10")
+    return effective_distance(place_pairs(pairs, origins, destinations), theta=theta, floor_km=floor_km).withColumnRenamed("d_eff", "m10")
 
 
 def distance(measure: str, origins: DataFrame, destinations: DataFrame, pairs: DataFrame, capitals: DataFrame | None = None, **options) -> DataFrame:

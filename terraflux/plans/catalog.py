@@ -37,7 +37,7 @@ def rounded(df: DataFrame, places: int = 4, **own: int) -> DataFrame:
 
 def _meetings(spark: SparkSession, sf: str) -> DataFrame:
     p, c = X.production(spark, sf), X.consumption(spark, sf)
-    return measures.atom_pairs(measures.pairs_of(p, c), p, c)
+    return measures.place_pairs(measures.pairs_of(p, c), p, c)
 
 
 # Distances between clouds
@@ -60,7 +60,7 @@ def internal_tree(spark, sf):
 
 @query(f"WITH {Q.MEETINGS} {Q.effective('-5')}")
 def ces_directional(spark, sf):
-    return rounded(asymmetry.directional_matrix(X.production(spark, sf), X.consumption(spark, sf)))
+    return rounded(asymmetry.directional_matrix(X.production(spark, sf), X.consumption(spark, sf), shared=False))
 
 
 @query(f"WITH {Q.MEETINGS} " + " UNION ALL ".join(f"SELECT o, d, CAST({t} AS DOUBLE) AS theta, d_eff FROM ({Q.effective(str(t))})" for t in (-5, -1, 1)))
