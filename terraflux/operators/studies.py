@@ -15,14 +15,14 @@ from .stats import summary, worst
 def symmetric_matrix(clouds: DataFrame, theta: float = -5.0, floor_km: float = 0.5) -> DataFrame:
     """``o, d, d_eff`` of all pairs of one set of clouds: half is computed, and mirrored."""
     pairs = measures.pairs_of(clouds, clouds).where("o <= d")
-    half = measures.effective_distance(measures.atom_pairs(pairs, clouds, clouds), theta=theta, floor_km=floor_km)
+    half = measures.effective_distance(measures.place_pairs(pairs, clouds, clouds), theta=theta, floor_km=floor_km)
     return half.unionByName(half.where("o <> d").select(F.col("d").alias("o"), F.col("o").alias("d"), "d_eff"))
 
 
 def internal_distances(clouds: DataFrame, areas: DataFrame, thetas: tuple[float, ...] = (-7.0, -5.0, -3.0, -1.0, 1.0)) -> DataFrame:
     """``region, theta, d_eff, d_hm, ratio``: a region's distance to itself against the disk formula."""
     own = clouds.select("region").distinct().select(F.col("region").alias("o"), F.col("region").alias("d"))
-    table = measures.theta_sweep(measures.atom_pairs(own, clouds, clouds), thetas)
+    table = measures.theta_sweep(measures.place_pairs(own, clouds, clouds), thetas)
     met = table.join(areas.select(F.col("region").alias("o"), head_mayer("area_km2").alias("d_hm")), "o")
     return met.select(F.col("o").alias("region"), "theta", "d_eff", "d_hm", (F.col("d_eff") / F.col("d_hm")).alias("ratio"))
 
@@ -31,15 +31,16 @@ def sampling_bias(clouds: DataFrame, most: int, theta: float = -5.0) -> DataFram
     """``region`` and its internal distance from all atoms, the heaviest, and a weighted sample."""
     def internal(c: DataFrame, name: str) -> DataFrame:
         own = c.select("region").distinct().select(F.col("region").alias("o"), F.col("region").alias("d"))
-        return measures.effective_distance(measures.atom_pairs(own, c, c), theta=theta).select(F.col("o").alias("region"), F.col("d_eff").alias(name))
+        return measures.effective_distance(measures.place_pairs(own, c, c), theta=theta).select(F.col("o").alias("region"), F.col("d_eff").alias(name))
 
     return internal(clouds, "base").join(internal(capped(clouds, most), "top"), "region").join(internal(capped(clouds, most, "stratified"), "sampled"), "region")
 
 
 def floor_sweep(points: DataFrame, floors: tuple[float, ...], theta: float = -5.0, weight: str | None = None) -> DataFrame:
     """``region, floor_km, d_eff`` of equally weighted points on a plane, self pairs included."""
-    p = points.select("region", "lat", "lon", (F.col(weight) if weight else F.lit(1.0)).alias("w"))
-    a, b = (p.select("region", *[F.col(c).alias(f"{c}_{s}") for c in ("lat", "lon", "w")]) for s in ("o", "d"))
+    p = points.groupBy("region", "lat", "lon").agg(F.sum(F.col(weight) if weight else F.lit(1.0)).alias("w"))  # points of one place are one
+    side = lambda t, s: t.select("region", *[F.col(c).alias(f"{c}_{s}") for c in ("lat", "lon", "w")])
+    a, b = side(p.repartition(measures.tasks(p.sparkSession), "region", "lat", "lon"), "o"), side(p, "d")
     met = a.join(b, "region").select("region", (F.col("w_o") * F.col("w_d")).alias("w"), planar_km("lat_o", "lon_o", "lat_d", "lon_d").alias("km"))
     scaled = [F.sum(F.col("w") * F.pow(F.greatest(F.col("km"), F.lit(f)) / f, F.lit(float(theta)))).alias(f"s{k}") for k, f in enumerate(floors)]
     sums = met.groupBy("region").agg(F.sum("w").alias("mass"), *scaled)  # one pass over the pairs for all floors

@@ -51,3 +51,34 @@ def test_places_keep_regions_and_drop_negative_weights(spark):
     pairs = measures.pairs_of(atoms, atoms)
     plain = measures.effective_distance(measures.atom_pairs(pairs, atoms, atoms), theta=-1.0)
     same(rows(measures.effective_distance(measures.place_pairs(pairs, atoms, atoms), theta=-1.0)), rows(plain))
+
+
+def meetings(df) -> int:
+    """The most rows that a join of the query has made."""
+    df.collect()
+    plan, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plan.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plan.append(node.plan())
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        plan += [children.apply(k) for k in range(children.size())]
+    return most
+
+
+@pytest.mark.parametrize("name", ["floor_sweep", "internal_distances", "symmetric_matrix"])
+def test_studies_of_copies(spark, tables, name):
+    once, four = (catalog.queries()[name](spark, t) for t in tables)
+    same(rows(once), rows(four))
+    assert 0 < meetings(four) == meetings(once)
+
+
+def test_whole_clouds_of_sampling_bias(spark, tables):
+    once, four = (catalog.sampling_bias(spark, t) for t in tables)
+    same({r.region: [r.base] for r in once.collect()}, {r.region: [r.base] for r in four.collect()})
+    assert 0 < meetings(four) == meetings(once)
