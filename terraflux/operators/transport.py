@@ -1,18 +1,21 @@
 """Optimal transport between regions' atoms: exact, iceberg, entropic, sliced.
 
-There is no relational form, so each pair of regions is one group of a cogrouped Python
-solver. Cap atoms first: a group holds two clouds, and exact transport is meant for a
-few hundred atoms a side.
+There is no relational form of the first three, so each pair of regions is one group of a
+cogrouped Python solver. Atoms of one place are summed first. Cap atoms: a group holds two
+clouds, and exact transport is meant for some hundreds of places a side.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import EARTH_KM, KM_PER_DEGREE
+from .measures import places, tasks
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -23,73 +26,104 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def exact(cost: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
-    """The least cost of moving weights ``a`` to ``b`` (of one total): shortest augmenting paths with potentials.
+    """The least cost of moving weights ``a`` to ``b`` (of one total): network simplex on strongly feasible trees.
 
-    Runs until all is moved. The potentials bound the cost from below; a plan that costs more than
-    that by a millionth is an error, so a value that is returned is the least one.
+    Arcs enter while one has a negative reduced cost. The potentials bound the cost from below;
+    a plan that costs more than that by a millionth is an error, so a value that is returned is the least one.
     """
     n, m = cost.shape
-    have, want, flow = a.astype(float).copy(), b.astype(float).copy(), np.zeros((n, m))
-    u, v = np.zeros(n), cost.min(axis=0).astype(float)
-    tiny = 1e-15 * max(1.0, a.sum())
-    while (have > tiny).any() and (want > tiny).any():
-        row = np.where(have > tiny, 0.0, np.inf)
-        col, row_done, col_done = np.full(m, np.inf), np.zeros(n, bool), np.zeros(m, bool)
-        from_row, from_col = np.full(m, -1), np.full(n, -1)
-        while True:
-            r = int(np.where(row_done, np.inf, row).argmin())
-            c = int(np.where(col_done, np.inf, col).argmin())
-            if not row_done[r] and row[r] <= (np.inf if col_done[c] else col[c]):
-                row_done[r] = True
-                step = row[r] + np.maximum(cost[r] - u[r] - v, 0.0)
-                better = ~col_done & (step < col)
-                col[better], from_row[better] = step[better], r
+    root, big, c = n + m, float(cost.max()) + 1.0, cost.tolist()
+    # Each node hangs at first on the root by an arc dearer than any; ``flow`` is on the arc to ``parent``, from a source or to a sink.
+    parent, depth, below = [root] * root + [-1], [1] * root + [0], [set() for _ in range(root)] + [set(range(root))]
+    flow, price, tiny = [*a.tolist(), *b.tolist()], [big] * root, 1e-12 * big
+
+    def pivot(i: int, j: int, gain: float) -> None:
+        """Brings in the arc from source ``i`` to sink ``j``; the last blocking arc of the cycle goes, which rules out cycling."""
+        x, y, down, up = i, n + j, [], []
+        while x != y:
+            if depth[x] >= depth[y]:
+                down.append(x)
+                x = parent[x]
             else:
-                col_done[c] = True
-                if want[c] > tiny:
-                    break
-                back = ~row_done & (flow[:, c] > tiny) & (col[c] < row)
-                row[back], from_col[back] = col[c], c
-        u -= np.minimum(row, col[c]) - col[c]
-        v += np.minimum(col, col[c]) - col[c]
-        path, j = [], c
-        while True:
-            i = from_row[j]
-            path.append((i, j))
-            if from_col[i] < 0:
+                up.append(y)
+                y = parent[y]
+        size, out, of_source = math.inf, -1, True
+        for x in down:
+            if x < n and flow[x] < size:
+                size, out = flow[x], x
+        for y in up:
+            if y >= n and flow[y] <= size:
+                size, out, of_source = flow[y], y, False
+        for x in down:
+            flow[x] += -size if x < n else size
+        for y in up:
+            flow[y] += -size if y >= n else size
+        head, tail = (i, n + j) if of_source else (n + j, i)
+        x, above, held = head, tail, size
+        while True:  # the part cut off is hung on the new arc
+            old, moved = parent[x], flow[x]
+            below[old].discard(x)
+            below[above].add(x)
+            parent[x], flow[x] = above, held
+            if x == out:
                 break
-            j = from_col[i]
-        size = min(have[path[-1][0]], want[c], *[flow[path[k][0], path[k + 1][1]] for k in range(len(path) - 1)])
-        if size <= 0:
-            raise ArithmeticError("transport stands still")
-        for k, (i, j) in enumerate(path):
-            flow[i, j] += size
-            if k + 1 < len(path):
-                flow[i, path[k + 1][1]] -= size
-        have[path[-1][0]] -= size
-        want[c] -= size
-    least, found = float(a @ u + b @ v), float((flow * cost).sum())
+            x, above, held = old, x, moved
+        depth[head], stack = depth[tail] + 1, [head]
+        while stack:
+            x = stack.pop()
+            price[x] += gain if (x < n) == (head < n) else -gain
+            for k in below[x]:
+                depth[k] = depth[x] + 1
+                stack.append(k)
+
+    while True:
+        slack = cost - np.array(price[:n])[:, None] - np.array(price[n:root])
+        i, j = (np.arange(n), slack.argmin(1)) if n > m else (slack.argmin(0), np.arange(m))
+        least = slack[i, j]
+        order = np.argsort(least)[: int((least < -tiny).sum())]
+        if not len(order):
+            break
+        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            gain = c[x][y] - price[x] - price[n + y]
+            if gain < -tiny:
+                pivot(x, y, gain)
+    if sum(f for f, up in zip(flow, parent[:root], strict=True) if up == root) > 1e-9 * max(1.0, a.sum()):
+        raise ArithmeticError("not all is moved")
+    u = np.array(price[:n])
+    found = sum(f * (c[x][up - n] if x < n else c[up][x - n]) for x, (f, up) in enumerate(zip(flow, parent[:root], strict=True)) if up != root)
+    least = float(a @ u + b @ (cost - u[:, None]).min(axis=0))
     if not abs(found - least) <= 1e-6 * max(1.0, found):
         raise ArithmeticError(f"the plan costs {found}, its potentials say {least}")
     return found
 
 
 def entropic(cost: np.ndarray, a: np.ndarray, b: np.ndarray, eps: float, rounds: int = 1000, tol: float = 1e-9) -> float:
-    """Transport cost of the entropically regularised plan, by log-domain scaling."""
+    """Transport cost of the entropically regularised plan, by scaling.
+
+    Rounds in logarithms are followed by the same rounds as products with the kernel under the potentials
+    so far, until its scalings leave the range of a double.
+    """
     la, lb = np.log(np.maximum(a, 1e-300)), np.log(np.maximum(b, 1e-300))
-    f, g = np.zeros(len(a)), np.zeros(len(b))
+    f, g, wa, wb = np.zeros(len(a)), np.zeros(len(b)), np.exp(la), np.exp(lb)
 
     def lse(x: np.ndarray, axis: int) -> np.ndarray:
         top = x.max(axis=axis, keepdims=True)
         return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
-    for _ in range(rounds):
+    inside = lambda x: bool((x > 1e-50).all() and (x < 1e50).all())
+    done = False
+    while rounds > 0 and not done:
         f = -eps * lse((g[None] - cost) / eps + lb[None], 1)
         new = -eps * lse((f[:, None] - cost) / eps + la[:, None], 0)
-        done = np.abs(new - g).max() < tol * eps
-        g = new
-        if done:
-            break
+        done, g, rounds = np.abs(new - g).max() < tol * eps, new, rounds - 1
+        kernel, p, q = np.exp((f[:, None] + g[None] - cost) / eps), np.ones(len(a)), np.ones(len(b))
+        while rounds > 0 and not done:
+            rows = kernel @ (wb * q)
+            columns = (wa / rows) @ kernel if inside(rows) else rows
+            if not inside(columns):
+                break
+            done, p, q, rounds = np.abs(np.log(columns * q)).max() < tol, 1 / rows, 1 / columns, rounds - 1
+        f, g = f + eps * np.log(p), g + eps * np.log(q)
     plan = np.exp((f[:, None] + g[None] - cost) / eps + la[:, None] + lb[None])
     return float((plan * cost).sum())
 
@@ -152,10 +186,12 @@ def solve(origins: DataFrame, destinations: DataFrame, pairs: DataFrame, wanted:
         (a, wa), (b, wb) = _cloud(left), _cloud(right)
         return pd.DataFrame({"o": [key[0]], "d": [key[1]], **{n: [_value(k, a, wa, b, wb, dict(x))] for n, k, x in wanted}})
 
+    spark = pairs.sparkSession
+    origins, destinations = places(origins), places(destinations)  # cost and weight of a place are all that counts
     left = pairs.join(origins.select(F.col("region").alias("o"), "lat", "lon", "weight"), "o").select("o", "d", "lat", "lon", "weight")
     right = pairs.join(destinations.select(F.col("region").alias("d"), "lat", "lon", "weight"), "d").select("o", "d", "lat", "lon", "weight")
     kinds = dict(pairs.dtypes)
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    left, right = (t.toDF(*t.columns).repartition(tasks(spark), "o", "d") for t in (left, right))
     return left.groupBy("o", "d").cogroup(right.groupBy("o", "d")).applyInPandas(one, f"o {kinds['o']}, d {kinds['d']}, " + ", ".join(f"`{n}` double" for n in names))
 
 
@@ -174,7 +210,8 @@ def _debiased(crossed: DataFrame, origins: DataFrame, destinations: DataFrame, n
         return pd.DataFrame({"side": [key[0]], "region": [key[1]], "own": [_value("entropic", a, w, a, w, {"eps": eps, "theta": theta})]})
 
     rows = lambda t, s, c: t.join(crossed.select(F.col(c).alias("region")).distinct(), "region", "left_semi").select(F.lit(s).alias("side"), "region", "lat", "lon", "weight")
-    clouds = rows(origins, "from", "o").unionByName(rows(destinations, "to", "d"))
+    clouds = rows(places(origins), "from", "o").unionByName(rows(places(destinations), "to", "d"))
+    clouds = clouds.repartition(tasks(clouds.sparkSession), "side", "region")
     terms = clouds.groupBy("side", "region").applyInPandas(own, f"side string, region {dict(clouds.dtypes)['region']}, own double")
     side = lambda s, c: terms.where(F.col("side") == s).select(F.col("region").alias(c), F.col("own").alias(f"own_{c}"))
     value = F.col(name) - F.col("own_o") / 2 - F.col("own_d") / 2
@@ -214,7 +251,7 @@ def m9_sliced(origins: DataFrame, destinations: DataFrame, pairs: DataFrame, pro
 
     def side(table: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Each region's mean and latitude, and its atoms' centred places on each slice with the weight before them."""
-        own = table.where("weight > 0").select(F.col("region").alias(name), "lat", "lon", "weight").join(pairs.select(name).distinct(), name, "left_semi")
+        own = places(table).where("weight > 0").select(F.col("region").alias(name), "lat", "lon", "weight").join(pairs.select(name).distinct(), name, "left_semi")
         sums = own.groupBy(name).agg(F.sum("weight").alias("mass"), (F.sum(F.col("weight") * F.col("lat")) / F.sum("weight")).alias(f"lat_{name}"), (F.sum(F.col("weight") * F.col("lon")) / F.sum("weight")).alias(f"lon_{name}"))
         at = own.join(sums, name).join(ways)
         x = (F.col("lat") - F.col(f"lat_{name}")) * F.col("c") + (F.col("lon") - F.col(f"lon_{name}")) * F.col("s")

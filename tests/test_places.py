@@ -1,9 +1,11 @@
 """Atoms of one place are one: the work follows the places, and results do not change."""
 
+import time
+
 import numpy as np
 import pytest
 
-from terraflux.operators import measures
+from terraflux.operators import measures, transport
 from terraflux.plans import catalog
 
 
@@ -82,3 +84,41 @@ def test_whole_clouds_of_sampling_bias(spark, tables):
     once, four = (catalog.sampling_bias(spark, t) for t in tables)
     same({r.region: [r.base] for r in once.collect()}, {r.region: [r.base] for r in four.collect()})
     assert 0 < meetings(four) == meetings(once)
+
+
+def test_transport_of_copies(spark, tables):
+    for name in ("wasserstein_1", "wasserstein_iceberg", "sinkhorn_divergence"):
+        once, four = (catalog.queries()[name](spark, t) for t in tables)
+        same(rows(once), rows(four))
+        assert 0 < meetings(four) < 2 * meetings(once)
+
+
+@pytest.mark.parametrize("scale", [1.0, 50.0])
+def test_entropic_plan_has_its_margins(scale):
+    """Kernel rounds go on where rounds in logarithms left off, also when scalings leave the range."""
+    rng = np.random.default_rng(5)
+    cost, a, b = scale * rng.uniform(0, 900, (30, 50)), np.full(30, 1 / 30), np.full(50, 1 / 50)
+    f, g = np.zeros(30), np.zeros(50)
+    for _ in range(1000):
+        f = -50 * np.log((np.exp(((g - cost) / 50) - ((g - cost) / 50).max(1)[:, None]) * b).sum(1)) - 50 * ((g - cost) / 50).max(1)
+        x = (f[:, None] - cost) / 50
+        g = -50 * np.log((np.exp(x - x.max(0)) * a[:, None]).sum(0)) - 50 * x.max(0)
+    plan = np.exp((f[:, None] + g - cost) / 50) * a[:, None] * b
+    assert transport.entropic(cost, a, b, 50.0) == pytest.approx(float((plan * cost).sum()), rel=1e-9)
+
+
+@pytest.mark.parametrize("weights", ["equal", "drawn"])
+def test_exact_transport_of_hundreds_of_places(weights):
+    """Some hundreds a side are certified; the old solver took minutes for one such pair."""
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 400, 300) / 7.0, rng.integers(0, 400, 300) / 7.0
+    a, b = (np.full(300, 1 / 300) if weights == "equal" else (w := rng.uniform(1, 9, 300)) / w.sum() for _ in range(2))
+    start = time.process_time()
+    assert transport.exact(np.abs(x[:, None] - y), a, b) == pytest.approx(transport.line_transport(x, a, y, b, 1.0), rel=1e-6)
+    assert time.process_time() - start < 20
+
+
+def test_sliced_of_copies(spark, tables):
+    once, four = (catalog.sliced_wasserstein(spark, t) for t in tables)
+    same(rows(once), rows(four))
+    assert 0 < meetings(four) < 2 * meetings(once)
