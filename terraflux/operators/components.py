@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -85,9 +86,17 @@ def near_pairs(points: DataFrame, km: float, by: tuple[str, ...] = (), key: str
 
 
 def merged(points: DataFrame, km: float = K.MERGE_KM, by: tuple[str, ...] = ("region",), key: str = "id") -> DataFrame:
-    """Points ``id, lat, lon, weight`` chained within ``km`` become one, at their weighted mean."""
-    groups = components(points.select(F.col(key).alias("node")), near_pairs(points, km, by, key).select("a", "b"))
-    own = points.join(groups.withColumnRenamed("node", key), key)
+    """Points ``id, lat, lon, weight`` chained within ``km`` become one, at their weighted mean.
+
+    Points of one place hang together, so the least of them stands for all when neighbours are sought.
+    """
+    place = (*by, "lat", "lon")
+    known = functools.reduce(Column.__and__, [F.col(c).isNotNull() for c in place]) & ~F.isnan("lat") & ~F.isnan("lon")
+    firsts = written(points.where(known).groupBy(*place).agg(F.min(key).alias("_first")), "merged-places")
+    groups = components(firsts.select(F.col("_first").alias("node")), near_pairs(firsts, km, by, "_first").select("a", "b"))
+    labels = firsts.join(groups, firsts["_first"] == groups["node"]).select(*place, "component")
+    unknown = points.where(F.coalesce(~known, F.lit(True))).withColumn("component", F.col(key))  # near to nothing
+    own = points.where(known).join(labels, list(place)).unionByName(unknown)
     return planar_centroid(own, (*by, "component")).join(own.groupBy(*by, "component").agg(F.count("*").alias("n_merged")), [*by, "component"])
 
 

@@ -5,8 +5,9 @@ import time
 import numpy as np
 import pytest
 
-from terraflux.operators import measures, transport
+from terraflux.operators import components, measures, routing, transport
 from terraflux.plans import catalog
+from terraflux.plans import fixtures as X
 
 
 @pytest.fixture(scope="module")
@@ -122,3 +123,28 @@ def test_sliced_of_copies(spark, tables):
     once, four = (catalog.sliced_wasserstein(spark, t) for t in tables)
     same(rows(once), rows(four))
     assert 0 < meetings(four) < 2 * meetings(once)
+
+
+def test_neighbours_are_sought_among_places(spark, tables, monkeypatch):
+    asked, near = [], components.near_pairs
+    monkeypatch.setattr(components, "near_pairs", lambda points, *a, **k: asked.append(points.count()) or near(points, *a, **k))
+    once, four = ({(r.region, r.component): (r.n_merged, r.weight) for r in catalog.merge_components(spark, t).collect()} for t in tables)
+    assert asked[0] == asked[1]
+    assert {k: 4 * n for k, (n, _) in once.items()} == {k: n for k, (n, _) in four.items()}
+    assert all(4 * w == pytest.approx(four[k][1], abs=0.05) for k, (_, w) in once.items())
+
+
+def test_merged_leaves_points_without_a_place_apart(spark):
+    nan = float("nan")
+    points = spark.createDataFrame([(1, 7, 1.0, 1.0, 2.0), (1, 5, 1.0, 1.0, 1.0), (1, 9, 1.1, 1.0, 1.0), (1, 3, None, 1.0, 1.0), (1, 4, None, 1.0, 1.0), (1, 6, nan, 1.0, 1.0), (None, 8, 1.0, 1.0, 1.0)], "region int, id long, lat double, lon double, weight double")
+    got = {r.component: r.n_merged for r in components.merged(points).collect()}
+    assert {k: got.get(k) for k in (3, 4, 5, 6)} == {3: 1, 4: 1, 5: 3, 6: 1}
+
+
+def test_nearest_node_makes_one_row_a_point(spark, tables):
+    got = catalog.nearest_node(spark, tables[0])
+    hubs = [(r.id, r.lat, r.lon) for r in X.hubs(spark, tables[0]).collect()]
+    wanted = {r.atom: min(((r.lon - x) ** 2 + (r.lat - y) ** 2, i) for i, y, x in hubs)[1] for r in X.consumption(spark, tables[0]).collect()}
+    assert {r.id: r.node for r in got.collect()} == wanted
+    assert 0 < meetings(got) <= len(wanted)
+    assert routing.nearest_node(X.consumption(spark, tables[0]).withColumnRenamed("atom", "id"), X.hubs(spark, tables[0]).where("false")).count() == 0
