@@ -102,8 +102,13 @@ def nearest_node(points: DataFrame, nodes: DataFrame, key: str = "id", most_broa
     points = points.select(key, "lon", "lat").where("lon is not null and lat is not null")
     count = nodes.count()
     if count <= most_broadcast:
-        met = points.join(F.broadcast(n))  # checked above
-        return met.withColumn("d", dx * dx + dy * dy).groupBy(key).agg(best).select(key, F.col("b.node").alias("node"))
+        # A point passes over the list in its own row, so that what is dealt and sorted is one row a point.
+        hubs = n.where("_lon is not null and _lat is not null").agg(F.collect_list(F.struct("node", "_lon", "_lat")).alias("hubs")).where("size(hubs) > 0")
+        far = lambda h: (F.col("lon") - h["_lon"]) * (F.col("lon") - h["_lon"]) + (F.col("lat") - h["_lat"]) * (F.col("lat") - h["_lat"])
+        start = F.struct(far(F.col("hubs")[0]).alias("d"), F.col("hubs")[0]["node"].alias("node"))
+        least = F.aggregate("hubs", start, lambda held, h: F.least(held, F.struct(far(h).alias("d"), h["node"].alias("node"))))
+        met = points.join(F.broadcast(hubs)).select(key, least.alias("b"))  # checked above
+        return met.groupBy(key).agg(F.min("b").alias("b")).select(key, F.col("b.node").alias("node"))
     done, left = None, points
     while True:
         slot = lambda c, width=cell: F.floor(F.col(c) / width)
