@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import order
+from .components import written
 
 
 def average_rank(table: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``rank_<column>``, ties sharing the mean of their ranks; null for a null."""
-    return _ranked(table, column, by, f"rank_{column}")
+    return _ranked(written(table, "ranked"), column, by, f"rank_{column}")
 
 
 def _ranked(table: DataFrame, column: str, by: tuple[str, ...], name: str) -> DataFrame:
+    """``table`` must be written: its values are met by equality, and sums computed twice may differ in their last digits."""
     ranks = order.average_ranks(table, column, by)
     right = ranks.select(*[F.col(c).alias(f"_to_{c}") for c in (*by, column)], F.col("rank").alias(name))
     same = F.col(column) == F.col(f"_to_{column}")
@@ -27,7 +29,7 @@ def correlations(table: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) ->
 
     Ranks come from counts of distinct values, so ties are counted once; a group may be of any size.
     """
-    rows = table.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = written(table.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y), "correlated")
     for c in (x, y):
         rows = _ranked(rows, c, by, f"_r_{c}")
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr(f"_r_{x}", f"_r_{y}").alias("spearman"))
