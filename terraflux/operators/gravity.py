@@ -348,7 +348,7 @@ def tail(t: float, dof: float | None = None) -> float:
             else:
                 term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if m else 1.0
             d = 1 / (1 + term * d) if m or odd else 1.0
-            c = 1 + term / c if m or odd else 1.0
+            c = 1 + term / c if m else 1.0
             value *= c * d
         if m and abs(c * d - 1) < 1e-15:
             break
