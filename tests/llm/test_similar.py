@@ -1,5 +1,11 @@
+import math
+import random
+
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from terraflux.llm import simhash, similar
+from terraflux.llm import common, simhash, similar
 
 
 def jaccard(a, b):
@@ -58,3 +64,34 @@ def test_forests_and_tiles_lose_no_link(spark, make, monkeypatch):
     for name, value in (("MANY", -4), ("NODE_ROWS", 3), ("TEXTS", 5)):
         monkeypatch.setattr(similar, name, value)
         assert sorted(r.doc_id for r in similar.deduplicate(make(list(texts.items()))).collect()) == wanted
+
+
+def test_ball_of_texts_not_quite_alike_moves_its_rows_not_its_pairs(spark, make):
+    """No intermediate table has more rows than documents times tables."""
+    draw = random.Random(7)
+    texts = {}
+    for i in range(110):
+        w = [f"v{j}" for j in range(200)]
+        for at in draw.sample(range(10, 190), 4):
+            w[at] = f"z{i}x{at}"
+        texts[i] = " ".join(w)
+    assert smallest(texts) == sorted(texts)
+    with common.recorded() as made:
+        kept = [r.doc_id for r in similar.deduplicate(make(list(texts.items()))).collect()]
+    assert sorted(kept) == sorted(texts)
+    assert max(spark.read.parquet(t.path).count() for t in made) <= similar.TABLES * len(texts)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
+def test_most_bits_bounds_small_sets(similarity):
+    """The exact chance that the majority bits of two sets differ is below the bound's."""
+    chances = [np.array([math.comb(n, k) for k in range(n + 1)], float) / 2.0**n for n in range(121)]
+    more = lambda n, k: chances[n][max(0, k) :].sum()
+    bits = 1 << 40  # so that deviations don't count
+    for a in range(1, 121):
+        for b in range(math.ceil(similarity * a - 1e-9), a + 1):
+            c = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            if c <= b:
+                one, two = (np.array([more(n - c, n // 2 + 1 - k) for k in range(c + 1)]) for n in (a, b))
+                p = (chances[c] * (one * (1 - two) + two * (1 - one))).sum()
+                assert p <= similar.most_bits(similarity, np.array([a]), bits)[0] / bits + 1e-9, (a, b, c)
