@@ -15,6 +15,7 @@ A packer holds the remainders dealt to it, and open windows of at most one level
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
@@ -29,20 +30,29 @@ from .common import materialise, trimming, trimming_groups
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, closed_by string"
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
-#: Bytes of units remembered by a worker, the longest unit remembered, and the bits of a sequence_id that number a task's sequences.
-REMEMBERED, LONGEST, TASK_BITS = 3 << 24, 256, 38
+#: Characters from which on a part of a text ends at the next space, and the bits of a sequence_id that number a task's sequences.
+PART, TASK_BITS = 1 << 18, 38
+#: A space after a character that no tokenizer takes for white space.
+SEAM = re.compile(r"(?<=\S) ")
 #: Remainders of a packer, and tokens of a fill level.
 PACKED, WIDTH = 1 << 14, 16
 
 
-class Encoder(dict):
+def parts(text: str) -> Iterator[str]:
+    """The text in parts of PART characters or somewhat more, each but the first with a space in front."""
+    at = 0
+    while len(text) - at > PART and (seam := SEAM.search(text, at + PART)):
+        yield text[at : seam.start()]
+        at = seam.start()
+    yield text[at:]
+
+
+class Encoder:
     """Token ids of texts under a byte-level BPE vocabulary, as little-endian 32-bit words.
 
-    A text without two spaces in a row is the sequence of its words, each with the space
-    before it: the vocabulary's split pattern ends a token before every such space, so
-    words are encoded once and remembered. Other texts are encoded as a whole. A text
-    that holds the string of a special token is left to ``tokenizers`` itself. The memory
-    is emptied when the units in it take ``REMEMBERED`` bytes; long units don't enter it.
+    The vocabulary's split pattern ends a token before every space that follows a
+    character other than white space, so a long text is encoded in parts that end there.
+    A text that holds the string of a special token is left to ``tokenizers`` itself.
     """
 
     def __init__(self, vocabulary: str, ranks: str, special: tuple[str, ...] = ("<|endoftext|>",)):
@@ -51,8 +61,7 @@ class Encoder(dict):
         import public_tokenizers
         import tiktoken
 
-        super().__init__()
-        self.special, self.used = special, 0
+        self.special = special
         self.vocabulary = public_tokenizers.path(vocabulary)
         with open(public_tokenizers.path(ranks), "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -65,24 +74,10 @@ class Encoder(dict):
 
         return Tokenizer.from_file(self.vocabulary)
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = np.array(self.units.encode_ordinary(unit), "<u4").tobytes()
-        if len(unit) <= LONGEST:
-            if self.used >= REMEMBERED:
-                self.clear()
-                self.used = 0
-            self.used += 200 + 4 * len(unit) + len(ids)  # an upper bound of what an entry takes
-            self[unit] = ids
-        return ids
-
     def encode(self, text: str) -> bytes:
         if any(x in text for x in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if "  " in text:
-            return np.array(self.units.encode_ordinary(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        ids = self.__getitem__
-        return ids(first) + b"".join([ids(" " + x) for x in rest])
+        return b"".join([np.array(self.units.encode_ordinary(x), "<u4").tobytes() for x in parts(text)])
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

@@ -26,6 +26,28 @@ def test_encoder_matches_the_library(spark, tables, library):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t[:60]
 
 
+def test_a_text_is_encoded_at_once_and_a_long_one_in_parts(library, monkeypatch):
+    own = packing.Encoder(*VOCABULARY)
+    units, seen = own.units, []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            seen.append(text)
+            return units.encode_ordinary(text)
+
+    own.units = Counted()
+    own.encode(" ".join(f"word{k}" for k in range(1000)))
+    assert len(seen) == 1
+    for t in [*ODD, " ".join(x.strip() + " \x1c y" for x in ODD) * 3]:
+        if "<|endoftext|>" in t:
+            t = t.replace("<|endoftext|>", "end")
+        for size in (1, 2, 3, 7):
+            monkeypatch.setattr(packing, "PART", size)
+            assert "".join(packing.parts(t)) == t
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, (t, size)
+    assert len(seen) > 200 and max(len(x) for x in seen[-20:]) < 40
+
+
 def check(pieces, docs, library, capacity):
     wanted = {}
     for i, t in docs:
