@@ -14,6 +14,8 @@ choose equal anchors, so two documents that share a window meet at its anchor.
   into single windows, which are joined in turn.
 * Repeated paths that go on from each other both in the document and in the source are
   compacted into one long span, with one source coordinate.
+* A path that a document holds many times (a line said again and again) is one row there,
+  with the starts of all its copies, from the first step to the last.
 
 So far spans rest on 128-bit keys. Each is then verified on words: its source document is
 read at the source coordinates and gives a cryptographic digest of the words there, and
@@ -35,10 +37,11 @@ from .common import materialise, slot_filter, trimming, whole_row
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
-PATH = "h1 long, h2 long, anchor long, doc_id long, of long, lo int, hi int"
-WINDOW = "h1 long, h2 long, doc_id long, of long, lo int, hi int"
-#: Rows put together before they are handed to Spark; spans of one source that a task proves together.
-BATCH, PROVED = 1 << 16, 4096
+#: lo and hi: first and last window of the first copy; later: where the other copies begin.
+PATH = "h1 long, h2 long, anchor long, doc_id long, of long, lo int, hi int, later array<int>"
+WINDOW = "h1 long, h2 long, doc_id long, of long, lo int, hi int, later array<int>"
+#: Rows put together before they are handed to Spark; spans of one source that a task proves together; later copies that take the room of a span.
+BATCH, PROVED, ROOM = 1 << 16, 4096, 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -87,18 +90,39 @@ def paths(words: list[bytes], span: int, seed: int) -> tuple[np.ndarray, np.ndar
     return lo, hi, gram[(least[lo] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
 
 
+def _copies(keys: list[bytes]) -> tuple[list[bytes], list[int], list[int], list[int]]:
+    """The different keys, where each stands first, how often later, and where, key by key."""
+    if len(set(keys)) == len(keys):
+        return keys, list(range(len(keys))), [0] * len(keys), []
+    at: dict[bytes, list[int]] = {}
+    for i, k in enumerate(keys):
+        at.setdefault(k, []).append(i)
+    return list(at), [x[0] for x in at.values()], [len(x) - 1 for x in at.values()], [i for x in at.values() for i in x[1:]]
+
+
+def _everywhere(lo: np.ndarray, hi: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last windows of all copies, and which of the given spans each is a copy of."""
+    own = np.arange(len(lo))
+    which = np.concatenate([own, np.repeat(own, counts)])
+    begin = np.concatenate([lo, starts])
+    return begin, begin + (hi - lo)[which], which
+
+
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Gathers (keys, *columns) of single documents into batches; a column may be one value for all its rows."""
+    """Gathers (keys, *columns, lo, hi) of single documents, one row for each different key, into batches; a column may be one value for all its rows."""
     held, count = [], 0
 
     def out() -> pa.RecordBatch:
         key = np.frombuffer(b"".join(k for ks, *_ in held for k in ks), np.int64).reshape(-1, 2)
-        rest = [np.concatenate([np.broadcast_to(x[i], len(x[0])) for x in held]) for i in range(1, len(held[0]))]
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((key[:, 0], key[:, 1], *rest), schema, strict=True)], schema=schema)
-
-    for x in rows:
-        held.append(x)
-        count += len(x[0])
+        rest = [np.concatenate([np.broadcast_to(x[i], len(x[0])) for x in held]) for i in range(1, len(held[0]) - 2)]
+        ends = np.cumsum(np.concatenate([[0], *(x[-2] for x in held)]))
+        later = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x[-1] for x in held]), pa.int32()))
+        return pa.RecordBatch.from_arrays([*(pa.array(x, f.type) for x, f in zip((key[:, 0], key[:, 1], *rest), schema, strict=False)), later], schema=schema)
+
+    for keys, *columns, lo, hi in rows:
+        keys, first, counts, later = _copies(keys)
+        held.append((keys, *(x[first] if isinstance(x, np.ndarray) else x for x in columns), lo[first], hi[first], counts, lo[later]))
+        count += len(lo)
         if count >= BATCH:
             yield out()
             held, count = [], 0
@@ -107,7 +131,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
 
 
 def _arrow(ddl: str) -> pa.Schema:
-    return pa.schema([(n, {"long": pa.int64(), "int": pa.int32()}[t]) for n, t in (x.split() for x in ddl.split(", "))])
+    return pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}[t]) for n, t in (x.split() for x in ddl.split(", "))])
 
 
 def path_table(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
@@ -127,20 +151,23 @@ def path_table(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
 
 def _marked(docs: DataFrame, spans: DataFrame, column: str = "proof") -> DataFrame:
     """``docs`` that may hold ``spans``, each with the list of its spans (null: none)."""
-    lists = spans.groupBy("doc_id", "of").agg(F.collect_list(F.struct(column, "lo", "hi")).alias("spans"))
+    lists = spans.groupBy("doc_id", "of").agg(F.collect_list(F.struct(column, "lo", "hi", "later")).alias("spans"))
     lists = lists.select(F.col("doc_id").alias("span_doc"), F.col("of").alias("span_of"), "spans")
     met = (F.col("doc_id") == F.col("span_doc")) & (F.col("of") == F.col("span_of"))
     return docs.join(lists.hint("shuffle_hash"), met, "left").drop("span_doc", "span_of")
 
 
 def _listed(column: pa.Array) -> Iterator[tuple[list, np.ndarray, np.ndarray] | None]:
-    """The first field, first and last windows of each list."""
+    """The first field, first and last windows of each list, a later copy as an entry of its own."""
     for x in column:
         if not x.is_valid:
             yield None
         else:
             v = x.values
-            yield v.field(0).to_pylist(), *(v.field(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            head, later = v.field(0).to_pylist(), v.field(3)
+            lo, hi, counts, starts = (y.to_numpy(zero_copy_only=False) for y in (v.field(1), v.field(2), later.value_lengths(), later.flatten()))
+            lo, hi, which = _everywhere(lo, hi, counts, starts)
+            yield [head[k] for k in which.tolist()], lo, hi
 
 
 def window_table(docs: DataFrame, open_paths: DataFrame, span: int) -> DataFrame:
@@ -161,43 +188,47 @@ def window_table(docs: DataFrame, open_paths: DataFrame, span: int) -> DataFrame
 
 
 def compacted(spans: DataFrame) -> DataFrame:
-    """Spans that go on from each other, in the document and in the source, as one."""
-    line = Window.partitionBy("doc_id", "of", "src_doc", "src_of", "shift").orderBy("lo", "hi")
-    known = spans.withColumn("shift", F.col("src_lo") - F.col("lo")).withColumn("reach", F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    """Spans that go on from each other, in the source and in all copies in the document, as one."""
+    line = Window.partitionBy("doc_id", "of", "src_doc", "src_of", "shift", "shifts").orderBy("lo", "hi")
+    known = spans.withColumn("shift", F.col("src_lo") - F.col("lo")).withColumn("shifts", F.transform("later", lambda x: F.col("src_lo") - x)).withColumn("reach", F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1)))
     runs = known.withColumn("run", F.sum(F.when(F.col("lo") <= F.col("reach") + 1, 0).otherwise(1)).over(line))
-    out = runs.groupBy("doc_id", "of", "src_doc", "src_of", "shift", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return out.select("doc_id", "of", "lo", "hi", "src_doc", "src_of", (F.col("lo") + F.col("shift")).alias("src_lo"))
+    out = runs.groupBy("doc_id", "of", "src_doc", "src_of", "shift", "shifts", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    out = out.withColumn("src_lo", F.col("lo") + F.col("shift"))
+    return out.select("doc_id", "of", "lo", "hi", F.transform("shifts", lambda x: F.col("src_lo") - x).alias("later"), "src_doc", "src_of", "src_lo")
 
 
 def proved(docs: DataFrame, spans: DataFrame, span: int) -> DataFrame:
-    """``doc_id, of, lo, hi, proof``: each span with the digest of the words at its source.
+    """``doc_id, of, lo, hi, later, proof``: each span with the digest of the words at its source.
 
     The spans of a source are listed and meet its text; the lists of all sources are split
-    by the holder into as many as the most wanted source needs to have PROVED in each.
+    by the holder into as many as the most wanted source needs to have PROVED in each, or
+    ROOM times as many later copies.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, listed in zip(batch.column(0), batch.column(1), strict=True):
-                doc_id, of, lo, hi, begin = (listed.values.field(k) for k in range(5))
+                doc_id, of, lo, hi, later, begin = (listed.values.field(k) for k in range(6))
                 low, high = lo.to_numpy(zero_copy_only=False), hi.to_numpy(zero_copy_only=False)
                 src = begin.to_numpy(zero_copy_only=False)
                 places, which = np.unique(np.stack([src, src + high - low], 1), axis=0, return_inverse=True)
                 proofs = _keys(words_of(text.as_py()), places[:, 0], places[:, 1], span, _digest)
-                yield pa.RecordBatch.from_arrays([doc_id, of, lo, hi, pa.array([proofs[k] for k in which.ravel().tolist()], pa.binary())], names=["doc_id", "of", "lo", "hi", "proof"])
+                yield pa.RecordBatch.from_arrays([doc_id, of, lo, hi, later, pa.array([proofs[k] for k in which.ravel().tolist()], pa.binary())], names=["doc_id", "of", "lo", "hi", "later", "proof"])
 
-    most = spans.groupBy("src_doc", "src_of").count().agg(F.max("count")).first()[0] or 0
-    slot = F.pmod(F.xxhash64("doc_id", "of", "lo"), F.lit(max(1, -(-most // PROVED))))
-    lists = spans.groupBy("src_doc", "src_of", slot.alias("slot")).agg(F.collect_list(F.struct("doc_id", "of", "lo", "hi", "src_lo")).alias("spans"))
+    room = F.sum(ROOM + F.size("later")).alias("room")
+    most = spans.groupBy("src_doc", "src_of").agg(room).agg(F.max("room")).first()[0] or 0
+    slot = F.pmod(F.xxhash64("doc_id", "of", "lo"), F.lit(max(1, -(-most // (PROVED * ROOM)))))
+    lists = spans.groupBy("src_doc", "src_of", slot.alias("slot")).agg(F.collect_list(F.struct("doc_id", "of", "lo", "hi", "later", "src_lo")).alias("spans"))
     some = slot_filter(docs.select("doc_id", "of", "text"), "of", spans.select("src_of")).where("slot_hit").drop("slot_hit").dropDuplicates(["doc_id", "of"])
     met = some.join(lists.hint("shuffle_hash"), (some["doc_id"] == lists["src_doc"]) & (some["of"] == lists["src_of"]))
-    return met.select("text", "spans").mapInArrow(trimming(scan), "doc_id long, of long, lo int, hi int, proof binary")
+    return met.select("text", "spans").mapInArrow(trimming(scan), "doc_id long, of long, lo int, hi int, later array<int>, proof binary")
 
 
 def repeated_spans(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
     """Runs of windows of each document that start in a document with a smaller doc_id too.
 
-    ``docs`` is what ``_identified`` gives. Columns ``doc_id, of, lo, hi, proof``: windows lo
-    to hi, and the digest of the words from lo to hi + span as they stand in the source.
+    ``docs`` is what ``_identified`` gives. Columns ``doc_id, of, lo, hi, later, proof``:
+    windows lo to hi, the starts of further copies of them in the document, and the digest
+    of the words from lo to hi + span as they stand in the source.
     """
     if not 0 < seed <= span:
         raise ValueError("seed must be 1 to span")
@@ -207,11 +238,11 @@ def repeated_spans(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
     branching = classes.groupBy("anchor").agg(F.count("*").alias("ways"), F.min("first.doc_id").alias("x"), F.max("last_doc").alias("y")).where("ways > 1 and x < y").select("anchor", F.lit(True).alias("branches"))
     told = classes.join(branching, "anchor", "left").where("last_doc > first.doc_id or branches").select("h1", "h2", "first", "branches")
     source = [F.col("first.doc_id").alias("src_doc"), F.col("first.of").alias("src_of"), F.col("first.lo").alias("src_lo")]
-    met = path.join(told, ["h1", "h2"]).where("doc_id > first.doc_id or branches").select("h1", "doc_id", "of", "lo", "hi", (F.col("doc_id") > F.col("first.doc_id")).alias("repeats"), *source)
+    met = path.join(told, ["h1", "h2"]).where("doc_id > first.doc_id or branches").select("h1", "doc_id", "of", "lo", "hi", "later", (F.col("doc_id") > F.col("first.doc_id")).alias("repeats"), *source)
     met = materialise(met, "substring-met")
-    windows = materialise(window_table(docs, met.where("not repeats").select("h1", "doc_id", "of", "lo", "hi"), span), "substring-windows")
+    windows = materialise(window_table(docs, met.where("not repeats").select("h1", "doc_id", "of", "lo", "hi", "later"), span), "substring-windows")
     shared = windows.groupBy("h1", "h2").agg(first, F.max("doc_id").alias("last_doc")).where("last_doc > first.doc_id").drop("last_doc")
-    single = windows.join(shared, ["h1", "h2"]).where("doc_id > first.doc_id").select("doc_id", "of", "lo", "hi", *source)
+    single = windows.join(shared, ["h1", "h2"]).where("doc_id > first.doc_id").select("doc_id", "of", "lo", "hi", "later", *source)
     spans = materialise(compacted(met.where("repeats").drop("h1", "repeats").unionByName(single)), "substring-long")
     return proved(docs, spans, span)
 
@@ -233,7 +264,7 @@ def _applied(rows: DataFrame, docs: DataFrame, span: int, seed: int) -> list[Dat
     """``rows`` (with ``doc_id, of``) and a column ``spans``; those that can't have any are kept out of the join."""
     spans = materialise(repeated_spans(docs, span, seed), "substring-spans")
     flagged = slot_filter(rows, "of", spans.select("of"))
-    none = F.lit(None).cast("array<struct<proof:binary,lo:int,hi:int>>")
+    none = F.lit(None).cast("array<struct<proof:binary,lo:int,hi:int,later:array<int>>>")
     return [_marked(flagged.where("slot_hit").drop("slot_hit"), spans), flagged.where("not slot_hit").drop("slot_hit").withColumn("spans", none)]
 
 
@@ -288,4 +319,4 @@ def deduplicate(docs: DataFrame, span: int = 50, seed: int = 8) -> DataFrame:
     return joined.select("row.*").unionByName(rest.select("row.*"))
 
 
-_SPANS = pa.list_(pa.struct([("proof", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())]))
+_SPANS = pa.list_(pa.struct([("proof", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("later", pa.list_(pa.int32()))]))

@@ -84,3 +84,19 @@ def test_n_chars_follow(spark, tables):
     docs = tables("documents")
     out = substrings.deduplicate(docs)
     assert out.columns == docs.columns and out.where("n_chars <> length(text)").count() == docs.where("n_chars <> length(text)").count()
+
+
+def test_copies_within_a_document_are_one_span(spark, make, words):
+    """Spans, and what is moved for them, do not grow with how often a document says a line; all copies are cut."""
+    def rows(times):
+        said = [(i, f"head{i} " + " ".join(["alpha beta"] * (times + i)) + f" mid{i} " + " ".join(f"w{k}" for k in range(40)) + f" alpha beta tail{i}") for i in range(12)]
+        line = " ".join(f"v{k}" for k in range(17))
+        return said + [(20 + i, f"top{i} " + " ".join([line] * (times // 8 + i)) + f" end{i}") for i in range(6)] + [(30, said[3][1]), (31, said[3][1] + " more")]
+
+    counts = []
+    for times in (80, 320):
+        docs = make(rows(times))
+        assert found(docs, 50, 8) == digests(rows(times), words, 50)
+        docs = substrings._identified(docs)
+        counts.append((substrings.path_table(docs).count(), substrings.repeated_spans(docs).count()))
+    assert counts[0] == counts[1]
