@@ -42,20 +42,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``node, component``: the least node reachable over ``edges(a, b)``, taken in both directions.
 
-    Least labels spread over the edges and are then jumped along (a label's own label),
-    so the rounds grow with the logarithm of the longest path.
+    A round hangs the greater neighbours of a node on its least neighbour (large star), then
+    the lesser ones (small star), until all hang on a least node; the rounds grow with the
+    logarithm of a component's size. Each is written, not checkpointed: a checkpoint keeps its
+    plan's estimate of size, and as joins multiply those, its digits double in a round.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpointed(nodes.select("node", F.col("node").alias("component")).distinct())
+    own = written(nodes.select("node").where("node is not null").distinct(), "component-nodes")
+    two = lambda names, *rows: F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) if isinstance(v, int) else F.col(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows]))
+    end = lambda c: own.select(F.col("node").alias(c))
+    known = edges.where("a <> b").join(end("a"), "a", "left_semi").join(end("b"), "b", "left_semi")
+    pairs = written(known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges")
     for _ in range(max_rounds):
-        told = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        spread = labels.join(told, "node", "left").select("node", F.least("component", F.coalesce("c", "component")).alias("component"))
-        up = spread.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        after = checkpointed(spread.join(up, "component").select("node", F.least("component", "top").alias("component")))
-        changed = after.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
-        labels = after
-        if not changed:
-            return labels
+        ends = pairs.select(two(("n", "hangs"), ("a", 1), ("b", 0))).groupBy("n").agg(F.sum("hangs").alias("hangs"), F.count("*").alias("edges"))
+        if not ends.where("hangs > 1 or (hangs = 1 and edges > 1)").limit(1).count():
+            return own.join(pairs.toDF("node", "least"), "node", "left").select("node", F.coalesce("least", "node").alias("component"))
+        both = pairs.select(two("uv", "ab", "ba"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        pairs = written(small.select(two("ab", "am", "bm")).where("a <> b").distinct(), "component-edges")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

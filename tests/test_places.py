@@ -141,6 +141,19 @@ def test_merged_leaves_points_without_a_place_apart(spark):
     assert {k: got.get(k) for k in (3, 4, 5, 6)} == {3: 1, 4: 1, 5: 3, 6: 1}
 
 
+def test_components_of_long_chains_settle_in_few_rounds(spark):
+    """Rounds grew with the chain, and the estimated size doubled its digits in each: the driver's memory went."""
+    name = [int(k) for k in np.random.default_rng(4).permutation(60)]
+    chain = [(x, y) for x, y in zip(name[:40] + name[40:], name[1:40] + [None] + name[41:], strict=False) if y is not None]  # of 40 and of 20
+    nodes = spark.createDataFrame([(k,) for k in [*name, 70, None]], "node long")
+    edges = spark.createDataFrame([*chain, *[(y, x) for x, y in chain[:5]], (7, 7), (70, None), (70, 99), (99, 0)], "a long, b long")  # 99 is no node
+    found = components.components(nodes, edges, max_rounds=7)
+    wanted = {k: min(part) for part in (name[:40], name[40:], [70]) for k in part}
+    assert {r.node: r.component for r in found.collect()} == wanted and found.count() == 61
+    assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length() < 100
+    assert components.components(nodes, edges.where("false")).where("node = component").count() == 61
+
+
 def test_nearest_node_makes_one_row_a_point(spark, tables):
     got = catalog.nearest_node(spark, tables[0])
     hubs = [(r.id, r.lat, r.lon) for r in X.hubs(spark, tables[0]).collect()]
