@@ -140,7 +140,7 @@ def agglomerations(cells: DataFrame, lights: DataFrame | None = None, density: f
     people = cells.withColumn("value", F.when(F.col("value") > 0, F.col("value")).otherwise(0.0))
     dense = people.where((F.col("value") / F.col("area_km2") >= density) & (F.col("value") > 0))
     parts = planar_centroid(grid_components(dense).withColumnRenamed("value", "weight"), ("region", "component"))
-    big = parts.where(F.col("weight") >= least).withColumnRenamed("component", "id")
+    big = written(parts.where(F.col("weight") >= least).withColumnRenamed("component", "id"), "agglomeration-parts")  # places are met by equality: their sums must not be taken twice
     cut = coverage_cut(merged(big, merge_km).withColumnRenamed("component", "id"), target, most).select("region", "id", "agglom_id", "lat", "lon", F.col("weight").alias("pop"), "coverage_share")
     whole = planar_centroid(people.join(dense.select("region").distinct(), "region", "left_anti").where("value > 0").withColumnRenamed("value", "weight"), ("region",))
     out = cut.unionByName(whole.select("region", F.concat_ws(":", "region", F.lit("all")).alias("id"), F.lit(0).alias("agglom_id"), "lat", "lon", F.col("weight").alias("pop"), F.lit(1.0).alias("coverage_share")))
